@@ -190,3 +190,7 @@ FROM counts c JOIN (SELECT ts::DATE AS date, avg(temperature) AS temp_avg, avg(h
   count_if(cloud_cover < 10.0) AS clear_hours FROM line_weather GROUP BY 1) f USING (date)"""))
 
 oracle("training_table", with_(cte_training(), "SELECT * FROM training"))
+
+
+# The remaining oracle families register themselves on import.
+from faultcast.plans import oracles_features  # noqa: E402,F401

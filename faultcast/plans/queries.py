@@ -107,3 +107,7 @@ def q_join_daily(spark, sf_dir):
 def q_training_table(spark, sf_dir):
     """The per-system training table."""
     return training_fx(spark, sf_dir)
+
+
+# The remaining query families register themselves on import.
+from faultcast.plans import queries_features  # noqa: E402,F401
