@@ -111,3 +111,4 @@ def q_training_table(spark, sf_dir):
 
 # The remaining query families register themselves on import.
 from faultcast.plans import queries_features  # noqa: E402,F401
+from faultcast.plans import queries_text  # noqa: E402,F401
