@@ -18,7 +18,8 @@ def join_daily(counts: DataFrame, daily: DataFrame, on: str | list[str] = "date"
 
 
 def assemble_predictions(scores: DataFrame, systems: list[str], key: str = "date", system_col: str = "system",
-                         pred_col: str = "prediction", suffix: str = "_fault_prediction") -> DataFrame:
+                         pred_col: str = "prediction", suffix: str = "_fault_prediction",
+                         names: dict[str, str] | None = None) -> DataFrame:
     """Per-system scores side by side on ``key``, half-even rounded to integers.
 
     One conditional aggregate instead of a chain of joins (one shuffle);
@@ -28,6 +29,7 @@ def assemble_predictions(scores: DataFrame, systems: list[str], key: str = "date
     wide = scores.groupBy(key).agg(*aggs)
     cond = None
     for s in systems:
-        cond = F.col(s).isNotNull() if cond is None else cond & F.col(s).isNotNull()
+        c = F.col(f"`{s}`").isNotNull()
+        cond = c if cond is None else cond & c
     return wide.filter(cond).select(
-        key, *[round_even(F.col(s)).cast("bigint").alias(f"{s}{suffix}") for s in systems])
+        key, *[round_even(F.col(f"`{s}`")).cast("bigint").alias(f"{(names or {}).get(s, s)}{suffix}") for s in systems])

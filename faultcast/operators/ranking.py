@@ -23,9 +23,12 @@ def top_k(df: DataFrame, score: str, k: int, keys=None, tie: str | None = None,
     return df.withColumn("_rn", rn).filter(F.col("_rn") <= k).drop("_rn")
 
 
-def best_model(board: DataFrame, keys=("system",), score: str = "r2", name: str = "model_name") -> DataFrame:
-    """The highest score per key; ties go to the first name in alphabetical order."""
-    return top_k(board, score, 1, keys, tie=name)
+def best_model(board: DataFrame, keys=("system",), score: str = "r2", name: str = "model_name",
+               tie_digits: int = 9) -> DataFrame:
+    """The highest score per key; scores equal to ``tie_digits`` decimals are ties, and ties
+    go to the first name in alphabetical order (so float noise never picks the winner)."""
+    keyed = board.withColumn("_score_key", F.rint(F.col(score) * float(10 ** tie_digits)))
+    return top_k(keyed, "_score_key", 1, keys, tie=name).drop("_score_key")
 
 
 def preview(df: DataFrame, n: int = 5, order=("date",)) -> DataFrame:

@@ -19,6 +19,19 @@ from pyspark.sql import functions as F
 from faultcast.functions.scalars import clip
 
 
+def pearson(x, y) -> Column:
+    """Pearson correlation over rows where both are present; NULL when either side is constant.
+
+    Built from ``covar_pop`` and ``stddev_pop`` with ``try_divide`` because
+    the built-in ``corr`` raises on a zero variance under ANSI mode.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    y = F.col(y) if isinstance(y, str) else y
+    both = x.isNotNull() & y.isNotNull()
+    xs, ys = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
+
+
 def attach_stats(df: DataFrame, stats: dict[str, Column], keys=None) -> DataFrame:
     """Aggregate ``stats`` (name -> aggregate expression) per key and join them onto every row."""
     keys = list(keys or [])
@@ -66,23 +79,34 @@ def box_summary(df: DataFrame, c: str, keys=None, whis: float = 1.5) -> DataFram
     )
 
 
-def corr_pairs(df: DataFrame, cols: list[str], keys=None, absolute: bool = True) -> DataFrame:
-    """Pearson correlation of every pair i < j (pairwise complete), long form.
+def corr_pairs(df: DataFrame, cols: list[str], keys=None, absolute: bool = True, wide_limit: int = 64) -> DataFrame:
+    """Pearson correlation of every pair i < j (pairwise complete), long form (keys, col_a, col_b, corr).
 
-    One aggregate evaluates all pairs; the result has one row per key.
+    Up to ``wide_limit`` pairs are evaluated as one wide aggregate. Beyond
+    that each row emits one (pair, x, y) record per column pair and a grouped
+    ``corr`` runs per pair: the work is rows x pairs (linear in the data, the
+    pair count is bounded by the feature list) and no single aggregate grows
+    with the square of the column count.
     """
     keys = list(keys or [])
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            n = f"c{len(pairs)}"
-            e = F.corr(F.col(a), F.col(b))
-            aggs.append((F.abs(e) if absolute else e).alias(n))
-            pairs.append((a, b, n))
-    g = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
-    arr = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                             F.nanvl(F.col(n), F.lit(None).cast("double")).alias("corr")) for a, b, n in pairs])
-    return g.select(*keys, F.inline(arr))
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    if len(pairs) <= wide_limit:
+        aggs = []
+        for n, (a, b) in enumerate(pairs):
+            e = pearson(a, b)
+            aggs.append((F.abs(e) if absolute else e).alias(f"c{n}"))
+        g = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+        arr = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
+                                 F.nanvl(F.col(f"c{n}"), F.lit(None).cast("double")).alias("corr"))
+                        for n, (a, b) in enumerate(pairs)])
+        return g.select(*keys, F.inline(arr))
+    recs = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
+                              F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+                     for a, b in pairs])
+    long = df.select(*keys, F.inline(recs))
+    e = pearson("x", "y")
+    g = long.groupBy(*keys, "col_a", "col_b").agg((F.abs(e) if absolute else e).alias("corr"))
+    return g.select(*keys, "col_a", "col_b", F.nanvl(F.col("corr"), F.lit(None).cast("double")).alias("corr"))
 
 
 def target_correlation(df: DataFrame, cols: list[str], target: str, keys=None, k: int | None = 10) -> DataFrame:
@@ -90,7 +114,7 @@ def target_correlation(df: DataFrame, cols: list[str], target: str, keys=None, k
     from pyspark.sql import Window
 
     keys = list(keys or [])
-    aggs = [F.abs(F.corr(F.col(c), F.col(target))).alias(f"c{i}") for i, c in enumerate(cols)]
+    aggs = [F.abs(pearson(c, target)).alias(f"c{i}") for i, c in enumerate(cols)]
     g = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
     arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.nanvl(F.col(f"c{i}"), F.lit(None).cast("double")).alias("abs_corr"))
                     for i, c in enumerate(cols)])

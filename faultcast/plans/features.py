@@ -178,3 +178,32 @@ def forecast_features(daily: DataFrame, variant: str = "rich", keys=(), date_col
     num = numeric_columns(x.select(*feats))
     scaled = (standard_scale if variant == "rich" else robust_scale)(x, num, fit_on, keys)
     return align_features(scaled, expected, keep=[*keys, date_col]) if expected else scaled
+
+
+def feature_select(df: DataFrame, features: list[str], keys=("system",), min_std: float = 1e-3,
+                   max_corr: float = 0.95) -> DataFrame:
+    """E5: per key, drop features with sample std < ``min_std``; among the rest drop feature j when
+    some earlier feature i < j (itself kept or not) has |corr| > ``max_corr``.
+
+    Decision table (keys, feature, position, std, max_prior_corr, kept). The
+    pairwise correlations come from one aggregate per key; the decision is a
+    join and a grouped max on that small pair table, so nothing but the final
+    table ever leaves the executors.
+    """
+    from faultcast.operators.stats import corr_pairs
+
+    keys = [k for k in (keys or []) if k in df.columns]
+    spark = df.sparkSession
+    pos = spark.createDataFrame([(f, i) for i, f in enumerate(features)], "feature string, position int")
+    sds = df.groupBy(*keys).agg(*[F.stddev_samp(F.col(f)).alias(f"s{i}") for i, f in enumerate(features)])
+    arr = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"s{i}").alias("std")) for i, f in enumerate(features)])
+    std = sds.select(*keys, F.inline(arr))
+    ok = std.select(*keys, "feature", (F.col("std").isNull() | (F.col("std") >= min_std)).alias("var_ok"))
+    pairs = corr_pairs(df, features, keys, absolute=True)
+    a_ok = ok.select(*keys, F.col("feature").alias("col_a"), F.col("var_ok").alias("a_ok"))
+    b_ok = ok.select(*keys, F.col("feature").alias("col_b"), F.col("var_ok").alias("b_ok"))
+    live = pairs.join(a_ok, [*keys, "col_a"]).join(b_ok, [*keys, "col_b"]).filter(F.col("a_ok") & F.col("b_ok"))
+    prior = live.groupBy(*keys, F.col("col_b").alias("feature")).agg(F.max("corr").alias("max_prior_corr"))
+    out = std.join(pos, "feature").join(ok, [*keys, "feature"]).join(prior, [*keys, "feature"], "left")
+    kept = F.col("var_ok") & (F.col("max_prior_corr").isNull() | (F.col("max_prior_corr") <= max_corr))
+    return out.select(*keys, "feature", "position", "std", "max_prior_corr", kept.alias("kept"))

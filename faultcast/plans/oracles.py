@@ -195,3 +195,4 @@ oracle("training_table", with_(cte_training(), "SELECT * FROM training"))
 # The remaining oracle families register themselves on import.
 from faultcast.plans import oracles_features  # noqa: E402,F401
 from faultcast.plans import oracles_text  # noqa: E402,F401
+from faultcast.plans import oracles_misc  # noqa: E402,F401
