@@ -85,18 +85,49 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_select(df: DataFrame, exprs: list[str], where: str | None = None) -> DataFrame:
+    """One SELECT over ``df`` from SQL expression texts.
+
+    The whole projection reaches the JVM in one statement, instead of one
+    Python-to-JVM call per column function; Catalyst sees the same plan.
+    """
+    import uuid
+
+    view = f"_fc_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(view)
+    q = f"SELECT {', '.join(exprs)} FROM {view}" + (f" WHERE {where}" if where else "")
+    return df.sparkSession.sql(q)
+
+
+def sql_agg(df: DataFrame, keys: list[str], exprs: list[str]) -> DataFrame:
+    """One grouped aggregate (or a global one without keys) from SQL expression texts."""
+    import uuid
+
+    view = f"_fc_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(view)
+    k = ", ".join(quote(c) for c in keys)
+    q = f"SELECT {k + ', ' if keys else ''}{', '.join(exprs)} FROM {view}" + (f" GROUP BY {k}" if keys else "")
+    return df.sparkSession.sql(q)
+
+
 def normalize_output(df: DataFrame, digits: int = 6) -> DataFrame:
     """Canonical output types for comparison with the SQL oracle.
 
     Integral columns become BIGINT, floating columns DOUBLE rounded half-even
     to ``digits`` places, NaN becomes NULL. Everything else passes through.
     """
-    cols = []
+    scale = float(10 ** digits)
+    exprs = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = quote(f.name)
         if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
-            c = c.cast("bigint")
+            exprs.append(f"CAST({c} AS BIGINT) AS {c}")
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-            c = round_even(F.nanvl(c.cast("double"), F.lit(None).cast("double")), digits)
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+            exprs.append(f"rint(nanvl(CAST({c} AS DOUBLE), CAST(NULL AS DOUBLE)) * {scale!r}) / {scale!r} AS {c}")
+        else:
+            exprs.append(c)
+    return sql_select(df, exprs)

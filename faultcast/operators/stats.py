@@ -43,6 +43,31 @@ def attach_stats(df: DataFrame, stats: dict[str, Column], keys=None) -> DataFram
     return df.join(s, keys, "left")
 
 
+def attach_stats_sql(df: DataFrame, stats: dict[str, str], keys=None) -> DataFrame:
+    """``attach_stats`` with SQL aggregate texts: one aggregate statement, one join."""
+    from faultcast.functions.scalars import sql_agg
+
+    keys = list(keys or [])
+    s = sql_agg(df, keys, [f"{e} AS `{n}`" for n, e in stats.items()])
+    if not keys:
+        return df.crossJoin(F.broadcast(s))
+    return df.join(s, keys, "left")
+
+
+def _q(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
+def quantile_sql(c: str, ps, approx: bool = False, accuracy: int = 10000) -> str:
+    arr = "array(" + ", ".join(f"{float(p)!r}D" for p in ps) + ")"
+    return f"percentile_approx({_q(c)}, {arr}, {accuracy})" if approx else f"percentile({_q(c)}, {arr})"
+
+
+def clip_sql(x: str, lo: str, hi: str) -> str:
+    """F14 as SQL: two-sided clip that keeps NULL."""
+    return f"CASE WHEN {x} < {lo} THEN {lo} WHEN {x} > {hi} THEN {hi} ELSE {x} END"
+
+
 def quantile_expr(c: str, ps, approx: bool = False, accuracy: int = 10000) -> Column:
     arr = F.array(*[F.lit(float(p)) for p in ps])
     if approx:
@@ -100,10 +125,17 @@ def corr_pairs(df: DataFrame, cols: list[str], keys=None, absolute: bool = True,
                                  F.nanvl(F.col(f"c{n}"), F.lit(None).cast("double")).alias("corr"))
                         for n, (a, b) in enumerate(pairs)])
         return g.select(*keys, F.inline(arr))
-    recs = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                              F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-                     for a, b in pairs])
-    long = df.select(*keys, F.inline(recs))
+    # Pairs come from a higher-order function over the row's value array, so the
+    # expression size stays constant however many columns are paired.
+    n = len(cols)
+    names = "array(" + ", ".join("'" + c.replace("'", "''") + "'" for c in cols) + ")"
+    vals = "array(" + ", ".join(f"CAST(`{c}` AS DOUBLE)" for c in cols) + ")"
+    pair_expr = (f"inline(flatten(transform(sequence(0, {n - 2}), i -> transform(sequence(i + 1, {n - 1}), "
+                 f"j -> named_struct('col_a', _names[i], 'col_b', _names[j], 'x', _vals[i], 'y', _vals[j])))))")
+    key_sql = ", ".join(f"`{k}`" for k in keys)
+    from faultcast.functions.scalars import sql_select
+    base = sql_select(df, ([key_sql] if keys else []) + [f"{names} AS _names", f"{vals} AS _vals"])
+    long = sql_select(base, ([key_sql] if keys else []) + [pair_expr])
     e = pearson("x", "y")
     g = long.groupBy(*keys, "col_a", "col_b").agg((F.abs(e) if absolute else e).alias("corr"))
     return g.select(*keys, "col_a", "col_b", F.nanvl(F.col("corr"), F.lit(None).cast("double")).alias("corr"))
@@ -130,13 +162,15 @@ def winsorize_iqr(df: DataFrame, cols: list[str], k: float = 1.5, keys=None, app
     All bounds come from one aggregate; a column with IQR 0 collapses to its
     quartile, as in the reference.
     """
-    stats = {f"_b{i}": quantile_expr(c, (0.25, 0.75), approx) for i, c in enumerate(cols)}
-    j = attach_stats(df, stats, keys)
+    from faultcast.functions.scalars import sql_select
+
+    j = attach_stats_sql(df, {f"_b{i}": quantile_sql(c, (0.25, 0.75), approx) for i, c in enumerate(cols)}, keys)
+    kk = f"{float(k)!r}D"
     repl = {}
     for i, c in enumerate(cols):
-        q1, q3 = F.col(f"_b{i}")[0], F.col(f"_b{i}")[1]
-        repl[c] = clip(F.col(c), q1 - (q3 - q1) * k, q3 + (q3 - q1) * k)
-    return j.select(*[repl[c].alias(c) if c in repl else F.col(c) for c in df.columns])
+        q1, q3 = f"_b{i}[0]", f"_b{i}[1]"
+        repl[c] = clip_sql(_q(c), f"({q1} - ({q3} - {q1}) * {kk})", f"({q3} + ({q3} - {q1}) * {kk})")
+    return sql_select(j, [f"{repl[c]} AS {_q(c)}" if c in repl else _q(c) for c in df.columns])
 
 
 def zscore_to_median(df: DataFrame, cols: list[str], thr: float = 3.0, keys=None) -> DataFrame:
@@ -182,6 +216,16 @@ def zscore_outliers(df: DataFrame, c: str, thr: float = 6.0, keys=None) -> DataF
     return j.filter(F.abs(z) > thr).select(*df.columns)
 
 
+def _scale(df: DataFrame, stats: dict[str, str], exprs: dict[str, str], fit_on: DataFrame | None, keys) -> DataFrame:
+    from faultcast.functions.scalars import sql_agg, sql_select
+
+    keys = list(keys or [])
+    src = fit_on if fit_on is not None else df
+    s = sql_agg(src, keys, [f"{e} AS `{n}`" for n, e in stats.items()])
+    j = df.join(s, keys, "left") if keys else df.crossJoin(F.broadcast(s))
+    return sql_select(j, [f"{exprs[c]} AS {_q(c)}" if c in exprs else _q(c) for c in df.columns])
+
+
 def standard_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None, keys=None) -> DataFrame:
     """(x - mean) / population std, zero std -> divide by 1.
 
@@ -189,19 +233,12 @@ def standard_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = No
     ``None`` fits on ``df`` itself, as the reference does at forecast time.
     MLlib's StandardScaler uses the sample std, so it is not used here.
     """
-    keys = list(keys or [])
-    src = fit_on if fit_on is not None else df
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.avg(F.col(c)).alias(f"_m{i}"), F.stddev_pop(F.col(c)).alias(f"_s{i}")]
-    s = src.groupBy(*keys).agg(*aggs) if keys else src.agg(*aggs)
-    j = df.join(s, keys, "left") if keys else df.crossJoin(F.broadcast(s))
-    repl = {}
+    stats, exprs = {}, {}
     for i, c in enumerate(cols):
-        sd = F.col(f"_s{i}")
-        den = F.when(sd.isNull() | (sd == 0), F.lit(1.0)).otherwise(sd)
-        repl[c] = (F.col(c) - F.col(f"_m{i}")) / den
-    return j.select(*[repl[c].alias(c) if c in repl else F.col(c) for c in df.columns])
+        stats[f"_m{i}"] = f"avg({_q(c)})"
+        stats[f"_s{i}"] = f"stddev_pop({_q(c)})"
+        exprs[c] = f"({_q(c)} - _m{i}) / (CASE WHEN _s{i} IS NULL OR _s{i} = 0 THEN 1.0D ELSE _s{i} END)"
+    return _scale(df, stats, exprs, fit_on, keys)
 
 
 def robust_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None, keys=None,
@@ -211,15 +248,9 @@ def robust_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None
     MLlib's RobustScaler maps zero-range columns to 0 and uses approximate
     quantiles, so it is not used for parity.
     """
-    keys = list(keys or [])
-    src = fit_on if fit_on is not None else df
-    aggs = [quantile_expr(c, (0.25, 0.5, 0.75), approx).alias(f"_q{i}") for i, c in enumerate(cols)]
-    s = src.groupBy(*keys).agg(*aggs) if keys else src.agg(*aggs)
-    j = df.join(s, keys, "left") if keys else df.crossJoin(F.broadcast(s))
-    repl = {}
+    stats, exprs = {}, {}
     for i, c in enumerate(cols):
-        q = F.col(f"_q{i}")
-        iqr = q[2] - q[0]
-        den = F.when(iqr.isNull() | (iqr == 0), F.lit(1.0)).otherwise(iqr)
-        repl[c] = (F.col(c) - q[1]) / den
-    return j.select(*[repl[c].alias(c) if c in repl else F.col(c) for c in df.columns])
+        stats[f"_q{i}"] = quantile_sql(c, (0.25, 0.5, 0.75), approx)
+        iqr = f"(_q{i}[2] - _q{i}[0])"
+        exprs[c] = f"({_q(c)} - _q{i}[1]) / (CASE WHEN {iqr} IS NULL OR {iqr} = 0 THEN 1.0D ELSE {iqr} END)"
+    return _scale(df, stats, exprs, fit_on, keys)

@@ -1,39 +1,50 @@
 """Feature pipelines (E2-E8) on the per-system daily table.
 
-Each block is one ``select`` (SURVEY 4.5): overwritten columns keep their
-position, new columns are appended in order, exactly like the reference's
-column assignments. Windows are partitioned by ``keys`` (system) and
-ordered by date; all windows of one block share one exchange and sort.
-Global statistics (winsor bounds, quantile flags, scalers) are per-key
-aggregates joined back.
+Each block is one SELECT statement (SURVEY 4.5): overwritten columns keep
+their position, new columns are appended in order, exactly like the
+reference's column assignments. Windows are partitioned by ``keys``
+(system) and ordered by date; all windows of one block share one exchange
+and sort. Global statistics (winsor bounds, quantile flags, scalers) are
+per-key aggregates joined back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultcast.functions import calendar as cal
-from faultcast.functions.scalars import cyclic_cos, cyclic_sin
+from faultcast.functions.scalars import sql_select
 from faultcast.operators import windows as W
 from faultcast.operators.columns import align_features, drop_target_leaks, numeric_columns
 from faultcast.operators.stats import robust_scale, standard_scale, winsorize_iqr
 from faultcast.plans import spec
 
 DEFAULT_SEASONS = (1, 2, 3, 4)
+TWO_PI = f"{2 * math.pi!r}D"
+q = W.q
 
 
-def assign(df: DataFrame, items: list[tuple[str, Column]]) -> DataFrame:
-    """Pandas-style assignment in one select: existing names are replaced in place, new ones appended.
+def sin_sql(x: str, period: float) -> str:
+    """F12 as SQL: sin(2*pi*x/period)."""
+    return f"sin({TWO_PI} * {x} / {float(period)!r}D)"
 
-    Later items with the same name win, as repeated assignments would.
-    """
+
+def cos_sql(x: str, period: float) -> str:
+    return f"cos({TWO_PI} * {x} / {float(period)!r}D)"
+
+
+def assign(df: DataFrame, items: list[tuple[str, str]], fill0: bool = False) -> DataFrame:
+    """Pandas-style assignment as one SELECT: existing names are replaced in place, new ones
+    appended; later items with the same name win. ``fill0`` zero-fills numeric NULLs (P12)."""
     new = {}
     for name, expr in items:
         new[name] = expr
-    cols = [new.pop(c).alias(c) if c in new else F.col(f"`{c}`") for c in df.columns]
-    cols += [e.alias(n) for n, e in new.items()]
-    return df.select(*cols)
+    exprs = [f"{new.pop(c)} AS {q(c)}" if c in new else q(c) for c in df.columns]
+    exprs += [f"{e} AS {q(n)}" for n, e in new.items()]
+    out = sql_select(df, exprs)
+    return out.na.fill(0) if fill0 else out
 
 
 def base_features(df: DataFrame, target: str = spec.TARGET, keys=("system",), date_col: str = "date",
@@ -48,24 +59,25 @@ def base_features(df: DataFrame, target: str = spec.TARGET, keys=("system",), da
     keys = [k for k in (keys or []) if k in df.columns]
     cols = numeric_columns(df, exclude=[target, *keys])
     w = winsorize_iqr(df, cols, winsor_k, keys)
-    d = F.col(date_col)
-    items: list[tuple[str, Column]] = []
+    d = q(date_col)
+    items: list[tuple[str, str]] = []
     if date_col in df.columns:
-        items += [("day", F.dayofmonth(d)), ("week", cal.iso_week(d)), ("month", F.month(d)), ("year", F.year(d)),
-                  ("dow0", cal.dow0(d)), ("is_weekend", cal.is_weekend(d)), ("quarter", F.quarter(d)),
-                  ("day_of_year", F.dayofyear(d)), ("week_of_year", cal.iso_week(d))]
+        items += [("day", f"dayofmonth({d})"), ("week", f"weekofyear({d})"), ("month", f"month({d})"),
+                  ("year", f"year({d})"), ("dow0", f"weekday({d})"), ("is_weekend", f"CAST(weekday({d}) >= 5 AS INT)"),
+                  ("quarter", f"quarter({d})"), ("day_of_year", f"dayofyear({d})"), ("week_of_year", f"weekofyear({d})")]
     if "season" not in df.columns:
-        items.append(("season", cal.season_label(F.month(d))))
+        s = f"CAST(floor((month({d}) % 12) / 3) + 1 AS INT)"
+        items.append(("season", f"CASE {s} WHEN 1 THEN 'winter' WHEN 2 THEN 'spring' WHEN 3 THEN 'summer' ELSE 'autumn' END"))
     if spec.TEMP_MIN in df.columns and spec.TEMP_MAX in df.columns:
-        items.append(("temp_range", F.col(spec.TEMP_MAX) - F.col(spec.TEMP_MIN)))
+        items.append(("temp_range", f"{q(spec.TEMP_MAX)} - {q(spec.TEMP_MIN)}"))
     if spec.TEMP_AVG in df.columns:
         t = spec.TEMP_AVG
-        items += [("temp_7d_mean", W.rolling(t, 7, "mean", keys, date_col)),
-                  ("temp_7d_std", W.rolling_std0(t, 7, keys, date_col)),
-                  ("temp_7d_min", W.rolling(t, 7, "min", keys, date_col)),
-                  ("temp_7d_max", W.rolling(t, 7, "max", keys, date_col)),
-                  ("temp_change", W.diff1(t, keys, date_col)),
-                  ("temp_acc", W.diff2(t, keys, date_col))]
+        items += [("temp_7d_mean", W.rolling_sql(t, 7, "mean", keys, date_col)),
+                  ("temp_7d_std", W.rolling_std0_sql(t, 7, keys, date_col)),
+                  ("temp_7d_min", W.rolling_sql(t, 7, "min", keys, date_col)),
+                  ("temp_7d_max", W.rolling_sql(t, 7, "max", keys, date_col)),
+                  ("temp_change", W.diff1_sql(t, keys, date_col)),
+                  ("temp_acc", W.diff2_sql(t, keys, date_col))]
     # the input day-of-week column is replaced in place by day-of-month
     if "dow" in w.columns and date_col in df.columns:
         w = w.withColumnRenamed("dow", "day")
@@ -75,59 +87,54 @@ def base_features(df: DataFrame, target: str = spec.TARGET, keys=("system",), da
     return drop_target_leaks(out, target)
 
 
-def _season_diff_items(df: DataFrame, keys, date_col: str, seasons) -> list[tuple[str, Column]]:
+def _season_diff_items(df: DataFrame, keys, date_col: str, seasons) -> list[tuple[str, str]]:
     """Per season value, the change from the previous row of that season on its rows;
     elsewhere the column keeps its current value (NULL when new)."""
     items = []
     if spec.TEMP_AVG not in df.columns or "season" not in df.columns:
         return items
-    diff = W.season_diff(spec.TEMP_AVG, "season", keys, date_col)
+    diff = W.season_diff_sql(spec.TEMP_AVG, "season", keys, date_col)
     for s in seasons:
         name = f"temp_trend_{s}"
-        other = F.col(name) if name in df.columns else F.lit(None).cast("double")
-        items.append((name, F.when(F.col("season") == s, diff).otherwise(other)))
+        other = q(name) if name in df.columns else "CAST(NULL AS DOUBLE)"
+        items.append((name, f"CASE WHEN season = {s} THEN {diff} ELSE {other} END"))
     return items
 
 
-def _fill0(df: DataFrame) -> DataFrame:
-    return df.na.fill(0)
-
-
 def rich_temporal(df: DataFrame, keys=("system",), date_col: str = "date", seasons=DEFAULT_SEASONS) -> DataFrame:
     """Cyclic terms, seasonal interactions, 3/7/14-row temperature and 3/7-row humidity
     windows with trends, season diffs, weekend x temperature, then NULL -> 0."""
     keys = [k for k in (keys or []) if k in df.columns]
-    m, wd = F.col("month"), F.col("dow0")
-    ysin, ycos = cyclic_sin(m, 12), cyclic_cos(m, 12)
-    items = [("year_sin", ysin), ("year_cos", ycos), ("week_sin", cyclic_sin(wd, 7)), ("week_cos", cyclic_cos(wd, 7))]
+    ysin, ycos = sin_sql("month", 12), cos_sql("month", 12)
+    items = [("year_sin", ysin), ("year_cos", ycos), ("week_sin", sin_sql("dow0", 7)), ("week_cos", cos_sql("dow0", 7))]
     if "day_of_year" in df.columns:
-        items += [("doy_sin", cyclic_sin("day_of_year", 365.25)), ("doy_cos", cyclic_cos("day_of_year", 365.25))]
-    t, h = F.col(spec.TEMP_AVG), F.col(spec.HUMIDITY_AVG)
+        items += [("doy_sin", sin_sql("day_of_year", 365.25)), ("doy_cos", cos_sql("day_of_year", 365.25))]
+    t, h = q(spec.TEMP_AVG), q(spec.HUMIDITY_AVG)
     has_t, has_h = spec.TEMP_AVG in df.columns, spec.HUMIDITY_AVG in df.columns
     if has_t:
-        items += [("temp_season", t * ysin), ("temp_season_cos", t * ycos)]
+        items += [("temp_season", f"{t} * {ysin}"), ("temp_season_cos", f"{t} * {ycos}")]
         if spec.TEMP_MIN in df.columns and spec.TEMP_MAX in df.columns:
-            items.append(("temp_range_season", (F.col(spec.TEMP_MAX) - F.col(spec.TEMP_MIN)) * ysin))
-        items += [("temp_squared", t * t), ("temp_squared_season", (t * t) * ysin)]
+            items.append(("temp_range_season", f"({q(spec.TEMP_MAX)} - {q(spec.TEMP_MIN)}) * {ysin}"))
+        items += [("temp_squared", f"{t} * {t}"), ("temp_squared_season", f"({t} * {t}) * {ysin}")]
     if has_h:
-        items += [("humidity_season", h * ysin), ("humidity_season_cos", h * ycos)]
+        items += [("humidity_season", f"{h} * {ysin}"), ("humidity_season_cos", f"{h} * {ycos}")]
         if has_t:
-            items.append(("temp_humidity_season", (t * h) * ysin))
+            items.append(("temp_humidity_season", f"({t} * {h}) * {ysin}"))
     if has_t:
         for k in (3, 7, 14):
-            items += [(f"temp_{k}d", W.rolling(spec.TEMP_AVG, k, "mean", keys, date_col)),
-                      (f"temp_{k}d_std", W.rolling(spec.TEMP_AVG, k, "std", keys, date_col)),
-                      (f"temp_{k}d_max", W.rolling(spec.TEMP_AVG, k, "max", keys, date_col)),
-                      (f"temp_{k}d_min", W.rolling(spec.TEMP_AVG, k, "min", keys, date_col)),
-                      (f"temp_trend_{k}d", W.rolling_trend(spec.TEMP_AVG, k, keys, date_col))]
+            items += [(f"temp_{k}d", W.rolling_sql(spec.TEMP_AVG, k, "mean", keys, date_col)),
+                      (f"temp_{k}d_std", W.rolling_sql(spec.TEMP_AVG, k, "std", keys, date_col)),
+                      (f"temp_{k}d_max", W.rolling_sql(spec.TEMP_AVG, k, "max", keys, date_col)),
+                      (f"temp_{k}d_min", W.rolling_sql(spec.TEMP_AVG, k, "min", keys, date_col)),
+                      (f"temp_trend_{k}d", W.rolling_trend_sql(spec.TEMP_AVG, k, keys, date_col))]
     if has_h:
         for k in (3, 7):
-            items += [(f"humidity_{k}d", W.rolling(spec.HUMIDITY_AVG, k, "mean", keys, date_col)),
-                      (f"humidity_trend_{k}d", W.rolling_trend(spec.HUMIDITY_AVG, k, keys, date_col))]
+            items += [(f"humidity_{k}d", W.rolling_sql(spec.HUMIDITY_AVG, k, "mean", keys, date_col)),
+                      (f"humidity_trend_{k}d", W.rolling_trend_sql(spec.HUMIDITY_AVG, k, keys, date_col))]
     items += _season_diff_items(df, keys, date_col, seasons)
     if "is_weekend" in df.columns and has_t:
-        items.append(("weekend_temp", F.col("is_weekend") * t))
-    return _fill0(assign(df, items))
+        items.append(("weekend_temp", f"is_weekend * {t}"))
+    return assign(df, items, fill0=True)
 
 
 def lean_temporal(df: DataFrame, keys=("system",), date_col: str = "date", seasons=DEFAULT_SEASONS) -> DataFrame:
@@ -135,16 +142,16 @@ def lean_temporal(df: DataFrame, keys=("system",), date_col: str = "date", seaso
     keys = [k for k in (keys or []) if k in df.columns]
     items = []
     if "month" in df.columns:
-        items += [("year_sin", cyclic_sin("month", 12)), ("year_cos", cyclic_cos("month", 12))]
+        items += [("year_sin", sin_sql("month", 12)), ("year_cos", cos_sql("month", 12))]
     if "dow0" in df.columns:
-        items += [("week_sin", cyclic_sin("dow0", 7)), ("week_cos", cyclic_cos("dow0", 7))]
-    ysin = cyclic_sin("month", 12)
+        items += [("week_sin", sin_sql("dow0", 7)), ("week_cos", cos_sql("dow0", 7))]
+    ysin = sin_sql("month", 12)
     if spec.TEMP_AVG in df.columns:
-        items.append(("temp_season", F.col(spec.TEMP_AVG) * ysin))
+        items.append(("temp_season", f"{q(spec.TEMP_AVG)} * {ysin}"))
     if spec.HUMIDITY_AVG in df.columns:
-        items.append(("humidity_season", F.col(spec.HUMIDITY_AVG) * ysin))
+        items.append(("humidity_season", f"{q(spec.HUMIDITY_AVG)} * {ysin}"))
     items += _season_diff_items(df, keys, date_col, seasons)
-    return _fill0(assign(df, items))
+    return assign(df, items, fill0=True)
 
 
 def feature_columns(df: DataFrame, target: str = spec.TARGET, keys=("system",), date_col: str = "date") -> list[str]:
@@ -157,8 +164,8 @@ def forecast_trends(df: DataFrame, keys=(), date_col: str = "date", windows=(1,
     keys = [k for k in (keys or []) if k in df.columns]
     items = []
     for k in windows:
-        items += [(f"temp_{k}d", W.rolling(spec.TEMP_AVG, k, "mean", keys, date_col)),
-                  (f"temp_trend_{k}", W.rolling_trend(spec.TEMP_AVG, k, keys, date_col))]
+        items += [(f"temp_{k}d", W.rolling_sql(spec.TEMP_AVG, k, "mean", keys, date_col)),
+                  (f"temp_trend_{k}", W.rolling_trend_sql(spec.TEMP_AVG, k, keys, date_col))]
     return assign(df, items)
 
 
@@ -170,12 +177,14 @@ def forecast_features(daily: DataFrame, variant: str = "rich", keys=(), date_col
     reference's behaviour); pass the training features to avoid that skew.
     The rich variant uses the standard scaler, the lean one the robust scaler.
     """
+    from faultcast.session import stage
+
     keys = [k for k in (keys or []) if k in daily.columns]
     x = forecast_trends(daily, keys, date_col)
-    x = base_features(x, target="_no_target_", keys=keys, date_col=date_col)
-    x = rich_temporal(x, keys, date_col) if variant == "rich" else lean_temporal(x, keys, date_col)
+    x = stage(base_features(x, target="_no_target_", keys=keys, date_col=date_col))
+    x = stage(rich_temporal(x, keys, date_col) if variant == "rich" else lean_temporal(x, keys, date_col))
     feats = feature_columns(x, "_no_target_", keys, date_col)
-    num = numeric_columns(x.select(*feats))
+    num = [c for c in numeric_columns(x) if c in feats]
     scaled = (standard_scale if variant == "rich" else robust_scale)(x, num, fit_on, keys)
     return align_features(scaled, expected, keep=[*keys, date_col]) if expected else scaled
 
@@ -195,9 +204,11 @@ def feature_select(df: DataFrame, features: list[str], keys=("system",), min_std
     keys = [k for k in (keys or []) if k in df.columns]
     spark = df.sparkSession
     pos = spark.createDataFrame([(f, i) for i, f in enumerate(features)], "feature string, position int")
-    sds = df.groupBy(*keys).agg(*[F.stddev_samp(F.col(f)).alias(f"s{i}") for i, f in enumerate(features)])
-    arr = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"s{i}").alias("std")) for i, f in enumerate(features)])
-    std = sds.select(*keys, F.inline(arr))
+    from faultcast.functions.scalars import sql_agg
+
+    sds = sql_agg(df, keys, [f"stddev_samp({q(f)}) AS s{i}" for i, f in enumerate(features)])
+    arr = "inline(array(" + ", ".join(f"named_struct('feature', '{f}', 'std', s{i})" for i, f in enumerate(features)) + "))"
+    std = sql_select(sds, [q(k) for k in keys] + [arr])
     ok = std.select(*keys, "feature", (F.col("std").isNull() | (F.col("std") >= min_std)).alias("var_ok"))
     pairs = corr_pairs(df, features, keys, absolute=True)
     a_ok = ok.select(*keys, F.col("feature").alias("col_a"), F.col("var_ok").alias("a_ok"))

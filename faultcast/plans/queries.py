@@ -17,6 +17,7 @@ from faultcast.operators import rollup
 from faultcast.plans import spec
 from faultcast.plans.training import daily_fault_counts, fault_training_table
 from faultcast.plans.weather import daily_stats, daily_weather
+from faultcast.session import stage
 from faultcast.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,18 +37,18 @@ def query(name: str):
 # ---------------------------------------------------------------- shared inputs
 
 def weather_fx2(spark, sf_dir) -> DataFrame:
-    """E1 on the hourly events grid (30 days)."""
-    return daily_weather(fx.hourly(spark, sf_dir))
+    """E1 on the hourly events grid (30 days), materialised."""
+    return stage(daily_weather(fx.hourly(spark, sf_dir)))
 
 
 def weather_fx3(spark, sf_dir) -> DataFrame:
-    """E1 on the lineitem readings (the long daily series, ~2,500 days)."""
-    return daily_weather(fx.line_weather(spark, sf_dir))
+    """E1 on the lineitem readings (the long daily series, ~2,500 days), materialised."""
+    return stage(daily_weather(fx.line_weather(spark, sf_dir)))
 
 
 def training_fx(spark, sf_dir) -> DataFrame:
-    """E9 on FX4 tickets and the FX3 daily weather."""
-    return fault_training_table(fx.tickets(spark, sf_dir), weather_fx3(spark, sf_dir))
+    """E9 on FX4 tickets and the FX3 daily weather, materialised."""
+    return stage(fault_training_table(fx.tickets(spark, sf_dir), weather_fx3(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- aggregations (A1-A5)

@@ -12,6 +12,7 @@ from faultcast.plans.features import (base_features, feature_columns, forecast_f
                                       rich_temporal)
 from faultcast.plans.queries import query, training_fx, weather_fx3
 from faultcast.plans.training import daily_fault_counts
+from faultcast.session import stage
 from faultcast.sources import fixtures as fx
 
 KEYS = ["system"]
@@ -99,7 +100,7 @@ def q_zscore_rows(spark, sf_dir):
 
 
 def features_base_fx(spark, sf_dir):
-    return base_features(training_fx(spark, sf_dir), keys=KEYS)
+    return stage(base_features(training_fx(spark, sf_dir), keys=KEYS))
 
 
 @query("features_base")
@@ -123,21 +124,25 @@ def q_features_lean(spark, sf_dir):
 @query("scale_standard")
 def q_scale_standard(spark, sf_dir):
     """Standard scaling of the rich features per system (fit on the same rows)."""
-    x = rich_temporal(features_base_fx(spark, sf_dir), KEYS)
-    return standard_scale(x, numeric_columns(x.select(*feature_columns(x))), None, KEYS)
+    x = stage(rich_temporal(features_base_fx(spark, sf_dir), KEYS))
+    return standard_scale(x, [c for c in numeric_columns(x) if c in feature_columns(x)], None, KEYS)
 
 
 @query("scale_robust")
 def q_scale_robust(spark, sf_dir):
     """Robust scaling of the lean features per system (fit on the same rows)."""
-    x = lean_temporal(features_base_fx(spark, sf_dir), KEYS)
-    return robust_scale(x, numeric_columns(x.select(*feature_columns(x))), None, KEYS)
+    x = stage(lean_temporal(features_base_fx(spark, sf_dir), KEYS))
+    return robust_scale(x, [c for c in numeric_columns(x) if c in feature_columns(x)], None, KEYS)
 
 
 def rich_feature_names(spark, sf_dir) -> list[str]:
-    """The training feature list of the rich set (schema only, no job)."""
-    x = rich_temporal(features_base_fx(spark, sf_dir), KEYS)
-    return feature_columns(x)
+    """The training feature list of the rich set, derived from schemas only (no job runs)."""
+    from faultcast.plans.training import fault_training_table
+    from faultcast.plans.weather import daily_weather
+
+    schema = fault_training_table(fx.tickets(spark, sf_dir), daily_weather(fx.line_weather(spark, sf_dir))).schema
+    empty = spark.createDataFrame([], schema)
+    return feature_columns(rich_temporal(base_features(empty, keys=KEYS), KEYS))
 
 
 @query("forecast_features")

@@ -8,42 +8,58 @@ With ``keys`` (site) the window is partitioned by site.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultcast.functions import calendar as cal
-from faultcast.functions.scalars import beaufort, flag_above, flag_below, round_even
-from faultcast.operators import rollup, windows
+from faultcast.functions.scalars import BEAUFORT_BOUNDS, sql_agg, sql_select
+from faultcast.operators import windows
 from faultcast.plans import spec
 
+q = windows.q
+
+
+def stats_sql(hourly_spec: dict = spec.HOURLY) -> list[str]:
+    """A1-A4 aggregate texts: 23 statistics, 2 spreads, 3 hour counts, 1 mode."""
+    out = []
+    for role, prefix, fns in spec.DAILY_STATS:
+        c = q(hourly_spec[role])
+        out += [f"{fn}({c}) AS {prefix}_{fn}" for fn in fns]
+    out += [f"max({q(hourly_spec[r])}) - min({q(hourly_spec[r])}) AS {n}" for r, n in spec.DAILY_RANGES]
+    out += [f"count_if({q(hourly_spec[r])} {op} {thr!r}D) AS {n}" for r, n, op, thr in spec.DAILY_COUNTS]
+    role, name = spec.DAILY_MODE
+    out.append(f"mode({q(hourly_spec[role])}, true) AS {name}")
+    return out
+
 
 def daily_stats(hourly: DataFrame, ts_col: str = "ts", keys=None, hourly_spec: dict = spec.HOURLY) -> DataFrame:
-    """A1-A4 in one aggregate: 23 statistics, 2 spreads, 3 hour counts, 1 mode."""
-    exprs = (rollup.stat_exprs(hourly_spec) + rollup.range_exprs(hourly_spec)
-             + rollup.count_exprs(hourly_spec) + rollup.mode_exprs(hourly_spec))
-    return rollup.daily_aggregate(hourly, ts_col, keys, exprs)
+    """A1-A4 in one aggregate (partial aggregation before the exchange)."""
+    keys = list(keys or [])
+    day = sql_select(hourly, [q(k) for k in keys] + [f"to_date({q(ts_col)}) AS date"]
+                     + [q(c) for c in sorted(set(hourly_spec.values())) if c in hourly.columns])
+    return sql_agg(day, [*keys, "date"], stats_sql(hourly_spec))
 
 
-def calendar_block(date_col: str = "date") -> list:
-    d = F.col(date_col)
-    return [cal.iso_week(d).alias("week"), cal.iso_dow(d).alias("dow"), F.month(d).alias("month"),
-            cal.season_no(F.month(d)).alias("season"), cal.is_weekend(d).alias("is_weekend")]
+def calendar_sql(date_col: str = "date") -> list[str]:
+    d = q(date_col)
+    return [f"weekofyear({d}) AS week", f"weekday({d}) + 1 AS dow", f"month({d}) AS month",
+            f"CAST(floor((month({d}) % 12) / 3) + 1 AS INT) AS season", f"CAST(weekday({d}) >= 5 AS INT) AS is_weekend"]
 
 
-def derived_block(keys=None, beaufort_null_as_top: bool = False) -> list:
+def derived_sql(keys=None, beaufort_null_as_top: bool = False) -> list[str]:
     """The 9 derived day features."""
-    t_avg, h_avg = F.col(spec.TEMP_AVG), F.col(spec.HUMIDITY_AVG)
-    out = [
-        (F.col(spec.TEMP_MAX) - F.col(spec.TEMP_MIN)).alias("temp_range"),
-        (t_avg * h_avg).alias("temp_humidity"),
-        windows.rolling(spec.TEMP_AVG, 3, "mean", keys).alias("temp_roll3"),
-        windows.rolling(spec.HUMIDITY_AVG, 3, "mean", keys).alias("humidity_roll3"),
-    ]
-    for name, col, op, thr in spec.DAY_FLAGS:
-        out.append((flag_above(col, thr) if op == ">" else flag_below(col, thr)).alias(name))
-    out.append(beaufort(spec.WIND_AVG, beaufort_null_as_top).alias("beaufort"))
-    name, col, _, thr = spec.WINDY_FLAG
-    out.append(flag_above(col, thr).alias(name))
+    t_avg, h_avg = q(spec.TEMP_AVG), q(spec.HUMIDITY_AVG)
+    out = [f"{q(spec.TEMP_MAX)} - {q(spec.TEMP_MIN)} AS temp_range", f"{t_avg} * {h_avg} AS temp_humidity",
+           f"{windows.rolling_sql(spec.TEMP_AVG, 3, 'mean', keys)} AS temp_roll3",
+           f"{windows.rolling_sql(spec.HUMIDITY_AVG, 3, 'mean', keys)} AS humidity_roll3"]
+    for name, col, op, thr in [*spec.DAY_FLAGS, spec.WINDY_FLAG]:
+        if name == spec.WINDY_FLAG[0]:
+            continue
+        out.append(f"coalesce(CAST({q(col)} {op} {thr!r}D AS INT), 0) AS {name}")
+    w = q(spec.WIND_AVG)
+    cases = " ".join(f"WHEN {w} < {b!r}D THEN {i}" for i, b in enumerate(BEAUFORT_BOUNDS))
+    top = "12" if beaufort_null_as_top else f"CASE WHEN {w} IS NOT NULL THEN 12 END"
+    out.append(f"CAST(CASE {cases} ELSE {top} END AS INT) AS beaufort")
+    name, col, op, thr = spec.WINDY_FLAG
+    out.append(f"coalesce(CAST({q(col)} {op} {thr!r}D AS INT), 0) AS {name}")
     return out
 
 
@@ -53,11 +69,15 @@ def daily_weather(hourly: DataFrame, ts_col: str = "ts", keys=None, digits: int
     keys = list(keys or [])
     stats = daily_stats(hourly, ts_col, keys)
     stat_cols = [c for c in stats.columns if c not in keys and c != "date"]
-    full = stats.select(*keys, "date", *calendar_block(), *stat_cols, *derived_block(keys, beaufort_null_as_top))
+    full = sql_select(stats, [q(k) for k in keys] + ["date"] + calendar_sql() + [q(c) for c in stat_cols]
+                      + derived_sql(keys, beaufort_null_as_top))
+    if digits is None:
+        return full
+    scale = float(10 ** digits)
     out = []
     for f in full.schema.fields:
-        if isinstance(f.dataType, T.DoubleType) and digits is not None:
-            out.append(round_even(F.col(f.name), digits).alias(f.name))
+        if isinstance(f.dataType, T.DoubleType):
+            out.append(f"rint({q(f.name)} * {scale!r}D) / {scale!r}D AS {q(f.name)}")
         else:
-            out.append(F.col(f.name))
-    return full.select(*out)
+            out.append(q(f.name))
+    return sql_select(full, out)

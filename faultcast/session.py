@@ -70,3 +70,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder for stage tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def stage(df):
+    """Materialise a stage output with a reliable checkpoint in the shared checkpoint folder.
+
+    Used at the stage ends where the reference writes a file (daily weather,
+    training table, feature tables). It cuts the lineage, so per-key
+    statistics joined back onto a table re-read the stage output instead of
+    recomputing the scan and roll-up, and a lost executor only costs the
+    current stage.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
