@@ -114,3 +114,4 @@ def q_training_table(spark, sf_dir):
 from faultcast.plans import queries_features  # noqa: E402,F401
 from faultcast.plans import queries_text  # noqa: E402,F401
 from faultcast.plans import queries_misc  # noqa: E402,F401
+from faultcast.plans import queries_models  # noqa: E402,F401
