@@ -3,8 +3,9 @@ functions and model-free evaluation."""
 
 from __future__ import annotations
 
+from faultcast.plans import spec
 from faultcast.plans.oracles import (beaufort_sql, cte_counts, cte_daily_weather, cte_hourly, cte_line_weather,
-                                     cte_tickets, cte_training, daily_weather_columns, oracle, r6, with_)
+                                     cte_tickets, cte_training, daily_weather_columns, oracle, r6, stat_sql, with_)
 from faultcast.plans.oracles_features import TRAIN_INT, TWO_PI, training_features
 from faultcast.plans.oracles_text import cte_cls
 from faultcast.plans.queries_misc import (AS_OF, CORR_COLS, SYSTEMS, TARGET_CORR_COLS, TRAINED_AT, _safe)
@@ -230,3 +231,9 @@ oracle("round_even", f"""SELECT l_orderkey, l_linenumber, {r6('round_even(l_exte
   {r6('round_even((l_extendedprice * l_discount) * 100.0, 0) / 100.0')} AS r2,
   {r6('round_even(l_discount * 50.0, 0)')} AS r_ties FROM lineitem""")
 
+
+# ---------------------------------------------------------------- streaming
+_stat_cols = [f"{p}_{fn}" for _, p, fns in spec.DAILY_STATS for fn in fns]
+oracle("stream_daily_rollup", with_([cte_hourly()], f"""SELECT date, {_r6all(_stat_cols)}
+FROM (SELECT ts::DATE AS date, {", ".join(stat_sql())} FROM hourly GROUP BY 1) a
+WHERE date < (SELECT CAST(max(ts) - INTERVAL 1 HOUR AS DATE) FROM hourly)"""))

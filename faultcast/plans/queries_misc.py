@@ -409,3 +409,13 @@ def q_round_even(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", round_even(x / 1000.0, 0).alias("r0"),
                      round_even(x / 1000.0, 1).alias("r1"), round_even(x, 2).alias("r2"),
                      round_even(F.col("l_discount") * 50.0, 0).alias("r_ties"))
+
+
+# ---------------------------------------------------------------- streaming
+
+@query("stream_daily_rollup")
+def q_stream_daily_rollup(spark, sf_dir):
+    """A1 as a stream: hourly grid landed in three batches, rolled up per day with a watermark;
+    the days the watermark has closed."""
+    from faultcast.streaming.landing import land_and_roll
+    return land_and_roll(spark, fx.hourly(spark, sf_dir), scratch_path(spark, "stream"), batches=3)
