@@ -33,7 +33,7 @@ HEADLINE = [
 
 
 def main() -> None:
-    from faultcast.plans.queries import QUERIES
+    from faultcast.plans.registry import QUERIES
     from faultcast.session import build_session
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")

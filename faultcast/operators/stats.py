@@ -125,20 +125,25 @@ def corr_pairs(df: DataFrame, cols: list[str], keys=None, absolute: bool = True,
                                  F.nanvl(F.col(f"c{n}"), F.lit(None).cast("double")).alias("corr"))
                         for n, (a, b) in enumerate(pairs)])
         return g.select(*keys, F.inline(arr))
-    # Pairs come from a higher-order function over the row's value array, so the
-    # expression size stays constant however many columns are paired.
+    # Pairs come from a higher-order function over the row's value array, so the expression size
+    # stays constant however many columns are paired; pairs are keyed by an integer id.
+    from faultcast.functions.scalars import sql_agg, sql_select
+
     n = len(cols)
-    names = "array(" + ", ".join("'" + c.replace("'", "''") + "'" for c in cols) + ")"
     vals = "array(" + ", ".join(f"CAST(`{c}` AS DOUBLE)" for c in cols) + ")"
     pair_expr = (f"inline(flatten(transform(sequence(0, {n - 2}), i -> transform(sequence(i + 1, {n - 1}), "
-                 f"j -> named_struct('col_a', _names[i], 'col_b', _names[j], 'x', _vals[i], 'y', _vals[j])))))")
-    key_sql = ", ".join(f"`{k}`" for k in keys)
-    from faultcast.functions.scalars import sql_select
-    base = sql_select(df, ([key_sql] if keys else []) + [f"{names} AS _names", f"{vals} AS _vals"])
-    long = sql_select(base, ([key_sql] if keys else []) + [pair_expr])
-    e = pearson("x", "y")
-    g = long.groupBy(*keys, "col_a", "col_b").agg((F.abs(e) if absolute else e).alias("corr"))
-    return g.select(*keys, "col_a", "col_b", F.nanvl(F.col("corr"), F.lit(None).cast("double")).alias("corr"))
+                 f"j -> named_struct('pair', i * {n} + j, 'x', _vals[i], 'y', _vals[j])))))")
+    key_sql = [f"`{k}`" for k in keys]
+    base = sql_select(df, key_sql + [f"{vals} AS _vals"])
+    long = sql_select(base, key_sql + [pair_expr])
+    stats = sql_agg(long.filter(F.col("x").isNotNull() & F.col("y").isNotNull()), [*keys, "pair"],
+                    ["covar_pop(x, y) AS c", "stddev_pop(x) AS sx", "stddev_pop(y) AS sy"])
+    spark = df.sparkSession
+    names = spark.createDataFrame([(i * n + j, a, b) for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i],
+                                  "pair int, col_a string, col_b string")
+    r = F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))
+    return stats.join(F.broadcast(names), "pair").select(
+        *keys, "col_a", "col_b", (F.abs(r) if absolute else r).alias("corr"))
 
 
 def target_correlation(df: DataFrame, cols: list[str], target: str, keys=None, k: int | None = 10) -> DataFrame:
@@ -193,13 +198,24 @@ def zscore_to_median(df: DataFrame, cols: list[str], thr: float = 3.0, keys=None
     return j.select(*[repl[c].alias(c) if c in repl else F.col(c) for c in df.columns])
 
 
-def drop_zscore_rows(df: DataFrame, c: str, thr: float = 6.0, keys=None, parity: bool = False) -> DataFrame:
+def drop_zscore_rows(df: DataFrame, c: str, thr: float = 6.0, keys=None, parity: bool = False,
+                     via_window: bool = False) -> DataFrame:
     """O3: keep rows with |z| <= thr (population std), per key.
 
     A constant column has no z: the reference then drops every row
-    (``parity=True``); by default all rows are kept.
+    (``parity=True``); by default all rows are kept. ``via_window=True``
+    computes the statistics with a window per key instead of an aggregate
+    joined back: one scan and one exchange, meant for daily-grain inputs
+    whose groups are bounded by the calendar.
     """
-    j = attach_stats(df, {"_m": F.avg(F.col(c)), "_s": F.stddev_pop(F.col(c))}, keys)
+    from pyspark.sql import Window
+
+    keys = list(keys or [])
+    if via_window:
+        w = Window.partitionBy(*keys)
+        j = df.select("*", F.avg(F.col(c)).over(w).alias("_m"), F.stddev_pop(F.col(c)).over(w).alias("_s"))
+    else:
+        j = attach_stats(df, {"_m": F.avg(F.col(c)), "_s": F.stddev_pop(F.col(c))}, keys)
     z = F.try_divide(F.col(c) - F.col("_m"), F.col("_s"))
     no_z = F.col("_s").isNull() | (F.col("_s") == 0)
     if parity:

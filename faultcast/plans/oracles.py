@@ -191,10 +191,3 @@ FROM counts c JOIN (SELECT ts::DATE AS date, avg(temperature) AS temp_avg, avg(h
 
 oracle("training_table", with_(cte_training(), "SELECT * FROM training"))
 
-
-# The remaining oracle families register themselves on import; they reuse constants of the
-# query modules, so the query registry is loaded first.
-import faultcast.plans.queries  # noqa: E402,F401
-from faultcast.plans import oracles_features  # noqa: E402,F401
-from faultcast.plans import oracles_text  # noqa: E402,F401
-from faultcast.plans import oracles_misc  # noqa: E402,F401

@@ -109,9 +109,3 @@ def q_training_table(spark, sf_dir):
     """The per-system training table."""
     return training_fx(spark, sf_dir)
 
-
-# The remaining query families register themselves on import.
-from faultcast.plans import queries_features  # noqa: E402,F401
-from faultcast.plans import queries_text  # noqa: E402,F401
-from faultcast.plans import queries_misc  # noqa: E402,F401
-from faultcast.plans import queries_models  # noqa: E402,F401

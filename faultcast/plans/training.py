@@ -28,6 +28,7 @@ def fault_training_table(tickets: DataFrame, daily: DataFrame, unit_col: str = "
     falls back to a sort-merge join otherwise.
     """
     counts = daily_fault_counts(tickets, unit_col, ts_col, systems)
-    kept = drop_zscore_rows(counts, spec.TARGET, z_thr, keys=["system"], parity=parity)
+    # daily counts are calendar-bounded per system: a per-system window avoids a second scan
+    kept = drop_zscore_rows(counts, spec.TARGET, z_thr, keys=["system"], parity=parity, via_window=True)
     joined = join_daily(kept, daily)
     return select_ordered(joined, ["system", "date", spec.TARGET])
