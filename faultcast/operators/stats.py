@@ -108,42 +108,121 @@ def corr_pairs(df: DataFrame, cols: list[str], keys=None, absolute: bool = True,
     """Pearson correlation of every pair i < j (pairwise complete), long form (keys, col_a, col_b, corr).
 
     Up to ``wide_limit`` pairs are evaluated as one wide aggregate. Beyond
-    that each row emits one (pair, x, y) record per column pair and a grouped
-    ``corr`` runs per pair: the work is rows x pairs (linear in the data, the
-    pair count is bounded by the feature list) and no single aggregate grows
-    with the square of the column count.
+    that the co-moments come from Gram matrices: each task multiplies its
+    rows' (centred, zero-filled) value and presence matrices per key, so a
+    partition emits one partial row per (key, pair) instead of one record
+    per pair per row, and a grouped sum merges the partials (map-side
+    combine; a key holding a third of all rows is spread over every task
+    that holds its rows). See :func:`_gram_corr`.
     """
     keys = list(keys or [])
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    if len(pairs) <= wide_limit:
-        aggs = []
-        for n, (a, b) in enumerate(pairs):
-            e = pearson(a, b)
-            aggs.append((F.abs(e) if absolute else e).alias(f"c{n}"))
-        g = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
-        arr = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                 F.nanvl(F.col(f"c{n}"), F.lit(None).cast("double")).alias("corr"))
-                        for n, (a, b) in enumerate(pairs)])
-        return g.select(*keys, F.inline(arr))
-    # Pairs come from a higher-order function over the row's value array, so the expression size
-    # stays constant however many columns are paired; pairs are keyed by an integer id.
-    from faultcast.functions.scalars import sql_agg, sql_select
+    if len(pairs) > wide_limit:
+        return _gram_corr(df, cols, keys, absolute)
+    aggs = []
+    for n, (a, b) in enumerate(pairs):
+        e = pearson(a, b)
+        aggs.append((F.abs(e) if absolute else e).alias(f"c{n}"))
+    g = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    arr = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
+                             F.nanvl(F.col(f"c{n}"), F.lit(None).cast("double")).alias("corr"))
+                    for n, (a, b) in enumerate(pairs)])
+    return g.select(*keys, F.inline(arr))
+
+
+def _gram_partials(n_cols: int, keys: list[str]):
+    """mapInPandas body: per key, sums over the rows of one partition for every pair i < j.
 
-    n = len(cols)
-    vals = "array(" + ", ".join(f"CAST(`{c}` AS DOUBLE)" for c in cols) + ")"
-    pair_expr = (f"inline(flatten(transform(sequence(0, {n - 2}), i -> transform(sequence(i + 1, {n - 1}), "
-                 f"j -> named_struct('pair', i * {n} + j, 'x', _vals[i], 'y', _vals[j])))))")
-    key_sql = [f"`{k}`" for k in keys]
-    base = sql_select(df, key_sql + [f"{vals} AS _vals"])
-    long = sql_select(base, key_sql + [pair_expr])
-    stats = sql_agg(long.filter(F.col("x").isNotNull() & F.col("y").isNotNull()), [*keys, "pair"],
-                    ["covar_pop(x, y) AS c", "stddev_pop(x) AS sx", "stddev_pop(y) AS sy"])
+    Values arrive centred by their key's mean (``_c{i}``), so the sums of
+    squares carry no large offsets. With presence matrix M and zero-filled
+    values X: n = M'M, sum_x = X'M, sum_xx = (X*X)'M, sum_xy = X'X, each
+    restricted to rows where both columns are present. The exact minimum
+    and maximum of each column over those rows let the final step return
+    NULL for a constant column exactly, as ``stddev_pop = 0`` does.
+    """
+    import numpy as np
+    import pandas as pd
+
+    names = [f"_c{i}" for i in range(n_cols)]
+    iu, ju = np.triu_indices(n_cols, 1)
+
+    def run(batches):
+        acc = {}
+        for pdf in batches:
+            groups = pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]
+            for key, g in groups:
+                key = key if isinstance(key, tuple) else (key,)
+                x = g[names].to_numpy(dtype="float64")
+                m = ~np.isnan(x)
+                x0 = np.where(m, x, 0.0)
+                mf = m.astype("float64")
+                if m.all():
+                    lo = np.repeat(x.min(axis=0)[:, None], n_cols, axis=1)
+                    hi = np.repeat(x.max(axis=0)[:, None], n_cols, axis=1)
+                else:
+                    lo = np.full((n_cols, n_cols), np.inf)
+                    hi = np.full((n_cols, n_cols), -np.inf)
+                    for j in range(n_cols):
+                        sel = m[:, j]
+                        if sel.any():
+                            lo[:, j] = np.where(m[sel], x[sel], np.inf).min(axis=0)
+                            hi[:, j] = np.where(m[sel], x[sel], -np.inf).max(axis=0)
+                part = (mf.T @ mf, x0.T @ mf, (x0 * x0).T @ mf, x0.T @ x0, lo, hi)
+                if key in acc:
+                    a = acc[key]
+                    acc[key] = (a[0] + part[0], a[1] + part[1], a[2] + part[2], a[3] + part[3],
+                                np.minimum(a[4], part[4]), np.maximum(a[5], part[5]))
+                else:
+                    acc[key] = part
+        for key, (n, sx, sxx, sxy, lo, hi) in acc.items():
+            # pandas reports a NULL key as NaN; it goes back as NULL
+            out = {k: pd.Series([None if isinstance(v, float) and v != v else v] * len(iu), dtype=object)
+                   for k, v in zip(keys, key)}
+            out.update(pair=(iu * n_cols + ju).astype("int32"), n=n[iu, ju], sx=sx[iu, ju], sy=sx[ju, iu],
+                       sxx=sxx[iu, ju], syy=sxx[ju, iu], sxy=sxy[iu, ju], x_lo=lo[iu, ju], x_hi=hi[iu, ju],
+                       y_lo=lo[ju, iu], y_hi=hi[ju, iu])
+            yield pd.DataFrame(out)
+
+    return run
+
+
+def _gram_corr(df: DataFrame, cols: list[str], keys: list[str], absolute: bool) -> DataFrame:
+    """Pairwise-complete Pearson correlations of many columns from per-task Gram partials.
+
+    Plan: one aggregate of the per-key means (partial aggregation), joined
+    back on the keys (1 row and broadcast without keys; AQE picks the join
+    otherwise), one ``mapInPandas`` pass that emits keys x pairs partial
+    rows per task, one grouped sum. NaN counts as missing, like NULL.
+    """
+    from faultcast.functions.scalars import quote, sql_agg, sql_select
+
+    n_cols = len(cols)
+    means = sql_agg(df, keys, [f"avg(CAST({quote(c)} AS DOUBLE)) AS _m{i}" for i, c in enumerate(cols)])
+    if keys:
+        # null-safe on the keys: a NULL key is a group of its own, as in groupBy
+        means = means.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                             *[f"_m{i}" for i in range(n_cols)])
+        cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        j = df.select(*keys, *cols).join(means, cond, "left")
+    else:
+        j = df.select(*cols).crossJoin(F.broadcast(means))
+    centred = sql_select(j, [quote(k) for k in keys] + [f"CAST({quote(c)} AS DOUBLE) - _m{i} AS _c{i}"
+                                                      for i, c in enumerate(cols)])
+    key_fields = [f for f in df.schema.fields if f.name in keys]
+    stats = ", ".join(f"{n} double" for n in ("n", "sx", "sy", "sxx", "syy", "sxy", "x_lo", "x_hi", "y_lo", "y_hi"))
+    schema = ", ".join([f"{quote(f.name)} {f.dataType.simpleString()}" for f in key_fields] + ["pair int", stats])
+    partial = centred.mapInPandas(_gram_partials(n_cols, keys), schema)
+    summed = sql_agg(partial, [*keys, "pair"],
+                     [f"sum({c}) AS {c}" for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
+                     + ["min(x_lo) AS x_lo", "max(x_hi) AS x_hi", "min(y_lo) AS y_lo", "max(y_hi) AS y_hi"])
+    r = ("CASE WHEN n = 0 OR x_lo >= x_hi OR y_lo >= y_hi THEN CAST(NULL AS DOUBLE) ELSE "
+         "try_divide(n * sxy - sx * sy, sqrt(greatest(n * sxx - sx * sx, 0D) * greatest(n * syy - sy * sy, 0D))) END")
     spark = df.sparkSession
-    names = spark.createDataFrame([(i * n + j, a, b) for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i],
+    names = spark.createDataFrame([(i * n_cols + j, a, b) for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i],
                                   "pair int, col_a string, col_b string")
-    r = F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))
-    return stats.join(F.broadcast(names), "pair").select(
-        *keys, "col_a", "col_b", (F.abs(r) if absolute else r).alias("corr"))
+    out = sql_select(summed, [quote(k) for k in keys] + ["pair", f"{'abs(' + r + ')' if absolute else r} AS corr"])
+    # the pair-name table is bounded by the column list, not by the data
+    return out.join(F.broadcast(names), "pair").select(*keys, "col_a", "col_b", "corr")
 
 
 def target_correlation(df: DataFrame, cols: list[str], target: str, keys=None, k: int | None = 10) -> DataFrame:

@@ -1,7 +1,7 @@
 """Models on MLlib.
 
 Data preparation is the DataFrame pipeline (features, splits, scalers);
-estimators are MLlib's. Every fit input is materialised once (checkpoint)
+estimators are MLlib's. Every fit input is materialised once (a written stage table)
 because tree and linear solvers read it many times. Predictions of every
 model land in one long table ``(system, model, date, y, y_hat)`` so that
 metrics, votes and model choice are the grouped operators of

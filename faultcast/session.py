@@ -79,7 +79,18 @@ def stage(df):
     training table, feature tables). It cuts the lineage, so per-key
     statistics joined back onto a table re-read the stage output instead of
     recomputing the scan and roll-up, and a lost executor only costs the
-    current stage.
+    current stage. The checkpoint keeps the plan's partitioning, which the
+    MLlib fits downstream use as their parallelism.
+
+    The frame is persisted for the duration of the checkpoint: an eager
+    checkpoint of an unpersisted frame runs the plan twice (once to count,
+    once to write the files). The cache is dropped once the files exist.
     """
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()

@@ -203,3 +203,28 @@ def test_feature_select_drops_low_variance_and_collinear(spark):
     from faultcast.plans.features import feature_select
     out = {r["feature"]: r["kept"] for r in feature_select(df, ["a", "b", "c", "d"], ["system"]).collect()}
     assert out == {"a": True, "b": False, "c": False, "d": True}
+
+
+def test_corr_pairs_gram_path_equals_wide_aggregate(spark):
+    # NULLs (pairwise complete), a constant column, a column constant only where `c` is present,
+    # and a NULL key that forms its own group
+    rows = [("k1", 1.0, 2.0, 5.0, 7.0), ("k1", 2.0, 1.0, 5.0, 7.0), ("k1", 4.0, None, 5.0, 9.0),
+            ("k1", 3.0, 3.5, 5.0, None), ("k1", None, 8.0, 5.0, 7.0), ("k1", 7.0, 0.5, 5.0, 7.0),
+            ("k2", 10.0, 1.0, 1.0, 2.0), ("k2", 20.0, 2.0, 2.0, 1.0), ("k2", 15.0, 4.0, 0.5, 3.0),
+            (None, 1.0, 1.0, 1.0, 1.0), (None, 2.0, 3.0, 1.0, 2.0), (None, 3.0, 2.0, 1.5, 2.0)]
+    df = spark.createDataFrame(rows, "k string, a double, b double, c double, d double").repartition(3)
+    cols = ["a", "b", "c", "d"]
+    for absolute in (True, False):
+        wide = {(r["k"], r["col_a"], r["col_b"]): r["corr"]
+                for r in S.corr_pairs(df, cols, ["k"], absolute=absolute).collect()}
+        gram = {(r["k"], r["col_a"], r["col_b"]): r["corr"]
+                for r in S.corr_pairs(df, cols, ["k"], absolute=absolute, wide_limit=0).collect()}
+        assert wide.keys() == gram.keys() and len(wide) == 18
+        for key, v in wide.items():
+            if v is None:
+                assert gram[key] is None, key
+            else:
+                assert gram[key] is not None and math.isclose(gram[key], v, abs_tol=1e-12), key
+    assert gram[("k1", "a", "c")] is None            # constant column -> NULL, not noise
+    nokey = {(r["col_a"], r["col_b"]): r["corr"] for r in S.corr_pairs(df, cols, None, wide_limit=0).collect()}
+    assert len(nokey) == 6
