@@ -118,9 +118,13 @@ def tfidf(df: DataFrame, id_col: str, text: Column, max_features: int = 5000) ->
     The vocabulary is the ``max_features`` terms with the highest corpus
     count (term text breaks ties). It is picked with a distributed top-k
     (each task keeps ``max_features`` rows) and broadcast: its size is
-    bounded by the parameter, never by the data.
+    bounded by the parameter, never by the data. The (doc, term, tf) table is
+    materialised once because both the vocabulary and the weights read it.
     """
-    tf = term_counts(df, id_col, text)
+    from faultcast.session import stage
+
+    # the term counts feed both the vocabulary and the weights: tokenise once
+    tf = stage(term_counts(df, id_col, text))
     vocab = (tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
              .orderBy(F.col("total").desc(), F.col("term").asc()).limit(max_features))
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
