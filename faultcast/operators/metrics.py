@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultcast.operators.stats import attach_global
+
 # Confidence bands (label, low inclusive, high exclusive) of the report.
 CONF_BANDS = [("90-100%", 0.9, 1.01), ("80-90%", 0.8, 0.9), ("70-80%", 0.7, 0.8), ("60-70%", 0.6, 0.7), ("<60%", 0.0, 0.6)]
 
@@ -83,7 +85,7 @@ def category_shift(df: DataFrame, before: str, after: str, categories: list[str]
     spark = df.sparkSession
     cats = spark.createDataFrame([(c, i) for i, c in enumerate(categories)], "category string, ord int")
     total = df.agg(F.count(F.lit(1)).alias("_total"))
-    j = cats.join(agg, "category", "left").crossJoin(F.broadcast(total))
+    j = attach_global(cats.join(agg, "category", "left"), total)
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     return j.select("category", z("final_n").alias("final_n"),
                     (F.try_divide(z("final_n"), F.col("_total")) * 100.0).alias("final_pct"),
@@ -102,7 +104,7 @@ def confidence_bands(df: DataFrame, conf: str, generic_mask, bands=CONF_BANDS) -
     totals = x.agg(F.count(F.lit(1)).alias("t_all"), F.count_if(F.col("_g")).alias("t_generic"))
     spark = df.sparkSession
     blist = spark.createDataFrame([(lab, i) for i, (lab, _, _) in enumerate(bands)], "band string, ord int")
-    j = blist.join(agg, "band", "left").crossJoin(F.broadcast(totals))
+    j = attach_global(blist.join(agg, "band", "left"), totals)
     rows = []
     for scope, n, t in (("all", "n_all", "t_all"), ("generic", "n_generic", "t_generic")):
         rows.append(j.select(F.lit(scope).alias("scope"), "band", F.coalesce(F.col(n), F.lit(0)).alias("n"),

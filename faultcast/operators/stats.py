@@ -1,7 +1,8 @@
 """Statistics, outliers and scaling.
 
 Global statistics are one aggregate producing one row per key, joined
-back. Without keys that row is broadcast (size 1, proven). With keys the
+back. Without keys that row is a scalar subquery (one row, checked at
+run time; no join). With keys the
 statistics table has one row per key and AQE decides broadcast vs
 sort-merge from its measured size. Nothing is collected to the driver.
 
@@ -32,13 +33,26 @@ def pearson(x, y) -> Column:
     return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
 
 
+def attach_global(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Put the single row of a global aggregate next to every row of ``df``, without a join.
+
+    The aggregate becomes an uncorrelated scalar subquery: Spark runs it
+    once, fails at runtime if it returns more than one row (the size bound
+    is enforced, not assumed), and the value enters the projection as a
+    literal inside whole-stage codegen.
+    """
+    names = one_row.columns
+    g = one_row.select(F.struct(*[F.col(c) for c in names]).alias("_g")).scalar()
+    return df.select("*", g.alias("_g")).select(*[df[c] for c in df.columns],
+                                                 *[F.col("_g")[c].alias(c) for c in names])
+
+
 def attach_stats(df: DataFrame, stats: dict[str, Column], keys=None) -> DataFrame:
     """Aggregate ``stats`` (name -> aggregate expression) per key and join them onto every row."""
     keys = list(keys or [])
     agg_exprs = [e.alias(n) for n, e in stats.items()]
     if not keys:
-        s = df.agg(*agg_exprs)
-        return df.crossJoin(F.broadcast(s))
+        return attach_global(df, df.agg(*agg_exprs))
     s = df.groupBy(*keys).agg(*agg_exprs)
     return df.join(s, keys, "left")
 
@@ -50,7 +64,7 @@ def attach_stats_sql(df: DataFrame, stats: dict[str, str], keys=None) -> DataFra
     keys = list(keys or [])
     s = sql_agg(df, keys, [f"{e} AS `{n}`" for n, e in stats.items()])
     if not keys:
-        return df.crossJoin(F.broadcast(s))
+        return attach_global(df, s)
     return df.join(s, keys, "left")
 
 
@@ -205,7 +219,7 @@ def _gram_corr(df: DataFrame, cols: list[str], keys: list[str], absolute: bool)
         cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
         j = df.select(*keys, *cols).join(means, cond, "left")
     else:
-        j = df.select(*cols).crossJoin(F.broadcast(means))
+        j = attach_global(df.select(*cols), means)
     centred = sql_select(j, [quote(k) for k in keys] + [f"CAST({quote(c)} AS DOUBLE) - _m{i} AS _c{i}"
                                                       for i, c in enumerate(cols)])
     key_fields = [f for f in df.schema.fields if f.name in keys]
@@ -317,7 +331,7 @@ def _scale(df: DataFrame, stats: dict[str, str], exprs: dict[str, str], fit_on:
     keys = list(keys or [])
     src = fit_on if fit_on is not None else df
     s = sql_agg(src, keys, [f"{e} AS `{n}`" for n, e in stats.items()])
-    j = df.join(s, keys, "left") if keys else df.crossJoin(F.broadcast(s))
+    j = df.join(s, keys, "left") if keys else attach_global(df, s)
     return sql_select(j, [f"{exprs[c]} AS {_q(c)}" if c in exprs else _q(c) for c in df.columns])
 
 

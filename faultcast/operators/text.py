@@ -121,6 +121,7 @@ def tfidf(df: DataFrame, id_col: str, text: Column, max_features: int = 5000) ->
     bounded by the parameter, never by the data. The (doc, term, tf) table is
     materialised once because both the vocabulary and the weights read it.
     """
+    from faultcast.operators.stats import attach_global
     from faultcast.session import stage
 
     # the term counts feed both the vocabulary and the weights: tokenise once
@@ -128,7 +129,7 @@ def tfidf(df: DataFrame, id_col: str, text: Column, max_features: int = 5000) ->
     vocab = (tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
              .orderBy(F.col("total").desc(), F.col("term").asc()).limit(max_features))
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
-    idf = vocab.crossJoin(F.broadcast(n_docs)).select(
+    idf = attach_global(vocab, n_docs).select(
         "term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1.0).alias("idf"))
     w = tf.join(F.broadcast(idf), "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from faultcast.operators.columns import drop_incomplete, next_days
 from faultcast.operators.joins import assemble_predictions
 from faultcast.operators.ranking import best_model, union_series
+from faultcast.operators.stats import attach_global
 from faultcast.operators.text import classify_tickets
 from faultcast.plans import models as M
 from faultcast.plans.features import base_features, forecast_features, lean_temporal, rich_temporal
@@ -159,11 +160,9 @@ def forecast_job(spark: SparkSession, sf_dir: str, as_of: str, sizes: M.ModelSiz
     names = {s.system: s.name for s in SETUPS}
     sys_map = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
     best = best.withColumn("setup", sys_map[F.col("trained_system")])
-    wide = None
-    for s in SETUPS:
-        b = best.filter(F.col("setup") == s.name).select(
-            F.col("model_name").alias(f"{s.name}_model"), F.col("r2").alias(f"{s.name}_r2"),
-            F.col("rmse").alias(f"{s.name}_rmse"), F.col("trained_at").alias(f"{s.name}_trained_at"))
-        wide = b if wide is None else wide.crossJoin(b)
-    return view.crossJoin(F.broadcast(wide))
+    # one row per trained system -> one global row with a column block per setup
+    wide = best.agg(*[F.max(F.when(F.col("setup") == s.name, F.col(c))).alias(f"{s.name}_{n}")
+                      for s in SETUPS
+                      for c, n in (("model_name", "model"), ("r2", "r2"), ("rmse", "rmse"), ("trained_at", "trained_at"))])
+    return attach_global(view, wide)
 
