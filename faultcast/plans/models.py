@@ -45,6 +45,8 @@ class ModelSizes:
     gbt_step: float = 0.05
     enet_iter: int = 10000
     text_trees: int = 100
+    ada_rounds: int = 100
+    ada_rate: float = 0.1
     stack_folds: int = 5
     search_trials: int = 5
     seed: int = 42
@@ -52,13 +54,15 @@ class ModelSizes:
 
 
 FAST = ModelSizes(rf_trees=20, rf_depth=6, gbt_iter=20, gbt_depth=4, gbt_step=0.1, enet_iter=100, text_trees=20,
-                  stack_folds=3, search_trials=3)
+                  ada_rounds=5, stack_folds=3, search_trials=3)
 
 
 # ---------------------------------------------------------------- estimators
 
 def estimators(sizes: ModelSizes = ModelSizes()) -> dict:
-    """The regression estimators by name (AdaBoost and RBF-SVR are not built)."""
+    """The regression estimators by name (RBF-SVR is not built)."""
+    from faultcast.plans.adaboost import AdaBoostR2
+
     s = sizes
     return {
         "RandomForest": RandomForestRegressor(numTrees=s.rf_trees, maxDepth=s.rf_depth, minInstancesPerNode=2,
@@ -71,6 +75,8 @@ def estimators(sizes: ModelSizes = ModelSizes()) -> dict:
                                                minInstancesPerNode=3, seed=s.seed),
         "GBTPresetCoarseBins": GBTRegressor(maxIter=s.gbt_iter, stepSize=s.gbt_step, maxDepth=s.gbt_depth,
                                             subsamplingRate=0.8, featureSubsetStrategy="0.8", maxBins=16, seed=s.seed),
+        # AdaBoost.R2 over depth-3 trees, linear loss
+        "AdaBoost": AdaBoostR2(numRounds=s.ada_rounds, learningRate=s.ada_rate, maxDepth=3, seed=s.seed),
         "ElasticNet": LinearRegression(regParam=0.5, elasticNetParam=0.5, maxIter=s.enet_iter, standardization=False),
     }
 

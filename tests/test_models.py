@@ -49,3 +49,53 @@ def test_text_classifier_probabilities(spark, small_dir):
     for c in fx.SPECIFIC:
         assert 0.0 <= r[f"lo_{c}"] <= r[f"hi_{c}"] <= 1.0
     assert pr.count() == t.count()
+
+
+def test_adaboost_r2_weights_median_and_roundtrip(spark, small_dir):
+    import math
+
+    import numpy as np
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+
+    from faultcast.plans.adaboost import AdaBoostR2, AdaBoostR2Model
+
+    p = _prepared(spark, small_dir)
+    est = AdaBoostR2(numRounds=4, learningRate=0.5, maxDepth=2, seed=7)
+    model = est.fit(p.train)
+    assert 1 <= len(model.trees) <= 4 and len(model.alphas) == len(model.trees)
+    # the weight recursion, recomputed on the driver from each tree's errors (brute force)
+    rows = p.train.select("features", "label").collect()
+    y = np.array([r["label"] for r in rows])
+    w = np.ones(len(y))
+    for tree, alpha in zip(model.trees, model.alphas):
+        pred = np.array([tree.predict(r["features"]) for r in rows])
+        e = np.abs(pred - y)
+        loss = float((w * e).sum() / (e.max() * w.sum()))
+        beta = loss / (1 - loss)
+        assert math.isclose(alpha, 0.5 * math.log(1 / beta), rel_tol=1e-9)
+        w = w * beta ** (0.5 * (1 - e / e.max())) / w.sum()
+    # weighted median of the tree predictions
+    test = p.test.collect()
+    got = {r["date"]: r["prediction"] for r in model.transform(p.test).collect()}
+    a = np.array(model.alphas)
+    for r in test:
+        preds = np.array([t.predict(r["features"]) for t in model.trees])
+        order = np.argsort(preds, kind="stable")
+        cdf = np.cumsum(a[order])
+        want = preds[order][int(np.argmax(cdf >= 0.5 * cdf[-1]))]
+        assert math.isclose(got[r["date"]], want, rel_tol=1e-12)
+    # persistence inside a pipeline (the way the retrain job saves models)
+    raw = p.train.select("system", "date", "label", F.col("label").alias("x1"), (F.col("label") * 0 + 1).alias("x2"))
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["x1", "x2"], outputCol="features"),
+                            AdaBoostR2(numRounds=3, learningRate=0.1)]).fit(raw)
+    path = scratch_path(spark, "ada-test")
+    pipe.write().overwrite().save(path)
+    back = PipelineModel.load(path)
+    assert isinstance(back.stages[-1], AdaBoostR2Model)
+    k = lambda m: sorted((r["date"], r["prediction"]) for r in m.transform(raw).collect())
+    assert k(pipe) == k(back)
+    # a label the first tree fits exactly stops after one round with weight 1
+    const = p.train.select("features", (F.col("label") * 0 + 3.0).alias("label"))
+    one = AdaBoostR2(numRounds=5).fit(const)
+    assert one.alphas == [1.0] and {r["prediction"] for r in one.transform(const).collect()} == {3.0}
