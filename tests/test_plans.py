@@ -47,3 +47,20 @@ def test_raw_grain_aggregated_before_exchange(spark, small_dir):
         if "SinglePartition" in line:
             below = "\n".join(lines[i:])
             assert "HashAggregate" in below
+
+
+def test_global_statistics_attached_without_join(spark, small_dir):
+    # E8 scales on the whole unkeyed daily series: the one-row statistics enter as a scalar subquery
+    import __spark_entry__ as e
+    df = e.queries()["forecast_features"](spark, small_dir)
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+    assert "Subquery" in p or "subquery" in p
+
+
+def test_many_column_correlation_uses_partial_gram_sums(spark, small_dir):
+    # one partial row per (key, pair) per task, merged by a grouped sum; no per-row pair records
+    import __spark_entry__ as e
+    p = plan_of(e.queries()["feature_select"](spark, small_dir))
+    assert "MapInPandas" in p and "HashAggregate" in p
+    assert "flatten" not in p and "BatchEvalPython" not in p
