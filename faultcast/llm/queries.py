@@ -4,25 +4,62 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, lines, mixing
+from faultcast.session import scratch_path
+
+from . import compression, decontam, jaccard, licenses, lines, mixing, quality, tokens, warc
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
+#: Public tokenizer file; its unigram scores are the pieces' scores.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokens.load_vocabulary(vocabulary))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.page_records(warc.read_archive(spark, path))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).drop("keep_runs")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.quality_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_token_counts": op3_token_counts,
+    "op4_decontamination": op4_decontamination,
+    "op5_warc": op5_warc,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_line_dedup": op7_line_dedup,
+    "op8_license_scan": op8_license_scan,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality_rules": op10_quality_rules,
 }
