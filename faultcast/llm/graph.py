@@ -20,6 +20,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
         # small-star: a is the larger end of each edge, its neighbours are smaller
         least = both.groupBy("a").agg(F.min("b").alias("m"))
+        least = staged(least, "least")  # written, so that the join can split the edges of a frequent end
         if large:
             least = least.withColumn("m", F.least("a", "m"))
             out = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))

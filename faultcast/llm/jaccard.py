@@ -424,6 +424,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rooted = staged(rooted, "block_members")
     mixed = (rooted.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size"))
              .filter("x <> y").select("shingle", F.ceil(F.col("size") / PART).alias("parts")))
+    mixed = staged(mixed, "mixed_blocks")  # written, so that the joins can split a frequent key's rows; so below
     members = (rooted.join(mixed, "shingle").join(sets.select("node", "n", "vector"), "node")
                .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
                .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -436,8 +437,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     nodes = rows.filter("n > 0").groupBy("node", "mark").agg(F.min("doc_id").alias("least"))
     names = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = staged(names, "node_roots")
-    least = names.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = names.join(least, "root").select("node", "mark", "component_id")
+    least = staged(names.groupBy("root").agg(F.min("least").alias("component_id")), "component_names")
+    named = staged(names.join(least, "root").select("node", "mark", "component_id"), "named_nodes")
     return rows.join(named, ["node", "mark"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from faultcast.session import scratch_path
 
-from . import compression, decontam, jaccard, licenses, lines, mixing, quality, tokens, warc
+from . import compression, decontam, jaccard, licenses, lines, mixing, quality, suffix, tokens, warc
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -18,6 +18,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_substrings(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokens.load_vocabulary(vocabulary))
 
@@ -54,6 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,

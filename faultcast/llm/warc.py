@@ -57,6 +57,8 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     # an equal SHA-256 with another SHA-1 or length would be a collision: stop rather than lose a payload
     owners = owners.select("sha256", F.when((F.col("a") == F.col("b")) & (F.col("m") == F.col("n")), F.col("owner")).otherwise(
         F.raise_error(F.concat(F.lit("payloads collide on "), F.col("sha256")))).alias("owner"))
+    # written, so that the join below is dealt out on its own and the rows of a frequent payload can be split
+    owners = staged(owners, "warc_owners")
     revisit = (F.col("size") >= min_bytes) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     target = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     block = F.lit(len(HTTP)) + F.when(revisit, F.lit(0)).otherwise(F.col("size"))
