@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultcast.llm import compression, lines, mixing
+from faultcast.llm import compression, decontam, jaccard, lines, mixing
 from faultcast.llm.common import staged
 
 
@@ -18,6 +18,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.drop_lines(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join (9): of each group of near duplicates, the document of the smallest id stays."""
+    return jaccard.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination (4): documents that hold a test item go."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights (1): how many words of each document the mix takes."""
     return mixing.mix(docs)
@@ -26,6 +36,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality),
     ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("benchmark decontamination", decontaminate),
     ("mixing sources to target weights", mixture),
 ]
 
