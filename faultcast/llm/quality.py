@@ -1,11 +1,12 @@
 """Quality classifier (6): similarity-weighted vote of the nearest labelled latent-semantic vectors.
 
-A text is the counts of its byte trigrams (hashed), of its words that repeat
-their forerunner, and of its character classes; log counts times the inverse
-document frequency, scaled to length 1, projected on the leading right singular
-vectors of the labelled sample.  Every document's vector meets all labelled
+A text is two blocks of the same weight: the log counts of its byte trigrams
+(hashed) times their inverse document frequency, and the shares of its character
+classes and of its words and lines that stand again, in units of their spread.
+Less the sample's mean, it is projected on the leading right singular vectors of
+the labelled sample.  Every document's vector meets all labelled
 vectors (a block of documents times their matrix), and the ``neighbours`` of
-highest cosine vote with their similarity.
+highest cosine vote, weighted by a power of their similarity.
 
 The classifier is fitted on a bounded sample: at most ``per_class`` rows of each
 label, those whose hashed id comes first.  So the matrix that is broadcast has
@@ -31,6 +32,8 @@ DIM = TRIGRAMS + EXTRA
 
 class Model(NamedTuple):
     idf: np.ndarray
+    spread: np.ndarray
+    mean: np.ndarray
     axes: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
@@ -66,23 +69,30 @@ def counts(text: str | None) -> np.ndarray:
     return out
 
 
-def weigh(block: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Log counts times idf, each row scaled to length 1."""
-    x = np.log1p(block) * idf
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm > 0, norm, 1)
+def styles(block: np.ndarray) -> np.ndarray:
+    """Root shares of character classes per byte, and of words and lines that stand again."""
+    extra = block[:, TRIGRAMS:]
+    size = np.maximum(block[:, :TRIGRAMS].sum(axis=1, keepdims=True), 1)
+    words, lines = np.maximum(extra[:, 8:9], 1), extra[:, 5:6] + 1
+    return np.sqrt(np.concatenate([extra[:, :6] / size, extra[:, 6:8] / words, extra[:, 9:10] / lines], axis=1))
+
+
+def weigh(block: np.ndarray, idf: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Both blocks of features, scaled to length 1 each and as a whole."""
+    return _unit(np.concatenate([_unit(np.log1p(block[:, :TRIGRAMS]) * idf), _unit(styles(block) / spread)], axis=1))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int) -> DataFrame:
     """(text, quality) of the sample: bounded, chosen by the hash of the id.
 
-    A doc_id that has several labels counts with the smallest.
+    A doc_id that has several labels or texts counts with the smallest.
     """
     one = (labels.select("doc_id", "quality").dropna().filter(learn).groupBy("doc_id").agg(F.min("quality").alias("quality")))
     parts = [one.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     sample = parts[0].unionAll(parts[1])
     # 2 * per_class ids at most
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
 
 
 def fit(rows: DataFrame, rank: int = 64, neighbours: int = 25) -> Model:
@@ -96,19 +106,21 @@ def fit(rows: DataFrame, rank: int = 64, neighbours: int = 25) -> Model:
     got = rows.mapInArrow(run, "doc_id bigint, counts binary, quality int").toArrow().sort_by([("doc_id", "ascending")])
     n = got.num_rows
     if n == 0:
-        return Model(np.ones(DIM, np.float32), np.zeros((DIM, 1), np.float32), np.zeros((0, 1), np.float32),
-                     np.zeros(0, np.float32), 0.5, neighbours)
+        return Model(*[np.zeros(0, np.float32)] * 6, 0.5, neighbours)
     x = np.frombuffer(b"".join(got["counts"].to_pylist()), dtype=np.float32).reshape(n, DIM)
     y = np.array(got["quality"].to_pylist(), dtype=np.float32)
-    idf = (np.log((1 + n) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = weigh(x, idf)
-    rank = min(rank, n, DIM)
-    q = np.random.default_rng(7).standard_normal((DIM, min(DIM, rank + 16))).astype(np.float32)
+    idf = (np.log((1 + n) / (1 + (x[:, :TRIGRAMS] > 0).sum(axis=0))) + 1).astype(np.float32)
+    spread = styles(x).std(axis=0) + np.float32(1e-3)
+    x = weigh(x, idf, spread)
+    mean = x.mean(axis=0)
+    x = x - mean
+    rank = min(rank, *x.shape)
+    q = np.random.default_rng(7).standard_normal((x.shape[1], min(*x.shape, rank + 16))).astype(np.float32)
     for _ in range(4):
         q, _ = np.linalg.qr(x.T @ (x @ q))
     u, s, vt = np.linalg.svd(x @ q, full_matrices=False)
     axes = (q @ vt.T)[:, :rank].astype(np.float32)
-    return Model(idf, axes, _unit(x @ axes), y, float(y.mean()), neighbours)
+    return Model(idf, spread, mean, axes, _unit(x @ axes), y, float(y.mean()), neighbours)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -117,15 +129,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def vote(model: Model, block: np.ndarray) -> np.ndarray:
-    """Scores of a block of counts: labels of the nearest vectors, weighted by cosine; the prior where none is similar."""
+    """Scores of a block of counts: nearest labels, weighted by the fourth power of the cosine; the prior where none is similar."""
     if not len(model.labels):
         return np.full(len(block), model.prior)
-    cosine = _unit(weigh(block, model.idf) @ model.axes) @ model.vectors.T
+    full = block.any(axis=1)
+    cosine = _unit((weigh(block, model.idf, model.spread) - model.mean) @ model.axes) @ model.vectors.T
     k = min(model.neighbours, cosine.shape[1])
     near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
     weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** 4
     total = weight.sum(axis=1)
-    return np.where(total > 0, (weight * model.labels[near]).sum(axis=1) / np.where(total > 0, total, 1), model.prior)
+    return np.where(full & (total > 0), (weight * model.labels[near]).sum(axis=1) / np.where(total > 0, total, 1), model.prior)
 
 
 def score(docs: DataFrame, model: Model, block_rows: int = 256) -> DataFrame:
