@@ -37,9 +37,14 @@ def preview(df: DataFrame, n: int = 5, order=("date",)) -> DataFrame:
 
 
 def union_series(history: DataFrame, forecast: DataFrame, key: str = "ts") -> DataFrame:
-    """U1 (+T1, W8): all rows of both, one row per key (history wins), sorted by key."""
+    """U1 (+W8): all rows of both, one row per key: history wins, then the row of the smaller hash. Not sorted."""
     both = history.withColumn("_src", F.lit(0)).unionByName(forecast.withColumn("_src", F.lit(1)))
-    return dedupe_first(both, key, "_src").drop("_src").orderBy(key)
+    return dedupe_first(both, key, ["_src", F.xxhash64(*history.columns)]).drop("_src")
+
+
+def sort_by(df: DataFrame, key: str = "ts") -> DataFrame:
+    """Global sort, for output only."""
+    return df.orderBy(key)
 
 
 def distinct_values(df: DataFrame, cols) -> DataFrame:

@@ -41,10 +41,19 @@ def count_exprs(hourly: dict = spec.HOURLY, counts=spec.DAILY_COUNTS) -> list[Co
     return [F.count_if(_CMP[op](F.col(hourly[r]), thr)).alias(name) for r, name, op, thr in counts]
 
 
-def mode_exprs(hourly: dict = spec.HOURLY, mode=spec.DAILY_MODE) -> list[Column]:
-    """A4: most frequent value, smallest on ties, NULL when every value is NULL."""
+def daily_mode(df: DataFrame, ts_col: str = "ts", keys: list[str] | None = None, hourly: dict = spec.HOURLY,
+               mode=spec.DAILY_MODE) -> DataFrame:
+    """A4: most frequent value per (keys, date), smallest on ties, NULL when every value is NULL.
+
+    Counted per value first (hashed, with map-side parts), then the largest
+    count per day is picked from those few rows.
+    """
+    keys = list(keys or [])
     role, name = mode
-    return [F.mode(F.col(hourly[role]), deterministic=True).alias(name)]
+    v = F.col(hourly[role])
+    n = df.groupBy(*keys, day_of(ts_col), v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    order = F.when(F.col("_v").isNotNull(), F.struct(F.col("_n"), -F.col("_v")))
+    return n.groupBy(*keys, "date").agg(F.max_by("_v", order).alias(name))
 
 
 def daily_aggregate(df: DataFrame, ts_col: str = "ts", keys: list[str] | None = None,
@@ -52,7 +61,7 @@ def daily_aggregate(df: DataFrame, ts_col: str = "ts", keys: list[str] | None =
     """Group readings by (keys, date) and evaluate ``exprs`` in one aggregate."""
     keys = list(keys or [])
     if exprs is None:
-        exprs = stat_exprs() + range_exprs() + count_exprs() + mode_exprs()
+        exprs = stat_exprs() + range_exprs() + count_exprs()
     return df.groupBy(*[F.col(k) for k in keys], day_of(ts_col)).agg(*exprs)
 
 

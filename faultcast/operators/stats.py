@@ -47,14 +47,20 @@ def attach_global(df: DataFrame, one_row: DataFrame) -> DataFrame:
                                                  *[F.col("_g")[c].alias(c) for c in names])
 
 
+def join_null_safe(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of per-key rows where a NULL key is a group of its own, as in ``groupBy``."""
+    s = stats.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
+    cond = [df[k].eqNullSafe(s[f"_key{i}"]) for i, k in enumerate(keys)]
+    return df.join(s, cond, "left").drop(*[f"_key{i}" for i in range(len(keys))])
+
+
 def attach_stats(df: DataFrame, stats: dict[str, Column], keys=None) -> DataFrame:
     """Aggregate ``stats`` (name -> aggregate expression) per key and join them onto every row."""
     keys = list(keys or [])
     agg_exprs = [e.alias(n) for n, e in stats.items()]
     if not keys:
         return attach_global(df, df.agg(*agg_exprs))
-    s = df.groupBy(*keys).agg(*agg_exprs)
-    return df.join(s, keys, "left")
+    return join_null_safe(df, df.groupBy(*keys).agg(*agg_exprs), keys)
 
 
 def attach_stats_sql(df: DataFrame, stats: dict[str, str], keys=None) -> DataFrame:
@@ -65,7 +71,7 @@ def attach_stats_sql(df: DataFrame, stats: dict[str, str], keys=None) -> DataFra
     s = sql_agg(df, keys, [f"{e} AS `{n}`" for n, e in stats.items()])
     if not keys:
         return attach_global(df, s)
-    return df.join(s, keys, "left")
+    return join_null_safe(df, s, keys)
 
 
 def _q(c: str) -> str:
@@ -103,9 +109,14 @@ def quantiles(df: DataFrame, cols: list[str], ps=(0.05, 0.25, 0.5, 0.75, 0.95),
 
 
 def box_summary(df: DataFrame, c: str, keys=None, whis: float = 1.5) -> DataFrame:
-    """A10: the numbers behind a box plot: quartiles, whisker ends and outlier count."""
+    """A10: the numbers behind a box plot: quartiles, whisker ends and outlier count.
+
+    Read twice (quartiles, then counts), so the input is written as a stage table.
+    """
+    from faultcast.session import stage
+
     keys = list(keys or [])
-    j = attach_stats(df.select(*keys, c), {"_q": F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))}, keys)
+    j = attach_stats(stage(df.select(*keys, c)), {"_q": F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))}, keys)
     q1, med, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
     lo, hi = q1 - (q3 - q1) * whis, q3 + (q3 - q1) * whis
     x = F.col(c)
@@ -118,30 +129,42 @@ def box_summary(df: DataFrame, c: str, keys=None, whis: float = 1.5) -> DataFram
     )
 
 
-def corr_pairs(df: DataFrame, cols: list[str], keys=None, absolute: bool = True, wide_limit: int = 64) -> DataFrame:
+#: Keys whose Gram sums a task holds before it gives them out: bounds its memory at this many times six matrices.
+GRAM_KEYS = 64
+
+
+def corr_pairs(df: DataFrame, cols: list[str], keys=None, absolute: bool = True) -> DataFrame:
     """Pearson correlation of every pair i < j (pairwise complete), long form (keys, col_a, col_b, corr).
 
-    Up to ``wide_limit`` pairs are evaluated as one wide aggregate. Beyond
-    that the co-moments come from Gram matrices: each task multiplies its
-    rows' (centred, zero-filled) value and presence matrices per key, so a
-    partition emits one partial row per (key, pair) instead of one record
-    per pair per row, and a grouped sum merges the partials (map-side
-    combine; a key holding a third of all rows is spread over every task
-    that holds its rows). See :func:`_gram_corr`.
+    The co-moments come from Gram matrices: each task multiplies its rows'
+    (centred, zero-filled) value and presence matrices per key and emits one
+    partial row per (key, pair), whatever its row count; a grouped sum merges
+    them, so a key holding a third of all rows is spread over every task that
+    holds its rows. NaN counts as missing, like NULL. The one plan for any
+    number of columns: an aggregate of the per-key means, joined back, one
+    ``mapInPandas`` pass, one grouped sum.
     """
+    from faultcast.functions.scalars import quote, sql_agg, sql_select
+
     keys = list(keys or [])
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    if len(pairs) > wide_limit:
-        return _gram_corr(df, cols, keys, absolute)
-    aggs = []
-    for n, (a, b) in enumerate(pairs):
-        e = pearson(a, b)
-        aggs.append((F.abs(e) if absolute else e).alias(f"c{n}"))
-    g = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
-    arr = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                             F.nanvl(F.col(f"c{n}"), F.lit(None).cast("double")).alias("corr"))
-                    for n, (a, b) in enumerate(pairs)])
-    return g.select(*keys, F.inline(arr))
+    n_cols = len(cols)
+    clean = [f"nanvl(CAST({quote(c)} AS DOUBLE), NULL) AS _v{i}" for i, c in enumerate(cols)]
+    x = sql_select(df, [quote(k) for k in keys] + clean)
+    means = sql_agg(x, keys, [f"avg(_v{i}) AS _m{i}" for i in range(n_cols)])
+    j = join_null_safe(x, means, keys) if keys else attach_global(x, means)
+    centred = sql_select(j, [quote(k) for k in keys] + [f"_v{i} - _m{i} AS _c{i}" for i in range(n_cols)])
+    key_fields = [f for f in df.schema.fields if f.name in keys]
+    stats = ", ".join(f"{n} double" for n in ("n", "sx", "sy", "sxx", "syy", "sxy", "x_lo", "x_hi", "y_lo", "y_hi"))
+    schema = ", ".join([f"{quote(f.name)} {f.dataType.simpleString()}" for f in key_fields] + ["a int, b int", stats])
+    partial = centred.mapInPandas(_gram_partials(n_cols, keys), schema)
+    summed = sql_agg(partial, [*keys, "a", "b"],
+                     [f"sum({c}) AS {c}" for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
+                     + ["min(x_lo) AS x_lo", "max(x_hi) AS x_hi", "min(y_lo) AS y_lo", "max(y_hi) AS y_hi"])
+    r = ("CASE WHEN n = 0 OR x_lo >= x_hi OR y_lo >= y_hi THEN CAST(NULL AS DOUBLE) ELSE "
+         "try_divide(n * sxy - sx * sy, sqrt(greatest(n * sxx - sx * sx, 0D) * greatest(n * syy - sy * sy, 0D))) END")
+    names = F.array(*[F.lit(c) for c in cols])
+    out = sql_select(summed, [quote(k) for k in keys] + ["a", "b", f"{'abs(' + r + ')' if absolute else r} AS corr"])
+    return out.select(*keys, F.get(names, F.col("a")).alias("col_a"), F.get(names, F.col("b")).alias("col_b"), "corr")
 
 
 def _gram_partials(n_cols: int, keys: list[str]):
@@ -160,9 +183,22 @@ def _gram_partials(n_cols: int, keys: list[str]):
     names = [f"_c{i}" for i in range(n_cols)]
     iu, ju = np.triu_indices(n_cols, 1)
 
+    def rows_of(acc):
+        for key, (n, sx, sxx, sxy, lo, hi) in acc.items():
+            # pandas reports a NULL key as NaN; it goes back as NULL
+            out = {k: pd.Series([None if isinstance(v, float) and v != v else v] * len(iu), dtype=object)
+                   for k, v in zip(keys, key)}
+            out.update(a=iu.astype("int32"), b=ju.astype("int32"), n=n[iu, ju], sx=sx[iu, ju], sy=sx[ju, iu],
+                       sxx=sxx[iu, ju], syy=sxx[ju, iu], sxy=sxy[iu, ju], x_lo=lo[iu, ju], x_hi=hi[iu, ju],
+                       y_lo=lo[ju, iu], y_hi=hi[ju, iu])
+            yield pd.DataFrame(out)
+
     def run(batches):
         acc = {}
         for pdf in batches:
+            if len(acc) > GRAM_KEYS:
+                yield from rows_of(acc)
+                acc = {}
             groups = pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]
             for key, g in groups:
                 key = key if isinstance(key, tuple) else (key,)
@@ -188,57 +224,11 @@ def _gram_partials(n_cols: int, keys: list[str]):
                                 np.minimum(a[4], part[4]), np.maximum(a[5], part[5]))
                 else:
                     acc[key] = part
-        for key, (n, sx, sxx, sxy, lo, hi) in acc.items():
-            # pandas reports a NULL key as NaN; it goes back as NULL
-            out = {k: pd.Series([None if isinstance(v, float) and v != v else v] * len(iu), dtype=object)
-                   for k, v in zip(keys, key)}
-            out.update(pair=(iu * n_cols + ju).astype("int32"), n=n[iu, ju], sx=sx[iu, ju], sy=sx[ju, iu],
-                       sxx=sxx[iu, ju], syy=sxx[ju, iu], sxy=sxy[iu, ju], x_lo=lo[iu, ju], x_hi=hi[iu, ju],
-                       y_lo=lo[ju, iu], y_hi=hi[ju, iu])
-            yield pd.DataFrame(out)
+        yield from rows_of(acc)
 
     return run
 
 
-def _gram_corr(df: DataFrame, cols: list[str], keys: list[str], absolute: bool) -> DataFrame:
-    """Pairwise-complete Pearson correlations of many columns from per-task Gram partials.
-
-    Plan: one aggregate of the per-key means (partial aggregation), joined
-    back on the keys (1 row and broadcast without keys; AQE picks the join
-    otherwise), one ``mapInPandas`` pass that emits keys x pairs partial
-    rows per task, one grouped sum. NaN counts as missing, like NULL.
-    """
-    from faultcast.functions.scalars import quote, sql_agg, sql_select
-
-    n_cols = len(cols)
-    means = sql_agg(df, keys, [f"avg(CAST({quote(c)} AS DOUBLE)) AS _m{i}" for i, c in enumerate(cols)])
-    if keys:
-        # null-safe on the keys: a NULL key is a group of its own, as in groupBy
-        means = means.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                             *[f"_m{i}" for i in range(n_cols)])
-        cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-        j = df.select(*keys, *cols).join(means, cond, "left")
-    else:
-        j = attach_global(df.select(*cols), means)
-    centred = sql_select(j, [quote(k) for k in keys] + [f"CAST({quote(c)} AS DOUBLE) - _m{i} AS _c{i}"
-                                                      for i, c in enumerate(cols)])
-    key_fields = [f for f in df.schema.fields if f.name in keys]
-    stats = ", ".join(f"{n} double" for n in ("n", "sx", "sy", "sxx", "syy", "sxy", "x_lo", "x_hi", "y_lo", "y_hi"))
-    schema = ", ".join([f"{quote(f.name)} {f.dataType.simpleString()}" for f in key_fields] + ["pair int", stats])
-    partial = centred.mapInPandas(_gram_partials(n_cols, keys), schema)
-    summed = sql_agg(partial, [*keys, "pair"],
-                     [f"sum({c}) AS {c}" for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
-                     + ["min(x_lo) AS x_lo", "max(x_hi) AS x_hi", "min(y_lo) AS y_lo", "max(y_hi) AS y_hi"])
-    r = ("CASE WHEN n = 0 OR x_lo >= x_hi OR y_lo >= y_hi THEN CAST(NULL AS DOUBLE) ELSE "
-         "try_divide(n * sxy - sx * sy, sqrt(greatest(n * sxx - sx * sx, 0D) * greatest(n * syy - sy * sy, 0D))) END")
-    spark = df.sparkSession
-    names = spark.createDataFrame([(i * n_cols + j, a, b) for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i],
-                                  "pair int, col_a string, col_b string")
-    out = sql_select(summed, [quote(k) for k in keys] + ["pair", f"{'abs(' + r + ')' if absolute else r} AS corr"])
-    # the pair-name table is bounded by the column list, not by the data
-    return out.join(F.broadcast(names), "pair").select(*keys, "col_a", "col_b", "corr")
-
-
 def target_correlation(df: DataFrame, cols: list[str], target: str, keys=None, k: int | None = 10) -> DataFrame:
     """|corr(feature, target)| ranked descending (name breaks ties), top ``k`` per key."""
     from pyspark.sql import Window
@@ -318,20 +308,13 @@ def drop_zscore_rows(df: DataFrame, c: str, thr: float = 6.0, keys=None, parity:
     return j.filter(cond).select(*df.columns)
 
 
-def zscore_outliers(df: DataFrame, c: str, thr: float = 6.0, keys=None) -> DataFrame:
-    """O3 report: the rows that the z-score filter removes."""
-    j = attach_stats(df, {"_m": F.avg(F.col(c)), "_s": F.stddev_pop(F.col(c))}, keys)
-    z = F.try_divide(F.col(c) - F.col("_m"), F.col("_s"))
-    return j.filter(F.abs(z) > thr).select(*df.columns)
-
-
 def _scale(df: DataFrame, stats: dict[str, str], exprs: dict[str, str], fit_on: DataFrame | None, keys) -> DataFrame:
     from faultcast.functions.scalars import sql_agg, sql_select
 
     keys = list(keys or [])
     src = fit_on if fit_on is not None else df
     s = sql_agg(src, keys, [f"{e} AS `{n}`" for n, e in stats.items()])
-    j = df.join(s, keys, "left") if keys else attach_global(df, s)
+    j = join_null_safe(df, s, keys) if keys else attach_global(df, s)
     return sql_select(j, [f"{exprs[c]} AS {_q(c)}" if c in exprs else _q(c) for c in df.columns])
 
 

@@ -1,22 +1,17 @@
 """Ticket text operators (F15-F20, M1) and the relabelling decision.
 
 Everything is a built-in expression; the only per-row work is regex
-tokenisation inside the JVM. TF-IDF is a word-count job: explode tokens,
-count per (doc, term) with map-side combine, pick the vocabulary with a
-distributed top-k, broadcast it (its size is bounded by ``max_features``),
-and normalise per document.
+tokenisation inside the JVM. TF-IDF counts words once for a vocabulary of
+bounded size and then weighs every document for itself, without a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultcast.functions.scalars import round_even
 
-# The reference's keyword rules (first hit wins) and unit codes.
-DEFAULT_RULES = [("koeler", "SF-VKS01"), ("verwarming", "SF-VKS02")]
-DEFAULT_GENERIC = "SF-VKS"
 DEFAULT_THRESHOLD = 0.8
 # Token pattern equivalent to two or more word characters.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -27,7 +22,7 @@ def combine_text(*cols) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in cols])
 
 
-def keyword_rules(text: Column, rules=DEFAULT_RULES) -> Column:
+def keyword_rules(text: Column, rules) -> Column:
     """Case-insensitive substring rules, first hit wins -> struct(label, confidence)."""
     low = F.lower(text)
     label = None
@@ -50,7 +45,7 @@ def row_argmax(prob_cols: dict[str, str]) -> Column:
     return F.struct(label.alias("label"), best.alias("confidence"))
 
 
-def resolve_label(unit: Column, kw: Column, pred: Column, generic: str = DEFAULT_GENERIC,
+def resolve_label(unit: Column, kw: Column, pred: Column, generic: str,
                   threshold: float = DEFAULT_THRESHOLD) -> Column:
     """keep specific units (confidence 1); generic -> keyword rule, else the model label when
     its probability >= threshold, else stay generic with the model's probability."""
@@ -64,7 +59,7 @@ def resolve_label(unit: Column, kw: Column, pred: Column, generic: str = DEFAULT
     return F.struct(label.alias("label"), conf.alias("confidence"))
 
 
-def explain(unit: Column, kw: Column, pred: Column, generic: str = DEFAULT_GENERIC) -> Column:
+def explain(unit: Column, kw: Column, pred: Column, generic: str) -> Column:
     """'' for specific units, the rule hit, or the model label with its probability in percent."""
     pct = F.format_string("%.1f%%", round_even(pred["confidence"] * 100.0, 1))
     return (F.when(unit != generic, F.lit(""))
@@ -72,9 +67,8 @@ def explain(unit: Column, kw: Column, pred: Column, generic: str = DEFAULT_GENER
             .otherwise(F.concat(F.lit("model: "), pred["label"], F.lit(" ("), pct, F.lit(")"))))
 
 
-def classify_tickets(df: DataFrame, prob_cols: dict[str, str], unit_col: str = "unit",
-                     text_cols=("text", "text2"), scope=None, rules=DEFAULT_RULES,
-                     generic: str = DEFAULT_GENERIC, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+def classify_tickets(df: DataFrame, prob_cols: dict[str, str], rules, generic: str, unit_col: str = "unit",
+                     text_cols=("text", "text2"), scope=None, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """M5 decision stage on scored tickets: F15 -> F17 -> T4 -> F18 -> F19 -> P11, one pass.
 
     Rows in ``scope`` (the specific units plus the generic one) get the new
@@ -106,31 +100,46 @@ def tokens(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), 0)
 
 
-def term_counts(df: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(doc, term, tf): explode + count with map-side combine."""
-    tok = df.select(F.col(id_col), F.explode(tokens(text)).alias("term"))
-    return tok.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+def vocabulary(df: DataFrame, text: Column, max_features: int = 5000) -> tuple[int, list[tuple[str, int]]]:
+    """Number of rows, and (term, rows that hold it) of the ``max_features`` terms with the highest corpus count.
+
+    One pass, one shuffle by term with map-side combine: each row gives out its
+    sorted tokens, marking the first of equal ones, and one NULL for itself.
+    The list is bounded by ``max_features``; term text breaks ties.
+    """
+    t = df.select(F.array_sort(tokens(text)).alias("t"))
+    marked = F.transform("t", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("t", i - 1) != x)).alias("opens")))
+    row = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(False).alias("opens")))
+    c = t.select(F.inline(F.concat(row, marked))).groupBy("term").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("opens").alias("df"))
+    top = c.orderBy(F.col("term").isNull().desc(), F.col("total").desc(), F.col("term").asc()).limit(max_features + 1).collect()
+    if not top:
+        return 0, []
+    return top[0]["total"], [(r["term"], r["df"]) for r in top[1:]]
 
 
 def tfidf(df: DataFrame, id_col: str, text: Column, max_features: int = 5000) -> DataFrame:
     """M1: TF-IDF with smoothed idf = ln((1+n)/(1+df)) + 1 and L2 norm, long form (doc, term, tfidf).
 
-    The vocabulary is the ``max_features`` terms with the highest corpus
-    count (term text breaks ties). It is picked with a distributed top-k
-    (each task keeps ``max_features`` rows) and broadcast: its size is
-    bounded by the parameter, never by the data. The (doc, term, tf) table is
-    materialised once because both the vocabulary and the weights read it.
+    Two passes: :func:`vocabulary`, then every row for itself: token counts
+    against the vocabulary (a hashed look-up in the JVM), weights and norm as one
+    sparse vector, exploded at the end. Nothing is shuffled by document and
+    nothing but the vocabulary (at most ``max_features`` terms) leaves the tasks.
     """
-    from faultcast.operators.stats import attach_global
-    from faultcast.session import stage
-
-    # the term counts feed both the vocabulary and the weights: tokenise once
-    tf = stage(term_counts(df, id_col, text))
-    vocab = (tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-             .orderBy(F.col("total").desc(), F.col("term").asc()).limit(max_features))
-    n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
-    idf = attach_global(vocab, n_docs).select(
-        "term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1.0).alias("idf"))
-    w = tf.join(F.broadcast(idf), "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return w.select(id_col, "term", (F.col("w") / norm).alias("tfidf"))
+    import math
+
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
+
+    n, terms = vocabulary(df, text, max_features)
+    if not terms:
+        return df.select(F.col(id_col), F.lit("").alias("term"), F.lit(0.0).alias("tfidf")).filter(F.lit(False))
+    idf = Vectors.dense([math.log((n + 1) / (d + 1)) + 1.0 for _, d in terms])
+    x = df.select(F.col(id_col), tokens(text).alias("_tokens"))
+    x = CountVectorizerModel.from_vocabulary([t for t, _ in terms], inputCol="_tokens", outputCol="_tf").transform(x)
+    x = ElementwiseProduct(scalingVec=idf, inputCol="_tf", outputCol="_w").transform(x)
+    x = Normalizer(p=2.0, inputCol="_w", outputCol="_unit").transform(x)
+    v = F.unwrap_udt("_unit")
+    names = F.array(*[F.lit(t) for t, _ in terms])
+    return x.select(id_col, F.inline(F.arrays_zip(v["indices"].alias("i"), v["values"].alias("w")))).select(
+        id_col, F.get(names, F.col("i")).alias("term"), F.col("w").alias("tfidf"))

@@ -39,8 +39,8 @@ def oracle(name: str, sql: str) -> None:
 
 # ---------------------------------------------------------------- fixture CTEs
 
-def _weather_select(inner: str) -> str:
-    return f"""SELECT ts, temperature, humidity, temperature - (100.0 - humidity)/4.0 AS dew_point,
+def _weather_select(inner: str, keys: str = "") -> str:
+    return f"""SELECT {keys}ts, temperature, humidity, temperature - (100.0 - humidity)/4.0 AS dew_point,
   temperature - wind_speed/4.0 AS apparent_temperature, pressure, cloud_cover, wind_speed, wind_gusts, wind_direction
 FROM ({inner}) w"""
 
@@ -54,13 +54,14 @@ FROM (SELECT date_trunc('hour', ts) AS ts, {chans} FROM events GROUP BY 1) a"""
     return name, _weather_select(inner)
 
 
-def cte_line_weather(name: str = "line_weather") -> tuple[str, str]:
-    inner = """SELECT ts, temperature, disc*5.0 + 40.0 AS humidity, tax*5.0 + 990.0 AS pressure, cloud_cover,
+def cte_line_weather(name: str = "line_weather", site: bool = False) -> tuple[str, str]:
+    key, own = ("site, ", "l_suppkey AS site, ") if site else ("", "")
+    inner = f"""SELECT {key}ts, temperature, disc*5.0 + 40.0 AS humidity, tax*5.0 + 990.0 AS pressure, cloud_cover,
   l_quantity*disc/16.0 AS wind_speed, l_quantity*disc/16.0 + tax AS wind_gusts, wind_direction
-FROM (SELECT l_shipdate AS ts, l_quantity, l_quantity/2.0 - 5.0 AS temperature, round_even(l_discount*100.0, 0) AS disc,
+FROM (SELECT {own}l_shipdate AS ts, l_quantity, l_quantity/2.0 - 5.0 AS temperature, round_even(l_discount*100.0, 0) AS disc,
   round_even(l_tax*100.0, 0) AS tax, round_even(l_extendedprice/1050.0, 0) AS cloud_cover,
   (l_linenumber*45)::DOUBLE AS wind_direction FROM lineitem) l"""
-    return name, _weather_select(inner)
+    return name, _weather_select(inner, key)
 
 
 def cte_tickets(name: str = "tickets") -> tuple[str, str]:
@@ -85,21 +86,21 @@ def count_sql() -> list[str]:
     return [f"count_if({spec.HOURLY[r]} {op} {thr}) AS {n}" for r, n, op, thr in spec.DAILY_COUNTS]
 
 
-def cte_mode(src: str, name: str) -> tuple[str, str]:
+def cte_mode(src: str, name: str, keys: str = "") -> tuple[str, str]:
     c = spec.HOURLY[spec.DAILY_MODE[0]]
-    return name, f"""SELECT date, v AS {spec.DAILY_MODE[1]} FROM (
-  SELECT date, v, row_number() OVER (PARTITION BY date ORDER BY n DESC, v ASC) AS rn
-  FROM (SELECT ts::DATE AS date, {c} AS v, count(*) AS n FROM {src} WHERE {c} IS NOT NULL GROUP BY 1, 2) x) y
+    return name, f"""SELECT {keys}date, v AS {spec.DAILY_MODE[1]} FROM (
+  SELECT {keys}date, v, row_number() OVER (PARTITION BY {keys}date ORDER BY n DESC, v ASC) AS rn
+  FROM (SELECT {keys}ts::DATE AS date, {c} AS v, count(*) AS n FROM {src} WHERE {c} IS NOT NULL GROUP BY ALL) x) y
 WHERE rn = 1"""
 
 
-def cte_daily_stats(src: str, name: str) -> list[tuple[str, str]]:
+def cte_daily_stats(src: str, name: str, keys: str = "") -> list[tuple[str, str]]:
     """A1-A4 in SQL: one aggregate plus the spelled-out mode, left-joined."""
     mode_name = f"{name}_mode"
     exprs = ",\n  ".join(stat_sql() + range_sql() + count_sql())
-    agg = f"SELECT ts::DATE AS date,\n  {exprs}\nFROM {src} GROUP BY 1"
-    return [cte_mode(src, mode_name), (f"{name}_agg", agg),
-            (name, f"SELECT a.*, m.{spec.DAILY_MODE[1]} FROM {name}_agg a LEFT JOIN {mode_name} m USING (date)")]
+    agg = f"SELECT {keys}ts::DATE AS date,\n  {exprs}\nFROM {src} GROUP BY ALL"
+    return [cte_mode(src, mode_name, keys), (f"{name}_agg", agg),
+            (name, f"SELECT a.*, m.{spec.DAILY_MODE[1]} FROM {name}_agg a LEFT JOIN {mode_name} m USING ({keys}date)")]
 
 
 def beaufort_sql(x: str) -> str:
@@ -109,31 +110,26 @@ def beaufort_sql(x: str) -> str:
 
 def daily_weather_columns() -> list[str]:
     """Output columns of E1 in order (no keys)."""
-    cols = ["date", "week", "dow", "month", "season", "is_weekend"]
-    for _, prefix, fns in spec.DAILY_STATS:
-        cols += [f"{prefix}_{fn}" for fn in fns]
-    cols += [n for _, n in spec.DAILY_RANGES] + [n for _, n, _, _ in spec.DAILY_COUNTS] + [spec.DAILY_MODE[1]]
-    cols += ["temp_range", "temp_humidity", "temp_roll3", "humidity_roll3"] + [n for n, *_ in spec.DAY_FLAGS]
-    cols += ["beaufort", spec.WINDY_FLAG[0]]
-    return cols
+    return ["date", *spec.daily_columns()]
 
 
-def cte_daily_weather(src_cte: tuple[str, str], name: str) -> list[tuple[str, str]]:
+def cte_daily_weather(src_cte: tuple[str, str], name: str, keys: str = "") -> list[tuple[str, str]]:
     """E1 in SQL: statistics, calendar, derived features, 2-dp half-even rounding."""
     st = f"{name}_st"
-    ctes = [src_cte] + cte_daily_stats(src_cte[0], st)
+    ctes = [src_cte] + cte_daily_stats(src_cte[0], st, keys)
     dbl = []
     for _, prefix, fns in spec.DAILY_STATS:
         dbl += [f"{r2(f'{prefix}_{fn}')} AS {prefix}_{fn}" for fn in fns]
     dbl += [f"{r2(n)} AS {n}" for _, n in spec.DAILY_RANGES]
     ints = [f"{n}" for _, n, _, _ in spec.DAILY_COUNTS]
     mode = f"{r2(spec.DAILY_MODE[1])} AS {spec.DAILY_MODE[1]}"
-    w = "OVER (ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
+    part = f"PARTITION BY {keys[:-2]} " if keys else ""
+    w = f"OVER ({part}ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
     flags = []
     for n, c, op, thr in spec.DAY_FLAGS:
         flags.append(f"coalesce(({c} {op} {thr})::INTEGER, 0) AS {n}")
     wn, wc, wop, wthr = spec.WINDY_FLAG
-    body = f"""SELECT date, weekofyear(date) AS week, isodow(date) AS dow, month(date) AS month,
+    body = f"""SELECT {keys}date, weekofyear(date) AS week, isodow(date) AS dow, month(date) AS month,
   (floor((month(date) % 12) / 3) + 1)::BIGINT AS season, CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS is_weekend,
   {", ".join(dbl)}, {", ".join(ints)}, {mode},
   {r2('temp_max - temp_min')} AS temp_range, {r2('temp_avg * humidity_avg')} AS temp_humidity,
@@ -184,6 +180,9 @@ oracle("daily_weather", with_(cte_daily_weather(cte_hourly(), "dw"), "SELECT * F
 
 oracle("daily_weather_long", with_(cte_daily_weather(cte_line_weather(), "dw_long"), "SELECT * FROM dw_long"))
 
+oracle("daily_weather_sites", with_(cte_daily_weather(cte_line_weather("site_weather", True), "dw_sites", "site, "),
+                                    "SELECT * FROM dw_sites"))
+
 oracle("join_daily", with_(cte_counts() + [cte_line_weather()], f"""SELECT c.system, c.date, c.fault_count,
   {r6('f.temp_avg')} AS temp_avg, {r6('f.humidity_avg')} AS humidity_avg, f.clear_hours
 FROM counts c JOIN (SELECT ts::DATE AS date, avg(temperature) AS temp_avg, avg(humidity) AS humidity_avg,

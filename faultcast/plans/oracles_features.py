@@ -269,15 +269,28 @@ _wc, _wcols = cte_winsor("training", "wz", train_cols(), ["fault_count"], KEYS)
 oracle("winsorize", with_(cte_training() + _wc, _wcols.final("wz")))
 
 _zs = []
-for _c in (T, H):
+for _c in spec.daily_columns():
     _zs += [f"avg({_c}) AS m_{_c}", f"stddev_pop({_c}) AS s_{_c}", f"quantile_cont({_c}, 0.5) AS d_{_c}"]
-_zsel = ["training.system", "date"]
-for _c in (T, H):
+_zsel = ["training.system", "date", "fault_count"]
+for _c in spec.daily_columns():
     _z = f"(CASE WHEN s_{_c} = 0 THEN NULL ELSE (training.{_c} - m_{_c}) / s_{_c} END)"
     _zsel.append(f"{r6(f'CASE WHEN coalesce(abs({_z}) < 3.0, false) THEN training.{_c} ELSE d_{_c} END')} AS {_c}")
-_zsel.append("season")
 oracle("zscore_median", with_(cte_training() + cte_stats_join("training", "zm", _zs, _zsel, KEYS), "SELECT * FROM zm"))
 
+_lo, _hi = "(q[2] - (q[4] - q[2]) * 1.5)", "(q[4] + (q[4] - q[2]) * 1.5)"
+_nz = "abs((n_chars - m) / nullif(s, 0)) < 3.0"
+oracle("null_group_stats", f"""WITH t AS (
+  SELECT doc_id AS ticket_id, length(text)::DOUBLE AS n_chars, quality FROM documents LEFT JOIN labels USING (doc_id)),
+g AS (
+  SELECT quality AS k, avg(n_chars) AS m, stddev_pop(n_chars) AS s, quantile_cont(n_chars, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q
+  FROM t GROUP BY 1)
+SELECT ticket_id, n_chars, quality, (n_chars > q[5] OR n_chars < q[1])::BIGINT AS extreme,
+  {r6(f"least(greatest(n_chars, {_lo}), {_hi})")} AS winsorized,
+  {r6(f"CASE WHEN coalesce({_nz}, false) THEN n_chars ELSE q[3] END")} AS cleaned,
+  {r6("(n_chars - m) / CASE WHEN s = 0 THEN 1 ELSE s END")} AS standard,
+  {r6("(n_chars - q[3]) / CASE WHEN q[4] = q[2] THEN 1 ELSE q[4] - q[2] END")} AS robust
+FROM t JOIN g ON t.quality IS NOT DISTINCT FROM g.k""")
+
 oracle("zscore_rows", with_(cte_counts() + [
     ("cstats", "SELECT system, avg(fault_count) AS m, stddev_pop(fault_count) AS s FROM counts GROUP BY 1")],
     "SELECT c.* FROM counts c JOIN cstats USING (system) WHERE s IS NULL OR s = 0 OR abs((fault_count - m) / s) <= 6"))

@@ -7,7 +7,7 @@ from faultcast.plans import spec
 from faultcast.plans.oracles import (beaufort_sql, cte_counts, cte_daily_weather, cte_hourly, cte_line_weather,
                                      cte_tickets, cte_training, daily_weather_columns, oracle, r6, stat_sql, with_)
 from faultcast.plans.oracles_features import TRAIN_INT, TWO_PI, training_features
-from faultcast.plans.oracles_text import cte_cls
+from faultcast.plans.oracles_text import cte_cls, cte_fx5
 from faultcast.plans.queries_misc import (AS_OF, CORR_COLS, SYSTEMS, TARGET_CORR_COLS, TRAINED_AT, _safe)
 from faultcast.sources import fixtures as fx
 
@@ -34,9 +34,10 @@ DW_SHORT = cte_daily_weather(cte_hourly(), "dw")
 # ---------------------------------------------------------------- scans and sinks
 oracle("scan_csv", with_([cte_hourly()], HOURLY_FINAL))
 oracle("scan_fallback", with_([cte_hourly()], HOURLY_FINAL))
-oracle("scan_tickets", with_([cte_tickets()], f"SELECT ticket_id, unit, status, created, {r6('amount')} AS amount FROM tickets"))
+oracle("scan_tickets", with_([cte_fx5()], """SELECT ticket_id, unit, md5(text) AS digest, length(text) AS n_chars,
+  CASE WHEN ticket_id % 5 > 0 THEN md5('"' || text || '",\\' || chr(10) || unit) END AS digest2 FROM fx5"""))
 oracle("sink_roundtrip", with_(DW_LONG, dw_final("dw_long")))
-oracle("sink_tickets", with_(cte_cls(), f"SELECT ticket_id, unit_before, unit, {r6('confidence')} AS confidence, details FROM cls"))
+oracle("sink_tickets", with_(cte_cls(), f"SELECT ticket_id, unit_before, unit, {r6('confidence')} AS confidence, details, md5(text) AS digest, md5(text2) AS digest2 FROM cls"))
 
 
 def cte_fx8():
@@ -99,8 +100,8 @@ oracle("drop_leaks", with_(cte_training(), f"SELECT system, date, fault_count, {
 # ---------------------------------------------------------------- statistics
 _PS = (0.05, 0.25, 0.5, 0.75, 0.95)
 oracle("quantiles", with_(cte_training(), " UNION ALL ".join(
-    f"SELECT system, '{c}' AS column_name, {p}::DOUBLE AS p, {r6(f'quantile_cont({c}, {p})')} AS q FROM training GROUP BY system"
-    for c in ("fault_count", "temp_avg", "humidity_avg") for p in _PS)))
+    f"SELECT system, '{c}' AS column_name, unnest({list(_PS)!r})::DOUBLE AS p, "
+    f"{r6(f'unnest(quantile_cont({c}, {list(_PS)!r}))')} AS q FROM training GROUP BY system" for c in CORR_COLS)))
 
 oracle("box_summary", with_(cte_counts() + [
     ("bq", "SELECT system, quantile_cont(fault_count, [0.25, 0.5, 0.75]) AS q FROM counts GROUP BY system"),
@@ -235,5 +236,4 @@ oracle("round_even", f"""SELECT l_orderkey, l_linenumber, {r6('round_even(l_exte
 # ---------------------------------------------------------------- streaming
 _stat_cols = [f"{p}_{fn}" for _, p, fns in spec.DAILY_STATS for fn in fns]
 oracle("stream_daily_rollup", with_([cte_hourly()], f"""SELECT date, {_r6all(_stat_cols)}
-FROM (SELECT ts::DATE AS date, {", ".join(stat_sql())} FROM hourly GROUP BY 1) a
-WHERE date < (SELECT CAST(max(ts) - INTERVAL 1 HOUR AS DATE) FROM hourly)"""))
+FROM (SELECT ts::DATE AS date, {", ".join(stat_sql())} FROM hourly GROUP BY 1) a"""))

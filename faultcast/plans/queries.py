@@ -74,7 +74,7 @@ def q_daily_counts_where(spark, sf_dir):
 @query("daily_mode")
 def q_daily_mode(spark, sf_dir):
     """A4: dominant wind direction per day (smallest on ties)."""
-    return rollup.daily_aggregate(fx.hourly(spark, sf_dir), exprs=rollup.mode_exprs())
+    return rollup.daily_mode(fx.hourly(spark, sf_dir))
 
 
 @query("daily_count")
@@ -95,6 +95,12 @@ def q_daily_weather_long(spark, sf_dir):
     return weather_fx3(spark, sf_dir)
 
 
+@query("daily_weather_sites")
+def q_daily_weather_sites(spark, sf_dir):
+    """E1 by site (FX1): windows and statistics per site."""
+    return daily_weather(fx.line_weather(spark, sf_dir, site=True), keys=["site"])
+
+
 @query("join_daily")
 def q_join_daily(spark, sf_dir):
     """Daily ticket counts inner-joined with daily features on date."""

@@ -88,9 +88,21 @@ def q_winsorize(spark, sf_dir):
 
 @query("zscore_median")
 def q_zscore_median(spark, sf_dir):
-    """O2: |z| >= 3 -> median, per system."""
-    t = _series(spark, sf_dir)
-    return zscore_to_median(t, [T, spec.HUMIDITY_AVG], 3.0, KEYS)
+    """O2: |z| >= 3 -> median in every feature, per system."""
+    t = training_fx(spark, sf_dir)
+    return zscore_to_median(t, spec.daily_columns(), 3.0, KEYS)
+
+
+@query("null_group_stats")
+def q_null_group_stats(spark, sf_dir):
+    """O1, O2, E6, E7, W9 on a key that is NULL for some rows (text lengths by quality label): NULL is a group."""
+    t = stage(fx.quality_lengths(spark, sf_dir))
+    keys = ["quality"]
+    out = W.extreme_flag(t, "n_chars", keys=keys)
+    for name, x in (("winsorized", winsorize_iqr(t, ["n_chars"], 1.5, keys)), ("cleaned", zscore_to_median(t, ["n_chars"], 3.0, keys)),
+                    ("standard", standard_scale(t, ["n_chars"], keys=keys)), ("robust", robust_scale(t, ["n_chars"], keys=keys))):
+        out = out.join(x.select("ticket_id", F.col("n_chars").alias(name)), "ticket_id")
+    return out
 
 
 @query("zscore_rows")

@@ -4,6 +4,7 @@ W11, M6, M12, M14, M18, J3, F1-F24, E5)."""
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import Window
@@ -33,15 +34,18 @@ from faultcast.sources.payload import explode_series
 KEYS = ["system"]
 HOURLY_SCHEMA = ("ts string, temperature double, humidity double, dew_point double, apparent_temperature double, "
                  "pressure double, cloud_cover double, wind_speed double, wind_gusts double, wind_direction double")
-TICKET_SCHEMA = "ticket_id bigint, unit string, status string, created string, amount double"
+TICKET_SCHEMA = "ticket_id bigint, unit string, text string, text2 string"
 AS_OF = "1998-08-01"
-CORR_COLS = ["fault_count", "temp_avg", "humidity_avg", "pressure_avg", "wind_avg", "cloud_avg", "temp_range", "clear_hours"]
-TARGET_CORR_COLS = ["temp_min", "temp_max", "temp_avg", "humidity_avg", "dewpoint_avg", "apparent_avg", "pressure_avg",
-                    "cloud_avg", "wind_avg", "gust_max", "temp_spread", "clear_hours", "cloudy_hours", "temp_humidity",
-                    "temp_roll3", "beaufort"]
+CORR_COLS = [spec.TARGET, *spec.daily_columns()]
+TARGET_CORR_COLS = spec.daily_columns()
 TRAINED_AT = "2026-01-01 00:00:00"
 
 
+
+def day_after(day: str, n: int) -> str:
+    return (dt.date.fromisoformat(day) + dt.timedelta(days=n)).isoformat()
+
+
 # ---------------------------------------------------------------- scans and sinks
 
 @query("scan_csv")
@@ -62,27 +66,36 @@ def q_scan_fallback(spark, sf_dir):
 
 @query("scan_tickets")
 def q_scan_tickets(spark, sf_dir):
-    """S3: exported tickets read from CSV with a declared schema."""
+    """S3: exported tickets with both texts (line breaks and quotes in them) read from CSV with a declared schema."""
     path = scratch_path(spark, "tickets_csv")
-    files.write_table(fx.tickets(spark, sf_dir), path, fmt="csv")
+    t = fx.ticket_text(spark, sf_dir)
+    quoted = F.concat(F.lit('"'), "text", F.lit('",\\\n'), "unit")
+    files.write_table(t.withColumn("text2", F.when(F.col("ticket_id") % 5 > 0, quoted)), path, fmt="csv")
     t = files.read_tickets(spark, path, fmt="csv", schema=TICKET_SCHEMA)
-    return t.withColumn("created", P.parse_ts("created"))
+    return t.select("ticket_id", "unit", F.md5("text").alias("digest"), F.length("text").alias("n_chars"),
+                    F.md5("text2").alias("digest2"))
+
+
+def daily_table(spark, sf_dir) -> str:
+    """Path of the daily weather table, written once by its job."""
+    path = scratch_path(spark, "daily_pq")
+    files.write_daily(weather_fx3(spark, sf_dir), path)
+    return path
 
 
 @query("sink_roundtrip")
 def q_sink_roundtrip(spark, sf_dir):
-    """The daily weather table written as parquet partitioned by month and read back."""
-    path = scratch_path(spark, "daily_pq")
-    files.write_table(weather_fx3(spark, sf_dir), path, partition_by=["month"])
-    return spark.read.parquet(path)
+    """The daily weather table written as parquet partitioned by year-month and read back."""
+    return files.read_daily(spark, daily_table(spark, sf_dir))
 
 
 @query("sink_tickets")
 def q_sink_tickets(spark, sf_dir):
     """The classified ticket table written and read back."""
     path = scratch_path(spark, "classified_pq")
-    files.write_table(classified(spark, sf_dir).drop("text", "text2"), path)
-    return spark.read.parquet(path).select("ticket_id", "unit_before", "unit", "confidence", "details")
+    files.write_table(classified(spark, sf_dir), path)
+    return spark.read.parquet(path).select("ticket_id", "unit_before", "unit", "confidence", "details",
+                                           F.md5("text").alias("digest"), F.md5("text2").alias("digest2"))
 
 
 def leaderboard_fx(spark, sf_dir):
@@ -154,14 +167,14 @@ def q_filter_in(spark, sf_dir):
 
 @query("next_days")
 def q_next_days(spark, sf_dir):
-    """The 7 days from as_of."""
-    return P.next_days(weather_fx3(spark, sf_dir), AS_OF, 6)
+    """The 7 days from as_of, read from the year-month folders of the daily table."""
+    return P.next_days(files.read_daily(spark, daily_table(spark, sf_dir), AS_OF, day_after(AS_OF, 6)), AS_OF, 6)
 
 
 @query("recent_slice")
 def q_recent_slice(spark, sf_dir):
-    """P10: the 30 days before as_of."""
-    return P.recent_slice(weather_fx3(spark, sf_dir), AS_OF, 30)
+    """P10: the 30 days before as_of, read from the year-month folders of the daily table."""
+    return P.recent_slice(files.read_daily(spark, daily_table(spark, sf_dir), day_after(AS_OF, -30), AS_OF), AS_OF, 30)
 
 
 @query("align_features")
@@ -184,7 +197,7 @@ def q_drop_leaks(spark, sf_dir):
 @query("quantiles")
 def q_quantiles(spark, sf_dir):
     """Exact quantiles per system (linear interpolation)."""
-    return S.quantiles(training_fx(spark, sf_dir), ["fault_count", "temp_avg", "humidity_avg"],
+    return S.quantiles(training_fx(spark, sf_dir), CORR_COLS,
                        (0.05, 0.25, 0.5, 0.75, 0.95), KEYS)
 
 
@@ -312,7 +325,7 @@ def q_preview(spark, sf_dir):
 def q_union_series(spark, sf_dir):
     """History + forecast, one row per hour, history wins, sorted."""
     hist, fc = fx.overlap(spark, sf_dir)
-    return R.union_series(hist, fc, "ts")
+    return R.sort_by(R.union_series(hist, fc, "ts"), "ts")
 
 
 @query("distinct_values")

@@ -60,3 +60,13 @@ TEMP_MAX = "temp_max"
 HUMIDITY_AVG = "humidity_avg"
 WIND_AVG = "wind_avg"
 TARGET = "fault_count"
+
+
+def daily_columns() -> list[str]:
+    """Columns of the daily weather table (E1) in order, without keys and date."""
+    out = list(CALENDAR_COLS)
+    for _, prefix, fns in DAILY_STATS:
+        out += [f"{prefix}_{fn}" for fn in fns]
+    out += [n for _, n in DAILY_RANGES] + [n for _, n, _, _ in DAILY_COUNTS] + [DAILY_MODE[1]]
+    out += ["temp_range", "temp_humidity", "temp_roll3", "humidity_roll3"] + [n for n, *_ in DAY_FLAGS]
+    return out + ["beaufort", WINDY_FLAG[0]]

@@ -1,7 +1,7 @@
 """Hourly readings -> one row per day with 44 columns.
 
-Plan shape: one hash aggregate (partial before the exchange) for all 29
-statistics, then one window stage on daily grain for the two 3-row means.
+Plan shape: two aggregates for all 29 statistics, the first hashed over raw
+grain, the second over a few rows per day, then one window stage on daily grain for the two 3-row means.
 With ``keys`` (site) the window is partitioned by site.
 """
 
@@ -17,25 +17,42 @@ from faultcast.plans import spec
 q = windows.q
 
 
-def stats_sql(hourly_spec: dict = spec.HOURLY) -> list[str]:
-    """A1-A4 aggregate texts: 23 statistics, 2 spreads, 3 hour counts, 1 mode."""
-    out = []
-    for role, prefix, fns in spec.DAILY_STATS:
-        c = q(hourly_spec[role])
-        out += [f"{fn}({c}) AS {prefix}_{fn}" for fn in fns]
-    out += [f"max({q(hourly_spec[r])}) - min({q(hourly_spec[r])}) AS {n}" for r, n in spec.DAILY_RANGES]
-    out += [f"count_if({q(hourly_spec[r])} {op} {thr!r}D) AS {n}" for r, n, op, thr in spec.DAILY_COUNTS]
+def partial_sql(hourly_spec: dict = spec.HOURLY) -> list[str]:
+    """First aggregate, per (keys, date, direction): mergeable parts of the 29 statistics."""
+    cols = sorted({hourly_spec[r] for r, _, _ in spec.DAILY_STATS} | {hourly_spec[r] for r, _ in spec.DAILY_RANGES})
+    out = ["count(1) AS _n"]
+    for c in cols:
+        x = q(c)
+        out += [f"min({x}) AS {q('_min_' + c)}", f"max({x}) AS {q('_max_' + c)}",
+                f"sum({x}) AS {q('_sum_' + c)}", f"count({x}) AS {q('_cnt_' + c)}"]
+    return out + [f"count_if({q(hourly_spec[r])} {op} {thr!r}D) AS {q('_if_' + n)}" for r, n, op, thr in spec.DAILY_COUNTS]
+
+
+def merged_sql(hourly_spec: dict = spec.HOURLY) -> list[str]:
+    """Second aggregate, per (keys, date): 23 statistics, 2 spreads, 3 hour counts, 1 mode (smallest on ties, NULL never)."""
+    def stat(fn: str, c: str) -> str:
+        if fn == "avg":
+            return f"try_divide(sum({q('_sum_' + c)}), sum({q('_cnt_' + c)}))"
+        return f"{fn}({q(f'_{fn}_' + c)})"
+
+    out = [f"{stat(fn, hourly_spec[role])} AS {prefix}_{fn}" for role, prefix, fns in spec.DAILY_STATS for fn in fns]
+    out += [f"{stat('max', hourly_spec[r])} - {stat('min', hourly_spec[r])} AS {n}" for r, n in spec.DAILY_RANGES]
+    out += [f"sum({q('_if_' + n)}) AS {n}" for _, n, _, _ in spec.DAILY_COUNTS]
     role, name = spec.DAILY_MODE
-    out.append(f"mode({q(hourly_spec[role])}, true) AS {name}")
+    c = q(hourly_spec[role])
+    out.append(f"max_by({c}, CASE WHEN {c} IS NOT NULL THEN struct(_n, -{c}) END) AS {name}")
     return out
 
 
 def daily_stats(hourly: DataFrame, ts_col: str = "ts", keys=None, hourly_spec: dict = spec.HOURLY) -> DataFrame:
-    """A1-A4 in one aggregate (partial aggregation before the exchange)."""
+    """A1-A4 by two aggregates: per direction of a day over the raw readings (hashed, with map-side parts),
+    then per day over a few rows each. The mode needs no buffer of values, so nothing sorts raw grain."""
     keys = list(keys or [])
+    mode = hourly_spec[spec.DAILY_MODE[0]]
     day = sql_select(hourly, [q(k) for k in keys] + [f"to_date({q(ts_col)}) AS date"]
                      + [q(c) for c in sorted(set(hourly_spec.values())) if c in hourly.columns])
-    return sql_agg(day, [*keys, "date"], stats_sql(hourly_spec))
+    parts = sql_agg(day, [*keys, "date", mode], partial_sql(hourly_spec))
+    return sql_agg(parts, [*keys, "date"], merged_sql(hourly_spec))
 
 
 def calendar_sql(date_col: str = "date") -> list[str]:

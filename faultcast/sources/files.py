@@ -33,7 +33,7 @@ def read_series_csv(spark: SparkSession, path: str, schema: T.StructType | str,
     fields = []
     for f in schema.fields:
         fields.append(T.StructField(f.name, T.StringType() if f.name == ts_col else f.dataType, True))
-    df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
+    df = (spark.read.option("header", True).option("mode", "PERMISSIVE").options(**CSV_TEXT)
           .option("nanValue", "NaN").schema(T.StructType(fields)).csv(path))
     if ts_col:
         parsed = F.to_timestamp_ntz(F.col(ts_col), F.lit(ts_format)) if ts_format else F.to_timestamp_ntz(F.col(ts_col))
@@ -57,14 +57,20 @@ def read_first_available(spark: SparkSession, paths: list[str], reader) -> DataF
     raise FileNotFoundError(f"none of the inputs exists: {paths}")
 
 
+#: Texts may hold quotes and line breaks; a field's own quotes are doubled, and nulls differ from empty texts.
+CSV_TEXT = {"quote": '"', "escape": '"', "nullValue": "\\N", "emptyValue": ""}
+
+
 def read_tickets(spark: SparkSession, path: str, fmt: str = "parquet",
                  schema: T.StructType | str | None = None) -> DataFrame:
-    """S3: the exported ticket table (parquet or header CSV).
+    """S3: the exported ticket table (parquet or header CSV with multi-line texts).
 
-    Workbook decoding is not built; tickets enter as an exported table.
+    Workbook decoding is not built; tickets enter as an exported table. A CSV
+    file whose texts hold line breaks can't be split, so a file is one task's:
+    at scale export parquet, or many files.
     """
     if fmt == "csv":
-        rdr = spark.read.option("header", True)
+        rdr = spark.read.option("header", True).option("multiLine", True).options(**CSV_TEXT)
         if schema is not None:
             rdr = rdr.schema(schema)
         return rdr.csv(path)
@@ -77,11 +83,28 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).options(**CSV_TEXT).option("quoteAll", True).csv(path)
     else:
         w.parquet(path)
 
 
+def write_daily(daily: DataFrame, path: str, keys: list[str] | None = None) -> None:
+    """S5 for daily tables: partitioned by ``keys`` and year-month, so that a date range reads a few folders."""
+    write_table(daily.withColumn("ym", F.date_format("date", "yyyy-MM")), path, partition_by=[*(keys or []), "ym"])
+
+
+def read_daily(spark: SparkSession, path: str, first=None, last=None) -> DataFrame:
+    """The daily table, or its days from ``first`` to ``last`` (ISO dates): a partition filter and a date filter."""
+    d = spark.read.parquet(path)
+    if first is not None:
+        d = d.filter((F.col("ym") >= F.date_format(F.lit(first).cast("date"), "yyyy-MM"))
+                     & (F.col("date") >= F.lit(first).cast("date")))
+    if last is not None:
+        d = d.filter((F.col("ym") <= F.date_format(F.lit(last).cast("date"), "yyyy-MM"))
+                     & (F.col("date") <= F.lit(last).cast("date")))
+    return d.drop("ym")
+
+
 LEADERBOARD_SCHEMA = T.StructType([
     T.StructField("system", T.StringType()),
     T.StructField("model_name", T.StringType()),

@@ -25,17 +25,6 @@ OVERLAP_HISTORY_END = "2024-01-20 00:00:00"
 OVERLAP_FORECAST_START = "2024-01-18 00:00:00"
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FX1: long-form sensor readings (ts, site, channel, value) from ``events``."""
-    ev = read_table(spark, sf_dir, "events")
-    return ev.select(
-        F.col("ts"),
-        F.col("user_id").alias("site"),
-        F.col("event_type").alias("channel"),
-        F.col("value"),
-    )
-
-
 def _weather_from_channels(temp, humid, press, cloud, wind, gust, direction):
     dew = temp - (F.lit(100.0) - humid) / 4.0
     apparent = temp - wind / 4.0
@@ -81,14 +70,15 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.select("ts", *_weather_from_channels(temp, humid, press, cloud, wind, gust, direction))
 
 
-def line_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_weather(spark: SparkSession, sf_dir: str, site: bool = False) -> DataFrame:
     """Raw-grain weather readings from ``lineitem`` (one reading per line at its ship date).
 
     This is the long daily series (FX3) once rolled up by day. Values are
-    binary fractions (see :func:`hourly`).
+    binary fractions (see :func:`hourly`). With ``site`` (FX1) each supplier is
+    a site with readings of its own.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
-        "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_linenumber")
+        *(["l_suppkey"] if site else []), "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_linenumber")
     disc = F.rint(F.col("l_discount") * 100.0)
     tax = F.rint(F.col("l_tax") * 100.0)
     temp = F.col("l_quantity") / 2.0 - 5.0
@@ -98,7 +88,8 @@ def line_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     wind = F.col("l_quantity") * disc / 16.0
     gust = wind + tax
     direction = (F.col("l_linenumber") * 45).cast("double")
-    return li.select(F.col("l_shipdate").cast("timestamp_ntz").alias("ts"),
+    return li.select(*([F.col("l_suppkey").alias("site")] if site else []),
+                     F.col("l_shipdate").cast("timestamp_ntz").alias("ts"),
                      *_weather_from_channels(temp, humid, press, cloud, wind, gust, direction))
 
 
@@ -131,6 +122,13 @@ def ticket_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("text"), F.col("source").alias("text2"))
 
 
+def quality_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text lengths with the quality label, NULL where there is none."""
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ticket_id"), F.length("text").cast("double").alias("n_chars"))
+    lab = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ticket_id"), "quality")
+    return d.join(lab, "ticket_id", "left")
+
+
 def hash_unit(key_col, salt: str) -> F.Column:
     """Deterministic value in [0, 1) from md5(key|salt); equal in DuckDB."""
     h = F.md5(F.concat(key_col.cast("string"), F.lit("|" + salt)))

@@ -29,7 +29,7 @@ def test_mode_tie_smallest_and_null_day(spark):
     rows = [(ts("2024-01-01 00:00"), 90.0), (ts("2024-01-01 01:00"), 90.0), (ts("2024-01-01 02:00"), 45.0),
             (ts("2024-01-01 03:00"), 45.0), (ts("2024-01-02 00:00"), None), (ts("2024-01-02 01:00"), None)]
     df = spark.createDataFrame(rows, "ts timestamp_ntz, wind_direction double")
-    out = {r["date"]: r["dominant_wind_dir"] for r in rollup.daily_aggregate(df, exprs=rollup.mode_exprs()).collect()}
+    out = {r["date"]: r["dominant_wind_dir"] for r in rollup.daily_mode(df).collect()}
     assert out[d("2024-01-01")] == 45.0
     assert out[d("2024-01-02")] is None
 
@@ -86,23 +86,24 @@ def test_calendar_year_boundary_and_season_diff(spark):
 
 
 def test_combine_text_keeps_separator_and_rule_order(spark):
-    df = spark.createDataFrame([(1, None, "b"), (2, "a", None), (3, "Koeler en verwarming", "x")], "id int, t1 string, t2 string")
-    out = df.select("id", tx.combine_text("t1", "t2").alias("c"), tx.keyword_rules(tx.combine_text("t1", "t2"))["label"].alias("k")) \
-        .orderBy("id").collect()
+    df = spark.createDataFrame([(1, None, "b"), (2, "a", None), (3, "Alpha and beta", "x")], "id int, t1 string, t2 string")
+    rules = [("alpha", "C1"), ("beta", "C2")]
+    out = df.select("id", tx.combine_text("t1", "t2").alias("c"),
+                    tx.keyword_rules(tx.combine_text("t1", "t2"), rules)["label"].alias("k")).orderBy("id").collect()
     assert out[0]["c"] == " b" and out[1]["c"] == "a "
-    assert out[2]["k"] == "SF-VKS01"
+    assert out[2]["k"] == "C1"
 
 
 def test_threshold_inclusive_and_first_wins(spark):
-    rows = [(1, "SF-VKS", "x", None, 0.8, 0.1, 0.1), (2, "SF-VKS", "y", None, 0.5, 0.5, 0.5),
-            (3, "SF-VKS01", "z", None, 0.1, 0.1, 0.1), (4, "OTHER", "z", None, 0.9, 0.0, 0.0)]
+    rows = [(1, "GENERIC", "x", None, 0.8, 0.1, 0.1), (2, "GENERIC", "y", None, 0.5, 0.5, 0.5),
+            (3, "C1", "z", None, 0.1, 0.1, 0.1), (4, "OTHER", "z", None, 0.9, 0.0, 0.0)]
     df = spark.createDataFrame(rows, "id int, unit string, text string, text2 string, a double, b double, c double")
     out = {r["id"]: r for r in tx.classify_tickets(
-        df, {"SF-VKS01": "a", "SF-VKS02": "b", "SF-VKS03": "c"}).collect()}
-    assert out[1]["unit"] == "SF-VKS01" and out[1]["confidence"] == 0.8
-    assert out[1]["details"] == "model: SF-VKS01 (80.0%)"
-    assert out[2]["unit"] == "SF-VKS" and out[2]["model_label"] == "SF-VKS01"
-    assert out[3]["unit"] == "SF-VKS01" and out[3]["confidence"] == 1.0 and out[3]["details"] == ""
+        df, {"C1": "a", "C2": "b", "C3": "c"}, rules=[("alpha", "C1")], generic="GENERIC").collect()}
+    assert out[1]["unit"] == "C1" and out[1]["confidence"] == 0.8
+    assert out[1]["details"] == "model: C1 (80.0%)"
+    assert out[2]["unit"] == "GENERIC" and out[2]["model_label"] == "C1"
+    assert out[3]["unit"] == "C1" and out[3]["confidence"] == 1.0 and out[3]["details"] == ""
     assert out[4]["unit"] == "OTHER" and out[4]["confidence"] is None and out[4]["details"] == ""
 
 
@@ -218,7 +219,7 @@ def test_corr_pairs_gram_path_equals_wide_aggregate(spark):
         wide = {(r["k"], r["col_a"], r["col_b"]): r["corr"]
                 for r in S.corr_pairs(df, cols, ["k"], absolute=absolute).collect()}
         gram = {(r["k"], r["col_a"], r["col_b"]): r["corr"]
-                for r in S.corr_pairs(df, cols, ["k"], absolute=absolute, wide_limit=0).collect()}
+                for r in S.corr_pairs(df, cols, ["k"], absolute=absolute).collect()}
         assert wide.keys() == gram.keys() and len(wide) == 18
         for key, v in wide.items():
             if v is None:
@@ -226,5 +227,5 @@ def test_corr_pairs_gram_path_equals_wide_aggregate(spark):
             else:
                 assert gram[key] is not None and math.isclose(gram[key], v, abs_tol=1e-12), key
     assert gram[("k1", "a", "c")] is None            # constant column -> NULL, not noise
-    nokey = {(r["col_a"], r["col_b"]): r["corr"] for r in S.corr_pairs(df, cols, None, wide_limit=0).collect()}
+    nokey = {(r["col_a"], r["col_b"]): r["corr"] for r in S.corr_pairs(df, cols, None).collect()}
     assert len(nokey) == 6
