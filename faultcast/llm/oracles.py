@@ -1,5 +1,9 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from __future__ import annotations
+
+from . import licenses
+
 OP7 = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -20,6 +24,60 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+OP5 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+o AS (SELECT payload, max(page_id) AS owner FROM p GROUP BY payload),
+r AS (SELECT p.*, o.owner, octet_length(p.payload) >= 1000 AND o.owner <> p.page_id AS again FROM p JOIN o USING (payload))
+SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN owner END AS refers_to
+FROM r
+"""
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLACES = " UNION ALL ".join(
+    f"SELECT doc_id, i - 1 AS start, '{label}' AS label FROM w, range(1, len(ws) + 1) r(i) WHERE "
+    + " AND ".join(f"ws[i + {k}] = '{part}'" for k, part in enumerate(phrase.split()))
+    for phrase, label in licenses.PHRASES.items())
+_RULES = ", ".join(f"('{label}', {sorted(set(t.split()))!r})" for label, texts in sorted(licenses.TEMPLATES.items()) for t in texts)
+OP8 = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_WORD}') AS ws FROM documents),
+places AS ({_PLACES}),
+base AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
+         list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY doc_id),
+blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split({_LOW}, chr(10))), '{_WORD}')) AS ws FROM documents),
+rules AS (SELECT * FROM (VALUES {_RULES}) r(label, template)),
+shares AS (SELECT doc_id, label, len(list_intersect(ws, template)) / len(template) AS share FROM blocks, rules
+           WHERE len(list_intersect(ws, template)) >= 0.8 * len(template) - 1e-9),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM shares GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+OP9 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle FROM w, range(1, greatest(len(ws) - 3, 2)) r(i)
+  WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 80 * (a.n + b.n - common)),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON r.x = d.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op5_warc": OP5,
     "op7_line_dedup": OP7,
+    "op8_license_scan": OP8,
+    "op9_ngram_jaccard": OP9,
 }
