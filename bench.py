@@ -29,6 +29,9 @@ HEADLINE = [
     "chrono_split",           # W10
     "union_series",           # U1
     "explode_series",         # S4
+    "classify_tickets",       # M5 with a fitted text classifier
+    "leaderboard",            # M11, M12 over three systems
+    "forecast_job",           # M20 + M21
 ]
 
 
@@ -38,7 +41,8 @@ def main() -> None:
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session(f"local[{cpus}]", app="faultcast-bench", shuffle_partitions=int(cpus) * 2)
+    spark = build_session(f"local[{cpus}]", app="faultcast-bench", shuffle_partitions=int(cpus) * 2,
+                          extra={"spark.driver.memory": "16g"})  # local mode: the driver JVM is the only executor
     names = sys.argv[1:] or HEADLINE
     # warm-up: JVM, parquet footers, codegen caches
     QUERIES["daily_count"](spark, sf_dir).write.format("noop").mode("overwrite").save()

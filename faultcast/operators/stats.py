@@ -346,3 +346,25 @@ def robust_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None
         iqr = f"(_q{i}[2] - _q{i}[0])"
         exprs[c] = f"({_q(c)} - _q{i}[1]) / (CASE WHEN {iqr} IS NULL OR {iqr} = 0 THEN 1.0D ELSE {iqr} END)"
     return _scale(df, stats, exprs, fit_on, keys)
+
+
+def fitted_scale(src: DataFrame, cols: list[str], kind: str = "standard") -> dict[str, tuple[float, float]]:
+    """(centre, scale) per column from one aggregate over ``src``: a row per column, to be kept with a model."""
+    from faultcast.functions.scalars import sql_agg
+
+    exprs = []
+    for i, c in enumerate(cols):
+        if kind == "standard":
+            exprs += [f"avg({_q(c)}) AS c{i}", f"stddev_pop({_q(c)}) AS s{i}"]
+        else:
+            exprs += [f"percentile({_q(c)}, 0.5) AS c{i}", f"percentile({_q(c)}, 0.75) - percentile({_q(c)}, 0.25) AS s{i}"]
+    r = sql_agg(src, [], exprs).first()
+    return {c: (float(r[f"c{i}"] or 0.0), float(r[f"s{i}"] or 0.0) or 1.0) for i, c in enumerate(cols)}
+
+
+def apply_scale(df: DataFrame, fitted: dict[str, tuple[float, float]]) -> DataFrame:
+    """E6/E7 with kept statistics: (x - centre) / scale as literals, no join."""
+    from faultcast.functions.scalars import sql_select
+
+    return sql_select(df, [f"({_q(c)} - {fitted[c][0]!r}D) / {fitted[c][1]!r}D AS {_q(c)}" if c in fitted else _q(c)
+                           for c in df.columns])

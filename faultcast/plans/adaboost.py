@@ -101,10 +101,10 @@ class AdaBoostR2Model(Model, _AdaParams, MLReadable, MLWritable):
         pairs = F.arrays_zip(F.array(*[F.col(n) for n in names]).alias("p"),
                              F.array(*[F.lit(a) for a in self.alphas]).alias("a"))
         total = sum(self.alphas)
-        # sorted by prediction; the first prediction whose cumulative weight reaches half the total
-        cum = ("transform(_ada_s, (x, i) -> aggregate(slice(_ada_s, 1, i + 1), 0D, (acc, y) -> acc + y.a))")
-        pos = f"array_position(transform({cum}, c -> c >= {0.5 * total!r}D), true)"
-        pick = f"element_at(_ada_s, CAST(greatest({pos}, 1) AS INT)).p"
+        # sorted by prediction; the first prediction whose running weight reaches half the total
+        half = f"{0.5 * total!r}D"
+        pick = (f"aggregate(_ada_s, named_struct('sum', 0D, 'p', CAST(NULL AS DOUBLE)), (s, y) -> named_struct("
+                f"'sum', s.sum + y.a, 'p', CASE WHEN s.p IS NULL AND s.sum + y.a >= {half} THEN y.p ELSE s.p END), s -> s.p)")
         return (x.withColumn("_ada_s", F.array_sort(pairs))
                 .withColumn(out, F.expr(pick))
                 .drop("_ada_s", *names))

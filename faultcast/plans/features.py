@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from faultcast.functions.scalars import sql_select
 from faultcast.operators import windows as W
-from faultcast.operators.columns import align_features, drop_target_leaks, numeric_columns
+from faultcast.operators.columns import align_features, drop_target_leaks, fill_const, numeric_columns
 from faultcast.operators.stats import robust_scale, standard_scale, winsorize_iqr
 from faultcast.plans import spec
 
@@ -44,7 +44,7 @@ def assign(df: DataFrame, items: list[tuple[str, str]], fill0: bool = False) ->
     exprs = [f"{new.pop(c)} AS {q(c)}" if c in new else q(c) for c in df.columns]
     exprs += [f"{e} AS {q(n)}" for n, e in new.items()]
     out = sql_select(df, exprs)
-    return out.na.fill(0) if fill0 else out
+    return fill_const(out, 0) if fill0 else out
 
 
 def base_features(df: DataFrame, target: str = spec.TARGET, keys=("system",), date_col: str = "date",
@@ -170,12 +170,13 @@ def forecast_trends(df: DataFrame, keys=(), date_col: str = "date", windows=(1,
 
 
 def forecast_features(daily: DataFrame, variant: str = "rich", keys=(), date_col: str = "date",
-                      fit_on: DataFrame | None = None, expected: list[str] | None = None) -> DataFrame:
+                      fit_on: DataFrame | None = None, expected: list[str] | None = None, scale: bool = True) -> DataFrame:
     """Daily weather -> trends -> E2 -> E3 (rich) or E4 (lean) -> scale -> align.
 
     ``fit_on=None`` refits the scaler on the rows being scored (the
     reference's behaviour); pass the training features to avoid that skew.
-    The rich variant uses the standard scaler, the lean one the robust scaler.
+    The rich variant uses the standard scaler, the lean one the robust scaler;
+    ``scale=False`` leaves scaling to the caller, who may have kept statistics.
     """
     from faultcast.session import stage
 
@@ -183,6 +184,8 @@ def forecast_features(daily: DataFrame, variant: str = "rich", keys=(), date_col
     x = forecast_trends(daily, keys, date_col)
     x = stage(base_features(x, target="_no_target_", keys=keys, date_col=date_col))
     x = stage(rich_temporal(x, keys, date_col) if variant == "rich" else lean_temporal(x, keys, date_col))
+    if not scale:
+        return x
     feats = feature_columns(x, "_no_target_", keys, date_col)
     num = [c for c in numeric_columns(x) if c in feats]
     scaled = (standard_scale if variant == "rich" else robust_scale)(x, num, fit_on, keys)
@@ -199,22 +202,25 @@ def feature_select(df: DataFrame, features: list[str], keys=("system",), min_std
     join and a grouped max on that small pair table, so nothing but the final
     table ever leaves the executors.
     """
-    from faultcast.operators.stats import corr_pairs
+    from faultcast.operators.stats import attach_global, corr_pairs, join_null_safe
+    from faultcast.session import stage
 
     keys = [k for k in (keys or []) if k in df.columns]
-    spark = df.sparkSession
-    pos = spark.createDataFrame([(f, i) for i, f in enumerate(features)], "feature string, position int")
     from faultcast.functions.scalars import sql_agg
 
-    sds = sql_agg(df, keys, [f"stddev_samp({q(f)}) AS s{i}" for i, f in enumerate(features)])
-    arr = "inline(array(" + ", ".join(f"named_struct('feature', '{f}', 'std', s{i})" for i, f in enumerate(features)) + "))"
-    std = sql_select(sds, [q(k) for k in keys] + [arr])
-    ok = std.select(*keys, "feature", (F.col("std").isNull() | (F.col("std") >= min_std)).alias("var_ok"))
-    pairs = corr_pairs(df, features, keys, absolute=True)
-    a_ok = ok.select(*keys, F.col("feature").alias("col_a"), F.col("var_ok").alias("a_ok"))
-    b_ok = ok.select(*keys, F.col("feature").alias("col_b"), F.col("var_ok").alias("b_ok"))
-    live = pairs.join(a_ok, [*keys, "col_a"]).join(b_ok, [*keys, "col_b"]).filter(F.col("a_ok") & F.col("b_ok"))
-    prior = live.groupBy(*keys, F.col("col_b").alias("feature")).agg(F.max("corr").alias("max_prior_corr"))
-    out = std.join(pos, "feature").join(ok, [*keys, "feature"]).join(prior, [*keys, "feature"], "left")
-    kept = F.col("var_ok") & (F.col("max_prior_corr").isNull() | (F.col("max_prior_corr") <= max_corr))
-    return out.select(*keys, "feature", "position", "std", "max_prior_corr", kept.alias("kept"))
+    x = stage(df.select(*keys, *features))
+    # one row per key: all deviations, and by position of the later feature the largest |corr| with an earlier one
+    std = sql_agg(x, keys, ["array(" + ", ".join(f"stddev_samp({q(f)})" for f in features) + ") AS stds"])
+    live = lambda c: F.col(c).isNull() | (F.col(c) >= min_std)
+    pairs = join_null_safe(corr_pairs(x, features, keys, absolute=True), std, keys) if keys else attach_global(
+        corr_pairs(x, features, keys, absolute=True), std)
+    names = F.array(*[F.lit(f) for f in features])
+    pairs = pairs.select(*keys, "corr", (F.array_position(names, F.col("col_b")) - 1).alias("position"),
+                         F.get("stds", (F.array_position(names, F.col("col_a")) - 1).cast("int")).alias("sa"),
+                         F.get("stds", (F.array_position(names, F.col("col_b")) - 1).cast("int")).alias("sb"))
+    prior = pairs.filter(live("sa") & live("sb")).groupBy(*keys, "position").agg(F.max("corr").alias("max_prior_corr"))
+    out = std.select(*keys, F.posexplode("stds").alias("position", "std"))
+    out = join_null_safe(out, prior, [*keys, "position"])
+    kept = live("std") & (F.col("max_prior_corr").isNull() | (F.col("max_prior_corr") <= max_corr))
+    return out.select(*keys, F.get(names, F.col("position")).alias("feature"), "position", "std", "max_prior_corr",
+                      kept.alias("kept"))

@@ -1,30 +1,33 @@
 """The two applications of the reference as Spark jobs: retrain (M20) and forecast (M21, with M19).
 
-Stages hand over through tables in a shared folder, as the reference hands
-over through files: classified tickets (S6), daily weather (S5), training
-table, saved models (S7) and the leaderboard (S8).
+Stages hand over through tables below a root folder that the caller names (a
+shared store), as the reference hands over through files: classified tickets
+(S6), daily weather (S5), training table, saved models (S7) and the leaderboard
+(S8). The forecast application only reads what the retrain application wrote,
+so the two may be different applications.
 """
 
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultcast.operators.columns import drop_incomplete, next_days
+from faultcast.operators.columns import align_features, drop_incomplete, next_days
 from faultcast.operators.joins import assemble_predictions
+from faultcast.operators.metrics import regression_metrics
 from faultcast.operators.ranking import best_model, union_series
-from faultcast.operators.stats import attach_global
+from faultcast.operators.stats import apply_scale, attach_global, fitted_scale
 from faultcast.operators.text import classify_tickets
 from faultcast.plans import models as M
+from faultcast.plans import spec
 from faultcast.plans.features import base_features, forecast_features, lean_temporal, rich_temporal
 from faultcast.plans.training import fault_training_table
 from faultcast.plans.weather import daily_weather
-from faultcast.session import ensure_checkpoint_dir, stage
+from faultcast.session import stage
 from faultcast.sources import files
 from faultcast.sources import fixtures as fx
 
@@ -33,136 +36,157 @@ from faultcast.sources import fixtures as fx
 class SystemSetup:
     """How one system is trained (the reference trains a cooling and a heating system)."""
     name: str          # output prefix
-    system: str        # unit code in the tickets
+    system: str        # unit code in the classified tickets
     variant: str       # 'rich' (E3) or 'lean' (E4)
     split: str         # 'random' or 'time'
     scaler: str        # 'standard' or 'robust'
     stack_r2_min: float
     contiguous_folds: bool
+    search: str        # 'holdout' or 'time'
 
 
-# The two trained systems of the fixture tickets and their settings.
+# The classes of the fixture tickets and how each is trained.
 SETUPS = (
-    SystemSetup("cooling", "1-URGENT", "rich", "random", "standard", 0.4, False),
-    SystemSetup("heating", "2-HIGH", "lean", "time", "robust", 0.3, True),
+    SystemSetup("cooling", "C1", "rich", "random", "standard", 0.4, False, "holdout"),
+    SystemSetup("heating", "C2", "lean", "time", "robust", 0.3, True, "time"),
+    SystemSetup("other", "C3", "lean", "random", "standard", 0.3, False, "holdout"),
 )
 TEXT_CLASSES = list(fx.SPECIFIC)
 
 
-def models_root(spark: SparkSession) -> str:
-    return os.path.join(ensure_checkpoint_dir(spark), "faultcast-models")
-
-
 def system_features(training: DataFrame, variant: str) -> DataFrame:
+    """Features of every system in one pass; windows and bounds are per system."""
     base = stage(base_features(training, keys=["system"]))
     return stage(rich_temporal(base, ["system"]) if variant == "rich" else lean_temporal(base, ["system"]))
 
 
-def train_system(training: DataFrame, setup: SystemSetup, sizes: M.ModelSizes, root: str | None = None,
-                 with_stacking: bool = True, stack_all: bool = False):
-    """Train and compare every model for one system; returns (leaderboard, predictions, prepared)."""
-    feats = system_features(training, setup.variant)
-    p = M.prepare(feats, setup.system, setup.split, setup.scaler)
-    models, preds = M.compare_models(p, sizes)
-    board = M.leaderboard(preds)
-    vote = M.vote_predictions(preds, board)
-    allp = preds.unionByName(vote)
-    if with_stacking:
-        st = M.stacking(p, board, sizes, r2_min=-float("inf") if stack_all else setup.stack_r2_min,
-                        contiguous=setup.contiguous_folds)
-        if st is not None:
-            allp = allp.unionByName(st)
-    allp = stage(allp)
-    board = M.leaderboard(allp)
-    if root:
-        # the best single model is deployed with the assembler that fixes its feature list
-        single = best_model(board.filter(F.col("model").isin(list(models))), ["system"], "r2", name="model")
-        name = single.select("model").first()["model"]
-        pm = PipelineModel(stages=[VectorAssembler(inputCols=p.features, outputCol="features", handleInvalid="keep"),
-                                   models[name]])
-        M.save_model(pm, os.path.join(root, setup.name))
-    return board, allp, p
-
-
-def classify_stage(spark: SparkSession, sf_dir: str, sizes: M.ModelSizes) -> DataFrame:
-    """M5: text model probabilities for every ticket, then the relabelling decision."""
-    from faultcast.plans.queries_text import FX_RULES, FX_SCOPE, THRESHOLD
-
-    t = fx.ticket_text(spark, sf_dir)
-    model = M.fit_text_classifier(t, TEXT_CLASSES, sizes)
-    probs = M.class_probabilities(model, M.text_frame(t, TEXT_CLASSES), TEXT_CLASSES).drop("label")
-    return classify_tickets(probs, {c: f"p_{c}" for c in TEXT_CLASSES}, scope=FX_SCOPE, rules=FX_RULES,
-                            generic=fx.GENERIC, threshold=THRESHOLD)
-
-
-def retrain_job(spark: SparkSession, sf_dir: str, sizes: M.ModelSizes = M.ModelSizes(), root: str | None = None,
-                stack_all: bool = False) -> DataFrame:
-    """Land -> classify -> daily weather -> training table -> train both systems -> save.
-
-    Returns the leaderboard read back from its JSON file.
-    """
-    root = root or models_root(spark)
-    classified = classify_stage(spark, sf_dir, sizes)
-    files.write_table(classified.drop("text", "text2"), os.path.join(root, "tickets_classified"))
-    daily = daily_weather(fx.line_weather(spark, sf_dir))
-    files.write_table(daily, os.path.join(root, "daily_weather"))
-    daily = spark.read.parquet(os.path.join(root, "daily_weather"))
-    training = fault_training_table(fx.tickets(spark, sf_dir), daily)
-    files.write_table(training, os.path.join(root, "training"))
-    training = spark.read.parquet(os.path.join(root, "training"))
-    boards = None
-    for setup in SETUPS:
-        board, _, _ = train_system(training, setup, sizes, root, stack_all=stack_all)
-        boards = board if boards is None else boards.unionByName(board)
-    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
-    flat = boards.select("system", F.col("model").alias("model_name"), "mse", "rmse", "mae", "r2", stamp.alias("trained_at"))
-    files.write_leaderboard(flat, os.path.join(root, "leaderboard"))
-    return files.read_leaderboard(spark, os.path.join(root, "leaderboard"))
+def prepared_all(training: DataFrame, setups=SETUPS) -> list[tuple[SystemSetup, M.Prepared]]:
+    """The rows of each setup, from features that are built once per variant."""
+    wanted = training.filter(F.col("system").isin([s.system for s in setups]))
+    feats = {v: system_features(wanted, v) for v in sorted({s.variant for s in setups})}
+    return [(s, M.prepare(feats[s.variant], s.system, s.split, s.scaler)) for s in setups]
 
 
-def score_forecast(spark: SparkSession, daily: DataFrame, root: str, parity: bool = True) -> DataFrame:
-    """Per system, forecast features (E8) aligned to the saved model's feature list, predict,
-    round half-even to integers, and place the systems side by side (J3).
+def train_system(p: M.Prepared, setup: SystemSetup, sizes: M.ModelSizes, tune: bool = False,
+                 stack_all: bool = False) -> tuple[dict[str, PipelineModel], DataFrame]:
+    """M8-M15 for one system: (pipelines by name, their test predictions).
 
-    ``parity=True`` refits the scaler on the rows being scored, like the reference.
+    With ``tune`` the boosted trees take the settings that M15 finds (hold-out
+    or time folds, as the setup says).
     """
-    scores = None
-    for setup in SETUPS:
-        model = M.load_model(os.path.join(root, setup.name))
-        if model is None:
-            raise FileNotFoundError(f"no saved model for {setup.name} under {root}")
-        expected = model.stages[0].getInputCols()
-        x = forecast_features(daily, setup.variant, keys=(), expected=expected)
-        pr = model.transform(x).select("date", F.lit(setup.name).alias("system"), F.col("prediction").alias("prediction"))
-        scores = pr if scores is None else scores.unionByName(pr)
-    return assemble_predictions(scores, [s.name for s in SETUPS])
+    if tune:
+        sizes = replace(sizes, tuned=M.best_settings(M.search_params(p, sizes, setup.search)))
+    models, preds = M.compare_models(p, sizes)
+    board = stage(M.leaderboard(preds))
+    pipelines = M.deployable(p, models, board, sizes, -float("inf") if stack_all else setup.stack_r2_min,
+                             setup.contiguous_folds)
+    return pipelines, stage(M.scored(pipelines, p.test))
 
 
-def forecast_job(spark: SparkSession, sf_dir: str, as_of: str, sizes: M.ModelSizes = M.ModelSizes(),
-                 root: str | None = None) -> DataFrame:
-    """History + forecast hours (U1) -> daily weather -> scores -> the 7 days from ``as_of``,
-    with the chosen model name and metrics per system.
+def classify_stage(tickets: DataFrame, sizes: M.ModelSizes, probabilities: DataFrame | None = None, **rules) -> DataFrame:
+    """M5: text model probabilities for every ticket (or the given ones), then the relabelling decision."""
+    if probabilities is None:
+        model = M.fit_text_classifier(tickets, TEXT_CLASSES, sizes)
+        probabilities = M.class_probabilities(model, M.text_frame(tickets, TEXT_CLASSES), TEXT_CLASSES).drop("label")
+    return classify_tickets(probabilities, {c: f"p_{c}" for c in TEXT_CLASSES}, **rules)
 
-    Models come from the retrain job's folder; they are trained first when absent.
+
+def save_system(root: str, setup: SystemSetup, p: M.Prepared, pipelines: dict[str, PipelineModel], board: DataFrame,
+                trained_at: str) -> None:
+    """Every pipeline, and of the best of all its name, metrics and the statistics of its features.
+
+    M14: of the two ensembles the better one competes with the single models.
+    """
+    for name, pm in pipelines.items():
+        M.save_model(pm, os.path.join(root, setup.name, "models", name))
+    ensemble = M.pick_ensemble(board)
+    single = board.filter(~F.col("model").isin(list(M.ENSEMBLES)))
+    best = best_model(single.unionByName(ensemble.select(*single.columns)), ["system"], "r2", name="model")
+    spark = board.sparkSession
+    meta = best.select(F.lit(setup.name).alias("setup"), "system", F.col("model").alias("model_name"), "mse", "rmse", "mae",
+                       "r2", F.lit(trained_at).alias("trained_at"))
+    files.write_table(meta, os.path.join(root, setup.name, "deployed"))
+    scaler = [(i, c, *p.scaler[c]) for i, c in enumerate(p.features)]
+    files.write_table(spark.createDataFrame(scaler, "position int, feature string, centre double, scale double"),
+                      os.path.join(root, setup.name, "scaler"))
+
+
+def retrain_job(spark: SparkSession, root: str, tickets: DataFrame, readings: DataFrame, fetched: DataFrame, reading_key: str,
+                rules: dict, trained_at: str, sizes: M.ModelSizes = M.ModelSizes(), probabilities: DataFrame | None = None,
+                setups=SETUPS, tune: bool = True, stack_all: bool = False) -> DataFrame:
+    """Union of history and fetched readings (U1), complete rows only (P5) -> daily weather; tickets -> classified
+    -> counted by their new unit -> training table -> tune, train and compare every system -> save.
+
+    Returns the leaderboard read back from its JSON file. ``rules`` are the
+    arguments of the relabelling decision; ``trained_at`` is written as given.
     """
-    root = root or models_root(spark)
-    if M.load_model(os.path.join(root, SETUPS[0].name)) is None:
-        retrain_job(spark, sf_dir, sizes, root)
-    hist, fc = fx.overlap(spark, sf_dir)
-    hist = drop_incomplete(hist, [c for c in hist.columns if c != "ts"])
-    hourly = union_series(hist, fc, "ts")
-    daily = stage(daily_weather(hourly))
-    preds = score_forecast(spark, daily, root)
-    view = next_days(preds, as_of, 6)
-    board = files.read_leaderboard(spark, os.path.join(root, "leaderboard"))
-    best = best_model(board, ["system"], "r2", name="model_name").select(
-        F.col("system").alias("trained_system"), "model_name", "r2", "rmse", "trained_at")
-    names = {s.system: s.name for s in SETUPS}
-    sys_map = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
-    best = best.withColumn("setup", sys_map[F.col("trained_system")])
-    # one row per trained system -> one global row with a column block per setup
-    wide = best.agg(*[F.max(F.when(F.col("setup") == s.name, F.col(c))).alias(f"{s.name}_{n}")
-                      for s in SETUPS
-                      for c, n in (("model_name", "model"), ("r2", "r2"), ("rmse", "rmse"), ("trained_at", "trained_at"))])
+    at = lambda name: os.path.join(root, name)
+    files.write_table(classify_stage(tickets, sizes, probabilities, **rules), at("tickets_classified"))
+    history = union_series(readings, fetched, reading_key)
+    history = drop_incomplete(history, [c for c in history.columns if c != reading_key])
+    files.write_daily(daily_weather(history.drop(reading_key)), at("daily_weather"))
+    classified = spark.read.parquet(at("tickets_classified"))
+    training = fault_training_table(classified, files.read_daily(spark, at("daily_weather")),
+                                    systems=[s.system for s in setups])
+    files.write_table(training, at("training"), partition_by=["system"])
+    training = spark.read.parquet(at("training"))
+    boards = None
+    for setup, p in prepared_all(training, setups):
+        pipelines, preds = train_system(p, setup, sizes, tune, stack_all)
+        board = stage(regression_metrics(preds, keys=["system", "model"]))
+        save_system(root, setup, p, pipelines, board, trained_at)
+        boards = board if boards is None else boards.unionByName(board)
+    flat = boards.select("system", F.col("model").alias("model_name"), "mse", "rmse", "mae", "r2",
+                         F.lit(trained_at).alias("trained_at"))
+    files.write_leaderboard(flat, at("leaderboard"))
+    return files.read_leaderboard(spark, at("leaderboard"))
+
+
+def deployed(spark: SparkSession, root: str, setups=SETUPS) -> list[tuple[SystemSetup, dict, list[tuple], PipelineModel]]:
+    """Name and metrics, feature statistics and pipeline of each system; raises where the retrain job left none."""
+    out = []
+    for setup in setups:
+        path = os.path.join(root, setup.name)
+        if not files.path_exists(spark, os.path.join(path, "deployed")):
+            raise FileNotFoundError(f"no saved model for {setup.name} under {root}: run the retrain job first")
+        meta = spark.read.parquet(os.path.join(path, "deployed")).first().asDict()
+        scaler = [(r["feature"], r["centre"], r["scale"]) for r in  # a row per feature
+                  spark.read.parquet(os.path.join(path, "scaler")).orderBy("position").collect()]
+        out.append((setup, meta, scaler, M.load_model(spark, os.path.join(path, "models", meta["model_name"]))))
+    return out
+
+
+def score_forecast(spark: SparkSession, daily: DataFrame, root: str, parity: bool = False, setups=SETUPS) -> DataFrame:
+    """Per system, forecast features (E8) scaled with the training rows' statistics and aligned to the saved
+    model's features, predicted, rounded half-even to integers, the systems side by side (J3).
+
+    ``parity=True`` refits the statistics on the rows being scored, like the reference.
+    """
+    scores = None
+    for setup, _, scaler, model in deployed(spark, root, setups):
+        names = [f for f, _, _ in scaler]
+        x = stage(align_features(forecast_features(daily, setup.variant, keys=(), scale=False), names, keep=["date"]))
+        fitted = fitted_scale(x, names, setup.scaler) if parity else {f: (c, s) for f, c, s in scaler}
+        pr = model.transform(apply_scale(x, fitted)).select("date", F.lit(setup.name).alias("system"), "prediction")
+        scores = pr if scores is None else scores.unionByName(pr)
+    return assemble_predictions(scores, [s.name for s in setups])
+
+
+def forecast_job(spark: SparkSession, root: str, history: DataFrame, forecast: DataFrame, as_of: str, parity: bool = False,
+                 setups=SETUPS) -> DataFrame:
+    """History + forecast hours (U1, all of them) -> daily weather -> scores -> the 7 days from ``as_of``, with
+    name and metrics of the model that made each system's predictions."""
+    daily = stage(daily_weather(union_series(history, forecast, "ts")))
+    view = next_days(score_forecast(spark, daily, root, parity, setups), as_of, 6)
+    metas = None
+    for setup in setups:
+        m = spark.read.parquet(os.path.join(root, setup.name, "deployed"))
+        metas = m if metas is None else metas.unionByName(m)
+    wide = metas.agg(*[F.max(F.when(F.col("setup") == s.name, F.col(c))).alias(f"{s.name}_{n}") for s in setups
+                       for c, n in (("model_name", "model"), ("r2", "r2"), ("rmse", "rmse"), ("trained_at", "trained_at"))])
     return attach_global(view, wide)
 
+
+def with_signal(training: DataFrame) -> DataFrame:
+    """The training table with a target that follows the weather: fault count + twice the mean temperature."""
+    return training.withColumn(spec.TARGET, F.col(spec.TARGET) + 2.0 * F.col(spec.TEMP_AVG))

@@ -108,7 +108,7 @@ def q_null_group_stats(spark, sf_dir):
 @query("zscore_rows")
 def q_zscore_rows(spark, sf_dir):
     """O3: daily fault counts with |z| <= 6 per system."""
-    return drop_zscore_rows(daily_fault_counts(fx.tickets(spark, sf_dir)), spec.TARGET, 6.0, KEYS)
+    return drop_zscore_rows(daily_fault_counts(fx.tickets(spark, sf_dir)), spec.TARGET, 6.0, KEYS, via_window=True)
 
 
 def features_base_fx(spark, sf_dir):

@@ -1,181 +1,280 @@
-"""Registered model queries (rows-only checks): S7, M2, M4, M5, M7-M11, M13, M15-M17, M19-M21.
+"""Registered model queries: S7, P15, M2, M4, M5, M7-M11, M13, M15-M17, M19-M21.
 
-They use the small sizes of ``models.FAST`` so that each check runs in
-seconds; the library defaults are the reference's sizes.
+Each runs the full fit and score over every row of its input (all three
+classified systems, all six models where the operator compares models) with the
+sizes of ``models.CHECK``, a stated parameter; the library's defaults are the
+reference's sizes. A query returns what SQL can state about that output: which
+rows were scored, by whom, and flags computed from every prediction.
+
+The model target follows the weather (``jobs.with_signal``), so "better than
+the mean" says that a model has learnt something.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
-
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from faultcast.plans import jobs
+from faultcast.plans import jobs, spec
 from faultcast.plans import models as M
-from faultcast.plans.queries import query, training_fx, weather_fx3
-from faultcast.session import scratch_path
+from faultcast.plans.queries import query, weather_fx3
+from faultcast.plans.queries_text import FX_RULES, FX_SCOPE, THRESHOLD
+from faultcast.plans.training import fault_training_table
+from faultcast.session import scratch_path, stage
+from faultcast.sources import files
 from faultcast.sources import fixtures as fx
 
-SIZES = M.FAST
+SIZES = M.CHECK
 FORECAST_AS_OF = "2024-01-20"
+TRAINED_AT = "2026-01-01 00:00:00"
+RULES = {"rules": FX_RULES, "scope": FX_SCOPE, "generic": fx.GENERIC, "threshold": THRESHOLD}
 
 
-def _prepared(spark, sf_dir, setup):
-    return M.prepare(jobs.system_features(training_fx(spark, sf_dir), setup.variant), setup.system,
-                     setup.split, setup.scaler)
+def relabelled_training(spark, sf_dir) -> DataFrame:
+    """E9 after the decision stage with given probabilities: faults are counted by the unit that M5 decided."""
+    tickets = fx.dated(fx.ticket_probs(spark, sf_dir), spark, sf_dir)
+    classified = jobs.classify_stage(tickets, SIZES, probabilities=tickets, **RULES)
+    return stage(fault_training_table(classified, weather_fx3(spark, sf_dir), systems=[s.system for s in jobs.SETUPS]))
 
 
-def _fit_predict(spark, sf_dir, names):
-    out = None
-    for setup in jobs.SETUPS:
-        _, preds = M.compare_models(_prepared(spark, sf_dir, setup), SIZES, names)
-        out = preds if out is None else out.unionByName(preds)
+def prepared(spark, sf_dir):
+    return jobs.prepared_all(jobs.with_signal(relabelled_training(spark, sf_dir)))
+
+
+def facts(preds: DataFrame, keys=("system", "model")) -> DataFrame:
+    """Per key: rows, days, sum of the target, finite predictions, and whether the squared error beats the mean's."""
+    keys = list(keys)
+    a = preds.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("date").alias("days"), F.sum("y").alias("sum_y"),
+        F.count_if(F.abs("y_hat") < float("inf")).alias("n_scored"),
+        F.sum((F.col("y") - F.col("y_hat")) ** 2).alias("_sse"), (F.var_pop("y") * F.count("y")).alias("_sst"))
+    return a.select(*keys, "n", "days", "sum_y", "n_scored", (F.col("_sse") < F.col("_sst")).alias("beats_mean"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
+@query("training_relabelled")
+def q_training_relabelled(spark, sf_dir):
+    """M5 -> A5 -> E9: the training table of the retrain chain, from relabelled tickets."""
+    return relabelled_training(spark, sf_dir)
+
+
+@query("feature_target_split")
+def q_feature_target_split(spark, sf_dir):
+    """P15 + M6/W10 + E6/E7: prepared rows per system and split: rows, target sum, features, none missing, scaled mean
+    (standard) or median (robust) of the training rows at zero."""
+    parts = []
+    for setup, p in prepared(spark, sf_dir):
+        n = len(p.features)
+        for name, rows in (("train", p.train), ("test", p.test)):
+            v = F.unwrap_udt("features")["values"]
+            x = M.vector_to_array("features")
+            bad = F.exists(x, lambda e: F.isnan(e) | (F.abs(e) == float("inf")))
+            parts.append(rows.select("system", F.lit(name).alias("split"), "label", F.size(x).alias("k"), bad.alias("bad")).groupBy(
+                "system", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("sum_y"), F.min("k").alias("n_features"),
+                                       F.count_if((F.col("k") == n) & ~F.col("bad")).alias("n_whole")))
+    return _union(parts)
+
+
+def _fit_predict(spark, sf_dir, names):
+    return facts(_union([M.compare_models(p, SIZES, names)[1] for _, p in prepared(spark, sf_dir)]))
+
+
 @query("train_rf")
 def q_train_rf(spark, sf_dir):
-    """M7: random forest per trained system; test-row predictions."""
+    """M7: random forest per system, every test row scored."""
     return _fit_predict(spark, sf_dir, ["RandomForest"])
 
 
 @query("train_gbt")
 def q_train_gbt(spark, sf_dir):
-    """M8: gradient-boosted trees per trained system; test-row predictions."""
+    """M8: gradient-boosted trees per system, every test row scored."""
     return _fit_predict(spark, sf_dir, ["GradientBoosting"])
 
 
 @query("train_gbt_presets")
 def q_train_gbt_presets(spark, sf_dir):
-    """M9: the two boosted-tree presets; test-row predictions."""
+    """M9: the two boosted-tree presets, every test row scored."""
     return _fit_predict(spark, sf_dir, ["GBTPresetColumnSampled", "GBTPresetCoarseBins"])
 
 
 @query("train_enet")
 def q_train_enet(spark, sf_dir):
-    """Elastic net; test-row predictions."""
+    """Elastic net per system, every test row scored."""
     return _fit_predict(spark, sf_dir, ["ElasticNet"])
 
 
 @query("leaderboard")
 def q_leaderboard(spark, sf_dir):
-    """Every model and the weighted vote, MSE/RMSE/MAE/R2 per system."""
-    boards = None
-    for setup in jobs.SETUPS:
-        p = _prepared(spark, sf_dir, setup)
-        _, preds = M.compare_models(p, SIZES)
-        board = M.leaderboard(preds)
-        allp = preds.unionByName(M.vote_predictions(preds, board))
-        b = M.leaderboard(allp)
-        boards = b if boards is None else boards.unionByName(b)
-    return boards
+    """Every model and the weighted vote (as a deployable pipeline) on every test row, with their ranks by R2."""
+    parts = []
+    for _, p in prepared(spark, sf_dir):
+        models, preds = M.compare_models(p, SIZES)
+        preds = stage(preds)
+        vote = PipelineModel(stages=[M.assembler(p.features), *M.vote_model(models, M.leaderboard(preds))])
+        allp = stage(preds.unionByName(M.scored({"VotingEnsemble": vote}, p.test)))
+        n = M.leaderboard(allp).filter(F.col("r2").isNotNull()).groupBy("system").agg(F.count(F.lit(1)).alias("n_ranked"))
+        parts.append(facts(allp).join(n, "system"))
+    return _union(parts)
 
 
 @query("stacking")
 def q_stacking(spark, sf_dir):
-    """Out-of-fold stacking with a boosted meta-model; test-row predictions.
-
-    The fixture carries no weather signal, so the query stacks every base
-    model (threshold off); the trained systems use the reference thresholds.
-    """
-    out = None
-    for setup in jobs.SETUPS:
-        p = _prepared(spark, sf_dir, setup)
-        _, preds = M.compare_models(p, SIZES, ["RandomForest", "GradientBoosting", "ElasticNet"])
-        st = M.stacking(p, M.leaderboard(preds), SIZES, r2_min=-float("inf"), contiguous=setup.contiguous_folds)
-        out = st if out is None else out.unionByName(st)
-    return out
+    """Out-of-fold stacking over all six bases (threshold off) with a boosted meta-model; every test row scored."""
+    parts = []
+    for setup, p in prepared(spark, sf_dir):
+        models, preds = M.compare_models(p, SIZES)
+        stack = M.stack_model(p, models, stage(M.leaderboard(preds)), SIZES, -float("inf"), setup.contiguous_folds)
+        pm = PipelineModel(stages=[M.assembler(p.features), *stack])
+        parts.append(facts(M.scored({"StackingEnsemble": pm}, p.test)).withColumn("n_bases", F.lit(len(stack) - 2)))
+    return _union(parts)
 
 
 @query("search_params")
 def q_search_params(spark, sf_dir):
-    """Seeded random search of boosted-tree settings, hold-out R2 per trial."""
-    out = None
-    for setup in jobs.SETUPS:
-        r = M.search_params(_prepared(spark, sf_dir, setup), SIZES)
-        out = r if out is None else out.unionByName(r)
-    return out
+    """Random search on the hashed hold-out and on time folds: rows scored per trial and fold, one best trial."""
+    parts = []
+    for _, p in prepared(spark, sf_dir):
+        for mode in ("holdout", "time"):
+            r = stage(M.search_params(p, SIZES, mode))
+            best = M.best_settings(r)
+            is_best = (F.col("step_size") == best["stepSize"]) & (F.col("rounds") == best["maxIter"])
+            parts.append(r.groupBy("system", "mode", "fold").agg(
+                F.count(F.lit(1)).alias("n_trials"), F.min("n").alias("n_least"), F.max("n").alias("n_most"),
+                F.count_if(is_best).alias("n_best")))
+    return _union(parts)
 
 
 @query("cross_validate")
 def q_cross_validate(spark, sf_dir):
-    """5-fold R2 mean and std per model (forest and elastic net; boosting is covered by M15)."""
-    out = None
-    for setup in jobs.SETUPS:
-        r = M.cross_validate(_prepared(spark, sf_dir, setup), SIZES, ["RandomForest", "ElasticNet"])
-        out = r if out is None else out.unionByName(r)
-    return out
+    """All six models on hashed folds; every training row scored once by a model that did not see it."""
+    return facts(_union([M.out_of_fold(p, SIZES, k=SIZES.cv_folds) for _, p in prepared(spark, sf_dir)]))
 
 
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    """Top 15 features per tree model."""
-    out = None
-    for setup in jobs.SETUPS:
-        p = _prepared(spark, sf_dir, setup)
-        models, _ = M.compare_models(p, SIZES, ["RandomForest", "GradientBoosting"])
-        r = M.feature_importance(models, p, 15)
-        out = r if out is None else out.unionByName(r)
-    return out
+    """Importances of all features by tree model: how many, their sum, and the top 15 listed."""
+    parts = []
+    for _, p in prepared(spark, sf_dir):
+        models, _ = M.compare_models(p, SIZES, ["RandomForest", "GradientBoosting", "GBTPresetColumnSampled", "GBTPresetCoarseBins"])
+        every = M.importances(models, p).groupBy("system", "model").agg(
+            F.countDistinct("feature").alias("n_features"), F.sum("importance").alias("total"))
+        top = M.feature_importance(models, p, 15).groupBy("system", "model").agg(F.count(F.lit(1)).alias("n_top"))
+        parts.append(every.join(top, ["system", "model"]))
+    return _union(parts)
 
 
 @query("model_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
-    """A fitted model saved, loaded and used; predictions of the loaded model."""
-    setup = jobs.SETUPS[0]
-    p = _prepared(spark, sf_dir, setup)
-    models, _ = M.compare_models(p, SIZES, ["GradientBoosting"])
-    pm = PipelineModel(stages=[VectorAssembler(inputCols=p.features, outputCol="features2"), models["GradientBoosting"]])
-    path = scratch_path(spark, "model")
-    M.save_model(pm, path)
-    loaded = M.load_model(path)
-    return M.predictions_of(loaded.stages[-1], p.test, "GradientBoosting_loaded")
+    """Every model and both ensembles saved, loaded and run on every test row; how many rows are equal."""
+    parts = []
+    for setup, p in prepared(spark, sf_dir):
+        pipelines, preds = jobs.train_system(p, setup, SIZES, stack_all=True)
+        path = scratch_path(spark, "models")
+        loaded = {}
+        for name, pm in pipelines.items():
+            M.save_model(pm, os.path.join(path, name))
+            loaded[name] = M.load_model(spark, os.path.join(path, name))
+        again = M.scored(loaded, p.test).withColumnRenamed("y_hat", "again")
+        parts.append(preds.join(again.drop("y"), ["system", "model", "date"]).groupBy("system", "model").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("y").alias("sum_y"), F.count_if(F.col("again") == F.col("y_hat")).alias("n_equal")))
+    return _union(parts)
 
 
 @query("ticket_classifier")
 def q_ticket_classifier(spark, sf_dir):
-    """M1 (ML form) + M2: per-class probabilities of every ticket from one-vs-rest forests."""
+    """M1 (ML form) + M2: per-class probabilities of every ticket from one-vs-rest forests, and own class on top."""
     t = fx.ticket_text(spark, sf_dir)
     model = M.fit_text_classifier(t, jobs.TEXT_CLASSES, SIZES)
     pr = M.class_probabilities(model, M.text_frame(t, jobs.TEXT_CLASSES), jobs.TEXT_CLASSES)
-    return pr.select("ticket_id", "unit", *[f"p_{c}" for c in jobs.TEXT_CLASSES])
+    ok = F.lit(True)
+    for c in jobs.TEXT_CLASSES:
+        ok = ok & F.col(f"p_{c}").between(0.0, 1.0)
+    return pr.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ticket_id").alias("n_tickets"),
+                                  F.count_if(ok).alias("n_valid"))
 
 
 @query("ticket_cv")
 def q_ticket_cv(spark, sf_dir):
-    """M4: stratified 5-fold CV of the text classifier; precision/recall/F1 mean and std per class."""
-    return M.text_cv(fx.ticket_text(spark, sf_dir), jobs.TEXT_CLASSES, SIZES, 5)
+    """M4: stratified 5-fold CV of the text classifier: tickets and positives per class and fold, each scored once."""
+    o = M.text_out_of_fold(fx.ticket_text(spark, sf_dir), jobs.TEXT_CLASSES, SIZES, 5)
+    return o.groupBy("class", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_positive"),
+                                          F.countDistinct("ticket_id").alias("n_tickets"),
+                                          F.count_if(F.col("y_pred").isin(0, 1)).alias("n_scored"))
 
 
 @query("classify_tickets")
 def q_classify_tickets(spark, sf_dir):
-    """M5: model probabilities + keyword rules -> relabelled tickets with confidence and note."""
-    return jobs.classify_stage(spark, sf_dir, SIZES).select(
-        "ticket_id", "unit_before", "unit", "confidence", "details", "keyword_label", "model_label", "model_confidence")
+    """M5: model probabilities + keyword rules -> relabelled tickets; every row against the decision's rules."""
+    c = jobs.classify_stage(fx.ticket_text(spark, sf_dir), SIZES, **RULES)
+    generic = F.col("unit_before") == fx.GENERIC
+    want = (F.when(~generic, F.col("unit_before")).when(F.col("keyword_label").isNotNull(), F.col("keyword_label"))
+            .when(F.col("model_confidence") >= THRESHOLD, F.col("model_label")).otherwise(F.lit(fx.GENERIC)))
+    return c.groupBy("unit_before", "keyword_label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("unit") == want).alias("n_by_rule"),
+        F.count_if(F.col("confidence").between(0.0, 1.0)).alias("n_confident"),
+        F.count_if(F.col("model_label").isin(jobs.TEXT_CLASSES)).alias("n_model"))
+
+
+#: Roots of the retrain job by application and tables: three queries read what one run wrote.
+_ROOTS: dict[tuple[str, str], str] = {}
+
+
+def retrained(spark, sf_dir) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ROOTS:
+        root = scratch_path(spark, "retrain")
+        tickets = fx.dated(fx.ticket_probs(spark, sf_dir), spark, sf_dir)
+        known, fetched = fx.line_weather_update(spark, sf_dir)
+        jobs.retrain_job(spark, root, tickets, known, fetched, "reading_id", RULES, TRAINED_AT, SIZES, probabilities=tickets)
+        _ROOTS[key] = root
+    return _ROOTS[key]
 
 
 @query("retrain_job")
 def q_retrain_job(spark, sf_dir):
-    """The whole retrain application; returns the leaderboard."""
-    return jobs.retrain_job(spark, sf_dir, SIZES, root=jobs.models_root(spark) + "-" + os.path.basename(sf_dir.rstrip("/")))
+    """The whole retrain application; its training table, the models on its leaderboard and what it deployed."""
+    root = retrained(spark, sf_dir)
+    t = spark.read.parquet(os.path.join(root, "training")).groupBy("system").agg(
+        F.count(F.lit(1)).alias("n_days"), F.sum(spec.TARGET).alias("n_faults"))
+    board = files.read_leaderboard(spark, os.path.join(root, "leaderboard"))
+    singles = board.filter(~F.col("model_name").isin(list(M.ENSEMBLES))).groupBy("system").agg(
+        F.count(F.lit(1)).alias("n_models"), F.max("trained_at").alias("trained_at"))
+    metas = _union([spark.read.parquet(os.path.join(root, s.name, "deployed")) for s in jobs.SETUPS])
+    top = board.groupBy("system").agg(F.max("r2").alias("top"))
+    best = metas.join(top, "system").select("system", (F.abs(F.col("r2") - F.col("top")) < 1e-9).alias("deployed_best"))
+    return t.join(singles, "system").join(best, "system")
 
 
 @query("score_forecast")
 def q_score_forecast(spark, sf_dir):
-    """Saved models score the forecast features of the daily weather; integer predictions per date."""
-    root = jobs.models_root(spark) + "-" + os.path.basename(sf_dir.rstrip("/"))
-    if M.load_model(os.path.join(root, jobs.SETUPS[0].name)) is None:
-        jobs.retrain_job(spark, sf_dir, SIZES, root)
-    return jobs.score_forecast(spark, weather_fx3(spark, sf_dir), root)
+    """The deployed models score every day of the weather table; which days, and whole numbers for every system."""
+    s = jobs.score_forecast(spark, weather_fx3(spark, sf_dir), retrained(spark, sf_dir))
+    return s.select("date", *[F.col(f"{x.name}_fault_prediction").isNotNull().alias(f"{x.name}_scored") for x in jobs.SETUPS])
 
 
 @query("forecast_job")
 def q_forecast_job(spark, sf_dir):
-    """The forecast application: next 7 days with model name and metrics."""
-    root = jobs.models_root(spark) + "-" + os.path.basename(sf_dir.rstrip("/"))
-    return jobs.forecast_job(spark, sf_dir, FORECAST_AS_OF, SIZES, root)
-
-
-
+    """The forecast application on what the retrain application left: the 7 days, predictions of every system, the
+    name and metrics being those stored with the deployed model."""
+    root = retrained(spark, sf_dir)
+    hist, fc = fx.overlap(spark, sf_dir)
+    v = jobs.forecast_job(spark, root, hist, fc, FORECAST_AS_OF)
+    names = {s.name: m["model_name"] for s, m, _, _ in jobs.deployed(spark, root)}
+    cols = []
+    for s in jobs.SETUPS:
+        cols += [F.col(f"{s.name}_fault_prediction").isNotNull().alias(f"{s.name}_scored"),
+                 (F.col(f"{s.name}_model") == names[s.name]).alias(f"{s.name}_named"), F.col(f"{s.name}_trained_at")]
+    return v.select("date", *cols)
+
+
+FORECAST_DAYS = [(dt.date.fromisoformat(FORECAST_AS_OF) + dt.timedelta(days=k)).isoformat() for k in range(7)]

@@ -33,9 +33,6 @@ def build_session(master: str | None = None, app: str = "faultcast",
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
-    if master and master.startswith("local"):
-        # local mode: the driver JVM is the only executor
-        conf["spark.driver.memory"] = "16g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -70,7 +70,18 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.select("ts", *_weather_from_channels(temp, humid, press, cloud, wind, gust, direction))
 
 
-def line_weather(spark: SparkSession, sf_dir: str, site: bool = False) -> DataFrame:
+#: Weather history and newly fetched readings overlap between these days.
+FETCHED_FROM, HISTORY_TO = "1998-01-01", "1998-03-01"
+
+
+def line_weather_update(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """FX7 at raw grain: readings known so far and readings fetched now, with the key of a reading; they overlap."""
+    w = line_weather(spark, sf_dir, ids=True)
+    return (w.filter(F.col("ts") < F.lit(HISTORY_TO).cast("timestamp_ntz")),
+            w.filter(F.col("ts") >= F.lit(FETCHED_FROM).cast("timestamp_ntz")))
+
+
+def line_weather(spark: SparkSession, sf_dir: str, site: bool = False, ids: bool = False) -> DataFrame:
     """Raw-grain weather readings from ``lineitem`` (one reading per line at its ship date).
 
     This is the long daily series (FX3) once rolled up by day. Values are
@@ -78,7 +89,7 @@ def line_weather(spark: SparkSession, sf_dir: str, site: bool = False) -> DataFr
     a site with readings of its own.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
-        *(["l_suppkey"] if site else []), "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_linenumber")
+        *(["l_suppkey"] if site else []), *(["l_orderkey"] if ids else []), "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_linenumber")
     disc = F.rint(F.col("l_discount") * 100.0)
     tax = F.rint(F.col("l_tax") * 100.0)
     temp = F.col("l_quantity") / 2.0 - 5.0
@@ -89,6 +100,7 @@ def line_weather(spark: SparkSession, sf_dir: str, site: bool = False) -> DataFr
     gust = wind + tax
     direction = (F.col("l_linenumber") * 45).cast("double")
     return li.select(*([F.col("l_suppkey").alias("site")] if site else []),
+                     *([F.concat_ws("-", "l_orderkey", "l_linenumber").alias("reading_id")] if ids else []),
                      F.col("l_shipdate").cast("timestamp_ntz").alias("ts"),
                      *_weather_from_channels(temp, humid, press, cloud, wind, gust, direction))
 
@@ -142,6 +154,13 @@ def ticket_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("*", *probs)
 
 
+def dated(tickets_: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Creation dates for text tickets: those of the order of the same number."""
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ticket_id"),
+                                                   F.col("o_orderdate").cast("timestamp_ntz").alias("created"))
+    return tickets_.join(o, "ticket_id")
+
+
 def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX6: one payload per embedding: start, end, step and two aligned arrays."""
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")

@@ -15,7 +15,7 @@ def spark():
     from faultcast.session import build_session
 
     spark = build_session("local[*]", app="faultcast-tests", shuffle_partitions=8,
-                          extra={"spark.ui.showConsoleProgress": "false",
+                          extra={"spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false",
                                  "spark.checkpoint.dir": tempfile.mkdtemp(prefix="faultcast-test-ckpt-")})
     yield spark
     spark.stop()

@@ -1,46 +1,128 @@
-"""Model checks: fixed seed twice gives the same output; save/load gives equal predictions;
-out-of-fold folds partition the training rows."""
+"""Model checks: fixed seed twice gives the same output; save/load gives equal predictions; out-of-fold folds partition
+the training rows; ensembles are what their parts say; the two applications hand over through their root folder."""
 
+import os
+
+import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from faultcast.plans import jobs
 from faultcast.plans import models as M
-from faultcast.plans.queries import training_fx
+from faultcast.plans.queries_models import RULES, TRAINED_AT, relabelled_training
 from faultcast.session import scratch_path
+from faultcast.sources import fixtures as fx
+
+SIZES = M.ModelSizes(rf_trees=5, rf_depth=4, gbt_iter=4, gbt_depth=3, gbt_step=0.3, enet_iter=50, ada_rounds=2, stack_folds=2,
+                     search_trials=2, search_depth=(2, 3), search_rounds=(2, 4))
 
 
-def _prepared(spark, small_dir):
+@pytest.fixture(scope="module")
+def cooling(spark, small_dir):
     setup = jobs.SETUPS[0]
-    return M.prepare(jobs.system_features(training_fx(spark, small_dir), setup.variant), setup.system,
-                     setup.split, setup.scaler)
-
-
-def test_seed_determinism_and_roundtrip(spark, small_dir):
-    p = _prepared(spark, small_dir)
-    sizes = M.ModelSizes(rf_trees=5, rf_depth=3, gbt_iter=5, gbt_depth=3, enet_iter=20)
-    m1, p1 = M.compare_models(p, sizes, ["GradientBoosting"])
-    m2, p2 = M.compare_models(p, sizes, ["GradientBoosting"])
-    a = sorted((r["date"], r["y_hat"]) for r in p1.collect())
-    b = sorted((r["date"], r["y_hat"]) for r in p2.collect())
-    assert a == b and len(a) > 0
+    return setup, jobs.prepared_all(jobs.with_signal(relabelled_training(spark, small_dir)), [setup])[0][1]
+
+
+@pytest.fixture(scope="module")
+def trained(cooling):
+    _, p = cooling
+    models, preds = M.compare_models(p, SIZES, ["RandomForest", "GradientBoosting", "ElasticNet"])
+    return models, preds.collect(), M.leaderboard(preds).collect()
+
+
+def test_seed_determinism_and_roundtrip(spark, cooling, trained):
+    _, p = cooling
+    models, preds, _ = trained
+    _, again = M.compare_models(p, SIZES, ["GradientBoosting"])
+    a = sorted((r["date"], r["y_hat"]) for r in preds if r["model"] == "GradientBoosting")
+    assert a == sorted((r["date"], r["y_hat"]) for r in again.collect()) and len(a) > 0
     path = scratch_path(spark, "model-test")
-    m1["GradientBoosting"].write().overwrite().save(path)
-    from pyspark.ml.regression import GBTRegressionModel
-    loaded = GBTRegressionModel.load(path)
-    c = sorted((r["date"], r["y_hat"]) for r in M.predictions_of(loaded, p.test, "x").collect())
-    assert c == a
+    M.save_model(PipelineModel(stages=[M.assembler(p.features), models["GradientBoosting"]]), path)
+    loaded = M.load_model(spark, path)
+    assert a == sorted((r["date"], r["y_hat"]) for r in M.scored({"x": loaded}, p.test).collect())
+    assert M.load_model(spark, path + "-absent") is None
+    with pytest.raises(Exception):
+        M.load_model(spark, os.path.join(path, "metadata"))
+
 
+def test_scaler_is_fitted_on_training_rows(cooling):
+    _, p = cooling
+    from pyspark.ml.functions import vector_to_array
+    r = p.train.select(vector_to_array("features").alias("x")).agg(*[F.avg(F.col("x")[i]) for i in range(len(p.features))]).first()
+    assert max(abs(v) for v in r) < 1e-9
 
-def test_oof_folds_partition_training_rows(spark, small_dir):
-    p = _prepared(spark, small_dir)
+
+def test_oof_folds_partition_training_rows(cooling):
+    _, p = cooling
     for contiguous in (False, True):
         f = M.fold_column(p.train, 3, contiguous)
         assert f.count() == p.train.count()
         assert f.filter(F.col("fold").isNull()).count() == 0
 
 
+def test_models_learn_a_signal(trained):
+    _, _, board = trained
+    assert all(r["r2"] > 0.2 for r in board), board
+
+
+def test_vote_is_the_weighted_mean(spark, cooling, trained):
+    _, p = cooling
+    models, preds, board = trained
+    table = spark.createDataFrame(board)
+    pm = PipelineModel(stages=[M.assembler(p.features), *M.vote_model(models, table)])
+    raw = {r["model"]: max(r["r2"], 0.01) for r in board}
+    want = {}
+    for r in preds:
+        want[r["date"]] = want.get(r["date"], 0.0) + r["y_hat"] * raw[r["model"]] / sum(raw.values())
+    got = {r["date"]: r["y_hat"] for r in M.scored({"VotingEnsemble": pm}, p.test).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-9 for d in got)
+
+
+def test_stack_takes_the_bases_above_the_threshold(spark, cooling, trained):
+    _, p = cooling
+    models, _, board = trained
+    table = spark.createDataFrame(board)
+    best = max(r["r2"] for r in board)
+    assert M.stack_model(p, models, table, SIZES, best + 1.0) is None
+    one = M.stack_model(p, models, table, SIZES, best - 1e-9, contiguous=True)
+    assert len(one) == 3
+    pm = PipelineModel(stages=[M.assembler(p.features), *M.stack_model(p, models, table, SIZES, -float("inf"))])
+    assert M.scored({"s": pm}, p.test).filter("y_hat is not null").count() == p.test.count()
+
+
+def test_search_feeds_the_boosted_trees(cooling):
+    _, p = cooling
+    for mode, folds in (("holdout", 1), ("time", 5)):
+        found = M.search_params(p, SIZES, mode)
+        assert found.count() == folds * SIZES.search_trials
+        best = M.best_settings(found)
+        trees = M.estimators(M.ModelSizes(tuned=best))["GradientBoosting"]
+        assert trees.getMaxIter() == best["maxIter"] and trees.getStepSize() == best["stepSize"]
+
+
+def test_two_applications_hand_over(spark, small_dir, tmp_path):
+    setups = jobs.SETUPS[:1]
+    root = str(tmp_path / "models")
+    hist, fc = fx.overlap(spark, small_dir)
+    with pytest.raises(FileNotFoundError):
+        jobs.forecast_job(spark, root, hist, fc, "2024-01-20", setups=setups)
+    tickets = fx.dated(fx.ticket_probs(spark, small_dir), spark, small_dir)
+    known, fetched = fx.line_weather_update(spark, small_dir)
+    board = jobs.retrain_job(spark, root, tickets, known, fetched, "reading_id", RULES, TRAINED_AT, SIZES, probabilities=tickets,
+                             setups=setups, tune=False, stack_all=True)
+    assert board.count() == 8 and {r["trained_at"] for r in board.collect()} == {TRAINED_AT}
+    a = jobs.forecast_job(spark, root, hist, fc, "2024-01-20", setups=setups).collect()
+    other = spark.newSession()
+    h2, f2 = fx.overlap(other, small_dir)
+    b = jobs.forecast_job(other, root, h2, f2, "2024-01-20", setups=setups).collect()
+    assert sorted(a) == sorted(b) and len(a) == 7
+    assert {r["cooling_model"] for r in a} == {spark.read.parquet(os.path.join(root, "cooling/deployed")).first()["model_name"]}
+    # refitting the scaler on the scored rows is another result, and an option
+    c = jobs.forecast_job(spark, root, hist, fc, "2024-01-20", parity=True, setups=setups).collect()
+    assert [r["date"] for r in sorted(c)] == [r["date"] for r in sorted(a)]
+
+
 def test_text_classifier_probabilities(spark, small_dir):
-    from faultcast.sources import fixtures as fx
     t = fx.ticket_text(spark, small_dir)
     model = M.fit_text_classifier(t, list(fx.SPECIFIC), M.ModelSizes(text_trees=5))
     pr = M.class_probabilities(model, M.text_frame(t, list(fx.SPECIFIC)), list(fx.SPECIFIC))
@@ -51,16 +133,16 @@ def test_text_classifier_probabilities(spark, small_dir):
     assert pr.count() == t.count()
 
 
-def test_adaboost_r2_weights_median_and_roundtrip(spark, small_dir):
+def test_adaboost_r2_weights_median_and_roundtrip(spark, cooling):
     import math
 
     import numpy as np
-    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
 
     from faultcast.plans.adaboost import AdaBoostR2, AdaBoostR2Model
 
-    p = _prepared(spark, small_dir)
+    _, p = cooling
     est = AdaBoostR2(numRounds=4, learningRate=0.5, maxDepth=2, seed=7)
     model = est.fit(p.train)
     assert 1 <= len(model.trees) <= 4 and len(model.alphas) == len(model.trees)

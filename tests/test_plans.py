@@ -5,19 +5,60 @@ import re
 
 import pytest
 
-KEYS = ["daily_weather", "daily_weather_long", "training_table", "features_rich", "scale_standard", "tfidf",
-        "update_subset", "stratified_folds", "feature_select", "filter_in", "weighted_vote"]
-
-
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", KEYS)
-def test_no_python_udf(spark, small_dir, name):
-    import __spark_entry__ as e
-    p = plan_of(e.queries()[name](spark, small_dir))
-    assert "PythonUDF" not in p and "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+def _unstaged(spark, small_dir):
+    """Plan functions whose frames have not been written yet, so that the plan shows the work."""
+    from faultcast.operators import text as tx
+    from faultcast.plans.features import base_features, lean_temporal, rich_temporal
+    from faultcast.plans.training import fault_training_table
+    from faultcast.plans.weather import daily_weather
+    from faultcast.sources import fixtures as fx
+    daily = daily_weather(fx.line_weather(spark, small_dir))
+    training = fault_training_table(fx.tickets(spark, small_dir), daily)
+    base = base_features(training, keys=["system"])
+    t = fx.ticket_text(spark, small_dir)
+    return {"daily_weather": daily, "by_site": daily_weather(fx.line_weather(spark, small_dir, site=True), keys=["site"]),
+            "training": training, "base": base, "rich": rich_temporal(base, ["system"]), "lean": lean_temporal(base, ["system"]),
+            "tfidf": tx.tfidf(t, "ticket_id", tx.combine_text("text", "text2"), 500)}
+
+
+@pytest.fixture(scope="module")
+def unstaged(spark, small_dir):
+    return {k: plan_of(v) for k, v in _unstaged(spark, small_dir).items()}
+
+
+@pytest.mark.parametrize("name", ["daily_weather", "by_site", "training", "base", "rich", "lean", "tfidf"])
+def test_no_python_and_raw_scan(unstaged, name):
+    p = unstaged[name]
+    assert "FileScan parquet" in p
+    for node in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow"):
+        assert node not in p, node
+
+
+def test_no_value_buffers_over_raw_grain(unstaged):
+    # percentiles (object aggregates) only stand above daily grain
+    for name in ("daily_weather", "by_site", "training"):
+        assert "ObjectHashAggregate" not in unstaged[name]
+    assert re.search(r"(?<!Object)HashAggregate\(keys=\[date", unstaged["daily_weather"])
+
+
+def test_tfidf_shuffles_nothing_by_document(spark, small_dir):
+    from faultcast.operators import text as tx
+    from faultcast.sources.files import read_table
+    d = read_table(spark, small_dir, "documents")
+    p = plan_of(tx.tfidf(d, "doc_id", d["text"], 500))
+    assert "Exchange" not in p and "SortMergeJoin" not in p and "BroadcastHashJoin" not in p
+
+
+def test_daily_slice_reads_folders(spark, small_dir, tmp_path):
+    from faultcast.plans.queries import weather_fx3
+    from faultcast.sources import files
+    files.write_daily(weather_fx3(spark, small_dir), str(tmp_path / "daily"))
+    p = plan_of(files.read_daily(spark, str(tmp_path / "daily"), "1998-08-01", "1998-08-07"))
+    assert re.search(r"PartitionFilters: \[[^\]]*ym", p)
 
 
 def test_filter_pushed_into_scan(spark, small_dir):

@@ -229,3 +229,77 @@ def test_corr_pairs_gram_path_equals_wide_aggregate(spark):
     assert gram[("k1", "a", "c")] is None            # constant column -> NULL, not noise
     nokey = {(r["col_a"], r["col_b"]): r["corr"] for r in S.corr_pairs(df, cols, None).collect()}
     assert len(nokey) == 6
+
+
+def test_splits_do_not_depend_on_partitions_when_days_tie(spark):
+    from faultcast.operators.splits import chrono_split, expanding_folds
+    rows = [("a" if k % 3 else None, d("2021-01-01") + dt.timedelta(days=k // 20), k) for k in range(200)]
+    df = spark.createDataFrame(rows, "system string, date date, v int")
+    for n in (1, 7):
+        x = df.repartition(n)
+        s = {r["v"]: r["split"] for r in chrono_split(x, 0.5, ["system"]).collect()}
+        f = sorted((r["v"], r["fold"], r["role"]) for r in expanding_folds(x, 3, ["system"]).collect())
+        if n == 1:
+            first = (s, f)
+        assert (s, f) == first and len(s) == 200
+    for key in ("a", None):
+        mine = [r[2] for r in rows if r[0] == key]
+        assert sum(s[v] == "train" for v in mine) == len(mine) // 2
+    # earlier days are train, later ones test
+    cut = {r[2]: r[1] for r in rows}
+    assert max(cut[v] for v in cut if s[v] == "train") <= min(cut[v] for v in cut if s[v] == "test") + dt.timedelta(days=1)
+
+
+def test_null_keys_are_a_group(spark):
+    from faultcast.operators import stats as S
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 10.0), (None, 30.0)], "k string, x double")
+    got = {(r["k"], r["x"]) for r in S.standard_scale(df, ["x"], keys=["k"]).collect()}
+    assert got == {("a", -1.0), ("a", 1.0), (None, -1.0), (None, 1.0)}
+
+
+def test_union_series_is_stable_for_repeated_keys(spark):
+    from faultcast.operators.ranking import union_series
+    hist = spark.createDataFrame([(1, float(k)) for k in range(20)], "ts int, v double")
+    fc = spark.createDataFrame([(1, -1.0), (2, 5.0)], "ts int, v double")
+    a, b = (sorted(tuple(r) for r in union_series(hist.repartition(n), fc, "ts").collect()) for n in (1, 6))
+    assert a == b and len(a) == 2 and a[0][1] >= 0
+
+
+def test_ticket_csv_keeps_texts(spark, tmp_path):
+    from faultcast.sources import files
+    texts = ['line one\nline "two", three', "", None, 'a\\b \'q\'', "\\N", 'ends with "', "é\tü"]
+    df = spark.createDataFrame(list(enumerate(texts)), "ticket_id int, text string")
+    files.write_table(df, str(tmp_path / "t"), fmt="csv")
+    back = {r["ticket_id"]: r["text"] for r in files.read_tickets(spark, str(tmp_path / "t"), "csv", df.schema).collect()}
+    want = dict(enumerate(texts))
+    want[4] = None  # the text that stands for NULL
+    assert back == want
+
+
+def test_correlations_take_nan_as_missing(spark):
+    from faultcast.operators import stats as S
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.0), (nan, 9.0), (5.0, None)], "a double, b double")
+    r = S.corr_pairs(df, ["a", "b"]).first()
+    assert abs(r["corr"] - 1.0) < 1e-12
+
+
+def test_late_rows_are_counted(spark, small_dir, tmp_path):
+    from faultcast.sources import fixtures as fx
+    from faultcast.streaming import landing
+    hourly = fx.hourly(spark, small_dir)
+    root = str(tmp_path / "s")
+    full = landing.land_and_roll(spark, hourly, root, batches=2)
+    days = hourly.select(F.to_date("ts")).distinct().count()
+    assert full.count() == days
+    src, sink = root + "/landed", root + "/daily"
+    assert landing.late_rows(spark, src, sink).count() == 0
+    hourly.orderBy("ts").limit(3).write.mode("append").parquet(src)
+    assert [r["landed"] - r["counted"] for r in landing.late_rows(spark, src, sink).collect()] == [3]
+
+
+def test_prune_sparse_columns(spark):
+    df = spark.createDataFrame([(1, 0, None, "0"), (2, 0, 1.0, "x"), (3, 5, None, "y"), (4, 0, None, "z")],
+                               "a int, zeros int, nulls double, t string")
+    assert P.prune_sparse_columns(df).columns == ["a", "t"]
+    assert P.fill_const(df, 7, ["nulls"]).filter("nulls = 7").count() == 3
