@@ -12,15 +12,18 @@ shares one of its ``n - ceil(0.8 n) + 1`` first shingles, whatever order all set
 agree on.  The order has the shingles that repeat most in the corpus last (a
 bounded list; it steers cost, not results).
 
-1. One scan: fingerprint and size of every set (equal sets become one node),
-   counts of repeating shingles.
+1. One scan: fingerprint, size and count vector of every set (equal sets become
+   one node), counts of repeating shingles.
 2. One scan: (first shingle, node) rows, shuffled by shingle; each block links
    its neighbours in order of size and its leaders as candidates.
-3. One scan: sets and count vectors of the nodes that share a first shingle.
-4. The candidates that the bound leaves are verified; links make components.
+3. The bound on the count vectors sorts out candidates; a scan collects the
+   shingles of what is left.
+4. Each node's nearest candidate is verified; links make components.
 5. Blocks that hold more than one component are searched in full by R-trees;
-   only pairs from different components are verified.  So every link is found
-   or lies inside a component already, and no block gives out all its pairs.
+   only pairs from different components are verified, in rounds: each node's
+   nearest partner, until that joins nothing more, then all that is left.  So
+   every link is found or lies inside a component already, and no block gives
+   out all its pairs.
 """
 
 from __future__ import annotations
@@ -37,13 +40,17 @@ from .common import ship, staged
 from .graph import components
 
 SHINGLE = 5
-GROUPS = 64
-#: Shingles put last in the order, at most.
-FREQUENT = 65_536
+GROUPS = 256
+#: Sets of more shingles have counts beyond a byte; their bound is taken as met.
+WIDE = 30_000
+#: Shingles put last in the order, at most (a broadcast of 2 MB).
+FREQUENT = 262_144
 #: Shingles of which a task counts the repeating ones at a time.
 COUNTED = 2_000_000
 #: Parts of the block of a frequent shingle in step 2; members of a block that one task compares in step 5.
 SALTS, PART = 32, 1024
+#: Rounds of step 5 that join each node to its nearest, before all pairs that are left.
+ROUNDS = 1
 #: Bits of the filter that step 3 tests nodes against; fixed, so its broadcast is 1 MB for any corpus.
 FILTER_BITS = 1 << 23
 TOP = np.uint64(1 << 63)
@@ -88,8 +95,12 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def vector(s: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles by group."""
-    return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint16)
+    """Counts of a set's shingles by group, a byte each."""
+    return np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
+
+
+def vectors(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, GROUPS)
 
 
 def first_shingles(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -111,15 +122,17 @@ def _signed(x) -> pa.Array:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n, node, mark; and (shingle, n) of shingles that repeat among ``COUNTED`` or so in a task."""
-    names = ["doc_id", "n", "node", "mark", "shingle"]
+    """Per row: doc_id, n, node, mark, key of the row and, once per node and task, the count vector; and (shingle, n)
+    of shingles that repeat among ``COUNTED`` or so in a task."""
+    names = ["doc_id", "n", "node", "mark", "key", "vector", "shingle"]
 
     def repeated(kept: list[np.ndarray], ids: pa.DataType) -> pa.RecordBatch:
         value, count = np.unique(np.concatenate(kept), return_counts=True)
-        value, count = value[count > 2], count[count > 2]
+        value, count = value[count > 1], count[count > 1]
         none = pa.nulls(len(value), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(len(value), ids), pa.array(count.astype(np.int64)), none, none, _signed(value)], names=names)
+            [pa.nulls(len(value), ids), pa.array(count.astype(np.int64)), none, none, none, pa.nulls(len(value), pa.binary()),
+             _signed(value)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, kept, size, ids = Words(), set(), [], 0, None
@@ -128,8 +141,9 @@ def _scan(docs: DataFrame) -> DataFrame:
             ids = batch.column(0).type
             for s in _sets(batch, 1, words):
                 node, mark = fingerprint(s)
-                rows.append((len(s), node, mark))
-                if len(s) and node not in seen:
+                new = len(s) > 0 and node not in seen
+                rows.append((len(s), node, mark, vector(s).tobytes() if new else None))
+                if new:
                     seen.add(node)
                     kept.append(s)
                     size += len(s)
@@ -137,13 +151,13 @@ def _scan(docs: DataFrame) -> DataFrame:
                     yield repeated(kept, ids)
                     kept, size = [], 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)),
-                 pa.nulls(len(rows), pa.int64())], names=names)
+                [batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), batch.column(2),
+                 pa.array([r[3] for r in rows], pa.binary()), pa.nulls(len(rows), pa.int64())], names=names)
         if kept:
             yield repeated(kept, ids)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n bigint, node bigint, mark bigint, shingle bigint")
+    return docs.mapInArrow(run, f"doc_id {kind}, n bigint, node bigint, mark bigint, key bigint, vector binary, shingle bigint")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: Callable[[pa.Table], np.ndarray], rows: int = 400_000) -> Iterator[pa.Table]:
@@ -203,7 +217,7 @@ def _first_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Of sorted blocks: kind 0, the rows (shingle, node, n) of blocks with two nodes or more; kind 1, candidate pairs (a, b)."""
+    """Of sorted blocks: kind 0, the rows (shingle, node, n) that have a partner of fitting size; kind 1, candidate pairs (a, b)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, lambda t: np.stack([_column(t, "shingle"), _column(t, "salt")], axis=1)):
             shingle, salt, n, node = (_column(t, c) for c in ("shingle", "salt", "n", "node"))
@@ -212,8 +226,8 @@ def _candidates(rows: DataFrame) -> DataFrame:
             block = np.concatenate([[0], np.cumsum((shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1]))])
             again = np.concatenate([[False], (block[1:] == block[:-1]) & (node[1:] == node[:-1])])
             shingle, salt, n, node, block = (x[~again] for x in (shingle, salt, n, node, block))
-            size = np.bincount(block)[block]
-            live = (size > 1) | (salt > 0)
+            fits = np.concatenate([(block[1:] == block[:-1]) & (5 * n[:-1].astype(np.int64) >= 4 * n[1:]), [False]])
+            live = fits | np.concatenate([[False], fits[:-1]]) | (salt > 0)
             if not live.any():
                 continue
             shingle, n, node, block = shingle[live], n[live], node[live], block[live]
@@ -243,10 +257,16 @@ def _candidates(rows: DataFrame) -> DataFrame:
     return d.mapInArrow(run, "kind int, a bigint, b bigint, n int")
 
 
-def _node_sets(docs: DataFrame, live: DataFrame) -> DataFrame:
-    """(node, n, vector, shingles) of the nodes in ``live``, and a few that a fixed-size filter lets pass."""
-    place = F.pmod("node", F.lit(FILTER_BITS)).alias("place")
-    bits = live.select(place).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
+def _node_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """(node, n, shingles) of the nodes in ``wanted``, written.
+
+    A scan that goes on with the rows whose key passes a filter of fixed size.
+    A node's key is that of one row, so it comes once (or once per task, where
+    equal rows repeat); what passes by chance is met by no pair.
+    """
+    place = F.pmod("key", F.lit(FILTER_BITS)).alias("place")
+    live = nodes.join(wanted.select("node").distinct(), "node").select(place)
+    bits = live.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()  # 1 MB in all, whatever the corpus
     table = np.zeros(FILTER_BITS // 8 + 2 * 4096, dtype=np.uint8)
     for r in bits:
@@ -258,23 +278,18 @@ def _node_sets(docs: DataFrame, live: DataFrame) -> DataFrame:
         words, seen, bits = Words(), set(), shared.value
         for batch in batches:
             got = []
-            for s in _sets(batch, 0, words):
-                if not len(s):
-                    continue
-                node = fingerprint(s)[0]
-                # bit p of bucket number (p // 32768 + 1) is the position p % 32768
-                place = node % FILTER_BITS
-                at = bucket_of(place)
-                if node in seen or not bits[at[0] * 4096 + at[1] // 8] >> (at[1] % 8) & 1:
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                bucket, bit = bucket_of(key % FILTER_BITS)
+                if key in seen or not bits[bucket * 4096 + bit // 8] >> (bit % 8) & 1:
                     continue
-                seen.add(node)
-                got.append((node, len(s), vector(s).tobytes(), s.astype(np.int64)))
+                seen.add(key)
+                s = shingles(t.as_py(), words)
+                got.append((fingerprint(s)[0], len(s), s.astype(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int32()),
-                 pa.array([g[2] for g in got], pa.binary()), pa.array([g[3] for g in got], pa.list_(pa.int64()))],
-                names=["node", "n", "vector", "shingles"])
+                 pa.array([g[2] for g in got], pa.list_(pa.int64()))], names=["node", "n", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "node bigint, n int, vector binary, shingles array<bigint>").dropDuplicates(["node"])
+    return staged(docs.select("key", "text").mapInArrow(run, "node bigint, n int, shingles array<bigint>"), name)
 
 
 def bucket_of(place: int) -> tuple[int, int]:
@@ -284,7 +299,8 @@ def bucket_of(place: int) -> tuple[int, int]:
 
 def reaches(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Whether summed minima of counts leave a similarity of 0.8 possible: 9 * overlap >= 4 * (na + nb)."""
-    return 9 * np.minimum(a, b).sum(axis=-1, dtype=np.int64) >= 4 * (na.astype(np.int64) + nb)
+    met = 9 * np.minimum(a, b).sum(axis=-1, dtype=np.int64) >= 4 * (np.asarray(na, dtype=np.int64) + nb)
+    return met | (np.maximum(na, nb) > WIDE)
 
 
 class Tree:
@@ -308,7 +324,7 @@ class Tree:
         """Leaves whose boxes leave a link possible."""
         for i, leaf in enumerate(self.leaves):
             fits = (5 * self.most[i].astype(np.int64) >= 4 * other.least) & (5 * other.most.astype(np.int64) >= 4 * self.least[i])
-            fits &= reaches(self.high[i], other.high, self.least[i], other.least)
+            fits &= reaches(self.high[i], other.high, self.least[i], other.least) | (np.maximum(self.most[i], other.most) > WIDE)
             if fits.any():
                 yield leaf, np.concatenate([other.leaves[j] for j in np.flatnonzero(fits)])
 
@@ -330,8 +346,12 @@ def block_pairs(points: np.ndarray, n: np.ndarray, root: np.ndarray, left: np.nd
     return np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
 
 
-def _search(rows: DataFrame) -> DataFrame:
-    """(a, b) from rows (shingle, i, j, part, node, root, n, vector), blocks (shingle, i, j) whole and sorted."""
+def _search(rows: DataFrame, every: bool) -> DataFrame:
+    """(a, b, near) from rows (shingle, i, j, part, node, root, n, vector), blocks (shingle, i, j) whole.
+
+    Pairs from different components that the bound leaves: all of them, once
+    (``every``), or each node a's nearest in each block.
+    """
     def small(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All index pairs of the blocks, flat."""
         left, right = [], []
@@ -346,7 +366,7 @@ def _search(rows: DataFrame) -> DataFrame:
         for t in grouped(batches, lambda t: np.stack([_column(t, c) for c in ("shingle", "i", "j")], axis=1), 50_000):
             key = np.stack([_column(t, c) for c in ("shingle", "i", "j")], axis=1)
             part, node, root, n = (_column(t, c) for c in ("part", "node", "root", "n"))
-            points = np.frombuffer(b"".join(t["vector"].to_pylist()), dtype=np.uint16).reshape(-1, GROUPS)
+            points = vectors(t["vector"])
             start = np.flatnonzero(np.concatenate([[True], np.any(key[1:] != key[:-1], axis=1)]))
             size = np.diff(np.append(start, len(node)))
             found = []
@@ -368,24 +388,40 @@ def _search(rows: DataFrame) -> DataFrame:
             p = np.concatenate(found) if found else np.empty((0, 2), np.int64)
             if not len(p):
                 continue
-            p = np.unique(np.sort(np.stack([node[p[:, 0]], node[p[:, 1]]], axis=1), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+            near = np.empty(len(p))
+            for k in range(0, len(p), 200_000):
+                x, y = p[k:k + 200_000].T
+                near[k:k + 200_000] = 2.0 * np.minimum(points[x], points[y]).sum(axis=1, dtype=np.int64) / (n[x] + n[y])
+            a, b = node[p[:, 0]], node[p[:, 1]]
+            if every:
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                by = np.lexsort((b, a))
+                by = by[np.concatenate([[True], (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])])]
+            else:
+                a, b, near = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([near, near])
+                by = np.lexsort((b, near, a))
+                by = by[np.concatenate([a[by][1:] != a[by][:-1], [True]])]
+            yield pa.RecordBatch.from_arrays([pa.array(a[by]), pa.array(b[by]), pa.array(near[by])], names=["a", "b", "near"])
 
     d = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
-    return d.mapInArrow(run, "a bigint, b bigint")
+    return d.mapInArrow(run, "a bigint, b bigint, near double")
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that the summed minima leave."""
+def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, near): the pairs that the summed minima leave, and the share of the smaller set that they allow."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(-1, GROUPS) for i in (4, 5))
-            ok = reaches(x, y, batch.column(2).to_numpy(), batch.column(3).to_numpy())
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
+            x, y = vectors(batch.column(4)), vectors(batch.column(5))
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            total, most = na + nb, np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            ok = pa.array(reaches(x, y, na, nb))
+            yield pa.RecordBatch.from_arrays([*(c.filter(ok) for c in batch.columns[:2]), pa.array(2.0 * most / total).filter(ok)],
+                                             names=["a", "b", "near"])
 
-    a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"))
-    b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(run, "a bigint, b bigint")
+    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"))
+    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb"))
+    d = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "va", "vb")
+    return d.mapInArrow(run, "a bigint, b bigint, near double")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -397,6 +433,34 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return d.filter(100 * both >= 80 * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """(a, b): for each node a the nearest b, each pair once."""
+    best = pairs.groupBy(F.col("a").alias("node")).agg(F.max_by("b", "near").alias("other"))
+    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _as_edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _dealt(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the blocks that hold several components, with roots and count vectors; large blocks in pairs of parts."""
+    rooted = members.join(roots, "node", "left").select("shingle", "node", F.coalesce("root", "node").alias("root"))
+    rooted = staged(rooted, "block_members")
+    mixed = (rooted.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size"))
+             .filter("x <> y").select("shingle", F.ceil(F.col("size") / PART).alias("parts")))
+    mixed = staged(mixed, "mixed_blocks")  # written, so that the joins can split a frequent key's rows; so below
+    return (rooted.join(mixed, "shingle").join(nodes.select("node", "n", "vector"), "node")
+            .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+            .select("shingle", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node",
+                    "root", "n", "vector"))
+
+
+def _rooted(links: DataFrame) -> DataFrame:
+    return staged(components(links), "components")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id per row of ``docs``: groups of documents linked at 0.8 Jaccard similarity or more.
 
@@ -407,35 +471,42 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     an empty result; other columns are not read.
     """
     d = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
+    d = d.withColumn("key", F.xxhash64("doc_id", "text"))
     scanned = staged(_scan(d), "sets_scanned")
     rows = scanned.filter("shingle is null")
     top = (scanned.filter("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"))
            .orderBy(F.col("n").desc(), "shingle").limit(FREQUENT).select("shingle").toArrow())  # FREQUENT rows at most
     frequent = np.sort(top["shingle"].to_numpy().view(np.uint64))
+    nodes = (rows.filter("n > 0").groupBy("node", "mark")
+             .agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.max("n").alias("n"),
+                  F.max("vector").alias("vector")))
+    nodes = staged(nodes, "nodes")
     found = staged(_candidates(_first_rows(d, frequent)), "first_shingles")
-    blocks = found.filter("kind = 0").select(F.col("a").alias("shingle"), F.col("b").alias("node"), "n")
-    sets = staged(_node_sets(d, blocks), "node_sets")
-
-    first = _verified(staged(_bounded(found.filter("kind = 1").select("a", "b").distinct(), sets), "candidates"), sets)
-    first = staged(components(first), "first_components")
-
-    # step 5: blocks with more than one component; their members are dealt out in parts
-    rooted = blocks.distinct().join(first, "node", "left").select("shingle", "node", F.coalesce("root", "node").alias("root"))
-    rooted = staged(rooted, "block_members")
-    mixed = (rooted.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size"))
-             .filter("x <> y").select("shingle", F.ceil(F.col("size") / PART).alias("parts")))
-    mixed = staged(mixed, "mixed_blocks")  # written, so that the joins can split a frequent key's rows; so below
-    members = (rooted.join(mixed, "shingle").join(sets.select("node", "n", "vector"), "node")
-               .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-               .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-               .select("shingle", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node",
-                       "root", "n", "vector"))
-    more = _verified(staged(_search(members).distinct(), "block_pairs"), sets)
-    edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)
-    linked = components(edges)
-
-    nodes = rows.filter("n > 0").groupBy("node", "mark").agg(F.min("doc_id").alias("least"))
-    names = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    blocks = found.filter("kind = 0").select(F.col("a").alias("shingle"), F.col("b").alias("node"))
+    near = staged(_bounded(found.filter("kind = 1").select("a", "b").distinct(), nodes), "candidates")
+    sets = _node_sets(d, nodes, near.select(F.col("a").alias("node")).unionAll(near.select(F.col("b").alias("node"))), "sets")
+    # first each node's nearest candidate
+    links = staged(_verified(_nearest(near.select("a", "b", "near").unionAll(near.select(
+        F.col("b").alias("a"), F.col("a").alias("b"), "near"))), sets), "links")
+    roots = _rooted(links)
+
+    # step 5: first the nearest of another component in rounds, as long as that joins some, then all that is left
+    members = blocks.distinct()
+    for k in range(ROUNDS):
+        best = staged(_nearest(_search(_dealt(members, nodes, roots), False)), "nearest")
+        if k == 0:
+            # only nodes that the bound leaves a partner in another component; later there can be no others
+            live = staged(best.select(F.col("a").alias("node")).unionAll(best.select(F.col("b").alias("node"))).distinct(), "live")
+            sets = _node_sets(d, nodes, live, "live_sets")
+            members = staged(members.join(live, "node"), "live_members")
+        links = staged(_verified(best, sets), "links")
+        if links.isEmpty():
+            break
+        roots = _rooted(_as_edges(roots).unionAll(links))
+    rest = staged(_search(_dealt(members, nodes, roots), True).select("a", "b").distinct(), "rest")
+    linked = components(_as_edges(roots).unionAll(_verified(rest, sets)))
+
+    names = nodes.select("node", "mark", "least").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = staged(names, "node_roots")
     least = staged(names.groupBy("root").agg(F.min("least").alias("component_id")), "component_names")
     named = staged(names.join(least, "root").select("node", "mark", "component_id"), "named_nodes")
