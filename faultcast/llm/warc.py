@@ -2,7 +2,8 @@
 
 ``write_archive`` makes two Parquet tables below a path:
 
-* ``payloads`` (sha256, payload): each distinct payload once;
+* ``payloads`` (sha256, packed): each distinct payload once, zstandard-compressed
+  before it is moved;
 * ``headers`` (page_id, sha256, header, http): a row per record, its WARC and
   HTTP header to the byte.
 
@@ -18,8 +19,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ship, staged
 
@@ -72,7 +75,30 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
         _line("Content-Length", block.cast("string")), F.lit(CRLF))
     slim.join(owners, "sha256").select("page_id", "sha256", F.col("size").alias("payload_bytes"), header.alias("header"),
                                        F.lit(HTTP).alias("http")).write.parquet(f"{path}/headers")
-    d.select("sha256", "payload").groupBy("sha256").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
+    packed = d.select("sha256", "payload").mapInArrow(_pack, "sha256 string, packed binary")
+    packed.groupBy("sha256").agg(F.first("packed").alias("packed")).write.parquet(f"{path}/payloads")
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = pa.array([packer.compress(x.as_py()) for x in batch.column(1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["sha256", "packed"])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column from packed to plain; null where a payload is missing or can't be unpacked."""
+    unpacker = zstandard.ZstdDecompressor()
+
+    def plain(x: bytes | None) -> bytes | None:
+        try:
+            return None if x is None else unpacker.decompress(x)
+        except zstandard.ZstdError:
+            return b""  # fails the digest, which says so
+
+    for batch in batches:
+        got = pa.array([plain(x.as_py()) for x in batch.column(batch.num_columns - 1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], names=[*batch.schema.names[:-1], "payload"])
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -83,13 +109,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """
     h = spark.read.parquet(f"{path}/headers")
     p = spark.read.parquet(f"{path}/payloads")
-    sound = (F.sha2("payload", 256) == F.col("sha256"))
-    p = p.select("sha256", F.when(sound, F.col("payload")).otherwise(
-        F.raise_error(F.concat(F.lit("stored payload differs from its digest "), F.col("sha256")))).alias("payload"))
-    d = h.join(p, "sha256", "left")
-    whole = F.octet_length("payload") == F.col("payload_bytes")
-    d = d.withColumn("payload", F.when(whole, F.col("payload")).otherwise(
-        F.raise_error(F.concat(F.lit("no payload for "), F.col("sha256"))).cast("binary")))
+    d = h.join(p, "sha256", "left").select(*h.columns, "packed")
+    d = d.mapInArrow(_unpack, T.StructType([*h.schema.fields, T.StructField("payload", T.BinaryType())]))
+    sound = (F.octet_length("payload") == F.col("payload_bytes")) & (F.sha2("payload", 256) == F.col("sha256"))
+    d = d.withColumn("payload", F.when(sound, F.col("payload")).otherwise(
+        F.raise_error(F.concat(F.lit("stored payload differs from its digest "), F.col("sha256"))).cast("binary")))
     kind = F.regexp_extract("header", r"\r\nWARC-Type: ([a-z]+)\r\n", 1)
     refers = F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:page:(-?[0-9]+)>\r\n", 1)
     uri = F.regexp_extract("header", r"\r\nWARC-Target-URI: ([^\r\n]*)\r\n", 1)

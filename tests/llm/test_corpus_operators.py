@@ -254,7 +254,7 @@ def test_archive_refuses_a_changed_payload(spark, tmp_path):
     table, _ = pages(spark)
     warc.write_archive(table, str(tmp_path / "a"))
     p = spark.read.parquet(str(tmp_path / "a/payloads"))
-    p.selectExpr("sha256", "cast('other' as binary) payload").write.parquet(str(tmp_path / "b/payloads"))
+    p.selectExpr("sha256", "cast('other' as binary) packed").write.parquet(str(tmp_path / "b/payloads"))
     spark.read.parquet(str(tmp_path / "a/headers")).write.parquet(str(tmp_path / "b/headers"))
     with pytest.raises(Exception, match="differs from its digest"):
         warc.read_archive(spark, str(tmp_path / "b")).collect()
