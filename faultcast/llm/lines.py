@@ -50,6 +50,7 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
                  .filter(F.col("opens") | ~F.col("doc").eqNullSafe(F.col("before"))))
     common = (per_slice.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper"))
               .filter(F.col("n") >= min_docs))
+    common = staged(common, "common_lines")  # written, so that the join can split a frequent line's rows
     lost = (found.join(common, ["h1", "h2"])
             .filter(~F.col("doc").eqNullSafe(F.col("keeper"))))
     return lost.groupBy("doc", "tag").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
