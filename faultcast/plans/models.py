@@ -7,10 +7,8 @@ model land in one long table ``(system, model, date, y, y_hat)`` so that
 metrics, votes and model choice are the grouped operators of
 :mod:`faultcast.operators.metrics` and :mod:`faultcast.operators.ranking`.
 
-Library defaults are the reference's sizes (500 trees, 100 trees for text,
-10,000 linear iterations). The registered queries run the same code with the
-sizes of :data:`CHECK`, a stated parameter that keeps a check short; it is not
-meant as parity of model quality.
+Defaults are the reference's sizes (500 trees, 100 trees for text, 10,000
+linear iterations), and the registered queries run with them (:data:`CHECK`).
 """
 
 from __future__ import annotations
@@ -56,9 +54,8 @@ class ModelSizes:
     tuned: dict = field(default_factory=dict)   # boosting settings found by search_params
 
 
-CHECK = ModelSizes(rf_trees=20, rf_depth=6, gbt_iter=8, gbt_depth=4, gbt_step=0.15, enet_iter=100, text_trees=5,
-                   ada_rounds=3, stack_folds=2, search_trials=2, search_depth=(3, 4), search_rounds=(3, 6), text_depth=5,
-                   cv_folds=2)
+#: Sizes of the registered queries: the reference's.
+CHECK = ModelSizes()
 
 
 # ---------------------------------------------------------------- estimators

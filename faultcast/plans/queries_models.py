@@ -2,9 +2,9 @@
 
 Each runs the full fit and score over every row of its input (all three
 classified systems, all six models where the operator compares models) with the
-sizes of ``models.CHECK``, a stated parameter; the library's defaults are the
-reference's sizes. A query returns what SQL can state about that output: which
-rows were scored, by whom, and flags computed from every prediction.
+reference's sizes (``models.CHECK``). A query returns what SQL can state about
+that output: which rows were scored, by whom, and flags computed from every
+prediction.
 
 The model target follows the weather (``jobs.with_signal``), so "better than
 the mean" says that a model has learnt something.

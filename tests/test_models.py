@@ -181,3 +181,11 @@ def test_adaboost_r2_weights_median_and_roundtrip(spark, cooling):
     const = p.train.select("features", (F.col("label") * 0 + 3.0).alias("label"))
     one = AdaBoostR2(numRounds=5).fit(const)
     assert one.alphas == [1.0] and {r["prediction"] for r in one.transform(const).collect()} == {3.0}
+
+
+def test_registered_queries_run_the_whole_sizes():
+    from faultcast.plans import queries_models
+    s = queries_models.SIZES
+    assert (s.rf_trees, s.rf_depth, s.gbt_iter, s.gbt_depth, s.gbt_step, s.enet_iter) == (500, 10, 500, 6, 0.05, 10000)
+    assert (s.text_trees, s.text_depth, s.ada_rounds, s.stack_folds, s.cv_folds) == (100, 30, 100, 5, 5)
+    assert (s.search_trials, s.search_depth, s.search_rounds, s.tuned) == (5, (3, 12), (100, 1000), {})
