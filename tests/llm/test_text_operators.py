@@ -147,6 +147,40 @@ def test_license_scan_matches_brute_force(documents):
         assert got == want
 
 
+def brute_runs(text, templates, threshold):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    labels, best = set(), 0.0
+    for label, texts in templates.items():
+        for t in texts:
+            own, run = set(t.split()), 2 * len(t.split())
+            for k in range(max(1, len(w) - run + 1)):
+                share = len(own & set(w[k:k + run])) / len(own)
+                if share >= threshold - 1e-9:
+                    labels.add(label)
+                    best = max(best, share)
+    return ",".join(sorted(labels)), best
+
+
+def test_license_scan_finds_wrapped_notices_and_no_scattered_words(documents, monkeypatch):
+    from faultcast.llm import queries
+    from faultcast.llm.licenses import TEMPLATES, scan_licenses
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided"
+    mpl = "This Source Code\n * Form is subject to the\n * terms of the Mozilla\n * Public License, v. 2.0."
+    scattered = f"all {prose(5, 60)} rights {prose(6, 60)} reserved"
+    r = random.Random(4)
+    vocabulary = sorted({w for texts in TEMPLATES.values() for t in texts for w in t.split()})
+    mixed = [" ".join(r.choice(t.split() + [r.choice(vocabulary), "x"]) for _ in range(r.randint(5, 60)))
+             for texts in TEMPLATES.values() for t in texts * 3]
+    texts = [bsd, mpl, scattered, "rights all\nreserved", prose(7, 90) + "\n" + bsd.replace(" ", "\n") + prose(8, 90), *mixed]
+    docs = documents(ODD + [(20 + i, t) for i, t in enumerate(texts)])
+    for threshold in (0.8, 0.5):
+        got = rows_of(scan_licenses(docs, phrases={"no such phrase": "x"}, threshold=threshold, block="run"), "doc_id", "labels", "score")
+        assert got == sorted(((r.doc_id, *brute_runs(r.text, TEMPLATES, threshold)) for r in docs.collect()), key=repr)
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    got = {r.doc_id: r.labels for r in queries.op8_license_scan(docs.sparkSession, "").collect()}
+    assert (got[20], got[21], got[22]) == ("bsd", "mpl", "")
+
+
 def edit_distance_within(pattern, text):
     """Least distance of ``pattern`` to any substring of ``text``."""
     row = [0] * (len(text) + 1)
