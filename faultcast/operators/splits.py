@@ -83,17 +83,18 @@ def chrono_split(df: DataFrame, frac: float = 0.8, keys=None, order: str = "date
 
     One aggregate of daily counts gives the day in which each key's cut falls;
     rows of other days are told by comparison, only that day's rows are ranked
-    (by a hash of ``tie``, or of the row).
+    (by a hash of ``tie``, or of the row).  Rows without a day stand before every day.
     """
     keys = list(keys or [])
     cut = F.floor(F.col("_n") * frac)
     days = _day_positions(df, keys, order).filter((F.col("_before") <= cut) & (cut < F.col("_before") + F.col("_dc")))
     cuts = days.select(*keys, F.col(order).alias("_day"), (cut - F.col("_before")).alias("_take"))
     j = join_null_safe(df, cuts, keys) if keys else attach_global(df, cuts)
-    # without a cut day the key's rows are all train
-    other = j.filter(F.col("_day").isNull() | (F.col(order) != F.col("_day")))
-    other = other.withColumn("split", F.when(F.col("_day").isNull() | (F.col(order) < F.col("_day")), "train").otherwise("test"))
-    day = j.filter(F.col(order) == F.col("_day"))
+    # without a cut day the key's rows are all train; the day itself may be null
+    is_day = F.col("_take").isNotNull() & F.col(order).eqNullSafe(F.col("_day"))
+    before = F.col("_take").isNull() | F.col(order).isNull() | (F.col(order) < F.col("_day"))
+    other = j.filter(~is_day).withColumn("split", F.when(before, "train").otherwise("test"))
+    day = j.filter(is_day)
     ranked = sharded_rank(day, [*keys, order], md5_of(tie) if tie else row_hash(df), tie=tie)
     ranked = ranked.withColumn("split", F.when(F.col("_rank") < F.col("_take"), "train").otherwise("test"))
     return other.select(*df.columns, "split").unionByName(ranked.select(*df.columns, "split"))

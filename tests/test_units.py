@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from faultcast.functions import calendar as cal
@@ -159,6 +160,23 @@ def test_splits_disjoint_and_complete(spark):
     assert max(counts) - min(counts) <= 1 and sum(counts) == n1
 
 
+@pytest.mark.parametrize("nulls", [3, 40])
+def test_chrono_split_keeps_rows_without_a_date(spark, nulls):
+    rows = [("s", None, k) for k in range(nulls)] + [("s", d("2024-01-01") + dt.timedelta(days=k), 100 + k) for k in range(10)]
+    rows += [("t", d("2024-01-01"), 200), (None, None, 300), (None, d("2024-01-02"), 301)]
+    df = spark.createDataFrame(rows, "system string, date date, id int")
+    got = {r["id"]: r["split"] for r in chrono_split(df, 0.6, ["system"], "date").collect()}
+    assert set(got) == {r[2] for r in rows}
+    n = nulls + 10
+    assert sum(got[r[2]] == "train" for r in rows if r[0] == "s") == int(n * 0.6)
+    if int(n * 0.6) >= nulls:
+        assert all(got[k] == "train" for k in range(nulls))
+    else:
+        assert all(got[100 + k] == "test" for k in range(10))
+    alone = df.filter("system = 's'").drop("system")
+    assert chrono_split(alone, 0.6, order="date").filter("split = 'train'").count() == int(n * 0.6)
+
+
 def test_vote_weights_sum_to_one_and_best_model_ties(spark):
     board = spark.createDataFrame([("s", "a", 0.5), ("s", "b", -1.0), ("s", "c", 0.5)], "system string, model string, r2 double")
     w = vote_weights(board)
