@@ -294,6 +294,8 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     places = places.select(F.col("owner").alias("_owner"), F.xxhash64(F.lit(0), "owner").alias("k0"), "k1", "k2", "places")
     near = d.join(places, ["k0", "k1", "k2"]).select(
         F.coalesce(F.col("doc").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), "k0", "k1", "k2", "text", "places")
+    if first:
+        near = near.dropDuplicates(["k0", "k1", "k2"])  # rows that are equal wholly are one holder
     ranges = _resolve(_surroundings(near, width, first), width, first)
     ranges = ranges.groupBy("k0", "k1", "k2").agg(F.collect_list(F.struct("start", "last")).alias("ranges"))
     many = texts.filter("copies > 1")

@@ -56,6 +56,15 @@ def test_substring_dedup_of_repeated_rows(documents):
     assert got == [(1, n), (1, n), (None, 0)]
 
 
+def test_substring_dedup_keeps_the_first_of_repeated_holders(documents):
+    from faultcast.llm.suffix import dedup_substrings
+    passage, own = prose(3, 120), prose(4, 60)
+    text = f"{prose(5, 60)} {passage} {own}"
+    rows = [(1, text), (1, text), (2, f"{prose(6, 60)} {passage} {prose(7, 60)}")]
+    got = {d: n for d, n in rows_of(dedup_substrings(documents(rows), keep="first"), "doc_id", "n_removed")}
+    assert got[1] == 0 and got[2] >= len(passage)
+
+
 def brute_lines(rows, min_chars=40, min_docs=5):
     ws = " \t\n\x0b\x0c\r"
     def key(line):
