@@ -110,30 +110,33 @@ class Matcher:
         return found
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int, null_ids: bool) -> Iterator[list[tuple[int | None, str]]]:
     """The normalised items with a text, at most about ``block_bytes`` of them on the driver at a time."""
     d = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(2 * size / block_bytes))
     for k in range(n):
         rows = d.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect() if n > 1 else d.collect()
-        block = sorted({(r["item_id"], normal(r["text"])) for r in rows if r["item_id"] is not None})
+        block = sorted({(r["item_id"], normal(r["text"])) for r in rows if null_ids or r["item_id"] is not None},
+                       key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         yield [(i, t) for i, t in block if t]
 
 
 def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-               item_text: str = "text", rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+               item_text: str = "text", rate: float = RATE, block_bytes: int = BLOCK_BYTES,
+               null_ids: bool = False) -> DataFrame:
     """(doc_id, item_id, distance): every item that stands in a document's whole text within its error budget.
 
-    Case and white space don't count.  Items without an id or without words
-    match nothing; items of few characters have a budget of 0.  Equal items under
+    Case and white space don't count.  Items without words match nothing, items
+    without an id only with ``null_ids`` (their rows have a null item_id; one for
+    each different text); items of few characters have a budget of 0.  Equal items under
     several ids are found under each; repeated documents give repeated rows.
     Null and empty texts, and empty tables, give none.
     """
     d = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     out = None
-    for block in _blocks(items, item_id, item_text, block_bytes):
+    for block in _blocks(items, item_id, item_text, block_bytes, null_ids):
         shared = d.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -152,9 +155,9 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
                       item_text: str = "text", rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` in which no item stands; a scan per block of items, nothing is shuffled."""
+    """The rows of ``docs`` in which no item stands, with an id or without; a scan per block of items, nothing is shuffled."""
     at = docs.columns.index(text)
-    for block in _blocks(items, item_id, item_text, block_bytes):
+    for block in _blocks(items, item_id, item_text, block_bytes, True):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABUL
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), null_ids=True)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

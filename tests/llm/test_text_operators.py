@@ -230,6 +230,16 @@ def test_decontamination_matches_brute_force(documents, spark):
         (r.doc_id for r in docs.collect() if r.doc_id not in {w[0] for w in want}), key=repr)
 
 
+def test_items_without_an_id_are_found(documents, spark, monkeypatch):
+    from faultcast.llm import decontam, queries
+    items = spark.createDataFrame([(None, prose(1, 25)), (None, prose(2, 25)), (3, prose(3, 25)), (None, None)], "item_id long, text string")
+    docs = documents([(k, f"{prose(10 + k, 30)} {prose(k, 25)} {prose(20 + k, 30)}") for k in range(1, 6)])
+    monkeypatch.setattr(queries, "table", lambda _, __, name: {"documents": docs, "benchmark": items}[name])
+    got = rows_of(queries.op4_decontamination(spark, ""), "doc_id", "item_id", "distance")
+    assert got == [(1, None, 0), (2, None, 0), (3, 3, 0)]
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, items).collect()) == [4, 5]
+
+
 def test_myers_equals_dynamic_programme():
     from faultcast.llm.decontam import myers
     r = random.Random(5)
