@@ -461,15 +461,9 @@ def _rooted(links: DataFrame) -> DataFrame:
     return staged(components(links), "components")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id per row of ``docs``: groups of documents linked at 0.8 Jaccard similarity or more.
-
-    Null texts and texts without words have no shingles, link with nothing and
-    are their own component.  Equal rows are one node, so they share a component;
-    rows that share a doc_id with different texts are nodes of their own.  A
-    component is named by its smallest id that isn't null.  An empty table gives
-    an empty result; other columns are not read.
-    """
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, key, n_shingles, first per row of ``docs``: first is (no id, doc_id, key) of its component's first row by id;
+    null where there are no shingles."""
     d = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     d = d.withColumn("key", F.xxhash64("doc_id", "text"))
     scanned = staged(_scan(d), "sets_scanned")
@@ -478,7 +472,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
            .orderBy(F.col("n").desc(), "shingle").limit(FREQUENT).select("shingle").toArrow())  # FREQUENT rows at most
     frequent = np.sort(top["shingle"].to_numpy().view(np.uint64))
     nodes = (rows.filter("n > 0").groupBy("node", "mark")
-             .agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.max("n").alias("n"),
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"),
+                  F.min("key").alias("key"), F.max("n").alias("n"),
                   F.max("vector").alias("vector")))
     nodes = staged(nodes, "nodes")
     found = staged(_candidates(_first_rows(d, frequent)), "first_shingles")
@@ -506,22 +501,45 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rest = staged(_search(_dealt(members, nodes, roots), True).select("a", "b").distinct(), "rest")
     linked = components(_as_edges(roots).unionAll(_verified(rest, sets)))
 
-    names = nodes.select("node", "mark", "least").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = nodes.select("node", "mark", "first").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = staged(names, "node_roots")
-    least = staged(names.groupBy("root").agg(F.min("least").alias("component_id")), "component_names")
-    named = staged(names.join(least, "root").select("node", "mark", "component_id"), "named_nodes")
-    return rows.join(named, ["node", "mark"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = staged(names.groupBy("root").agg(F.min("first").alias("first")), "component_names")
+    named = staged(names.drop("first").join(least, "root").select("node", "mark", "first"), "named_nodes")
+    return rows.join(named, ["node", "mark"], "left").select("doc_id", "key", F.col("n").alias("n_shingles"), "first")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id per row of ``docs``: groups of documents linked at 0.8 Jaccard similarity or more.
+
+    Null texts and texts without words have no shingles, link with nothing and
+    are their own component.  Equal rows are one node, so they share a component;
+    rows that share a doc_id with different texts are nodes of their own.  A
+    component is named by its smallest id that isn't null.  An empty table gives
+    an empty result; other columns are not read.
+    """
+    return _grouped(docs, doc_id, text).select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose component has a smaller doc_id; all columns as they were.
+    """``docs`` with one row of each component, that of the smallest doc_id; all columns as they were.
 
-    Of equal rows with the same doc_id all stay; rows without an id stay.
+    Rows are told apart by id and text: a text that is no near copy stays, whatever
+    others bear its id.  Ids that are null come last; of equal rows one stays, the
+    first by a hash of all columns.  Rows without words stay.
     """
-    found = near_duplicates(docs, doc_id, text)
-    lost = (found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_lost")).distinct())
-    return docs.join(lost, docs[doc_id] == lost["_lost"], "left_anti")
+    found = _grouped(docs, doc_id, text).filter(F.col("first").isNotNull())
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    found = staged(found.groupBy("doc_id", "key", is_first.alias("is_first")).agg(F.count(F.lit(1)).alias("n")), "row_places")
+    lost = found.filter(~F.col("is_first")).select(F.col("doc_id").alias("_lost"), F.col("key").alias("_lost_key"))
+    again = found.filter(F.col("is_first") & (F.col("n") > 1)).select(F.col("doc_id").alias("_lost"), F.col("key").alias("_lost_key"))
+    key = F.xxhash64(docs[doc_id], docs[text])
+    same = (key == F.col("_lost_key")) & docs[doc_id].eqNullSafe(F.col("_lost"))
+    if again.isEmpty():
+        return docs.join(lost, same, "left_anti")
+    row = F.struct(*[docs[c] for c in docs.columns])
+    one = docs.join(again, same, "left_semi").groupBy(docs[doc_id], key).agg(
+        F.min_by(row, F.md5(F.to_json(row, {"ignoreNullFields": "false"}))).alias("_row")).select("_row.*")
+    return docs.join(lost.unionAll(again), same, "left_anti").unionAll(one)
 
 
 ship(__name__)

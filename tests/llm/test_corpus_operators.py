@@ -156,6 +156,15 @@ def test_jaccard_join_matches_brute_force(documents, monkeypatch, part):
     assert {r.doc_id for r in left.collect()} == {d if d is not None else None for d, _, c in want if d == c or d is None}
 
 
+def test_keep_one_tells_rows_of_one_id_apart(documents):
+    from faultcast.llm.jaccard import keep_one
+    a, b, c, e = (prose(40 + k, 60) for k in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, c), (None, e), (None, e), (4, ""), (4, ""), (None, None)]
+    left = keep_one(documents(rows))
+    assert left.columns == documents(rows).columns
+    assert rows_of(left, "doc_id", "text") == sorted([(1, a), (2, b), (3, c), (None, e), (4, ""), (4, ""), (None, None)], key=repr)
+
+
 def test_summed_minima_bound_the_overlap_and_boxes_bound_their_points():
     import numpy as np
     from faultcast.llm import jaccard
