@@ -261,8 +261,8 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, name: str)
     """(node, n, shingles) of the nodes in ``wanted``, written.
 
     A scan that goes on with the rows whose key passes a filter of fixed size.
-    A node's key is that of one row, so it comes once (or once per task, where
-    equal rows repeat); what passes by chance is met by no pair.
+    A node's key is that of one row, but equal rows repeat, and other rows of the
+    same text can pass by chance; a row per node is written.
     """
     place = F.pmod("key", F.lit(FILTER_BITS)).alias("place")
     live = nodes.join(wanted.select("node").distinct(), "node").select(place)
@@ -275,7 +275,7 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, name: str)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, bits = Words(), set(), shared.value
+        words, seen, sent, bits = Words(), set(), set(), shared.value
         for batch in batches:
             got = []
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -284,12 +284,16 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, name: str)
                     continue
                 seen.add(key)
                 s = shingles(t.as_py(), words)
-                got.append((fingerprint(s)[0], len(s), s.astype(np.int64)))
+                node = fingerprint(s)[0]
+                if node not in sent:
+                    sent.add(node)
+                    got.append((node, len(s), s.astype(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int32()),
                  pa.array([g[2] for g in got], pa.list_(pa.int64()))], names=["node", "n", "shingles"])
 
-    return staged(docs.select("key", "text").mapInArrow(run, "node bigint, n int, shingles array<bigint>"), name)
+    sets = docs.select("key", "text").mapInArrow(run, "node bigint, n int, shingles array<bigint>")
+    return staged(sets.dropDuplicates(["node"]), name)
 
 
 def bucket_of(place: int) -> tuple[int, int]:

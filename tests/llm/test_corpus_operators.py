@@ -156,6 +156,19 @@ def test_jaccard_join_matches_brute_force(documents, monkeypatch, part):
     assert {r.doc_id for r in left.collect()} == {d if d is not None else None for d, _, c in want if d == c or d is None}
 
 
+def test_sets_have_a_row_per_node(documents, monkeypatch):
+    """Rows of one text under many ids share a node; with a full filter all of them pass."""
+    from pyspark.sql import functions as F
+
+    from faultcast.llm import jaccard
+    monkeypatch.setattr(jaccard, "FILTER_BITS", 1)
+    rows = [(k, prose(1, 40)) for k in range(30)] + [(30, prose(2, 40)), (30, prose(2, 40))]
+    d = documents(rows).select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    nodes = jaccard._scan(d).filter("shingle is null").groupBy("node").agg(F.min("key").alias("key"))
+    sets = jaccard._node_sets(d, nodes, nodes, "sets_of_test")
+    assert sets.count() == nodes.count() == 2
+
+
 def test_keep_one_tells_rows_of_one_id_apart(documents):
     from faultcast.llm.jaccard import keep_one
     a, b, c, e = (prose(40 + k, 60) for k in range(4))
