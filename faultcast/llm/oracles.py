@@ -75,9 +75,77 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON r.x = d.doc_id
 """
 
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws,
+  row_number() OVER () AS no FROM documents),
+w AS (SELECT no, lang, source, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT no) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(total, 0)::HUGEINT AS total, coalesce(v, 0)::HUGEINT AS v
+      FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN t USING (lang, source) LEFT JOIN v USING (lang)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+      1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.v) AS p
+      FROM g JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS q
+      FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL)
+      JOIN (SELECT lang, sum(total)::HUGEINT AS total, max(v) AS v FROM g GROUP BY lang) USING (lang)),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value,
+          NULL::BIGINT AS p, NULL::BIGINT AS q
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+                     FROM p x JOIN p y USING (lang, term) WHERE x.source <> y.source GROUP BY ALL) f
+          ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+heads AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value, p::BIGINT AS p, q::BIGINT AS q
+          FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank
+           FROM (SELECT * FROM pairs UNION ALL SELECT * FROM heads))
+SELECT lang, source, part, item, value, rank, p, q FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+#: crc32 by its 256 table entries, which follow from its polynomial; computed once per different word.
+OP12 = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+  lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+d AS (SELECT row_number() OVER () AS no, doc_id, regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT unnest(regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+dw AS (SELECT no, w, count(*) AS n FROM (SELECT no, unnest(ws) AS w FROM d) GROUP BY ALL),
+words AS (SELECT w FROM dw UNION SELECT w FROM b),
+hexed AS (SELECT w, hex(encode(w)) AS x FROM words),
+bucket AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x) + 1, 2), lambda i: ('0x' || x[i:i + 1])::BIGINT)),
+  lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM hexed, crc),
+s AS (SELECT bucket, sum(n) AS n FROM dw JOIN bucket USING (w) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS n FROM b JOIN bucket USING (w) GROUP BY 1),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+  / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT DISTINCT bucket FROM bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+sums AS (SELECT no, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM dw JOIN bucket USING (w) JOIN gain USING (bucket) GROUP BY no),
+x AS (SELECT no, doc_id, coalesce(n_features, 0) AS n_features, CASE WHEN n_features > 0
+  THEN (total - ((total % n_features) + n_features) % n_features) // n_features ELSE 0 END AS weight,
+  ('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h FROM d LEFT JOIN sums USING (no)),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x),
+r AS (SELECT no, row_number() OVER (ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank, count(*) OVER () AS n FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight::BIGINT AS weight, score, CASE WHEN rank <= (10 * n) // 100 THEN rank END AS rank, n_features AS n_words
+FROM z LEFT JOIN r USING (no)
+"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS no, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t ORDER BY doc_id NULLS LAST, no)
+"""
+
 ORACLES: dict[str, str] = {
     "op5_warc": OP5,
     "op7_line_dedup": OP7,
     "op8_license_scan": OP8,
     "op9_ngram_jaccard": OP9,
+    "op11_source_divergence": OP11,
+    "op12_importance_resampling": OP12,
+    "op13_exact_dedup": OP13,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from faultcast.session import scratch_path
 
-from . import compression, decontam, jaccard, licenses, lines, mixing, quality, suffix, tokens, warc
+from . import compression, decontam, divergence, exact, jaccard, licenses, lines, mixing, quality, resampling, suffix, tokens, warc
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -56,6 +56,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -67,4 +79,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality_rules": op10_quality_rules,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_exact_dedup": op13_exact_dedup,
 }
