@@ -87,19 +87,22 @@ def term_hash(lang: bytes, term: bytes) -> int:
     return xxh64_intdigest(term, xxh64_intdigest(lang, _SEED))
 
 
+def _rows(same: dict[str, bytes], own: pa.Array, n) -> pa.RecordBatch:
+    """Terms and their numbers under the same language (and source)."""
+    same = {name: pa.repeat(pa.scalar(value.decode(), pa.string()), len(own)) for name, value in same.items()}
+    return pa.RecordBatch.from_arrays([*same.values(), own, pa.array(n, pa.int64())], names=[*same, "term", "n"])
+
+
 def _term_frequency(docs: DataFrame) -> DataFrame:
     """(lang, term, n): documents of the language that hold the term."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, Counter] = {}
         size = 0
 
-        def send() -> pa.RecordBatch:
-            flat = [(lang, t, n) for lang, c in found.items() for t, n in c.items()]
+        def send() -> Iterator[pa.RecordBatch]:
+            for lang, c in found.items():
+                yield _rows({"lang": lang}, pa.array(list(c), pa.binary()).cast(pa.string()), list(c.values()))
             found.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in flat], pa.binary()).cast(pa.string()),
-                 pa.array([r[1] for r in flat], pa.binary()).cast(pa.string()), pa.array([r[2] for r in flat], pa.int64())],
-                names=["lang", "term", "n"])
 
         for batch in batches:
             for lang, raw in zip(batch.column(0).to_pylist(), batch.column(2)):
@@ -107,11 +110,12 @@ def _term_frequency(docs: DataFrame) -> DataFrame:
                 before = len(c)
                 c.update(set(terms(raw.as_py())))
                 size += len(c) - before
-                if size > PENDING:
-                    yield send()
+                if size > limit:
+                    yield from send()
                     size = 0
-        yield send()
+        yield from send()
 
+    limit = PENDING
     return docs.mapInArrow(run, "lang string, term string, n bigint").groupBy("lang", "term").agg(F.sum("n").alias("n"))
 
 
@@ -198,13 +202,13 @@ def _recount(docs: DataFrame, block: DataFrame) -> DataFrame:
         table = sent.value
         pending: dict[tuple, Counter] = {}
         slots: dict[tuple, np.ndarray] = {}
-        names: dict[bytes, list[bytes]] = {}
+        names: dict[bytes, pa.Array] = {}
+        known: dict[bytes, dict[bytes, int]] = {}
         size = 0
 
         def add() -> Iterator[pa.RecordBatch]:
             for (lang, source), c in pending.items():
-                found = list(c)
-                at = lookup(table[lang], lang, found)
+                at = slots_of(lang, c)
                 hit = at >= 0
                 if not hit.any():
                     continue
@@ -216,16 +220,23 @@ def _recount(docs: DataFrame, block: DataFrame) -> DataFrame:
                 slots[lang, source][at[hit]] += np.fromiter(c.values(), dtype=np.int64, count=len(c))[hit]
             pending.clear()
 
+        def slots_of(lang: bytes, c: Counter) -> np.ndarray:
+            """Slots of the counter's terms; those of a language's terms are remembered from source to source."""
+            seen = known.setdefault(lang, {})
+            new = [t for t in c if t not in seen]
+            if len(seen) + len(new) > pending_limit:
+                seen.clear()
+                new = list(c)
+            seen.update(zip(new, lookup(table[lang], lang, new).tolist()))
+            return np.fromiter(map(seen.__getitem__, c), dtype=np.int64, count=len(c))
+
         def send() -> Iterator[pa.RecordBatch]:
             for (lang, source), dense in slots.items():
                 if lang not in names:
-                    names[lang] = [keys[lo:hi] for _, _, _, ends, keys in table[lang]["shards"].values()
-                                   for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                    names[lang] = pa.array([keys[lo:hi] for _, _, _, ends, keys in table[lang]["shards"].values()
+                                            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary()).cast(pa.string())
                 filled = np.flatnonzero(dense)
-                own = pa.array([names[lang][i] for i in filled.tolist()], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang.decode()] * len(filled), pa.string()), pa.array([source.decode()] * len(filled), pa.string()),
-                     own, pa.array(dense[filled], pa.int64())], names=["lang", "source", "term", "n"])
+                yield _rows({"lang": lang, "source": source}, names[lang].take(pa.array(filled)), dense[filled])
             slots.clear()
 
         for batch in batches:
