@@ -17,6 +17,11 @@ anchors that occur once are done with.  Only the surroundings of repeated
 anchors are shuffled, by anchor.  Anchors that occur more than ``HOT`` times
 go window by window instead, each task sending one row per different window, so
 no anchor's surroundings gather in one task.  Documents with equal texts are one.
+
+Passages are also named in words: of each ``span - passage + 1`` neighbouring runs
+of ``passage`` words the one of least hash is a sample, so documents that have
+``span`` words in common, whatever their bytes, have a sample in common, and
+documents with a common sample have ``passage`` words in common.
 """
 
 from __future__ import annotations
@@ -26,16 +31,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ship, staged
 
 WIDTH, GRAM = 400, 200
+#: Words in common from which documents are told to share a passage, and below which they are not.
+SPAN, PASSAGE = 51, 38
 #: Occurrences of an anchor from which its windows are sent one by one.
 HOT = 256
 #: Positions hashed at a time.
 SEGMENT = 1 << 20
+#: Samples that are compared within a task before they are sent.
+SAMPLES = 1 << 20
 _P = 0x9E3779B97F4A7C15
 _INV = pow(_P, -1, 1 << 64)
 
@@ -49,8 +59,8 @@ class Powers:
         byte = byte * np.uint64(0xBF58476D1CE4E5B9)
         self.byte = (byte ^ (byte >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
 
-    def hashes(self, a: np.ndarray, width: int) -> np.ndarray:
-        """Hash of each ``width``-byte string of ``a``."""
+    def sums(self, a: np.ndarray) -> np.ndarray:
+        """Hash sums of the beginnings of ``a``."""
         n = len(a)
         if n > len(self.up):
             for name, base in (("up", _P), ("down", _INV)):
@@ -59,7 +69,15 @@ class Powers:
                 setattr(self, name, np.cumprod(powers, dtype=np.uint64))
         c = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(self.byte[a] * self.up[:n], dtype=np.uint64, out=c[1:])
-        h = (c[width:] - c[:-width]) * self.down[:n - width + 1]
+        return c
+
+    def hashes(self, a: np.ndarray, width: int) -> np.ndarray:
+        """Hash of each ``width``-byte string of ``a``."""
+        c = self.sums(a)
+        return self.spread((c[width:] - c[:-width]) * self.down[:len(a) - width + 1])
+
+    @staticmethod
+    def spread(h: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
@@ -75,12 +93,7 @@ def anchors(raw: bytes, powers: Powers, width: int = WIDTH, gram: int = GRAM) ->
         h = powers.hashes(a[at:at + SEGMENT + width - 1], gram)
         # of equal hashes the last, which the window's bytes decide and not where it stands
         x = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
-        size, need = 1, width - gram + 1
-        while 2 * size <= need:
-            x = np.minimum(x[:-size], x[size:])
-            size *= 2
-        if size < need:
-            x = np.minimum(x[:-(need - size)], x[need - size:])
+        x = least_of(x, width - gram + 1)
         place = (low - (x & low)).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
         found.append(h[place[first]])
@@ -90,6 +103,34 @@ def anchors(raw: bytes, powers: Powers, width: int = WIDTH, gram: int = GRAM) ->
     return np.concatenate(found), np.concatenate(starts)
 
 
+def least_of(x: np.ndarray, need: int) -> np.ndarray:
+    """The least of each ``need`` neighbours."""
+    size = 1
+    while 2 * size <= need:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[:-(need - size)], x[need - size:]) if size < need else x
+
+
+def samples(raw: bytes, powers: Powers, span: int = SPAN, passage: int = PASSAGE) -> np.ndarray:
+    """Different hashes of the sampled runs of ``passage`` words; white space between words does not count."""
+    a = np.frombuffer(b" ".join(raw.split()), dtype=np.uint8)
+    ends = np.append(np.flatnonzero(a == 32), len(a))
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    found = [np.empty(0, dtype=np.uint64)]
+    at = 0
+    while at + span <= len(starts):
+        # as many words as fit the segment, the last ones again in the next
+        to = max(at + span, int(np.searchsorted(ends, starts[at] + SEGMENT)))
+        to = min(to, len(starts))
+        base = starts[at]
+        c = powers.sums(a[base:ends[to - 1]])
+        first, last = starts[at:to - passage + 1] - base, ends[at + passage - 1:to] - base
+        found.append(np.unique(least_of(powers.spread((c[last] - c[first]) * powers.down[first]), span - passage + 1)))
+        at = to - span + 1
+    return np.unique(np.concatenate(found))
+
+
 def _ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last of the runs in sorted numbers."""
     cut = np.flatnonzero(np.diff(starts) > 1)
@@ -260,9 +301,74 @@ def _resolve(sent: DataFrame, width: int, first: bool) -> DataFrame:
     return d.mapInArrow(run, "k0 bigint, k1 bigint, k2 bigint, start int, last int")
 
 
+def _ordered(places: DataFrame, first: bool) -> DataFrame:
+    """``places`` with ``ord``: whole numbers in the order of the owners, null last; any numbers where order does not matter."""
+    owner = F.col("_owner")
+    if isinstance(places.schema["_owner"].dataType, T.IntegralType):
+        return places.withColumn("ord", F.coalesce(owner.cast("long"), F.lit((1 << 63) - 1)))
+    if not first:
+        return places.withColumn("ord", F.xxhash64("_owner"))
+    order = owner.asc_nulls_last()
+    ranks = staged(places.select("_owner").distinct().repartitionByRange(order).sortWithinPartitions(order)
+                   .select(owner.alias("_ranked"), F.monotonically_increasing_id().alias("ord")), "owners")
+    return places.join(ranks, owner.eqNullSafe(F.col("_ranked"))).drop("_ranked")
+
+
+def shared_passages(docs: DataFrame, span: int = SPAN, passage: int = PASSAGE) -> DataFrame:
+    """(tag), written: the rows (tag, text) that have ``span`` words in common with a row of another tag.
+
+    Rows with ``passage`` to ``span`` words in common may be there too, rows with
+    fewer are not.  A task settles the samples that it meets twice and sends each
+    one once, so the rows of a sample are no more than the tasks' parts.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+
+        def send() -> pa.RecordBatch:
+            h = np.concatenate([np.empty(0, dtype=np.uint64), *[x for _, x in held]])
+            tag = np.repeat(np.array([t for t, _ in held], dtype=np.int64), [len(x) for _, x in held])
+            by = np.lexsort((tag, h))
+            h, tag = h[by], tag[by]
+            opens = np.concatenate([[True], h[1:] != h[:-1]])[:len(h)]
+            start = np.flatnonzero(opens)
+            end = np.append(start[1:], len(h))
+            several = tag[start] != tag[end - 1] if len(h) else np.empty(0, dtype=bool)
+            settled = np.unique(tag[np.repeat(several, end - start)])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([h[start].view(np.int64), np.zeros(len(settled), dtype=np.int64)])),
+                 pa.array(np.concatenate([tag[start], settled])),
+                 pa.array(np.concatenate([np.zeros(len(start), dtype=bool), np.ones(len(settled), dtype=bool)]))],
+                names=["sample", "tag", "settled"])
+
+        for batch in batches:
+            for tag, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = samples(text.as_py(), powers, span, passage)
+                if not len(x):
+                    continue
+                held.append((tag, x))
+                size += len(x)
+                if size >= limit:
+                    yield send()
+                    held, size = [], 0
+        yield send()
+
+    limit = SAMPLES
+    sent = docs.select("tag", F.col("text").cast("binary")).mapInArrow(run, "sample bigint, tag bigint, settled boolean")
+    order = Window.partitionBy("sample").orderBy("tag")
+    open_ = F.when(~F.col("settled"), F.col("tag"))
+    near = sent.select("tag", "settled", (F.lag(open_).over(order) != open_).alias("before"), (F.lead(open_).over(order) != open_).alias("after"))
+    return staged(near.filter(F.col("settled") | F.col("before") | F.col("after")).select("tag").distinct(), "passages")
+
+
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM,
                      keep: str = "none") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans per row of ``docs``.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated_passage, spans per row of ``docs``.
+
+    ``repeated_passage`` says whether the row shares a passage of over 50 words
+    with another (always from 51 common words on, never below 38), also where it
+    has fewer than ``width`` bytes, so that nothing is removed.
 
     ``keep="none"`` removes every byte covered by a ``width``-byte string that
     also starts anywhere else; ``"first"`` only where it starts earlier, in a
@@ -276,6 +382,8 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     d = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     d = d.select("doc", F.xxhash64(F.lit(0), "doc").alias("k0"), F.xxhash64("text").alias("k1"),
                  F.xxhash64(F.lit(1), "text").alias("k2"), "text")
+    tag = F.xxhash64("k0", "k1").alias("tag")
+    shared = shared_passages(d.select(tag, "text"))
     scanned = staged(_scan(d, width, gram), "anchors")
     texts = scanned.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc").alias("owner"),
                                             F.max("size").alias("size"))
@@ -292,8 +400,9 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     places = (places.join(often, "anchor").groupBy("owner", "k1", "k2")
               .agg(F.collect_list(F.struct("start", "last", "anchor", "n")).alias("places")))
     places = places.select(F.col("owner").alias("_owner"), F.xxhash64(F.lit(0), "owner").alias("k0"), "k1", "k2", "places")
+    places = _ordered(places, first)
     near = d.join(places, ["k0", "k1", "k2"]).select(
-        F.coalesce(F.col("doc").cast("long"), F.lit((1 << 63) - 1)).alias("ord"), "k0", "k1", "k2", "text", "places")
+        "ord", "k0", "k1", "k2", "text", "places")
     if first:
         near = near.dropDuplicates(["k0", "k1", "k2"])  # rows that are equal wholly are one holder
     ranges = _resolve(_surroundings(near, width, first), width, first)
@@ -303,9 +412,13 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     if first:
         whole = whole.filter(~F.col("doc").eqNullSafe(F.col("owner")))
     whole = whole.select(F.xxhash64(F.lit(0), "doc").alias("k0"), "k1", "k2").distinct()
-    cuts = ranges.select("k0", "k1", "k2", "ranges", F.lit(False).alias("whole")).unionAll(
-        whole.select("k0", "k1", "k2", F.lit(None).cast("array<struct<start:int,last:int>>"), F.lit(True)))
-    cuts = cuts.groupBy("k0", "k1", "k2").agg(F.max("whole").alias("whole"), F.first("ranges", True).alias("ranges"))
+    none, yes, no = F.lit(None).cast("array<struct<start:int,last:int>>").alias("ranges"), F.lit(True), F.lit(False)
+    keys = ["k0", "k1", "k2"]
+    told = scanned.select(F.xxhash64(F.lit(0), "doc").alias("k0"), "k1", "k2").select("*", tag).join(shared, "tag")
+    cuts = (ranges.select(*keys, "ranges", no.alias("whole"), no.alias("shared"))
+            .unionAll(whole.select(*keys, none, yes, no)).unionAll(told.select(*keys, none, no, yes)))
+    cuts = cuts.groupBy(*keys).agg(F.max("whole").alias("whole"), F.first("ranges", True).alias("ranges"),
+                                   F.max("shared").alias("shared"))
     return _cut(d.join(cuts, ["k0", "k1", "k2"], "left"), width)
 
 
@@ -324,15 +437,17 @@ def _cut(rows: DataFrame, width: int) -> DataFrame:
                 digest.update(raw[at:])
                 got.append((len(raw), sum(b - a for a, b in spans), len(spans), digest.hexdigest(),
                             [{"start": a, "end": b} for a, b in spans]))
+            shared = pa.array([bool(x) for x in batch.column(4).to_pylist()], pa.bool_())
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(),
                      pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([g[i] for g in got], kind) for i, kind in enumerate(kinds))],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+                [batch.column(0), *(pa.array([g[i] for g in got], kind) for i, kind in enumerate(kinds[:4])), shared,
+                 pa.array([g[4] for g in got], kinds[4])],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeated_passage", "spans"])
 
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.select("doc", "text", "whole", "ranges").mapInArrow(
-        run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
+    return rows.select("doc", "text", "whole", "ranges", "shared").mapInArrow(
+        run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, repeated_passage boolean, "
              "spans array<struct<start:bigint,end:bigint>>")
 
 

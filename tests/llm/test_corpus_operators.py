@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from .conftest import prose
 from .test_text_operators import ODD, rows_of
@@ -48,6 +49,50 @@ def test_substring_dedup_matches_brute_force(documents, monkeypatch, hot, keep):
     assert sum(g[2] for g in got) > 1000
 
 
+@pytest.mark.parametrize("kept", [1 << 20, 40])
+def test_shared_passages_match_brute_force(documents, monkeypatch, kept):
+    from faultcast.llm import suffix
+    monkeypatch.setattr(suffix, "SAMPLES", kept)
+    monkeypatch.setattr(suffix, "SEGMENT", 400)
+    r = random.Random(2)
+    pool = [prose(k, 30).split() for k in range(6)]
+    rows = []
+    for k in range(80):
+        ws = prose(500 + k, r.randint(0, 60)).split()
+        for _ in range(r.randint(0, 2)):
+            a, n = r.choice(pool), r.randint(2, 30)
+            ws[len(ws) // 2:len(ws) // 2] = a[:n]
+        rows.append((k, r.choice([" ", "\n", "  "]).join(ws)))
+    rows += [(90, rows[7][1]), (91, prose(1, 100)), (91, prose(1, 100)), (92, None), (93, ""), (94, "x " * 40)]
+
+    def sharing(n):
+        holders = defaultdict(set)
+        for d, t in rows:
+            ws = (t or "").split()
+            for i in range(len(ws) - n + 1):
+                holders[tuple(ws[i:i + n])].add(d)
+        return {d for h in holders.values() if len(h) > 1 for d in h}
+
+    got = suffix.dedup_substrings(documents(rows)).collect()
+    assert len(got) == len(rows) and not any(r["repeated_passage"] for r in got if not r["n_bytes"])
+    monkeypatch.setattr(suffix, "SPAN", 20)
+    d = documents(rows)
+    tags = suffix.shared_passages(d.select(d.doc_id.alias("tag"), F.coalesce("text", F.lit("")).alias("text")), 20, 15)
+    found = {r["tag"] for r in tags.collect()}
+    assert sharing(20) <= found <= sharing(15) and len(found) > 15
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_substring_dedup_of_text_ids(spark, keep):
+    from faultcast.llm.suffix import dedup_substrings
+    text = prose(1, 120)
+    rows = [("b", text + " end"), ("a", "start " + text), (None, text), ("c", None)]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    got = rows_of(dedup_substrings(d, keep=keep), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))
+    assert got == brute_substrings(order, 400, keep == "first")
+
+
 def test_substring_dedup_of_repeated_rows(documents):
     from faultcast.llm.suffix import dedup_substrings
     text = prose(1, 200)
