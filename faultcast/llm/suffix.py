@@ -39,7 +39,7 @@ from .common import ship, staged
 
 WIDTH, GRAM = 400, 200
 #: Words in common from which documents are told to share a passage, and below which they are not.
-SPAN, PASSAGE = 51, 38
+SPAN, PASSAGE = 51, 32
 #: Occurrences of an anchor from which its windows are sent one by one.
 HOT = 256
 #: Positions hashed at a time.
@@ -319,7 +319,9 @@ def shared_passages(docs: DataFrame, span: int = SPAN, passage: int = PASSAGE) -
 
     Rows with ``passage`` to ``span`` words in common may be there too, rows with
     fewer are not.  A task settles the samples that it meets twice and sends each
-    one once, so the rows of a sample are no more than the tasks' parts.
+    one once, so the rows of a sample are no more than the tasks' parts.  Tags are
+    whole numbers of 62 bits: what is sent is twice the tag, or one more for a
+    tag that is settled, which then stands in place of the sample.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -337,10 +339,8 @@ def shared_passages(docs: DataFrame, span: int = SPAN, passage: int = PASSAGE) -
             several = tag[start] != tag[end - 1] if len(h) else np.empty(0, dtype=bool)
             settled = np.unique(tag[np.repeat(several, end - start)])
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([h[start].view(np.int64), np.zeros(len(settled), dtype=np.int64)])),
-                 pa.array(np.concatenate([tag[start], settled])),
-                 pa.array(np.concatenate([np.zeros(len(start), dtype=bool), np.ones(len(settled), dtype=bool)]))],
-                names=["sample", "tag", "settled"])
+                [pa.array(np.concatenate([h[start].view(np.int64), settled])),
+                 pa.array(np.concatenate([2 * tag[start], 2 * settled + 1]))], names=["sample", "tag"])
 
         for batch in batches:
             for tag, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -355,11 +355,11 @@ def shared_passages(docs: DataFrame, span: int = SPAN, passage: int = PASSAGE) -
         yield send()
 
     limit = SAMPLES
-    sent = docs.select("tag", F.col("text").cast("binary")).mapInArrow(run, "sample bigint, tag bigint, settled boolean")
+    sent = docs.select("tag", F.col("text").cast("binary")).mapInArrow(run, "sample bigint, tag bigint")
     order = Window.partitionBy("sample").orderBy("tag")
-    open_ = F.when(~F.col("settled"), F.col("tag"))
-    near = sent.select("tag", "settled", (F.lag(open_).over(order) != open_).alias("before"), (F.lead(open_).over(order) != open_).alias("after"))
-    return staged(near.filter(F.col("settled") | F.col("before") | F.col("after")).select("tag").distinct(), "passages")
+    near = sent.select("tag", F.lag("tag").over(order).alias("before"), F.lead("tag").over(order).alias("after"))
+    found = near.filter("tag % 2 <> 0 or before <> tag or after <> tag")
+    return staged(found.select(F.shiftright("tag", 1).alias("tag")).distinct(), "passages")
 
 
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM,
@@ -367,7 +367,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated_passage, spans per row of ``docs``.
 
     ``repeated_passage`` says whether the row shares a passage of over 50 words
-    with another (always from 51 common words on, never below 38), also where it
+    with another (always from 51 common words on, never below 32), also where it
     has fewer than ``width`` bytes, so that nothing is removed.
 
     ``keep="none"`` removes every byte covered by a ``width``-byte string that
@@ -382,7 +382,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     d = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     d = d.select("doc", F.xxhash64(F.lit(0), "doc").alias("k0"), F.xxhash64("text").alias("k1"),
                  F.xxhash64(F.lit(1), "text").alias("k2"), "text")
-    tag = F.xxhash64("k0", "k1").alias("tag")
+    tag = F.shiftright(F.xxhash64("k0", "k1"), 2).alias("tag")
     shared = shared_passages(d.select(tag, "text"))
     scanned = staged(_scan(d, width, gram), "anchors")
     texts = scanned.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc").alias("owner"),
