@@ -301,13 +301,9 @@ def _resolve(sent: DataFrame, width: int, first: bool) -> DataFrame:
     return d.mapInArrow(run, "k0 bigint, k1 bigint, k2 bigint, start int, last int")
 
 
-def _ordered(places: DataFrame, first: bool) -> DataFrame:
-    """``places`` with ``ord``: whole numbers in the order of the owners, null last; any numbers where order does not matter."""
+def _ranked(places: DataFrame) -> DataFrame:
+    """``places`` with ``ord``: whole numbers in the order of the owners, null last."""
     owner = F.col("_owner")
-    if isinstance(places.schema["_owner"].dataType, T.IntegralType):
-        return places.withColumn("ord", F.coalesce(owner.cast("long"), F.lit((1 << 63) - 1)))
-    if not first:
-        return places.withColumn("ord", F.xxhash64("_owner"))
     order = owner.asc_nulls_last()
     ranks = staged(places.select("_owner").distinct().repartitionByRange(order).sortWithinPartitions(order)
                    .select(owner.alias("_ranked"), F.monotonically_increasing_id().alias("ord")), "owners")
@@ -400,9 +396,15 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     places = (places.join(often, "anchor").groupBy("owner", "k1", "k2")
               .agg(F.collect_list(F.struct("start", "last", "anchor", "n")).alias("places")))
     places = places.select(F.col("owner").alias("_owner"), F.xxhash64(F.lit(0), "owner").alias("k0"), "k1", "k2", "places")
-    places = _ordered(places, first)
+    if isinstance(d.schema["doc"].dataType, T.IntegralType):
+        order = F.coalesce(F.col("doc").cast("long"), F.lit((1 << 63) - 1))
+    elif first:
+        places, order = _ranked(places), F.col("ord")
+    else:
+        order = F.xxhash64("doc")  # any numbers
+    # both joins of the texts read the same columns, so that they share one exchange
     near = d.join(places, ["k0", "k1", "k2"]).select(
-        "ord", "k0", "k1", "k2", "text", "places")
+        order.alias("ord"), "k0", "k1", "k2", "text", "places")
     if first:
         near = near.dropDuplicates(["k0", "k1", "k2"])  # rows that are equal wholly are one holder
     ranges = _resolve(_surroundings(near, width, first), width, first)
