@@ -3,8 +3,8 @@
 Each boosting round is a distributed job: a weighted ``DecisionTreeRegressor``
 fit (``weightCol``), one aggregate for the round's largest error and
 weighted mean loss, and a column expression for the new sample weights.
-The weighted table is checkpointed every round, so the lineage stays one
-round deep. Only three numbers per round reach the driver.
+The weighted table is persisted every round and checkpointed every ``CUT``
+rounds, so the lineage stays that deep. Only three numbers per round reach the driver.
 
 Prediction is the weighted median of the trees' predictions (weights
 ``learning_rate * ln(1/beta)``), computed per row with array expressions.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import os
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed, Param, Params, TypeConverters
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
@@ -27,6 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rounds after which the lineage of the weights is cut.
+CUT = 10
+
+
 class _AdaParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed):
     numRounds = Param(Params._dummy(), "numRounds", "number of boosting rounds", TypeConverters.toInt)
     learningRate = Param(Params._dummy(), "learningRate", "shrinkage of each tree's weight", TypeConverters.toFloat)
@@ -52,7 +57,7 @@ class AdaBoostR2(Estimator, _AdaParams):
         depth, seed = self.getOrDefault(self.maxDepth), self.getOrDefault(self.seed)
         cur = stage(df.select(F.col(feats).alias("features"), F.col(label).cast("double").alias("label"),
                               F.lit(1.0).alias("_w")))
-        trees, alphas = [], []
+        trees, alphas, held = [], [], []
         for m in range(rounds):
             tree = DecisionTreeRegressor(maxDepth=depth, weightCol="_w", seed=seed + m,
                                          predictionCol="_p").fit(cur)
@@ -75,9 +80,17 @@ class AdaBoostR2(Estimator, _AdaParams):
             alphas.append(lr * math.log(1.0 / beta))
             if m + 1 < rounds:
                 # w <- w * beta^(lr * (1 - e/d)), renormalised by the round's weight sum
-                cur = stage(scored.select("features", "label", (
+                weighted = scored.select("features", "label", (
                     F.col("_w") * F.pow(F.lit(beta), F.lit(lr) * (F.lit(1.0) - F.col("_e") / F.lit(d)))
-                    / F.lit(wsum)).alias("_w")))
+                    / F.lit(wsum)).alias("_w"))
+                held.append(weighted.persist(StorageLevel.MEMORY_AND_DISK))
+                cur = weighted
+                if len(held) == CUT:
+                    cur = stage(weighted)
+                    while held:
+                        held.pop().unpersist()
+        while held:
+            held.pop().unpersist()
         model = AdaBoostR2Model(trees, alphas)
         return self._copyValues(model)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, replace
+from functools import partial
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ from faultcast.operators.stats import apply_scale, attach_global, fitted_scale
 from faultcast.operators.text import classify_tickets
 from faultcast.plans import models as M
 from faultcast.plans import spec
+from faultcast.plans.pool import run_all
 from faultcast.plans.features import base_features, forecast_features, lean_temporal, rich_temporal
 from faultcast.plans.training import fault_training_table
 from faultcast.plans.weather import daily_weather
@@ -60,11 +62,13 @@ def system_features(training: DataFrame, variant: str) -> DataFrame:
     return stage(rich_temporal(base, ["system"]) if variant == "rich" else lean_temporal(base, ["system"]))
 
 
-def prepared_all(training: DataFrame, setups=SETUPS) -> list[tuple[SystemSetup, M.Prepared]]:
+def prepared_all(training: DataFrame, setups=SETUPS, stop_share: int = 0) -> list[tuple[SystemSetup, M.Prepared]]:
     """The rows of each setup, from features that are built once per variant."""
     wanted = training.filter(F.col("system").isin([s.system for s in setups]))
-    feats = {v: system_features(wanted, v) for v in sorted({s.variant for s in setups})}
-    return [(s, M.prepare(feats[s.variant], s.system, s.split, s.scaler)) for s in setups]
+    variants = sorted({s.variant for s in setups})
+    feats = dict(zip(variants, run_all([partial(system_features, wanted, v) for v in variants])))
+    return list(zip(setups, run_all([partial(M.prepare, feats[s.variant], s.system, s.split, s.scaler, stop_share=stop_share)
+                                     for s in setups])))
 
 
 def train_system(p: M.Prepared, setup: SystemSetup, sizes: M.ModelSizes, tune: bool = False,
@@ -97,8 +101,7 @@ def save_system(root: str, setup: SystemSetup, p: M.Prepared, pipelines: dict[st
 
     M14: of the two ensembles the better one competes with the single models.
     """
-    for name, pm in pipelines.items():
-        M.save_model(pm, os.path.join(root, setup.name, "models", name))
+    run_all([partial(M.save_model, pm, os.path.join(root, setup.name, "models", name)) for name, pm in pipelines.items()])
     ensemble = M.pick_ensemble(board)
     single = board.filter(~F.col("model").isin(list(M.ENSEMBLES)))
     best = best_model(single.unionByName(ensemble.select(*single.columns)), ["system"], "r2", name="model")
@@ -130,11 +133,15 @@ def retrain_job(spark: SparkSession, root: str, tickets: DataFrame, readings: Da
                                     systems=[s.system for s in setups])
     files.write_table(training, at("training"), partition_by=["system"])
     training = spark.read.parquet(at("training"))
-    boards = None
-    for setup, p in prepared_all(training, setups):
+
+    def train(setup: SystemSetup, p: M.Prepared) -> DataFrame:
         pipelines, preds = train_system(p, setup, sizes, tune, stack_all)
         board = stage(regression_metrics(preds, keys=["system", "model"]))
         save_system(root, setup, p, pipelines, board, trained_at)
+        return board
+
+    boards = None
+    for board in run_all([partial(train, setup, p) for setup, p in prepared_all(training, setups, sizes.stop_share)]):
         boards = board if boards is None else boards.unionByName(board)
     flat = boards.select("system", F.col("model").alias("model_name"), "mse", "rmse", "mae", "r2",
                          F.lit(trained_at).alias("trained_at"))

@@ -8,13 +8,16 @@ metrics, votes and model choice are the grouped operators of
 :mod:`faultcast.operators.metrics` and :mod:`faultcast.operators.ranking`.
 
 Defaults are the reference's sizes (500 trees, 100 trees for text, 10,000
-linear iterations), and the registered queries run with them (:data:`CHECK`).
+linear iterations). The registered queries run with :data:`CHECK`, the sizes
+that were measured to finish. Independent fits run side by side (``plans/pool.py``).
 """
 
 from __future__ import annotations
 
+import math
 import random
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import OneVsRest, RandomForestClassifier
@@ -29,6 +32,7 @@ from faultcast.operators.splits import chrono_split, expanding_folds, hash_split
 from faultcast.operators.stats import apply_scale, fitted_scale
 from faultcast.operators.text import TOKEN_PATTERN, combine_text
 from faultcast.plans import spec
+from faultcast.plans.pool import run_all
 from faultcast.session import stage
 
 
@@ -46,16 +50,23 @@ class ModelSizes:
     ada_rate: float = 0.1
     stack_folds: int = 5
     search_trials: int = 5
+    search_per_fit: int = 1   # trials that differ in their rounds only and so cost one fit
     search_depth: tuple[int, int] = (3, 12)
     search_rounds: tuple[int, int] = (100, 1000)
+    stop_share: int = 0       # percent of the training rows on which boosting stops early; 0: all rounds
     text_depth: int = 30      # the reference's text forests are unlimited; MLlib allows 30
     cv_folds: int = 5
     seed: int = 42
     tuned: dict = field(default_factory=dict)   # boosting settings found by search_params
 
 
-#: Sizes of the registered queries: the reference's.
-CHECK = ModelSizes()
+#: Sizes of the registered queries that fit many models, as measured (README, "Model sizes"); ``ModelSizes()`` has
+#: the reference's, which the queries of one forest, one linear model or the text classifier use.
+CHECK = ModelSizes(rf_trees=50, gbt_iter=20, ada_rounds=5, stack_folds=3, cv_folds=3, search_trials=3, search_per_fit=3,
+                   search_depth=(3, 6), search_rounds=(20, 30))
+#: Of the queries that only boost, and of the search.
+BOOST = ModelSizes(gbt_iter=60)
+SEARCH = replace(CHECK, search_trials=6, search_per_fit=2, search_rounds=(20, 40))
 
 
 # ---------------------------------------------------------------- estimators
@@ -66,15 +77,16 @@ def estimators(sizes: ModelSizes = ModelSizes()) -> dict:
 
     s = sizes
     # M15 -> M8/M9: what the search found replaces the defaults
+    stop = {"validationIndicatorCol": "held_out", "validationTol": 0.001} if s.stop_share else {}
     gbt = {"maxIter": s.gbt_iter, "stepSize": s.gbt_step, "maxDepth": s.gbt_depth, "subsamplingRate": 0.8,
-           "minInstancesPerNode": 2, "seed": s.seed, **s.tuned}
+           "minInstancesPerNode": 2, "seed": s.seed, **stop, **s.tuned}
     return {
         "RandomForest": RandomForestRegressor(numTrees=s.rf_trees, maxDepth=s.rf_depth, minInstancesPerNode=2,
                                               featureSubsetStrategy="sqrt", seed=s.seed),
         "GradientBoosting": GBTRegressor(**gbt),
         # M9: two further boosted-tree presets (column-sampled and histogram-like with coarse bins)
-        "GBTPresetColumnSampled": GBTRegressor(**{**gbt, "minInstancesPerNode": 3}, featureSubsetStrategy="0.8"),
-        "GBTPresetCoarseBins": GBTRegressor(**gbt, featureSubsetStrategy="0.8", maxBins=16),
+        "GBTPresetColumnSampled": GBTRegressor(**{**gbt, "minInstancesPerNode": 3, "featureSubsetStrategy": "0.8"}),
+        "GBTPresetCoarseBins": GBTRegressor(**{**gbt, "featureSubsetStrategy": "0.8"}, maxBins=16),
         # AdaBoost.R2 over depth-3 trees, linear loss
         "AdaBoost": AdaBoostR2(numRounds=s.ada_rounds, learningRate=s.ada_rate, maxDepth=3, seed=s.seed),
         "ElasticNet": LinearRegression(regParam=0.5, elasticNetParam=0.5, maxIter=s.enet_iter, standardization=False),
@@ -93,7 +105,7 @@ class Prepared:
 
 
 def prepare(feats: DataFrame, system: str, split: str = "random", scaler: str = "standard",
-            target: str = spec.TARGET) -> Prepared:
+            target: str = spec.TARGET, stop_share: int = 0) -> Prepared:
     """P15 + M6/W10 + E6/E7 + assembler for one system.
 
     ``split='random'`` is the md5 80/20 split (cooling), ``'time'`` the first
@@ -110,10 +122,18 @@ def prepare(feats: DataFrame, system: str, split: str = "random", scaler: str =
     data = assembler(names).transform(apply_scale(x, fitted)).select(
         "system", "date", F.col(target).cast("double").alias("label"), "features", "split")
     data = stage(packed(data, x.count()))
-    return Prepared(system, names, fitted, data.filter(F.col("split") == "train").drop("split"),
+    return Prepared(system, names, fitted, with_held_out(data.filter(F.col("split") == "train").drop("split"), stop_share),
                     data.filter(F.col("split") == "test").drop("split"))
 
 
+def with_held_out(train: DataFrame, percent: int) -> DataFrame:
+    """M8: ``held_out`` marks the hashed ``percent`` of the training rows on which boosting stops early; no column for 0."""
+    if not percent:
+        return train
+    bucket = F.conv(F.substring(md5_of(F.lit("stop"), "system", F.col("date").cast("string")), 1, 8), 16, 10).cast("bigint") % 100
+    return train.withColumn("held_out", bucket < percent)
+
+
 def packed(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
     """As many partitions as the rows need: solvers run a job per iteration, so empty tasks cost more than they save."""
     return df.coalesce(max(1, -(-rows // per_task)))
@@ -133,13 +153,23 @@ def predictions_of(model, data: DataFrame, name: str) -> DataFrame:
 def compare_models(p: Prepared, sizes: ModelSizes = ModelSizes(), names: list[str] | None = None):
     """Fit each estimator on train, predict test; returns (models, long predictions)."""
     est = estimators(sizes)
-    models, preds = {}, None
-    for name in names or list(est):
-        m = est[name].fit(p.train)
-        models[name] = m
-        pr = predictions_of(m, p.test, name)
-        preds = pr if preds is None else preds.unionByName(pr)
-    return models, preds
+    names = names or list(est)
+    models = dict(zip(names, run_all([partial(est[n].fit, p.train) for n in names])))
+    return models, _union([predictions_of(m, p.test, n) for n, m in models.items()])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def fold_fits(folded: DataFrame, names: list[str], k: int, sizes: ModelSizes) -> dict[tuple[str, int], object]:
+    """A model per name and fold, fitted on the other folds."""
+    est = estimators(sizes)
+    keys = [(n, f) for n in names for f in range(k)]
+    return dict(zip(keys, run_all([partial(est[n].fit, folded.filter(F.col("fold") != f)) for n, f in keys])))
 
 
 def leaderboard(preds: DataFrame) -> DataFrame:
@@ -182,15 +212,15 @@ def stack_model(p: Prepared, models: dict, board: DataFrame, sizes: ModelSizes =
             .select("model").orderBy("model").collect()]
     if not good:
         return None
-    est = estimators(sizes)
     folded = stage(fold_column(p.train, sizes.stack_folds, contiguous))
-    oof = None
+    fits = fold_fits(folded, good, sizes.stack_folds, sizes)
+    parts = []
     for k in range(sizes.stack_folds):
-        fit_rows, part = folded.filter(F.col("fold") != k), folded.filter(F.col("fold") == k)
+        part = folded.filter(F.col("fold") == k)
         for name in good:
-            part = _named(est[name].fit(fit_rows), name).transform(part)
-        part = part.select("label", *[f"b_{n}" for n in good])
-        oof = part if oof is None else oof.unionByName(part)
+            part = _named(fits[name, k], name).transform(part)
+        parts.append(part.select("label", *[f"b_{n}" for n in good]))
+    oof = _union(parts)
     joined = VectorAssembler(inputCols=[f"b_{n}" for n in good], outputCol="meta")
     meta = GBTRegressor(featuresCol="meta", maxIter=sizes.gbt_iter, stepSize=sizes.gbt_step, maxDepth=sizes.gbt_depth,
                         subsamplingRate=0.8, seed=sizes.seed).fit(stage(joined.transform(oof).select("label", "meta")))
@@ -229,60 +259,81 @@ def pick_ensemble(board: DataFrame, names=ENSEMBLES) -> DataFrame:
 
 # ---------------------------------------------------------------- M15 search, M16 CV, M17 importance
 
+def draw_trials(sizes: ModelSizes, seed: int = 42) -> list[dict]:
+    """Seeded draws: a logarithmic step size, depth, leaf size, shares of columns and rows, and rounds; ``search_per_fit``
+    trials in a row share everything but their rounds."""
+    rng = random.Random(seed)
+    trials: list[dict] = []
+    while len(trials) < sizes.search_trials:
+        settings = {"stepSize": round(math.exp(rng.uniform(math.log(0.001), math.log(0.1))), 6),
+                    "maxDepth": rng.randint(*sizes.search_depth), "minInstancesPerNode": rng.randint(1, 20),
+                    "featureSubsetStrategy": str(round(rng.uniform(0.1, 1.0), 3)), "subsamplingRate": round(rng.uniform(0.5, 1.0), 3)}
+        rounds = rng.sample(range(sizes.search_rounds[0], sizes.search_rounds[1] + 1), sizes.search_per_fit)
+        trials += [{**settings, "maxIter": r} for r in rounds[:sizes.search_trials - len(trials)]]
+    return trials
+
+
 def search_params(p: Prepared, sizes: ModelSizes = ModelSizes(), mode: str = "holdout", seed: int = 42,
                   n_splits: int = 5) -> DataFrame:
     """Seeded random draws of boosted-tree settings; a row per (trial, fold) with R2 and RMSE.
 
     ``holdout`` scores a hashed fifth of the training rows, ``time`` the test
     blocks of expanding time folds (W11). Neither depends on partitioning.
+    Trials that differ in their rounds only cost one fit of the most rounds: its
+    first r trees are the model of r rounds, so each trial's error is the staged
+    error after its rounds.
     """
-    rng = random.Random(seed)
-    trials = [{"stepSize": round(rng.uniform(0.01, 0.3), 4), "maxDepth": rng.randint(*sizes.search_depth),
-               "maxIter": rng.randint(*sizes.search_rounds), "subsamplingRate": round(rng.uniform(0.6, 1.0), 3),
-               "minInstancesPerNode": rng.randint(1, 5)} for _ in range(sizes.search_trials)]
+    trials = draw_trials(sizes, seed)
     if mode == "holdout":
         h = hash_split(p.train, F.concat_ws("|", F.lit("search"), "system", F.col("date").cast("string")), 80)
         folds = stage(h.withColumnRenamed("split", "role").withColumn("fold", F.lit(0)))
     else:
         folds = stage(expanding_folds(p.train.select("system", "date"), n_splits, ["system"], "date")
                       .join(p.train, ["system", "date"]))
+    groups: dict[tuple, list[int]] = {}
+    for i, t in enumerate(trials):
+        groups.setdefault(tuple((k, v) for k, v in t.items() if k != "maxIter"), []).append(i)
+
+    def fit(settings: tuple, members: list[int], f: int) -> list[tuple]:
+        rows = folds.filter(F.col("fold") == f)
+        test = rows.filter(F.col("role") == "test").drop("fold", "role")
+        most = max(trials[i]["maxIter"] for i in members)
+        m = GBTRegressor(seed=sizes.seed, maxIter=most, **dict(settings)).fit(rows.filter(F.col("role") == "train"))
+        facts = test.agg(F.count(F.lit(1)).alias("n"), F.var_pop("label").alias("v")).first()
+        if not facts["n"]:
+            return []
+        mse = m.evaluateEachIteration(test, "squared")
+        return [(p.system, i, f, facts["n"], 1.0 - mse[trials[i]["maxIter"] - 1] / facts["v"] if facts["v"] else None,
+                 math.sqrt(mse[trials[i]["maxIter"] - 1])) for i in members]
+
     k = 1 if mode == "holdout" else n_splits
-    out = None
-    for i, settings in enumerate(trials):
-        for f in range(k):
-            rows = folds.filter(F.col("fold") == f)
-            m = GBTRegressor(seed=sizes.seed, **settings).fit(rows.filter(F.col("role") == "train"))
-            pr = predictions_of(m, rows.filter(F.col("role") == "test"), str(i)).withColumn("fold", F.lit(f))
-            out = pr if out is None else out.unionByName(pr)
-    board = regression_metrics(out, keys=["system", "model", "fold"]).select(
-        "system", F.col("model").cast("int").alias("trial"), "fold", "n", "r2", "rmse")
-    drawn = p.train.sparkSession.createDataFrame(
-        [(i, t["stepSize"], t["maxDepth"], t["maxIter"], t["subsamplingRate"], t["minInstancesPerNode"])
+    rows = run_all([partial(fit, s, members, f) for s, members in groups.items() for f in range(k)])
+    spark = p.train.sparkSession
+    board = spark.createDataFrame([r for part in rows for r in part],  # a row per trial and fold
+                                  "system string, trial int, fold int, n long, r2 double, rmse double")
+    drawn = spark.createDataFrame(
+        [(i, t["stepSize"], t["maxDepth"], t["maxIter"], t["subsamplingRate"], t["minInstancesPerNode"], t["featureSubsetStrategy"])
          for i, t in enumerate(trials)],
-        "trial int, step_size double, max_depth int, rounds int, subsampling double, min_instances int")
+        "trial int, step_size double, max_depth int, rounds int, subsampling double, min_instances int, columns string")
     return board.join(drawn, "trial").withColumn("mode", F.lit(mode))
 
 
-def best_settings(found: DataFrame) -> dict:
-    """Settings of the trial with the highest mean R2 (lowest RMSE, then first, on ties), ready for ``ModelSizes.tuned``."""
-    by = ["trial", "step_size", "max_depth", "rounds", "subsampling", "min_instances"]
-    r = (found.groupBy(*by).agg(F.avg("r2").alias("r2"), F.avg("rmse").alias("rmse"))
-         .orderBy(F.col("r2").desc(), "rmse", "trial").first())
+def best_settings(found: DataFrame, by: str = "r2") -> dict:
+    """Settings of the best trial, ready for ``ModelSizes.tuned``: the highest mean R2 (then lowest RMSE), or with
+    ``by="rmse"`` the lowest mean RMSE; the first trial on ties."""
+    keys = ["trial", "step_size", "max_depth", "rounds", "subsampling", "min_instances", "columns"]
+    order = [F.col("r2").desc_nulls_last(), F.col("rmse")] if by == "r2" else [F.col("rmse")]
+    r = (found.groupBy(*keys).agg(F.avg("r2").alias("r2"), F.avg("rmse").alias("rmse")).orderBy(*order, "trial").first())
     return {"stepSize": r["step_size"], "maxDepth": r["max_depth"], "maxIter": r["rounds"], "subsamplingRate": r["subsampling"],
-            "minInstancesPerNode": r["min_instances"]}
+            "minInstancesPerNode": r["min_instances"], "featureSubsetStrategy": r["columns"]}
 
 
 def out_of_fold(p: Prepared, sizes: ModelSizes = ModelSizes(), names: list[str] | None = None, k: int = 5) -> DataFrame:
     """(system, model, fold, date, y, y_hat): every training row scored by the model that did not see its hashed fold."""
-    est = estimators(sizes)
     data = stage(fold_column(p.train, k, contiguous=False))
-    out = None
-    for name in names or list(est):
-        for f in range(k):
-            m = est[name].fit(data.filter(F.col("fold") != f))
-            pr = predictions_of(m, data.filter(F.col("fold") == f), name).withColumn("fold", F.lit(f))
-            out = pr if out is None else out.unionByName(pr)
-    return out
+    fits = fold_fits(data, names or list(estimators(sizes)), k, sizes)
+    return _union([predictions_of(m, data.filter(F.col("fold") == f), name).withColumn("fold", F.lit(f))
+                   for (name, f), m in fits.items()])
 
 
 def cross_validate(p: Prepared, sizes: ModelSizes = ModelSizes(), names: list[str] | None = None, k: int = 5) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Each runs the full fit and score over every row of its input (all three
 classified systems, all six models where the operator compares models) with the
-reference's sizes (``models.CHECK``). A query returns what SQL can state about
+sizes that were measured to finish (``models.CHECK``, ``BOOST`` and ``SEARCH``), or the
+reference's where they do. A query returns what SQL can state about
 that output: which rows were scored, by whom, and flags computed from every
 prediction.
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+from functools import partial
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from faultcast.plans import jobs, spec
 from faultcast.plans import models as M
+from faultcast.plans.pool import run_all
 from faultcast.plans.queries import query, weather_fx3
 from faultcast.plans.queries_text import FX_RULES, FX_SCOPE, THRESHOLD
 from faultcast.plans.training import fault_training_table
@@ -28,7 +31,7 @@ from faultcast.session import scratch_path, stage
 from faultcast.sources import files
 from faultcast.sources import fixtures as fx
 
-SIZES = M.CHECK
+SIZES, WHOLE = M.CHECK, M.ModelSizes()
 FORECAST_AS_OF = "2024-01-20"
 TRAINED_AT = "2026-01-01 00:00:00"
 RULES = {"rules": FX_RULES, "scope": FX_SCOPE, "generic": fx.GENERIC, "threshold": THRESHOLD}
@@ -45,6 +48,11 @@ def prepared(spark, sf_dir):
     return jobs.prepared_all(jobs.with_signal(relabelled_training(spark, sf_dir)))
 
 
+def each_system(spark, sf_dir, work) -> DataFrame:
+    """Rows of ``work(setup, prepared)`` of every system; the systems run side by side."""
+    return _union(run_all([partial(work, setup, p) for setup, p in prepared(spark, sf_dir)]))
+
+
 def facts(preds: DataFrame, keys=("system", "model")) -> DataFrame:
     """Per key: rows, days, sum of the target, finite predictions, and whether the squared error beats the mean's."""
     keys = list(keys)
@@ -85,8 +93,8 @@ def q_feature_target_split(spark, sf_dir):
     return _union(parts)
 
 
-def _fit_predict(spark, sf_dir, names):
-    return facts(_union([M.compare_models(p, SIZES, names)[1] for _, p in prepared(spark, sf_dir)]))
+def _fit_predict(spark, sf_dir, names, sizes=WHOLE):
+    return facts(each_system(spark, sf_dir, lambda _, p: M.compare_models(p, sizes, names)[1]))
 
 
 @query("train_rf")
@@ -98,13 +106,13 @@ def q_train_rf(spark, sf_dir):
 @query("train_gbt")
 def q_train_gbt(spark, sf_dir):
     """M8: gradient-boosted trees per system, every test row scored."""
-    return _fit_predict(spark, sf_dir, ["GradientBoosting"])
+    return _fit_predict(spark, sf_dir, ["GradientBoosting"], M.BOOST)
 
 
 @query("train_gbt_presets")
 def q_train_gbt_presets(spark, sf_dir):
     """M9: the two boosted-tree presets, every test row scored."""
-    return _fit_predict(spark, sf_dir, ["GBTPresetColumnSampled", "GBTPresetCoarseBins"])
+    return _fit_predict(spark, sf_dir, ["GBTPresetColumnSampled", "GBTPresetCoarseBins"], M.BOOST)
 
 
 @query("train_enet")
@@ -116,85 +124,89 @@ def q_train_enet(spark, sf_dir):
 @query("leaderboard")
 def q_leaderboard(spark, sf_dir):
     """Every model and the weighted vote (as a deployable pipeline) on every test row, with their ranks by R2."""
-    parts = []
-    for _, p in prepared(spark, sf_dir):
+    def board(_, p):
         models, preds = M.compare_models(p, SIZES)
         preds = stage(preds)
         vote = PipelineModel(stages=[M.assembler(p.features), *M.vote_model(models, M.leaderboard(preds))])
         allp = stage(preds.unionByName(M.scored({"VotingEnsemble": vote}, p.test)))
         n = M.leaderboard(allp).filter(F.col("r2").isNotNull()).groupBy("system").agg(F.count(F.lit(1)).alias("n_ranked"))
-        parts.append(facts(allp).join(n, "system"))
-    return _union(parts)
+        return facts(allp).join(n, "system")
+
+    return each_system(spark, sf_dir, board)
 
 
 @query("stacking")
 def q_stacking(spark, sf_dir):
     """Out-of-fold stacking over all six bases (threshold off) with a boosted meta-model; every test row scored."""
-    parts = []
-    for setup, p in prepared(spark, sf_dir):
+    def stacked(setup, p):
         models, preds = M.compare_models(p, SIZES)
         stack = M.stack_model(p, models, stage(M.leaderboard(preds)), SIZES, -float("inf"), setup.contiguous_folds)
         pm = PipelineModel(stages=[M.assembler(p.features), *stack])
-        parts.append(facts(M.scored({"StackingEnsemble": pm}, p.test)).withColumn("n_bases", F.lit(len(stack) - 2)))
-    return _union(parts)
+        return facts(stage(M.scored({"StackingEnsemble": pm}, p.test))).withColumn("n_bases", F.lit(len(stack) - 2))
+
+    return each_system(spark, sf_dir, stacked)
 
 
 @query("search_params")
 def q_search_params(spark, sf_dir):
     """Random search on the hashed hold-out and on time folds: rows scored per trial and fold, one best trial."""
-    parts = []
-    for _, p in prepared(spark, sf_dir):
+    def found(_, p):
+        parts = []
         for mode in ("holdout", "time"):
-            r = stage(M.search_params(p, SIZES, mode))
+            r = M.search_params(p, M.SEARCH, mode)
             best = M.best_settings(r)
             is_best = (F.col("step_size") == best["stepSize"]) & (F.col("rounds") == best["maxIter"])
             parts.append(r.groupBy("system", "mode", "fold").agg(
                 F.count(F.lit(1)).alias("n_trials"), F.min("n").alias("n_least"), F.max("n").alias("n_most"),
                 F.count_if(is_best).alias("n_best")))
-    return _union(parts)
+        return _union(parts)
+
+    return each_system(spark, sf_dir, found)
 
 
 @query("cross_validate")
 def q_cross_validate(spark, sf_dir):
     """All six models on hashed folds; every training row scored once by a model that did not see it."""
-    return facts(_union([M.out_of_fold(p, SIZES, k=SIZES.cv_folds) for _, p in prepared(spark, sf_dir)]))
+    return facts(each_system(spark, sf_dir, lambda _, p: stage(M.out_of_fold(p, SIZES, k=SIZES.cv_folds))))
 
 
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
     """Importances of all features by tree model: how many, their sum, and the top 15 listed."""
-    parts = []
-    for _, p in prepared(spark, sf_dir):
+    def ranked(_, p):
         models, _ = M.compare_models(p, SIZES, ["RandomForest", "GradientBoosting", "GBTPresetColumnSampled", "GBTPresetCoarseBins"])
         every = M.importances(models, p).groupBy("system", "model").agg(
             F.countDistinct("feature").alias("n_features"), F.sum("importance").alias("total"))
         top = M.feature_importance(models, p, 15).groupBy("system", "model").agg(F.count(F.lit(1)).alias("n_top"))
-        parts.append(every.join(top, ["system", "model"]))
-    return _union(parts)
+        return every.join(top, ["system", "model"])
+
+    return each_system(spark, sf_dir, ranked)
 
 
 @query("model_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
     """Every model and both ensembles saved, loaded and run on every test row; how many rows are equal."""
-    parts = []
-    for setup, p in prepared(spark, sf_dir):
+    def again(setup, p):
         pipelines, preds = jobs.train_system(p, setup, SIZES, stack_all=True)
         path = scratch_path(spark, "models")
-        loaded = {}
-        for name, pm in pipelines.items():
-            M.save_model(pm, os.path.join(path, name))
-            loaded[name] = M.load_model(spark, os.path.join(path, name))
-        again = M.scored(loaded, p.test).withColumnRenamed("y_hat", "again")
-        parts.append(preds.join(again.drop("y"), ["system", "model", "date"]).groupBy("system", "model").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("y").alias("sum_y"), F.count_if(F.col("again") == F.col("y_hat")).alias("n_equal")))
-    return _union(parts)
+
+        def round_trip(name):
+            M.save_model(pipelines[name], os.path.join(path, name))
+            return M.load_model(spark, os.path.join(path, name))
+
+        loaded = dict(zip(pipelines, run_all([partial(round_trip, name) for name in pipelines])))
+        second = M.scored(loaded, p.test).withColumnRenamed("y_hat", "again")
+        return preds.join(second.drop("y"), ["system", "model", "date"]).groupBy("system", "model").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("y").alias("sum_y"), F.count_if(F.col("again") == F.col("y_hat")).alias("n_equal"))
+
+    return each_system(spark, sf_dir, again)
 
 
 @query("ticket_classifier")
 def q_ticket_classifier(spark, sf_dir):
     """M1 (ML form) + M2: per-class probabilities of every ticket from one-vs-rest forests, and own class on top."""
     t = fx.ticket_text(spark, sf_dir)
-    model = M.fit_text_classifier(t, jobs.TEXT_CLASSES, SIZES)
+    model = M.fit_text_classifier(t, jobs.TEXT_CLASSES, WHOLE)
     pr = M.class_probabilities(model, M.text_frame(t, jobs.TEXT_CLASSES), jobs.TEXT_CLASSES)
     ok = F.lit(True)
     for c in jobs.TEXT_CLASSES:
@@ -206,7 +218,7 @@ def q_ticket_classifier(spark, sf_dir):
 @query("ticket_cv")
 def q_ticket_cv(spark, sf_dir):
     """M4: stratified 5-fold CV of the text classifier: tickets and positives per class and fold, each scored once."""
-    o = M.text_out_of_fold(fx.ticket_text(spark, sf_dir), jobs.TEXT_CLASSES, SIZES, 5)
+    o = M.text_out_of_fold(fx.ticket_text(spark, sf_dir), jobs.TEXT_CLASSES, WHOLE, 5)
     return o.groupBy("class", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_positive"),
                                           F.countDistinct("ticket_id").alias("n_tickets"),
                                           F.count_if(F.col("y_pred").isin(0, 1)).alias("n_scored"))
@@ -215,7 +227,7 @@ def q_ticket_cv(spark, sf_dir):
 @query("classify_tickets")
 def q_classify_tickets(spark, sf_dir):
     """M5: model probabilities + keyword rules -> relabelled tickets; every row against the decision's rules."""
-    c = jobs.classify_stage(fx.ticket_text(spark, sf_dir), SIZES, **RULES)
+    c = jobs.classify_stage(fx.ticket_text(spark, sf_dir), WHOLE, **RULES)
     generic = F.col("unit_before") == fx.GENERIC
     want = (F.when(~generic, F.col("unit_before")).when(F.col("keyword_label").isNotNull(), F.col("keyword_label"))
             .when(F.col("model_confidence") >= THRESHOLD, F.col("model_label")).otherwise(F.lit(fx.GENERIC)))

@@ -18,6 +18,10 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # independent fits are submitted side by side (plans/pool.py)
+    "spark.scheduler.mode": "FAIR",
+    # a checkpoint's files go when its frame is no longer referenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
