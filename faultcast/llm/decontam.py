@@ -21,6 +21,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import ship
 
@@ -118,7 +119,7 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int, null_id
     for k in range(n):
         rows = d.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect() if n > 1 else d.collect()
         block = sorted({(r["item_id"], normal(r["text"])) for r in rows if null_ids or r["item_id"] is not None},
-                       key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+                       key=lambda x: (x[0] is None, 0 if x[0] is None else x[0], x[1]))
         yield [(i, t) for i, t in block if t]
 
 
@@ -134,7 +135,8 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     Null and empty texts, and empty tables, give none.
     """
     d = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    kind = d.schema["doc_id"].dataType.simpleString()
+    kind, item_kind = d.schema["doc_id"].dataType.simpleString(), items.schema[item_id].dataType
+    arrow_kind = to_arrow_type(item_kind)
     out = None
     for block in _blocks(items, item_id, item_text, block_bytes, null_ids):
         shared = d.sparkSession.sparkContext.broadcast(block)
@@ -145,10 +147,10 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                 rows = [(i, *hit) for i, t in enumerate(batch.column(1)) for hit in matcher(t.as_py())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
-                     pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())],
+                     pa.array([r[1] for r in rows], arrow_kind), pa.array([r[2] for r in rows], pa.int32())],
                     names=["doc_id", "item_id", "distance"])
 
-        part = d.mapInArrow(run, f"doc_id {kind}, item_id bigint, distance int")
+        part = d.mapInArrow(run, f"doc_id {kind}, item_id {item_kind.simpleString()}, distance int")
         out = part if out is None else out.unionAll(part)
     return out
 

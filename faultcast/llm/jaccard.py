@@ -534,16 +534,20 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     found = _grouped(docs, doc_id, text).filter(F.col("first").isNotNull())
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
     found = staged(found.groupBy("doc_id", "key", is_first.alias("is_first")).agg(F.count(F.lit(1)).alias("n")), "row_places")
-    lost = found.filter(~F.col("is_first")).select(F.col("doc_id").alias("_lost"), F.col("key").alias("_lost_key"))
-    again = found.filter(F.col("is_first") & (F.col("n") > 1)).select(F.col("doc_id").alias("_lost"), F.col("key").alias("_lost_key"))
+    lost, again = found.filter(~F.col("is_first")), found.filter(F.col("is_first") & (F.col("n") > 1))
     key = F.xxhash64(docs[doc_id], docs[text])
-    same = (key == F.col("_lost_key")) & docs[doc_id].eqNullSafe(F.col("_lost"))
+
+    def same(other: DataFrame):
+        # columns of the frames themselves: names that both have do not meet
+        return (key == other["key"]) & docs[doc_id].eqNullSafe(other["doc_id"])
+
     if again.isEmpty():
-        return docs.join(lost, same, "left_anti")
+        return docs.join(lost, same(lost), "left_anti")
     row = F.struct(*[docs[c] for c in docs.columns])
-    one = docs.join(again, same, "left_semi").groupBy(docs[doc_id], key).agg(
-        F.min_by(row, F.md5(F.to_json(row, {"ignoreNullFields": "false"}))).alias("_row")).select("_row.*")
-    return docs.join(lost.unionAll(again), same, "left_anti").unionAll(one)
+    one = docs.join(again, same(again), "left_semi").select(docs[doc_id].alias("id"), key.alias("key"), row.alias("row")).groupBy(
+        "id", "key").agg(F.min_by("row", F.md5(F.to_json("row", {"ignoreNullFields": "false"}))).alias("row")).select("row.*")
+    gone = lost.unionAll(again)
+    return docs.join(gone, same(gone), "left_anti").unionAll(one)
 
 
 ship(__name__)

@@ -65,18 +65,18 @@ def _runs(dropped: str, size: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the struct ``_kept``: n_lines, n_dropped, text (kept lines), runs (start, length) that stay."""
-    maps = bitmaps.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("dropped").alias("_dropped"))
-    d = docs.withColumn("_lines", _lines(text))
-    d = d.join(maps, F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_tag")), "left")
-    runs = _runs("_dropped", F.size("_lines"))
-    kept = F.array_join(F.flatten(F.transform(runs, lambda r: F.slice("_lines", r["start"] + 1, r["length"]))), "\n")
-    return (d.withColumn("_kept", F.struct(
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("_dropped").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(kept).alias("text"),
-        F.when(F.col("_dropped").isNotNull(), runs).alias("runs")))
-        .drop("_lines", "_doc", "_tag", "_dropped"))
+    """(row, kept) per row of ``docs``: the row as a struct, and n_lines, n_dropped, text (kept lines), runs (start, length)
+    that stay.  In a struct, no column of ``docs`` can meet a name that is used here."""
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc_id].alias("id"), docs[text].alias("text"),
+                    F.xxhash64(docs[text]).alias("mark"), F.split(F.coalesce(docs[text], F.lit("")), "\n", -1).alias("lines"))
+    d = d.join(bitmaps, F.col("id").eqNullSafe(F.col("doc")) & (F.col("mark") == F.col("tag")), "left")
+    runs = _runs("dropped", F.size("lines"))
+    kept = F.array_join(F.flatten(F.transform(runs, lambda r: F.slice("lines", r["start"] + 1, r["length"]))), "\n")
+    return d.select("row", F.struct(
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("dropped").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(kept).alias("text"),
+        F.when(F.col("dropped").isNotNull(), runs).alias("runs")).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
@@ -89,17 +89,17 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **l
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     out = apply_bitmaps(d, keep_bitmaps(d, **limits))
-    return out.select("doc_id", "_kept.n_lines", "_kept.n_dropped",
-                      F.sha2(F.encode("_kept.text", "UTF-8"), 256).alias("kept_sha256"),
-                      F.col("_kept.runs").alias("keep_runs"))
+    return out.select("row.doc_id", "kept.n_lines", "kept.n_dropped",
+                      F.sha2(F.encode("kept.text", "UTF-8"), 256).alias("kept_sha256"),
+                      F.col("kept.runs").alias("keep_runs"))
 
 
 def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """``docs`` with the kept lines as text; ``n_chars``, where there is one, follows."""
     d = apply_bitmaps(docs, keep_bitmaps(docs, doc_id, text, **limits), doc_id, text)
-    new = {text: F.when(F.col("_kept.n_dropped") > 0, F.col("_kept.text")).otherwise(F.col(text))}
+    changed, row = F.col("kept.n_dropped") > 0, F.col("row")
+    new = {text: F.when(changed, F.col("kept.text")).otherwise(row[text])}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("_kept.n_dropped") > 0, F.char_length("_kept.text").cast(kind)).otherwise(
-            F.col("n_chars"))
-    return d.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        new["n_chars"] = F.when(changed, F.char_length("kept.text").cast(kind)).otherwise(row["n_chars"])
+    return d.select(*[new.get(c, row[c]).alias(c) for c in docs.columns])

@@ -103,7 +103,9 @@ def fit(rows: DataFrame, rank: int = 64, neighbours: int = 25) -> Model:
                 [batch.column(0), pa.array([counts(t.as_py()).tobytes() for t in batch.column(1)], pa.binary()), batch.column(2)],
                 names=["doc_id", "counts", "quality"])
 
-    got = rows.mapInArrow(run, "doc_id bigint, counts binary, quality int").toArrow().sort_by([("doc_id", "ascending")])
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    got = rows.mapInArrow(run, f"doc_id {kind}, counts binary, quality int").toArrow().sort_by([("doc_id", "ascending")])
     n = got.num_rows
     if n == 0:
         return Model(*[np.zeros(0, np.float32)] * 6, 0.5, neighbours)
@@ -147,10 +149,10 @@ def score(docs: DataFrame, model: Model, block_rows: int = 256) -> DataFrame:
     Null and empty texts get the sample's share of label 1 (0.5 without a
     sample).  Repeated rows give repeated results, an empty table an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # plain: executors have no class of this module
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(*shared.value)
         for batch in batches:
             for i in range(0, batch.num_rows, block_rows):
                 part = batch.slice(i, block_rows)

@@ -123,10 +123,10 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id"
     Null and empty texts have 0 tokens.  Repeated rows give repeated results, an
     empty table an empty one; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary))  # plain: executors have no class of this module
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(shared.value)
+        counter = Counter(Vocabulary(*shared.value))
         for batch in batches:
             got = [counter(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
