@@ -183,9 +183,77 @@ def test_adaboost_r2_weights_median_and_roundtrip(spark, cooling):
     assert one.alphas == [1.0] and {r["prediction"] for r in one.transform(const).collect()} == {3.0}
 
 
-def test_registered_queries_run_the_whole_sizes():
+def test_sizes_of_the_registered_queries():
     from faultcast.plans import queries_models
-    s = queries_models.SIZES
-    assert (s.rf_trees, s.rf_depth, s.gbt_iter, s.gbt_depth, s.gbt_step, s.enet_iter) == (500, 10, 500, 6, 0.05, 10000)
-    assert (s.text_trees, s.text_depth, s.ada_rounds, s.stack_folds, s.cv_folds) == (100, 30, 100, 5, 5)
-    assert (s.search_trials, s.search_depth, s.search_rounds, s.tuned) == (5, (3, 12), (100, 1000), {})
+    w = queries_models.WHOLE
+    assert (w.rf_trees, w.rf_depth, w.gbt_iter, w.gbt_depth, w.gbt_step, w.enet_iter) == (500, 10, 500, 6, 0.05, 10000)
+    assert (w.text_trees, w.text_depth, w.ada_rounds, w.stack_folds, w.cv_folds) == (100, 30, 100, 5, 5)
+    assert (w.search_trials, w.search_depth, w.search_rounds, w.tuned) == (5, (3, 12), (100, 1000), {})
+    for s in (M.CHECK, M.BOOST, M.SEARCH):
+        assert s.rf_trees >= 20 and s.gbt_iter >= 20 and s.ada_rounds >= 5 and s.stack_folds >= 3 and s.cv_folds >= 3
+        assert s.search_trials >= 3 and s.search_rounds[0] >= 20 and s.gbt_depth == 6
+
+
+def test_pooled_fits_equal_serial_ones(spark, cooling, monkeypatch):
+    _, p = cooling
+    names = ["GradientBoosting", "AdaBoost", "ElasticNet"]
+    pooled = sorted(tuple(r) for r in M.out_of_fold(p, SIZES, names, k=2).collect())
+    monkeypatch.setattr(M, "run_all", lambda calls: [c() for c in calls])
+    assert sorted(tuple(r) for r in M.out_of_fold(p, SIZES, names, k=2).collect()) == pooled
+
+
+def test_pool_keeps_order_properties_and_failures(spark):
+    import threading
+
+    from faultcast.plans.pool import run_all
+    spark.sparkContext.setLocalProperty("faultcast.test", "here")
+    try:
+        gate = threading.Barrier(3, timeout=30)   # passes only if three calls run at a time
+        assert run_all([lambda k=k: (gate.wait() >= 0, k, spark.sparkContext.getLocalProperty("faultcast.test")) for k in range(3)],
+                       width=3) == [(True, k, "here") for k in range(3)]
+    finally:
+        spark.sparkContext.setLocalProperty("faultcast.test", None)
+    with pytest.raises(ZeroDivisionError):
+        run_all([lambda: 1, lambda: 1 // 0, lambda: 2])
+
+
+def test_staged_errors_equal_separate_fits(cooling):
+    _, p = cooling
+    apart = M.ModelSizes(search_trials=4, search_per_fit=1, search_depth=(2, 3), search_rounds=(2, 6))
+    trials = M.draw_trials(M.ModelSizes(search_trials=4, search_per_fit=2, search_depth=(2, 3), search_rounds=(2, 6)))
+    assert [{**t, "maxIter": 0} for t in trials[::2]] == [{**t, "maxIter": 0} for t in trials[1::2]]
+    found = {}
+    for key, groups in (("staged", trials), ("apart", [{**t, "stepSize": t["stepSize"] + k * 1e-12} for k, t in enumerate(trials)])):
+        # settings that differ by nothing that counts are fits of their own
+        real, M.draw_trials = M.draw_trials, lambda sizes, seed=42, groups=groups: groups
+        try:
+            found[key] = sorted((r["trial"], r["n"], round(r["r2"], 9), round(r["rmse"], 9)) for r in M.search_params(p, apart).collect())
+        finally:
+            M.draw_trials = real
+    assert found["staged"] == found["apart"] and len(found["staged"]) == 4
+
+
+def test_draws_follow_the_ranges():
+    draws = M.draw_trials(M.ModelSizes(search_trials=400))
+    steps = sorted(d["stepSize"] for d in draws)
+    assert 0.001 <= steps[0] and steps[-1] <= 0.1 and 0.007 < steps[200] < 0.014   # the middle of a logarithmic draw
+    assert {d["minInstancesPerNode"] for d in draws} == set(range(1, 21)) and {d["maxDepth"] for d in draws} == set(range(3, 13))
+    assert all(0.1 <= float(d["featureSubsetStrategy"]) <= 1 and 0.5 <= d["subsamplingRate"] <= 1 and 100 <= d["maxIter"] <= 1000
+               for d in draws)
+
+
+def test_boosting_stops_on_held_out_rows(spark, small_dir, cooling):
+    setup, p = cooling
+    sizes = M.ModelSizes(gbt_iter=30, gbt_depth=3, gbt_step=0.9, stop_share=25)
+    held = M.with_held_out(p.train, 25)
+    assert 0 < held.filter("held_out").count() < held.count() // 2
+    model = M.estimators(sizes)["GradientBoosting"].fit(held)
+    assert model.getNumTrees < 30
+    assert "held_out" not in M.with_held_out(p.train, 0).columns
+
+
+def test_choice_by_rmse(spark):
+    cols = "trial int, step_size double, max_depth int, rounds int, subsampling double, min_instances int, columns string, r2 double, rmse double"
+    rows = [(0, 0.1, 3, 5, 1.0, 1, "0.5", 0.9, 3.0), (1, 0.2, 3, 5, 1.0, 1, "0.5", 0.8, 2.0)]
+    found = spark.createDataFrame(rows, cols)
+    assert M.best_settings(found)["stepSize"] == 0.1 and M.best_settings(found, "rmse")["stepSize"] == 0.2
