@@ -65,12 +65,14 @@ oracle("leaderboard_json", with_(BOARD + [BEST], f"""SELECT b.system, best.model
   b.model AS model_name, {r6('b.mse')} AS mse, {r6('b.r2')} AS r2, '{TRAINED_AT}' AS trained_at
 FROM board b JOIN best USING (system)"""))
 
-oracle("explode_series", with_([("pl", f"""SELECT vec_id AS series_id, TIMESTAMP '{fx.PAYLOAD_BASE}' + to_days(vec_id::INTEGER) AS start_ts,
+_EXPLODED = with_([("pl", f"""SELECT vec_id AS series_id, TIMESTAMP '{fx.PAYLOAD_BASE}' + to_days(vec_id::INTEGER) AS start_ts,
   embedding FROM embeddings"""),
     ("ex", f"""SELECT series_id, start_ts, i - 1 AS pos, embedding[i]::DOUBLE AS value
 FROM pl, range(1, len(embedding) + 1) r(i)""")],
     f"""SELECT series_id, start_ts + to_seconds(pos * {fx.PAYLOAD_STEP_S}) AS ts, pos, {r6('value')} AS value, {r6('value * value')} AS value_sq
-FROM ex WHERE pos * {fx.PAYLOAD_STEP_S} < {fx.PAYLOAD_KEEP * fx.PAYLOAD_STEP_S}"""))
+FROM ex WHERE pos * {fx.PAYLOAD_STEP_S} < {fx.PAYLOAD_KEEP * fx.PAYLOAD_STEP_S}""")
+oracle("explode_series", _EXPLODED)
+oracle("explode_documents", _EXPLODED)
 
 # ---------------------------------------------------------------- projections and filters
 oracle("select_ordered", with_(DW_SHORT, "SELECT * FROM dw"))

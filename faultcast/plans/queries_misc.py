@@ -29,7 +29,7 @@ from faultcast.plans.training import daily_fault_counts
 from faultcast.session import scratch_path
 from faultcast.sources import files
 from faultcast.sources import fixtures as fx
-from faultcast.sources.payload import explode_series
+from faultcast.sources.payload import explode_series, read_payloads
 
 KEYS = ["system"]
 HOURLY_SCHEMA = ("ts string, temperature double, humidity double, dew_point double, apparent_temperature double, "
@@ -123,6 +123,14 @@ def q_explode_series(spark, sf_dir):
     return explode_series(fx.payload(spark, sf_dir), ["value", "value_sq"])
 
 
+@query("explode_documents")
+def q_explode_documents(spark, sf_dir):
+    """S4 from landed documents: JSON text written, parsed as VARIANT, exploded to one row per time step."""
+    path = scratch_path(spark, "payloads")
+    fx.payload_documents(spark, sf_dir).write.text(path)
+    return explode_series(read_payloads(spark, path, ["value", "value_sq"]), ["value", "value_sq"])
+
+
 # ---------------------------------------------------------------- projections and filters
 
 @query("select_ordered")

@@ -176,6 +176,15 @@ def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def payload_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX6 as landed: one JSON document per embedding, times in epoch seconds."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return payload(spark, sf_dir).select(F.to_json(F.struct("series_id", F.struct(
+        F.timestamp_diff("SECOND", epoch, F.col("start_ts")).alias("start"),
+        F.timestamp_diff("SECOND", epoch, F.col("end_ts")).alias("end"),
+        F.col("step_s").alias("interval"), "value", "value_sq").alias("hourly"))).alias("value"))
+
+
 def overlap(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """FX7: FX2 cut into history (< Jan 20) and forecast (>= Jan 18, values + 1)."""
     h = hourly(spark, sf_dir)

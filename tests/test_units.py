@@ -321,3 +321,20 @@ def test_prune_sparse_columns(spark):
                                "a int, zeros int, nulls double, t string")
     assert P.prune_sparse_columns(df).columns == ["a", "t"]
     assert P.fill_const(df, 7, ["nulls"]).filter("nulls = 7").count() == 3
+
+
+def test_payload_documents(spark, tmp_path):
+    from faultcast.sources.payload import explode_series, read_payloads
+    good = ['{"series_id": 1, "extra": {"a": [1]}, "hourly": {"start": 0, "end": 7200, "interval": 3600, "t": [1.5, null, 9], "h": [7]}}',
+            '{"series_id": 2, "hourly": {"start": 86400, "end": 86401, "interval": 1, "t": [-2e-3]}}', "", "  "]
+    (tmp_path / "a.json").write_text("\n".join(good))
+    rows = explode_series(read_payloads(spark, str(tmp_path / "a.json"), ["t", "h"]), ["t", "h"]).collect()
+    got = sorted((r["series_id"], r["ts"].isoformat(), r["t"], r["h"]) for r in rows)
+    assert got == [(1, "1970-01-01T00:00:00", 1.5, 7.0), (1, "1970-01-01T01:00:00", None, None),
+                   (2, "1970-01-02T00:00:00", -0.002, None)]
+    (tmp_path / "b.json").write_text("\n".join([*good, "not json", '{"series_id": 3}', '{"series_id": 4, "hourly": {"start": "x"}}']))
+    with pytest.raises(Exception):
+        read_payloads(spark, str(tmp_path / "b.json"), ["t", "h"]).collect()
+    assert sorted(r["series_id"] for r in read_payloads(spark, str(tmp_path / "b.json"), ["t", "h"], skip_bad=True).collect()) == [1, 2]
+    (tmp_path / "c.json").write_text("")
+    assert read_payloads(spark, str(tmp_path / "c.json"), ["t"]).collect() == []
