@@ -17,7 +17,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultcast.operators.columns import align_features, drop_incomplete, next_days
+from faultcast.operators.columns import align_features, next_days
 from faultcast.operators.joins import assemble_predictions
 from faultcast.operators.metrics import regression_metrics
 from faultcast.operators.ranking import best_model, union_series
@@ -32,6 +32,7 @@ from faultcast.plans.weather import daily_weather
 from faultcast.session import stage
 from faultcast.sources import files
 from faultcast.sources import fixtures as fx
+from faultcast.sources.incremental import land_readings, landed_weather
 
 
 @dataclass(frozen=True)
@@ -117,17 +118,21 @@ def save_system(root: str, setup: SystemSetup, p: M.Prepared, pipelines: dict[st
 def retrain_job(spark: SparkSession, root: str, tickets: DataFrame, readings: DataFrame, fetched: DataFrame, reading_key: str,
                 rules: dict, trained_at: str, sizes: M.ModelSizes = M.ModelSizes(), probabilities: DataFrame | None = None,
                 setups=SETUPS, tune: bool = True, stack_all: bool = False) -> DataFrame:
-    """Union of history and fetched readings (U1), complete rows only (P5) -> daily weather; tickets -> classified
+    """History and fetched readings landed (U1), complete rows only (P5) -> daily weather; tickets -> classified
     -> counted by their new unit -> training table -> tune, train and compare every system -> save.
 
-    Returns the leaderboard read back from its JSON file. ``rules`` are the
-    arguments of the relabelling decision; ``trained_at`` is written as given.
+    ``readings`` is the history of a new root; a later run on the same root
+    lands only ``fetched``. Returns the leaderboard read back from its JSON
+    file. ``rules`` are the arguments of the relabelling decision;
+    ``trained_at`` is written as given.
     """
     at = lambda name: os.path.join(root, name)
     files.write_table(classify_stage(tickets, sizes, probabilities, **rules), at("tickets_classified"))
-    history = union_series(readings, fetched, reading_key)
-    history = drop_incomplete(history, [c for c in history.columns if c != reading_key])
-    files.write_daily(daily_weather(history.drop(reading_key)), at("daily_weather"))
+    # a root that holds landed readings takes the fetched ones only, and these rewrite their own months
+    known = files.path_exists(spark, os.path.join(at("landed"), "readings"))
+    for rows in ([] if known else [readings]) + [fetched.select(*readings.columns)]:
+        land_readings(spark, at("landed"), rows, reading_key, complete=[c for c in readings.columns if c != reading_key])
+    files.write_daily(landed_weather(spark, at("landed")), at("daily_weather"))
     classified = spark.read.parquet(at("tickets_classified"))
     training = fault_training_table(classified, files.read_daily(spark, at("daily_weather")),
                                     systems=[s.system for s in setups])

@@ -37,6 +37,7 @@ oracle("scan_fallback", with_([cte_hourly()], HOURLY_FINAL))
 oracle("scan_tickets", with_([cte_fx5()], """SELECT ticket_id, unit, md5(text) AS digest, length(text) AS n_chars,
   CASE WHEN ticket_id % 5 > 0 THEN md5('"' || text || '",\\' || chr(10) || unit) END AS digest2 FROM fx5"""))
 oracle("sink_roundtrip", with_(DW_LONG, dw_final("dw_long")))
+oracle("daily_incremental", with_(DW_LONG, dw_final("dw_long")))
 oracle("sink_tickets", with_(cte_cls(), f"SELECT ticket_id, unit_before, unit, {r6('confidence')} AS confidence, details, md5(text) AS digest, md5(text2) AS digest2 FROM cls"))
 
 

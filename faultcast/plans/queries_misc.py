@@ -29,6 +29,7 @@ from faultcast.plans.training import daily_fault_counts
 from faultcast.session import scratch_path
 from faultcast.sources import files
 from faultcast.sources import fixtures as fx
+from faultcast.sources.incremental import land_readings, landed_weather
 from faultcast.sources.payload import explode_series, read_payloads
 
 KEYS = ["system"]
@@ -89,6 +90,16 @@ def q_sink_roundtrip(spark, sf_dir):
     return files.read_daily(spark, daily_table(spark, sf_dir))
 
 
+@query("daily_incremental")
+def q_daily_incremental(spark, sf_dir):
+    """U1 + E1 by landing: the known readings, then the fetched ones, which overlap; only the fetched months' folders
+    are rewritten, and the daily weather is merged from the stored parts."""
+    root = scratch_path(spark, "landed")
+    for rows in fx.line_weather_update(spark, sf_dir):
+        land_readings(spark, root, rows, "reading_id")
+    return landed_weather(spark, root)
+
+
 @query("sink_tickets")
 def q_sink_tickets(spark, sf_dir):
     """The classified ticket table written and read back."""

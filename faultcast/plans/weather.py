@@ -44,15 +44,27 @@ def merged_sql(hourly_spec: dict = spec.HOURLY) -> list[str]:
     return out
 
 
-def daily_stats(hourly: DataFrame, ts_col: str = "ts", keys=None, hourly_spec: dict = spec.HOURLY) -> DataFrame:
-    """A1-A4 by two aggregates: per direction of a day over the raw readings (hashed, with map-side parts),
-    then per day over a few rows each. The mode needs no buffer of values, so nothing sorts raw grain."""
+def daily_parts(hourly: DataFrame, ts_col: str = "ts", keys=None, hourly_spec: dict = spec.HOURLY) -> DataFrame:
+    """The first aggregate: per direction of a day over the raw readings (hashed, with map-side parts).
+
+    Parts of disjoint readings can be stored, put together by a union and merged by ``stats_of_parts``.
+    """
     keys = list(keys or [])
     mode = hourly_spec[spec.DAILY_MODE[0]]
     day = sql_select(hourly, [q(k) for k in keys] + [f"to_date({q(ts_col)}) AS date"]
                      + [q(c) for c in sorted(set(hourly_spec.values())) if c in hourly.columns])
-    parts = sql_agg(day, [*keys, "date", mode], partial_sql(hourly_spec))
-    return sql_agg(parts, [*keys, "date"], merged_sql(hourly_spec))
+    return sql_agg(day, [*keys, "date", mode], partial_sql(hourly_spec))
+
+
+def stats_of_parts(parts: DataFrame, keys=None, hourly_spec: dict = spec.HOURLY) -> DataFrame:
+    """The second aggregate: the statistics of a day from its parts, a few rows each."""
+    return sql_agg(parts, [*(keys or []), "date"], merged_sql(hourly_spec))
+
+
+def daily_stats(hourly: DataFrame, ts_col: str = "ts", keys=None, hourly_spec: dict = spec.HOURLY) -> DataFrame:
+    """A1-A4 by two aggregates: per direction of a day over the raw readings, then per day over a few rows each.
+    The mode needs no buffer of values, so nothing sorts raw grain."""
+    return stats_of_parts(daily_parts(hourly, ts_col, keys, hourly_spec), keys, hourly_spec)
 
 
 def calendar_sql(date_col: str = "date") -> list[str]:
@@ -80,11 +92,9 @@ def derived_sql(keys=None, beaufort_null_as_top: bool = False) -> list[str]:
     return out
 
 
-def daily_weather(hourly: DataFrame, ts_col: str = "ts", keys=None, digits: int = 2,
-                  beaufort_null_as_top: bool = False) -> DataFrame:
-    """Daily statistics + calendar + derived features, ordered, half-even rounded."""
+def weather_of_stats(stats: DataFrame, keys=None, digits: int = 2, beaufort_null_as_top: bool = False) -> DataFrame:
+    """The rest of E1 on daily grain: calendar and derived features, half-even rounded."""
     keys = list(keys or [])
-    stats = daily_stats(hourly, ts_col, keys)
     stat_cols = [c for c in stats.columns if c not in keys and c != "date"]
     full = sql_select(stats, [q(k) for k in keys] + ["date"] + calendar_sql() + [q(c) for c in stat_cols]
                       + derived_sql(keys, beaufort_null_as_top))
@@ -98,3 +108,9 @@ def daily_weather(hourly: DataFrame, ts_col: str = "ts", keys=None, digits: int
         else:
             out.append(q(f.name))
     return sql_select(full, out)
+
+
+def daily_weather(hourly: DataFrame, ts_col: str = "ts", keys=None, digits: int = 2,
+                  beaufort_null_as_top: bool = False) -> DataFrame:
+    """Daily statistics + calendar + derived features, ordered, half-even rounded."""
+    return weather_of_stats(daily_stats(hourly, ts_col, keys), keys, digits, beaufort_null_as_top)

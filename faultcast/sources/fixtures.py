@@ -86,10 +86,12 @@ def line_weather(spark: SparkSession, sf_dir: str, site: bool = False, ids: bool
 
     This is the long daily series (FX3) once rolled up by day. Values are
     binary fractions (see :func:`hourly`). With ``site`` (FX1) each supplier is
-    a site with readings of its own.
+    a site with readings of its own. With ``ids`` a reading's key names its line,
+    part, supplier and day (order and line number alone repeat).
     """
     li = read_table(spark, sf_dir, "lineitem").select(
-        *(["l_suppkey"] if site else []), *(["l_orderkey"] if ids else []), "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_linenumber")
+        *(["l_suppkey"] if site else []), *(["l_orderkey", "l_partkey"] if ids else []), *(["l_suppkey"] if ids and not site else []),
+        "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_linenumber")
     disc = F.rint(F.col("l_discount") * 100.0)
     tax = F.rint(F.col("l_tax") * 100.0)
     temp = F.col("l_quantity") / 2.0 - 5.0
@@ -100,7 +102,7 @@ def line_weather(spark: SparkSession, sf_dir: str, site: bool = False, ids: bool
     gust = wind + tax
     direction = (F.col("l_linenumber") * 45).cast("double")
     return li.select(*([F.col("l_suppkey").alias("site")] if site else []),
-                     *([F.concat_ws("-", "l_orderkey", "l_linenumber").alias("reading_id")] if ids else []),
+                     *([F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("reading_id")] if ids else []),
                      F.col("l_shipdate").cast("timestamp_ntz").alias("ts"),
                      *_weather_from_channels(temp, humid, press, cloud, wind, gust, direction))
 
