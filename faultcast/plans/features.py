@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 
 from faultcast.functions.scalars import sql_select
 from faultcast.operators import windows as W
+from faultcast.operators.blocks import BLOCK, drop_halo, split, with_halo
 from faultcast.operators.columns import align_features, drop_target_leaks, fill_const, numeric_columns
 from faultcast.operators.stats import robust_scale, standard_scale, winsorize_iqr
 from faultcast.plans import spec
 
 DEFAULT_SEASONS = (1, 2, 3, 4)
+#: Earlier rows that the windows of E2 (7-row statistics) and of E3 (14-row mean, one row earlier) look at.
+BASE_BACK, RICH_BACK = 6, 14
 TWO_PI = f"{2 * math.pi!r}D"
 q = W.q
 
@@ -47,6 +50,19 @@ def assign(df: DataFrame, items: list[tuple[str, str]], fill0: bool = False) ->
     return fill_const(out, 0) if fill0 else out
 
 
+def window_keys(df: DataFrame, keys: list[str]) -> list[str]:
+    """What the windows are partitioned by: the keys, or the blocks of a series that was split (``operators.blocks``)."""
+    return keys if keys or BLOCK not in df.columns else [BLOCK]
+
+
+def assign_windows(df: DataFrame, items: list[tuple[str, str]], by: list[str], date_col: str, back: int,
+                   carry: str | None = None, fill0: bool = False) -> DataFrame:
+    """``assign`` of windows that look ``back`` rows back, and to the last row of the same ``carry``, by ``window_keys``."""
+    if by != [BLOCK]:
+        return assign(df, items, fill0)
+    return drop_halo(assign(with_halo(df, date_col, back, carry if carry in df.columns else None), items, fill0))
+
+
 def base_features(df: DataFrame, target: str = spec.TARGET, keys=("system",), date_col: str = "date",
                   winsor_k: float = 1.5, extreme_q=(0.05, 0.95)) -> DataFrame:
     """Winsorize -> calendar -> season -> range -> 7-row temp stats -> change/acceleration
@@ -60,6 +76,7 @@ def base_features(df: DataFrame, target: str = spec.TARGET, keys=("system",), da
     cols = numeric_columns(df, exclude=[target, *keys])
     w = winsorize_iqr(df, cols, winsor_k, keys)
     d = q(date_col)
+    by = window_keys(df, keys)
     items: list[tuple[str, str]] = []
     if date_col in df.columns:
         items += [("day", f"dayofmonth({d})"), ("week", f"weekofyear({d})"), ("month", f"month({d})"),
@@ -72,16 +89,16 @@ def base_features(df: DataFrame, target: str = spec.TARGET, keys=("system",), da
         items.append(("temp_range", f"{q(spec.TEMP_MAX)} - {q(spec.TEMP_MIN)}"))
     if spec.TEMP_AVG in df.columns:
         t = spec.TEMP_AVG
-        items += [("temp_7d_mean", W.rolling_sql(t, 7, "mean", keys, date_col)),
-                  ("temp_7d_std", W.rolling_std0_sql(t, 7, keys, date_col)),
-                  ("temp_7d_min", W.rolling_sql(t, 7, "min", keys, date_col)),
-                  ("temp_7d_max", W.rolling_sql(t, 7, "max", keys, date_col)),
-                  ("temp_change", W.diff1_sql(t, keys, date_col)),
-                  ("temp_acc", W.diff2_sql(t, keys, date_col))]
+        items += [("temp_7d_mean", W.rolling_sql(t, 7, "mean", by, date_col)),
+                  ("temp_7d_std", W.rolling_std0_sql(t, 7, by, date_col)),
+                  ("temp_7d_min", W.rolling_sql(t, 7, "min", by, date_col)),
+                  ("temp_7d_max", W.rolling_sql(t, 7, "max", by, date_col)),
+                  ("temp_change", W.diff1_sql(t, by, date_col)),
+                  ("temp_acc", W.diff2_sql(t, by, date_col))]
     # the input day-of-week column is replaced in place by day-of-month
     if "dow" in w.columns and date_col in df.columns:
         w = w.withColumnRenamed("dow", "day")
-    out = assign(w, items)
+    out = assign_windows(w, items, by, date_col, BASE_BACK)
     if spec.TEMP_AVG in df.columns:
         out = W.extreme_flag(out, spec.TEMP_AVG, extreme_q[0], extreme_q[1], keys, out="extreme_temp")
     return drop_target_leaks(out, target)
@@ -104,7 +121,7 @@ def _season_diff_items(df: DataFrame, keys, date_col: str, seasons) -> list[tupl
 def rich_temporal(df: DataFrame, keys=("system",), date_col: str = "date", seasons=DEFAULT_SEASONS) -> DataFrame:
     """Cyclic terms, seasonal interactions, 3/7/14-row temperature and 3/7-row humidity
     windows with trends, season diffs, weekend x temperature, then NULL -> 0."""
-    keys = [k for k in (keys or []) if k in df.columns]
+    by = window_keys(df, [k for k in (keys or []) if k in df.columns])
     ysin, ycos = sin_sql("month", 12), cos_sql("month", 12)
     items = [("year_sin", ysin), ("year_cos", ycos), ("week_sin", sin_sql("dow0", 7)), ("week_cos", cos_sql("dow0", 7))]
     if "day_of_year" in df.columns:
@@ -122,24 +139,24 @@ def rich_temporal(df: DataFrame, keys=("system",), date_col: str = "date", seaso
             items.append(("temp_humidity_season", f"({t} * {h}) * {ysin}"))
     if has_t:
         for k in (3, 7, 14):
-            items += [(f"temp_{k}d", W.rolling_sql(spec.TEMP_AVG, k, "mean", keys, date_col)),
-                      (f"temp_{k}d_std", W.rolling_sql(spec.TEMP_AVG, k, "std", keys, date_col)),
-                      (f"temp_{k}d_max", W.rolling_sql(spec.TEMP_AVG, k, "max", keys, date_col)),
-                      (f"temp_{k}d_min", W.rolling_sql(spec.TEMP_AVG, k, "min", keys, date_col)),
-                      (f"temp_trend_{k}d", W.rolling_trend_sql(spec.TEMP_AVG, k, keys, date_col))]
+            items += [(f"temp_{k}d", W.rolling_sql(spec.TEMP_AVG, k, "mean", by, date_col)),
+                      (f"temp_{k}d_std", W.rolling_sql(spec.TEMP_AVG, k, "std", by, date_col)),
+                      (f"temp_{k}d_max", W.rolling_sql(spec.TEMP_AVG, k, "max", by, date_col)),
+                      (f"temp_{k}d_min", W.rolling_sql(spec.TEMP_AVG, k, "min", by, date_col)),
+                      (f"temp_trend_{k}d", W.rolling_trend_sql(spec.TEMP_AVG, k, by, date_col))]
     if has_h:
         for k in (3, 7):
-            items += [(f"humidity_{k}d", W.rolling_sql(spec.HUMIDITY_AVG, k, "mean", keys, date_col)),
-                      (f"humidity_trend_{k}d", W.rolling_trend_sql(spec.HUMIDITY_AVG, k, keys, date_col))]
-    items += _season_diff_items(df, keys, date_col, seasons)
+            items += [(f"humidity_{k}d", W.rolling_sql(spec.HUMIDITY_AVG, k, "mean", by, date_col)),
+                      (f"humidity_trend_{k}d", W.rolling_trend_sql(spec.HUMIDITY_AVG, k, by, date_col))]
+    items += _season_diff_items(df, by, date_col, seasons)
     if "is_weekend" in df.columns and has_t:
         items.append(("weekend_temp", f"is_weekend * {t}"))
-    return assign(df, items, fill0=True)
+    return assign_windows(df, items, by, date_col, RICH_BACK, "season", fill0=True)
 
 
 def lean_temporal(df: DataFrame, keys=("system",), date_col: str = "date", seasons=DEFAULT_SEASONS) -> DataFrame:
     """Cyclic month and weekday terms, two seasonal interactions, season diffs, NULL -> 0."""
-    keys = [k for k in (keys or []) if k in df.columns]
+    by = window_keys(df, [k for k in (keys or []) if k in df.columns])
     items = []
     if "month" in df.columns:
         items += [("year_sin", sin_sql("month", 12)), ("year_cos", cos_sql("month", 12))]
@@ -150,8 +167,8 @@ def lean_temporal(df: DataFrame, keys=("system",), date_col: str = "date", seaso
         items.append(("temp_season", f"{q(spec.TEMP_AVG)} * {ysin}"))
     if spec.HUMIDITY_AVG in df.columns:
         items.append(("humidity_season", f"{q(spec.HUMIDITY_AVG)} * {ysin}"))
-    items += _season_diff_items(df, keys, date_col, seasons)
-    return assign(df, items, fill0=True)
+    items += _season_diff_items(df, by, date_col, seasons)
+    return assign_windows(df, items, by, date_col, 0, "season", fill0=True)
 
 
 def feature_columns(df: DataFrame, target: str = spec.TARGET, keys=("system",), date_col: str = "date") -> list[str]:
@@ -161,29 +178,35 @@ def feature_columns(df: DataFrame, target: str = spec.TARGET, keys=("system",),
 
 def forecast_trends(df: DataFrame, keys=(), date_col: str = "date", windows=(1, 3, 4)) -> DataFrame:
     """E8 first step: k-row temperature means and their trends, added before winsorizing."""
-    keys = [k for k in (keys or []) if k in df.columns]
+    by = window_keys(df, [k for k in (keys or []) if k in df.columns])
     items = []
     for k in windows:
-        items += [(f"temp_{k}d", W.rolling_sql(spec.TEMP_AVG, k, "mean", keys, date_col)),
-                  (f"temp_trend_{k}", W.rolling_trend_sql(spec.TEMP_AVG, k, keys, date_col))]
-    return assign(df, items)
+        items += [(f"temp_{k}d", W.rolling_sql(spec.TEMP_AVG, k, "mean", by, date_col)),
+                  (f"temp_trend_{k}", W.rolling_trend_sql(spec.TEMP_AVG, k, by, date_col))]
+    return assign_windows(df, items, by, date_col, max(windows))
 
 
 def forecast_features(daily: DataFrame, variant: str = "rich", keys=(), date_col: str = "date",
-                      fit_on: DataFrame | None = None, expected: list[str] | None = None, scale: bool = True) -> DataFrame:
+                      fit_on: DataFrame | None = None, expected: list[str] | None = None, scale: bool = True,
+                      blocks: int | None = None) -> DataFrame:
     """Daily weather -> trends -> E2 -> E3 (rich) or E4 (lean) -> scale -> align.
 
     ``fit_on=None`` refits the scaler on the rows being scored (the
     reference's behaviour); pass the training features to avoid that skew.
     The rich variant uses the standard scaler, the lean one the robust scaler;
     ``scale=False`` leaves scaling to the caller, who may have kept statistics.
+    Without ``keys`` all windows run block by block over ranges of the dates
+    (as many as shuffle partitions, or ``blocks``), never over the series in one task.
     """
     from faultcast.session import stage
 
     keys = [k for k in (keys or []) if k in daily.columns]
-    x = forecast_trends(daily, keys, date_col)
+    trends = (1, 3, 4)
+    if not keys:
+        daily = split(daily, date_col, max(BASE_BACK, RICH_BACK, *trends), blocks)
+    x = forecast_trends(daily, keys, date_col, trends)
     x = stage(base_features(x, target="_no_target_", keys=keys, date_col=date_col))
-    x = stage(rich_temporal(x, keys, date_col) if variant == "rich" else lean_temporal(x, keys, date_col))
+    x = stage(rich_temporal(x, keys, date_col) if variant == "rich" else lean_temporal(x, keys, date_col)).drop(*([] if keys else [BLOCK]))
     if not scale:
         return x
     feats = feature_columns(x, "_no_target_", keys, date_col)

@@ -2,7 +2,8 @@
 
 Plan shape: two aggregates for all 29 statistics, the first hashed over raw
 grain, the second over a few rows per day, then one window stage on daily grain for the two 3-row means.
-With ``keys`` (site) the window is partitioned by site.
+With ``keys`` (site) the window is partitioned by site, without them by ranges
+of days that carry the last rows of the range before.
 """
 
 from __future__ import annotations
@@ -12,10 +13,14 @@ from pyspark.sql import types as T
 
 from faultcast.functions.scalars import BEAUFORT_BOUNDS, sql_agg, sql_select
 from faultcast.operators import windows
+from faultcast.operators.blocks import BLOCK, HALO, split, with_halo
 from faultcast.plans import spec
 
 q = windows.q
 
+#: Earlier rows that the two 3-row means look at.
+WINDOW_BACK = 2
+
 
 def partial_sql(hourly_spec: dict = spec.HOURLY) -> list[str]:
     """First aggregate, per (keys, date, direction): mergeable parts of the 29 statistics."""
@@ -92,25 +97,35 @@ def derived_sql(keys=None, beaufort_null_as_top: bool = False) -> list[str]:
     return out
 
 
-def weather_of_stats(stats: DataFrame, keys=None, digits: int = 2, beaufort_null_as_top: bool = False) -> DataFrame:
-    """The rest of E1 on daily grain: calendar and derived features, half-even rounded."""
+def weather_of_stats(stats: DataFrame, keys=None, digits: int = 2, beaufort_null_as_top: bool = False,
+                     blocks: int | None = None) -> DataFrame:
+    """The rest of E1 on daily grain: calendar and derived features, half-even rounded.
+
+    Without ``keys`` the windows run block by block (``operators.blocks``), in as
+    many ranges of days as the session has shuffle partitions, or ``blocks``;
+    the statistics are staged for it. 0: one ordered window, nothing staged.
+    """
     keys = list(keys or [])
+    in_blocks = not keys and blocks != 0
     stat_cols = [c for c in stats.columns if c not in keys and c != "date"]
+    by = keys
+    if in_blocks:
+        stats, by = with_halo(split(stats, "date", WINDOW_BACK, blocks), "date", WINDOW_BACK), [BLOCK]
     full = sql_select(stats, [q(k) for k in keys] + ["date"] + calendar_sql() + [q(c) for c in stat_cols]
-                      + derived_sql(keys, beaufort_null_as_top))
-    if digits is None:
-        return full
-    scale = float(10 ** digits)
+                      + derived_sql(by, beaufort_null_as_top) + ([HALO] if in_blocks else []))
+    scale = float(10 ** (digits or 0))
     out = []
     for f in full.schema.fields:
-        if isinstance(f.dataType, T.DoubleType):
+        if f.name == HALO and in_blocks:
+            continue
+        if digits is not None and isinstance(f.dataType, T.DoubleType):
             out.append(f"rint({q(f.name)} * {scale!r}D) / {scale!r}D AS {q(f.name)}")
         else:
             out.append(q(f.name))
-    return sql_select(full, out)
+    return sql_select(full, out, where=f"NOT {HALO}" if in_blocks else None)
 
 
 def daily_weather(hourly: DataFrame, ts_col: str = "ts", keys=None, digits: int = 2,
-                  beaufort_null_as_top: bool = False) -> DataFrame:
-    """Daily statistics + calendar + derived features, ordered, half-even rounded."""
-    return weather_of_stats(daily_stats(hourly, ts_col, keys), keys, digits, beaufort_null_as_top)
+                  beaufort_null_as_top: bool = False, blocks: int | None = None) -> DataFrame:
+    """Daily statistics + calendar + derived features, half-even rounded; ``blocks`` as in ``weather_of_stats``."""
+    return weather_of_stats(daily_stats(hourly, ts_col, keys), keys, digits, beaufort_null_as_top, blocks)

@@ -16,7 +16,7 @@ def _unstaged(spark, small_dir):
     from faultcast.plans.training import fault_training_table
     from faultcast.plans.weather import daily_weather
     from faultcast.sources import fixtures as fx
-    daily = daily_weather(fx.line_weather(spark, small_dir))
+    daily = daily_weather(fx.line_weather(spark, small_dir), blocks=0)
     training = fault_training_table(fx.tickets(spark, small_dir), daily)
     base = base_features(training, keys=["system"])
     t = fx.ticket_text(spark, small_dir)
@@ -70,7 +70,7 @@ def test_filter_pushed_into_scan(spark, small_dir):
 def test_column_pruning_on_lineitem(spark, small_dir):
     from faultcast.plans.weather import daily_weather
     from faultcast.sources import fixtures as fx
-    p = plan_of(daily_weather(fx.line_weather(spark, small_dir)))
+    p = plan_of(daily_weather(fx.line_weather(spark, small_dir), blocks=0))
     scanned = re.search(r"FileScan parquet \[([^\]]*)\]", p).group(1)
     assert "l_partkey" not in scanned and "l_returnflag" not in scanned and "l_shipdate" in scanned
     assert len(scanned.split(",")) == 6
@@ -79,7 +79,7 @@ def test_column_pruning_on_lineitem(spark, small_dir):
 def test_raw_grain_aggregated_before_exchange(spark, small_dir):
     from faultcast.plans.weather import daily_weather
     from faultcast.sources import fixtures as fx
-    df = daily_weather(fx.line_weather(spark, small_dir))
+    df = daily_weather(fx.line_weather(spark, small_dir), blocks=0)
     p = df._jdf.queryExecution().executedPlan().toString()
     # the only exchange over raw rows is the hash exchange of the partial aggregate
     assert "partial_" in p
