@@ -7,4 +7,6 @@ window sizes are parameters; the weather roles live in one spec
 (:mod:`faultcast.plans.spec`).
 """
 
+__version__ = "0.3"
+
 __all__ = ["session"]

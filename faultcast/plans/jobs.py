@@ -9,6 +9,7 @@ so the two may be different applications.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from dataclasses import dataclass, replace
 from functools import partial
@@ -17,6 +18,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import faultcast
 from faultcast.operators.columns import align_features, next_days
 from faultcast.operators.joins import assemble_predictions
 from faultcast.operators.metrics import regression_metrics
@@ -96,23 +98,46 @@ def classify_stage(tickets: DataFrame, sizes: M.ModelSizes, probabilities: DataF
     return classify_tickets(probabilities, {c: f"p_{c}" for c in TEXT_CLASSES}, **rules)
 
 
-def save_system(root: str, setup: SystemSetup, p: M.Prepared, pipelines: dict[str, PipelineModel], board: DataFrame,
+def content_keys(training: DataFrame, setups, *settings) -> dict[str, str]:
+    """Per setup a key of all that its models depend on: the system's training rows as a multiset, the setup, the
+    settings, and the versions of the library and of Spark.
+
+    The rows of a system enter as their number and four sums over the pieces of each row's SHA-256, which no order of
+    rows and no partitioning changes. One aggregate; the driver sees a row per system.
+    """
+    row = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(training.columns)]), {"ignoreNullFields": "false"}), 256)
+    pieces = [F.sum(F.conv(F.substring(row, 1 + 16 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
+    rows = training.filter(F.col("system").isin([s.system for s in setups])).groupBy("system").agg(F.count(F.lit(1)), *pieces)
+    content = {r[0]: tuple(r)[1:] for r in rows.collect()}
+    versions = (faultcast.__version__, training.sparkSession.version)
+    return {s.name: hashlib.sha256(repr((s, content.get(s.system), sorted(training.columns), settings, versions)).encode())
+            .hexdigest()[:32] for s in setups}
+
+
+def is_registered(spark: SparkSession, root: str, name: str, key: str) -> bool:
+    """True when the models of this key were saved to the end: their description is written last."""
+    return files.path_exists(spark, os.path.join(root, name, key, "deployed", "_SUCCESS"))
+
+
+def save_system(root: str, setup: SystemSetup, key: str, p: M.Prepared, pipelines: dict[str, PipelineModel], board: DataFrame,
                 trained_at: str) -> None:
-    """Every pipeline, and of the best of all its name, metrics and the statistics of its features.
+    """S7 under the content key: every pipeline, the metrics of all, and of the best of all its name, metrics and the
+    statistics of its features.
 
     M14: of the two ensembles the better one competes with the single models.
     """
-    run_all([partial(M.save_model, pm, os.path.join(root, setup.name, "models", name)) for name, pm in pipelines.items()])
+    at = lambda *names: os.path.join(root, setup.name, key, *names)
+    run_all([partial(M.save_model, pm, at("models", name)) for name, pm in pipelines.items()])
     ensemble = M.pick_ensemble(board)
     single = board.filter(~F.col("model").isin(list(M.ENSEMBLES)))
     best = best_model(single.unionByName(ensemble.select(*single.columns)), ["system"], "r2", name="model")
     spark = board.sparkSession
-    meta = best.select(F.lit(setup.name).alias("setup"), "system", F.col("model").alias("model_name"), "mse", "rmse", "mae",
-                       "r2", F.lit(trained_at).alias("trained_at"))
-    files.write_table(meta, os.path.join(root, setup.name, "deployed"))
+    metrics = [F.col("model").alias("model_name"), "mse", "rmse", "mae", "r2", F.lit(trained_at).alias("trained_at")]
     scaler = [(i, c, *p.scaler[c]) for i, c in enumerate(p.features)]
-    files.write_table(spark.createDataFrame(scaler, "position int, feature string, centre double, scale double"),
-                      os.path.join(root, setup.name, "scaler"))
+    files.write_table(spark.createDataFrame(scaler, "position int, feature string, centre double, scale double"), at("scaler"))
+    files.write_table(board.select("system", *metrics), at("board"))
+    files.write_table(best.select(F.lit(setup.name).alias("setup"), "system", *metrics, F.lit(key).alias("model_key")),
+                      at("deployed"))
 
 
 def retrain_job(spark: SparkSession, root: str, tickets: DataFrame, readings: DataFrame, fetched: DataFrame, reading_key: str,
@@ -122,7 +147,10 @@ def retrain_job(spark: SparkSession, root: str, tickets: DataFrame, readings: Da
     -> counted by their new unit -> training table -> tune, train and compare every system -> save.
 
     ``readings`` is the history of a new root; a later run on the same root
-    lands only ``fetched``. Returns the leaderboard read back from its JSON
+    lands only ``fetched``. Models are kept by content (``content_keys``): a
+    system whose training rows and settings were trained before is not fitted
+    again, its models are deployed anew with the metrics and the time of their
+    own training. Returns the leaderboard read back from its JSON
     file. ``rules`` are the arguments of the relabelling decision;
     ``trained_at`` is written as given.
     """
@@ -139,17 +167,22 @@ def retrain_job(spark: SparkSession, root: str, tickets: DataFrame, readings: Da
     files.write_table(training, at("training"), partition_by=["system"])
     training = spark.read.parquet(at("training"))
 
-    def train(setup: SystemSetup, p: M.Prepared) -> DataFrame:
+    keys = content_keys(training, setups, sizes, tune, stack_all)
+
+    def train(setup: SystemSetup, p: M.Prepared) -> None:
         pipelines, preds = train_system(p, setup, sizes, tune, stack_all)
         board = stage(regression_metrics(preds, keys=["system", "model"]))
-        save_system(root, setup, p, pipelines, board, trained_at)
-        return board
-
-    boards = None
-    for board in run_all([partial(train, setup, p) for setup, p in prepared_all(training, setups, sizes.stop_share)]):
-        boards = board if boards is None else boards.unionByName(board)
-    flat = boards.select("system", F.col("model").alias("model_name"), "mse", "rmse", "mae", "r2",
-                         F.lit(trained_at).alias("trained_at"))
+        save_system(root, setup, keys[setup.name], p, pipelines, board, trained_at)
+
+    new = [s for s in setups if not is_registered(spark, root, s.name, keys[s.name])]
+    if new:
+        run_all([partial(train, setup, p) for setup, p in prepared_all(training, new, sizes.stop_share)])
+    flat = None
+    for setup in setups:
+        folder = os.path.join(root, setup.name)
+        files.write_table(spark.read.parquet(os.path.join(folder, keys[setup.name], "deployed")), os.path.join(folder, "deployed"))
+        board = spark.read.parquet(os.path.join(folder, keys[setup.name], "board"))
+        flat = board if flat is None else flat.unionByName(board)
     files.write_leaderboard(flat, at("leaderboard"))
     return files.read_leaderboard(spark, at("leaderboard"))
 
@@ -162,6 +195,7 @@ def deployed(spark: SparkSession, root: str, setups=SETUPS) -> list[tuple[System
         if not files.path_exists(spark, os.path.join(path, "deployed")):
             raise FileNotFoundError(f"no saved model for {setup.name} under {root}: run the retrain job first")
         meta = spark.read.parquet(os.path.join(path, "deployed")).first().asDict()
+        path = os.path.join(path, meta["model_key"])
         scaler = [(r["feature"], r["centre"], r["scale"]) for r in  # a row per feature
                   spark.read.parquet(os.path.join(path, "scaler")).orderBy("position").collect()]
         out.append((setup, meta, scaler, M.load_model(spark, os.path.join(path, "models", meta["model_name"]))))
