@@ -314,25 +314,28 @@ _sc, _scols = cte_scale(_fin, "sc", _cols, _feats(_cols), "robust", KEYS)
 oracle("scale_robust", with_(_ctes + _sc, _scols.final("sc")))
 
 
-def forecast_sql() -> str:
-    ctes = cte_daily_weather(cte_line_weather(), "dw_long")
-    cols = Cols([(n, "t" if n == "date" else ("i" if n in TRAIN_INT else "d")) for n in daily_weather_columns()])
+def forecast_sql(keys=()) -> str:
+    """E8 in SQL, of the whole series or by site."""
+    own = ", ".join([*keys, ""])
+    ctes = cte_daily_weather(cte_line_weather("readings", bool(keys)), "dw_long", own)
+    cols = Cols([(k, "t") for k in keys] + [(n, "t" if n == "date" else ("i" if n in TRAIN_INT else "d")) for n in daily_weather_columns()])
     new = []
     for k in (1, 3, 4):
-        new += [(f"temp_{k}d", "d", roll("avg", T, k, [])), (f"temp_trend_{k}", "d", trend(T, k, []))]
+        new += [(f"temp_{k}d", "d", roll("avg", T, k, keys)), (f"temp_trend_{k}", "d", trend(T, k, keys))]
     c, cols = _apply("dw_long", "ft", cols, new)
     ctes.append(c)
-    b, cols = cte_base_features("ft", "fb", cols, "_no_target_", [])
+    b, cols = cte_base_features("ft", "fb", cols, "_no_target_", keys)
     ctes += b
-    c, cols = _apply("fb", "fr_raw", cols, rich_items(cols, []))
+    c, cols = _apply("fb", "fr_raw", cols, rich_items(cols, keys))
     ctes.append(c)
     ctes.append(filled("fr_raw", "fr", cols))
-    feats = [n for n in cols.names if n != "date" and cols.kind(n) in ("d", "i")]
-    sc, cols = cte_scale("fr", "fs", cols, feats, "standard", [])
+    feats = [n for n in cols.names if n not in ("date", *keys) and cols.kind(n) in ("d", "i")]
+    sc, cols = cte_scale("fr", "fs", cols, feats, "standard", keys)
     ctes += sc
     have = set(cols.names)
-    parts = ["date"] + [f"{r6(n)} AS {n}" if n in have else f"0.0 AS {n}" for n in RICH_FEATURES]
+    parts = [*keys, "date"] + [f"{r6(n)} AS {n}" if n in have else f"0.0 AS {n}" for n in RICH_FEATURES]
     return with_(ctes, f"SELECT {', '.join(parts)} FROM fs")
 
 
 oracle("forecast_features", forecast_sql())
+oracle("forecast_features_sites", forecast_sql(["site"]))

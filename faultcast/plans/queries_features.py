@@ -12,6 +12,7 @@ from faultcast.plans.features import (base_features, feature_columns, forecast_f
                                       rich_temporal)
 from faultcast.plans.queries import query, training_fx, weather_fx3
 from faultcast.plans.training import daily_fault_counts
+from faultcast.plans.weather import daily_weather
 from faultcast.session import stage
 from faultcast.sources import fixtures as fx
 
@@ -162,3 +163,10 @@ def q_forecast_features(spark, sf_dir):
     """Daily weather -> trends -> E2 -> E3 -> standard scale refit on the rows -> aligned to the training list."""
     expected = rich_feature_names(spark, sf_dir)
     return forecast_features(weather_fx3(spark, sf_dir), "rich", keys=(), expected=expected)
+
+
+@query("forecast_features_sites")
+def q_forecast_features_sites(spark, sf_dir):
+    """E8 by site: windows, bounds and scaling of every site's own days."""
+    daily = stage(daily_weather(fx.line_weather(spark, sf_dir, site=True), keys=["site"]))
+    return forecast_features(daily, "rich", keys=["site"], expected=rich_feature_names(spark, sf_dir))
