@@ -35,18 +35,20 @@ def split(df: DataFrame, order: str, least: int, blocks: int | None = None) -> D
     ``blocks`` ranges of about equal size, as Spark samples them; neighbours are
     put together until every block but the last has at least ``least`` rows, so
     that a block's last ``least`` rows are all that the next one looks back at.
-    By default there are as many ranges as shuffle partitions, and blocks have
-    ``WORTH`` rows or more, below which a task costs more than its rows. The
-    result of no window depends on it. The driver sees one count per range.
+    By default there are as many ranges as shuffle partitions, or as adaptive
+    execution makes of them by size, and blocks have ``WORTH`` rows or more,
+    below which a task costs more than its rows. The result of no window
+    depends on it. The driver sees one count per range.
     """
     from faultcast.session import stage
 
     least = max(least, 1 if blocks else WORTH)
-    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = stage(df.repartitionByRange(n, F.col(order).asc_nulls_first()).withColumn("_range", F.spark_partition_id()))
+    by = F.col(order).asc_nulls_first()
+    ranges = df.repartitionByRange(blocks, by) if blocks else df.repartitionByRange(by)
+    x = stage(ranges.withColumn("_range", F.spark_partition_id()))
     counts = dict(x.groupBy("_range").count().collect())
     label, labels, rows = 0, [], 0
-    for i in range(n):
+    for i in range(max(counts, default=0) + 1):
         labels.append(label)
         rows += counts.get(i, 0)
         if rows >= least:

@@ -196,7 +196,7 @@ def forecast_features(daily: DataFrame, variant: str = "rich", keys=(), date_col
     The rich variant uses the standard scaler, the lean one the robust scaler;
     ``scale=False`` leaves scaling to the caller, who may have kept statistics.
     Without ``keys`` all windows run block by block over ranges of the dates
-    (as many as shuffle partitions, or ``blocks``), never over the series in one task.
+    (``blocks``, or as many as adaptive execution makes), never over the series in one task.
     """
     from faultcast.session import stage
 

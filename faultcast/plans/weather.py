@@ -101,9 +101,9 @@ def weather_of_stats(stats: DataFrame, keys=None, digits: int = 2, beaufort_null
                      blocks: int | None = None) -> DataFrame:
     """The rest of E1 on daily grain: calendar and derived features, half-even rounded.
 
-    Without ``keys`` the windows run block by block (``operators.blocks``), in as
-    many ranges of days as the session has shuffle partitions, or ``blocks``;
-    the statistics are staged for it. 0: one ordered window, nothing staged.
+    Without ``keys`` the windows run block by block (``operators.blocks``), in
+    ``blocks`` ranges of days or as many as adaptive execution makes; the
+    statistics are staged for it. 0: one ordered window, nothing staged.
     """
     keys = list(keys or [])
     in_blocks = not keys and blocks != 0
