@@ -22,6 +22,7 @@ from faultcast.operators.splits import chrono_split, expanding_folds, hash_split
 from faultcast.operators.windows import dedupe_first
 from faultcast.plans import spec
 from faultcast.plans.features import feature_columns, feature_select
+from faultcast.plans.models import pick_ensemble
 from faultcast.plans.queries import query, training_fx, weather_fx2, weather_fx3
 from faultcast.plans.queries_features import features_base_fx
 from faultcast.plans.queries_text import classified
@@ -289,13 +290,14 @@ def q_weighted_vote(spark, sf_dir):
 
 @query("pick_ensemble")
 def q_pick_ensemble(spark, sf_dir):
-    """The better of the weighted and the equal-weight vote by R2, per system."""
+    """The better of the weighted and the equal-weight vote by R2, per system; single models stand on the board too."""
     long = fx.predictions_long(spark, sf_dir)
     wv = _vote(spark, sf_dir).select("system", "date", "y", F.col("vote").alias("y_hat"), F.lit("weighted_vote").alias("model"))
     mv = long.groupBy("system", "date").agg(F.first("y").alias("y"), F.avg("y_hat").alias("y_hat")).withColumn(
         "model", F.lit("mean_vote"))
-    board = regression_metrics(wv.unionByName(mv), keys=["system", "model"])
-    return R.best_model(board, KEYS, "r2", name="model").select("system", "model", "r2")
+    single = long.select("system", "date", "y", "y_hat", "model")
+    board = regression_metrics(wv.unionByName(mv).unionByName(single), keys=["system", "model"])
+    return pick_ensemble(board, ("weighted_vote", "mean_vote")).select("system", "model", "r2")
 
 
 @query("best_model")
