@@ -32,11 +32,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, staged
+from .common import WS, ship, staged
 from .graph import components
 
 SHINGLE = 5
@@ -54,16 +53,12 @@ ROUNDS = 1
 #: Bits of the filter that step 3 tests nodes against; fixed, so its broadcast is 1 MB for any corpus.
 FILTER_BITS = 1 << 23
 TOP = np.uint64(1 << 63)
-
-
-class Words(dict):
-    """64-bit hashes of words, kept as far as memory allows."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
+#: Bytes of texts whose shingles a task hashes at a time; a longer text stands alone.
+BYTES_AT_ONCE = 500_000
+#: In place of the words that a text of fewer than ``SHINGLE`` lacks.
+FILL = np.uint64(0xD6E8FEB86659FD93)
+#: Odd factors of a shingle's words.
+FACTORS = tuple(np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(SHINGLE))
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -73,48 +68,151 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, words: Words) -> np.ndarray:
-    """Sorted distinct shingle hashes (63 bits) of a text; fewer than five words are one shingle, none give none."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(parts)
-    if not n:
-        return np.empty(0, dtype=np.uint64)
-    ids = np.fromiter(map(words.__getitem__, parts), dtype=np.uint64, count=n)
-    size = min(SHINGLE, n)
-    m = n - size + 1
-    key = np.full(m, size, dtype=np.uint64)
-    for i in range(size):
-        key = _mix(key + ids[i:i + m], 0x9E3779B97F4A7C15)
-    return np.unique(key >> np.uint64(1))
-
-
-def fingerprint(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums over a set: its node id, and a check."""
-    a, b = _mix(s, 0x1234567).sum(dtype=np.uint64), _mix(s, 0x89ABCDEF0).sum(dtype=np.uint64)
-    return int(np.int64(a.view(np.int64))), int(np.int64(b.view(np.int64)))
-
-
-def vector(s: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles by group, a byte each."""
-    return np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
+class Words:
+    """64-bit hashes of the words of a text's bytes, A-Z as a-z: a polynomial in an odd base over a value per byte, so that
+    all words of a piece are sums over one array; mixed with the word's length at the end."""
+    BASE = 0x9E3779B97F4A7C13  # 3 modulo 8: powers differ in their low bits
+    INVERSE = pow(BASE, -1, 1 << 64)
+    PIECE = 1 << 18
+
+    def __init__(self):
+        small = np.arange(256, dtype=np.uint8)
+        small[65:91] += 32
+        self.blank = np.zeros(256, dtype=bool)
+        self.blank[list(WS.encode())] = True
+        self.value = _mix(small.astype(np.uint64) + np.uint64(1), 0x51ED270B)
+        self.value[self.blank] = 0
+        self.powers = self.inverses = np.ones(1, dtype=np.uint64)
+
+    def _reach(self, n: int) -> None:
+        if len(self.powers) < n:
+            self.powers, self.inverses = (np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n, x, dtype=np.uint64))])
+                                          for x in (self.BASE, self.INVERSE))
+
+    def _piece(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inside = ~self.blank[raw]
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        start, end = edges[::2], edges[1::2]
+        if not len(start):
+            return start, np.empty(0, dtype=np.uint64)
+        self._reach(len(raw))
+        terms = self.value[raw] * self.powers[:len(raw)]
+        got = np.add.reduceat(terms, start) * self.inverses[start]
+        return start, _mix(got + (end - start).astype(np.uint64), 0x2545F491)
+
+    def ids(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(where it starts, hash) of each word; pieces end at white space, so only a longer word needs more memory."""
+        raw = np.frombuffer(text, dtype=np.uint8)
+        starts, ids, at = [], [], 0
+        while at < len(raw):
+            end = at + self.PIECE
+            while end < len(raw) and not self.blank[raw[end]]:
+                after = np.flatnonzero(self.blank[raw[end:end + self.PIECE]])
+                end += int(after[0]) if len(after) else self.PIECE
+            start, got = self._piece(raw[at:end])
+            starts.append(start + at)
+            ids.append(got)
+            at = end
+        if not ids:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        return np.concatenate(starts), np.concatenate(ids)
+
+
+class Sets:
+    """Sets of 63-bit shingle hashes of some texts: sorted values end to end, set i from ``start[i]`` on; fewer than
+    five words are one shingle, none give none."""
+
+    def __init__(self, texts: list[bytes], words: Words):
+        at, ids = words.ids(b"\n".join(texts))
+        length = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+        ends = np.searchsorted(at, np.cumsum(length))
+        size = np.diff(ends, prepend=0)
+        few = (size > 0) & (size < SHINGLE)
+        if few.any():  # filled up with a hash that is no word's
+            filled = np.where(few, SHINGLE, size)
+            place = np.arange(len(ids)) + np.repeat(np.cumsum(filled) - filled - (ends - size), size)
+            own, ids = ids, np.full(filled.sum(), FILL, dtype=np.uint64)
+            ids[place], size = own, filled
+        total = len(ids)
+        places = max(total - SHINGLE + 1, 0)
+        key = np.zeros(places, dtype=np.uint64)
+        for i, factor in enumerate(FACTORS):
+            key += ids[i:i + places] * factor
+        key = _mix(key, 0x9E3779B97F4A7C15) >> np.uint64(1)
+        first = np.cumsum(size) - size
+        count = np.where(size > 0, size - SHINGLE + 1, 0)  # places over the end of a text are none of its shingles
+        held = np.zeros(places + 1, dtype=np.int8)
+        np.add.at(held, first[count > 0], 1)
+        np.add.at(held, (first + count)[count > 0], -1)
+        for a, n in zip(first.tolist(), count.tolist()):
+            key[a:a + n].sort()
+        held = np.cumsum(held[:-1], dtype=np.int8) > 0
+        opens = np.zeros(places, dtype=bool)
+        opens[first[count > 0]] = True
+        held[1:] &= opens[1:] | (key[1:] != key[:-1])
+        before = np.concatenate([[0], np.cumsum(held)])
+        self.values = key[held]
+        self.start = before[np.minimum(first, places)]
+        self.n = before[np.minimum(first + count, places)] - self.start
+
+    def __len__(self) -> int:
+        return len(self.n)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.values[self.start[i]:self.start[i] + self.n[i]]
+
+    def _sums(self, salt: int) -> np.ndarray:
+        out = np.zeros(len(self), dtype=np.uint64)
+        some = self.n > 0
+        if some.any():
+            out[some] = np.add.reduceat(_mix(self.values, salt), self.start[some])
+        return out.view(np.int64)
+
+    def nodes(self) -> np.ndarray:
+        """A 64-bit sum over each set: its node id."""
+        return self._sums(0x1234567)
+
+    def marks(self) -> np.ndarray:
+        """A second such sum, to check the first."""
+        return self._sums(0x89ABCDEF0)
+
+    def vectors(self) -> np.ndarray:
+        """Counts of each set's shingles by group, a byte each."""
+        at = np.repeat(np.arange(len(self)) * GROUPS, self.n) + (self.values & np.uint64(GROUPS - 1)).astype(np.int64)
+        return np.minimum(np.bincount(at, minlength=len(self) * GROUPS), 255).astype(np.uint8).reshape(-1, GROUPS)
+
+    def first(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(set, shingle): those of each set that one of 0.8 similarity must share one of; the top bit marks frequent ones."""
+        if not len(self.values):
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        s = self.values
+        often = np.zeros(len(s), dtype=bool)
+        if len(frequent):
+            often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+        owner = np.repeat(np.arange(len(self)), self.n)
+        rare = np.concatenate([[0], np.cumsum(~often)])
+        here = rare[:-1] - rare[self.start][owner]  # rare ones of the set before this place
+        all_rare = (rare[self.start + self.n] - rare[self.start])[owner]
+        place = np.where(often, all_rare + np.arange(len(s)) - self.start[owner] - here, here)
+        wanted = place < (self.n - (4 * self.n + 4) // 5 + 1)[owner]
+        return owner[wanted], np.where(often, s | TOP, s)[wanted]
 
 
 def vectors(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, GROUPS)
 
 
-def first_shingles(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Those of a set that one of 0.8 similarity must share one of; the top bit marks frequent ones."""
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        s = np.where(frequent[at] == s, s | TOP, s)
-    k = len(s) - (4 * len(s) + 4) // 5 + 1
-    return np.partition(s, k - 1)[:k]
-
-
-def _sets(batch: pa.RecordBatch, column: int, words: Words) -> Iterator[np.ndarray]:
-    for t in batch.column(column):
-        yield shingles(t.as_py(), words)
+def _sets(column: pa.Array, words: Words) -> Iterator[tuple[int, Sets]]:
+    """(row of the first, sets) of some texts of a column at a time, so that memory is bounded by them or the longest text."""
+    held, start, size = [], 0, 0
+    for i, t in enumerate(column.cast(pa.binary())):
+        held.append(t.as_py() or b"")
+        size += 300 + len(held[-1])
+        if size > BYTES_AT_ONCE:
+            yield start, Sets(held, words)
+            held, start, size = [], i + 1, 0
+    if held:
+        yield start, Sets(held, words)
 
 
 def _signed(x) -> pa.Array:
@@ -137,22 +235,23 @@ def _scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, kept, size, ids = Words(), set(), [], 0, None
         for batch in batches:
-            rows = []
             ids = batch.column(0).type
-            for s in _sets(batch, 1, words):
-                node, mark = fingerprint(s)
-                new = len(s) > 0 and node not in seen
-                rows.append((len(s), node, mark, vector(s).tobytes() if new else None))
-                if new:
-                    seen.add(node)
-                    kept.append(s)
-                    size += len(s)
+            for start, sets in _sets(batch.column(1), words):
+                nodes, counts, points = sets.nodes(), sets.n, sets.vectors()
+                told: list[bytes | None] = [None] * len(sets)
+                for i, node in enumerate(nodes.tolist()):
+                    if counts[i] and node not in seen:
+                        seen.add(node)
+                        told[i] = points[i].tobytes()
+                        kept.append(sets[i])
+                        size += len(sets[i])
                 if size > COUNTED:
                     yield repeated(kept, ids)
                     kept, size = [], 0
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), batch.column(2),
-                 pa.array([r[3] for r in rows], pa.binary()), pa.nulls(len(rows), pa.int64())], names=names)
+                rows = slice(start, start + len(sets))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[rows], pa.array(counts), pa.array(nodes), pa.array(sets.marks()), batch.column(2)[rows],
+                     pa.array(told, pa.binary()), pa.nulls(len(sets), pa.int64())], names=names)
         if kept:
             yield repeated(kept, ids)
 
@@ -192,26 +291,21 @@ def _first_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, often, seen = Words(), shared.value, set()
         for batch in batches:
-            first, nodes, sizes = [], [], []
-            for s in _sets(batch, 0, words):
-                if not len(s):
-                    continue
-                node = fingerprint(s)[0]
-                if node in seen:
-                    continue
-                seen.add(node)
-                f = first_shingles(s, often)
-                first.append(f)
-                nodes.append(np.full(len(f), node, dtype=np.int64))
-                sizes.append(np.full(len(f), len(s), dtype=np.int32))
-            if not first:
-                continue
-            f, node, size = np.concatenate(first), np.concatenate(nodes), np.concatenate(sizes)
-            salt = np.where(f >= TOP, 1 + (node % SALTS), 0).astype(np.int32)
-            for i in range(0, len(f), 200_000):
-                j = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([_signed(f[j]), pa.array(salt[j]), pa.array(node[j]), pa.array(size[j])],
-                                                 names=["shingle", "salt", "node", "n"])
+            for _, sets in _sets(batch.column(0), words):
+                nodes = sets.nodes()
+                new = np.zeros(len(sets), dtype=bool)
+                for i, node in enumerate(nodes.tolist()):
+                    if node not in seen:
+                        seen.add(node)
+                        new[i] = True
+                owner, f = sets.first(often)
+                owner, f = owner[new[owner]], f[new[owner]]
+                node, size = nodes[owner], sets.n[owner].astype(np.int32)
+                salt = np.where(f >= TOP, 1 + (node % SALTS), 0).astype(np.int32)
+                for i in range(0, len(f), 200_000):
+                    j = slice(i, i + 200_000)
+                    yield pa.RecordBatch.from_arrays([_signed(f[j]), pa.array(salt[j]), pa.array(node[j]), pa.array(size[j])],
+                                                     names=["shingle", "salt", "node", "n"])
 
     return docs.select("text").mapInArrow(run, "shingle bigint, salt int, node bigint, n int")
 
@@ -277,20 +371,21 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, name: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, sent, bits = Words(), set(), set(), shared.value
         for batch in batches:
-            got = []
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            picked = []
+            for i, key in enumerate(batch.column(0).to_pylist()):
                 bucket, bit = bucket_of(key % FILTER_BITS)
-                if key in seen or not bits[bucket * 4096 + bit // 8] >> (bit % 8) & 1:
-                    continue
-                seen.add(key)
-                s = shingles(t.as_py(), words)
-                node = fingerprint(s)[0]
-                if node not in sent:
-                    sent.add(node)
-                    got.append((node, len(s), s.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int32()),
-                 pa.array([g[2] for g in got], pa.list_(pa.int64()))], names=["node", "n", "shingles"])
+                if key not in seen and bits[bucket * 4096 + bit // 8] >> (bit % 8) & 1:
+                    seen.add(key)
+                    picked.append(i)
+            for _, sets in _sets(batch.column(1).take(pa.array(picked, pa.int64())), words):
+                got = []
+                for i, node in enumerate(sets.nodes().tolist()):
+                    if node not in sent:
+                        sent.add(node)
+                        got.append((node, len(sets[i]), sets[i].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int32()),
+                     pa.array([g[2] for g in got], pa.list_(pa.int64()))], names=["node", "n", "shingles"])
 
     sets = docs.select("key", "text").mapInArrow(run, "node bigint, n int, shingles array<bigint>")
     return staged(sets.dropDuplicates(["node"]), name)

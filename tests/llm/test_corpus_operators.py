@@ -228,8 +228,8 @@ def test_summed_minima_bound_the_overlap_and_boxes_bound_their_points():
     from faultcast.llm import jaccard
     words = jaccard.Words()
     texts = [t for k in range(6) for t in chain(k, 20, 60)]
-    sets = [jaccard.shingles(t, words) for t in texts]
-    points, n = np.stack([jaccard.vector(s) for s in sets]), np.array([len(s) for s in sets])
+    sets = jaccard.Sets([t.encode() for t in texts], words)
+    points, n = sets.vectors(), sets.n
     linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
               if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
     every = np.arange(len(sets))
@@ -237,6 +237,31 @@ def test_summed_minima_bound_the_overlap_and_boxes_bound_their_points():
     assert linked and linked <= found and len(found) < len(sets) ** 2 / 6
 
 
+def test_shingles_of_many_texts_are_those_of_each():
+    import numpy as np
+    from faultcast.llm import jaccard
+    rng = random.Random(5)
+    texts = [None if k == 9 else rng.choice([" ", "\n", "\x0b\t"]).join(rng.choice(["a", "B", "c", "é", "x" * 90]) for _ in range(
+        rng.choice([0, 0, 1, 2, 3, 4, 5, 6, 40, 300]))) for k in range(150)]
+    words = jaccard.Words()
+    words.PIECE = 128  # pieces that end inside texts, words longer than a piece's rest
+    sets = jaccard.Sets([(t or "").encode() for t in texts], words)
+    tokens = [(t or "").encode().lower().split() for t in texts]
+    plain = [{tuple(t[i:i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in tokens]
+    assert sets.n.tolist() == [len(s) for s in plain]
+    often = np.unique(np.concatenate([sets[i] for i in range(0, 150, 30)]))
+    owner, first = sets.first(often)
+    for i in range(150):
+        for j in range(0, 150, 7):
+            assert len(np.intersect1d(sets[i], sets[j])) == len(plain[i] & plain[j])
+            assert (sets.nodes()[i] == sets.nodes()[j]) == (plain[i] == plain[j])
+        s, k = sets[i], len(plain[i]) - (4 * len(plain[i]) + 4) // 5 + 1
+        if len(s):
+            order = np.sort(np.where(np.isin(s, often), s | jaccard.TOP, s))
+            assert sorted(first[owner == i].tolist()) == order[:k].tolist()
+        assert (sets.vectors()[i] == np.bincount((s & np.uint64(255)).astype(int), minlength=256)).all()
+
+
 def test_components_of_chains_and_stars(spark):
     from faultcast.llm.graph import components
     edges = [(k, k + 1) for k in range(100)] + [(500, 500 + k) for k in range(1, 200)] + [(7, 7), (1000, 999)]
