@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultcast.session import scratch_path
@@ -45,3 +45,15 @@ def lower_ascii(text: Column) -> Column:
 def n_words(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` with ``rank`` from 1 in ``order``: range-partitioned and sorted, an offset per partition."""
+    sort = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order)
+                  .withColumn("place", F.monotonically_increasing_id()), "ordered")
+    part, at = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    sizes = sort.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row per partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return (sort.withColumn("part", part).join(F.broadcast(starts), "part")
+            .withColumn("rank", F.col("start") + at + 1).drop("part", "start", "place"))

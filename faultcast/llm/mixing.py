@@ -16,10 +16,12 @@ one task: all are sums with map-side parts, joined back on the source.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, staged
+from .common import n_words, numbered, staged
 
 BINS = 1024
 
@@ -28,29 +30,36 @@ def source_targets(sizes: DataFrame, weights: tuple = (5, 2, 1), share: float =
     """(source, source_size, n_docs, target) from (source, size, n).
 
     Weights repeat over the sources in code-point order, null last.  Targets
-    stop at ``cap`` times the source; the excess is shared again by weight. That
-    ends where every open source has weight * level, the level being fixed by
-    the number of sources at their cap; sorted by cap / weight, these come first.
+    stop at ``cap`` times the source; the excess is shared again by weight, an
+    aggregate a round, until no further source is at its cap: every open source
+    has weight * level then. Sources are numbered over range partitions, so any
+    number of them will do.
     """
     s = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))  # a row per source
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(rank - 1, F.lit(len(weights))) + 1)
-    s = s.withColumn("weight", weight).withColumn("most", cap * F.col("source_size"))
-    order = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy(F.lit(1))
-    s = s.withColumn("level", (share * F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-                     / F.sum("weight").over(after))
-    # the first source, in this order, whose share at its level is below its cap fixes the level of all that
-    # follow; the levels of those are lower, so it is the largest
-    s = s.withColumn("final", F.max(F.when(F.col("weight") * F.col("level") <= F.col("most"), F.col("level"))).over(whole))
-    return s.select("source", "source_size", "n_docs",
-                    F.least("most", F.coalesce(F.col("weight") * F.col("final"), F.col("most"))).alias("target"))
-
-
-def solve_tilts(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, steps: int = 40, tol: float = 1e-7) -> DataFrame:
-    """(source, source_size, target, mean, tilt): the dual's solution per source, by Newton steps."""
+    s = numbered(s, [F.col("source").asc_nulls_last()])
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    s = staged(s.withColumn("weight", weight).withColumn("most", cap * F.col("source_size")).drop("rank"), "sources")
+    level, capped = 0.0, -1
+    while True:
+        over = F.col("weight") * level > F.col("most")
+        got = s.agg(F.sum("source_size").alias("all"), F.count(F.when(over, 1)).alias("capped"),
+                    F.sum(F.when(over, F.col("most")).otherwise(0.0)).alias("most"),
+                    F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).alias("weight")).first()
+        if got["capped"] == capped:
+            break
+        capped = got["capped"]
+        if not got["weight"]:  # every source at its cap, or no source at all
+            level = math.inf
+            break
+        level = (share * got["all"] - got["most"]) / got["weight"]
+    return s.select("source", "source_size", "n_docs", F.least("most", F.col("weight") * level).alias("target"))
+
+
+def solve_tilts(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, steps: int = 100, tol: float = 1e-7) -> DataFrame:
+    """(source, source_size, target, mean, tilt): the dual's solution per source, by Newton steps.
+
+    Fails where a source is further than ``tol`` of its target after ``steps``.
+    """
     state = targets.select(
         F.col("source"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.col("source_size") / F.col("n_docs")).otherwise(1.0).alias("mean"),
@@ -83,6 +92,8 @@ def solve_tilts(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, steps: i
             "source", "source_size", "target", "mean",
             F.when(full, top).when(off <= tol, F.col("tilt")).when(inside, newton).otherwise(halved).alias("tilt"),
             low.alias("low"), high.alias("high"), F.when(full, 0.0).otherwise(off).alias("off"))
+    else:
+        raise RuntimeError(f"tilts of some sources have not converged after {steps} steps")
     return state.select("source", "source_size", "target", "mean", "tilt")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, staged
+from .common import numbered, ship, staged
 
 #: Bytes of words, A-Z lowered; every other byte separates.
 WORD_BYTES = bytes(b if b >= 128 or chr(b).isdigit() or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -198,18 +198,6 @@ def importance_weights(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id
         "address", "doc", *[F.coalesce(c, zero).alias(c) for c in ("n_words", "n_features", "gain")])
 
 
-def _numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """``rows`` with ``rank`` from 1 in ``order``: range-partitioned and sorted, an offset per partition."""
-    sort = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order)
-                  .withColumn("place", F.monotonically_increasing_id()), "ordered")
-    part, at = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
-    sizes = sort.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row per partition
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return (sort.withColumn("part", part).join(F.broadcast(starts), "part")
-            .withColumn("rank", F.col("start") + at + 1).drop("part", "start", "place"))
-
-
 def importance_sample(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text",
                       target_text: str = "text", max_n: int = 1, buckets: int = 10_000, min_words: int = 20,
                       percent: int = 10, seed: int = 2024) -> DataFrame:
@@ -241,7 +229,7 @@ def importance_sample(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id"
         out = scored.withColumn("rank", rank).select(names)
     else:
         high = fit & (F.col("score") >= found["cut"])
-        ranked = _numbered(scored.filter(high), [F.col("score").desc(), F.col("doc").asc_nulls_last(), F.col("address").asc()])
+        ranked = numbered(scored.filter(high), [F.col("score").desc(), F.col("doc").asc_nulls_last(), F.col("address").asc()])
         ranked = ranked.withColumn("rank", F.when(F.col("rank") <= k, F.col("rank")))
         out = ranked.select(names).unionByName(scored.filter(~high).withColumn("rank", rank).select(names))
     return out.withColumnRenamed("doc", "doc_id")

@@ -311,6 +311,25 @@ def test_mix_meets_the_targets(documents):
     assert rows_of(mix(docs), "doc_id", "size", "taken") == sorted(((g.doc_id, g["size"], g.taken) for g in got), key=repr)
 
 
+def test_targets_of_many_sources(spark):
+    from faultcast.llm.mixing import source_targets
+    r = random.Random(8)
+    for sizes in ({f"host{k}.{'é' * (k % 3)}": r.choice([0, 1, 30, 400, 10 ** r.randint(1, 6)]) for k in range(700)}, {None: 5}, {"a": 0},
+                  {"a": 10, "b": 10, "c": 10}):
+        table = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, size long, n long").repartition(7)
+        got = {x.source: x.target for x in source_targets(table).collect()}
+        assert got == pytest.approx(brute_targets(sizes))
+
+
+def test_tilts_that_do_not_converge_fail(spark):
+    from faultcast.llm.mixing import solve_tilts, source_targets
+    table = spark.createDataFrame([("a", 1 + k, 3) for k in range(40)], "source string, size long, n long")
+    targets = source_targets(table)
+    assert solve_tilts(table, targets).first().tilt > 0
+    with pytest.raises(RuntimeError, match="converged"):
+        solve_tilts(table, targets, steps=1)
+
+
 def test_tilts_solve_the_dual(documents):
     """The rates meet each target in expectation, and are exponential in the size."""
     import math
