@@ -194,6 +194,15 @@ def test_sizes_of_the_registered_queries():
         assert s.search_trials >= 3 and s.search_rounds[0] >= 20 and s.gbt_depth == 6
 
 
+def test_the_search_query_runs_the_whole_search():
+    import __spark_entry__ as e
+    whole = M.ModelSizes()
+    for name in ("search_trials", "search_per_fit", "search_depth", "search_rounds", "seed", "stop_share"):
+        assert getattr(M.SEARCH, name) == getattr(whole, name), name
+    assert M.draw_trials(M.SEARCH) == M.draw_trials(whole)
+    assert f"{whole.search_trials}::BIGINT AS n_trials" in e.oracle_sql()["search_params"]
+
+
 def test_pooled_fits_equal_serial_ones(spark, cooling, monkeypatch):
     _, p = cooling
     names = ["GradientBoosting", "AdaBoost", "ElasticNet"]
