@@ -266,3 +266,14 @@ def test_choice_by_rmse(spark):
     rows = [(0, 0.1, 3, 5, 1.0, 1, "0.5", 0.9, 3.0), (1, 0.2, 3, 5, 1.0, 1, "0.5", 0.8, 2.0)]
     found = spark.createDataFrame(rows, cols)
     assert M.best_settings(found)["stepSize"] == 0.1 and M.best_settings(found, "rmse")["stepSize"] == 0.2
+
+
+def test_fold_rows_take_as_many_tasks_as_they_need(cooling, trained, monkeypatch):
+    _, p = cooling
+    models, _, board = trained
+    seen = []
+    real = M.fold_fits
+    monkeypatch.setattr(M, "fold_fits", lambda folded, *a: seen.append(folded.rdd.getNumPartitions()) or real(folded, *a))
+    for contiguous in (False, True):
+        M.stack_model(p, {"ElasticNet": models["ElasticNet"]}, p.train.sparkSession.createDataFrame(board), SIZES, -1e9, contiguous)
+    assert seen == [1, 1]   # a fit is thousands of jobs: a task of a few rows more costs in each of them
