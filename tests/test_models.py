@@ -277,3 +277,13 @@ def test_fold_rows_take_as_many_tasks_as_they_need(cooling, trained, monkeypatch
     for contiguous in (False, True):
         M.stack_model(p, {"ElasticNet": models["ElasticNet"]}, p.train.sparkSession.createDataFrame(board), SIZES, -1e9, contiguous)
     assert seen == [1, 1]   # a fit is thousands of jobs: a task of a few rows more costs in each of them
+
+
+def test_text_forests_use_the_cores(spark, monkeypatch):
+    rows = spark.range(4000).coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    assert M.spread(rows, 4000, 1).rdd.getNumPartitions() == min(8, -(-3 * cores // 2))
+    assert M.spread(rows, 4000, 1000).rdd.getNumPartitions() == 1
+    assert M.spread(rows, 20_000 * 100, 1).rdd.getNumPartitions() >= 100
+    assert M.spread(rows, 0, 3).rdd.getNumPartitions() == 1
+    assert M.text_pipeline().getStages()[-1].getClassifier().getCacheNodeIds()
