@@ -287,3 +287,13 @@ def test_text_forests_use_the_cores(spark, monkeypatch):
     assert M.spread(rows, 20_000 * 100, 1).rdd.getNumPartitions() >= 100
     assert M.spread(rows, 0, 3).rdd.getNumPartitions() == 1
     assert M.text_pipeline().getStages()[-1].getClassifier().getCacheNodeIds()
+
+
+def test_folds_of_the_text_classifier_are_fitted_side_by_side(spark, monkeypatch):
+    import threading
+    texts = spark.createDataFrame([(i, "C1" if i % 2 else "C2", f"word{i % 2} other{i % 5}", "x") for i in range(40)],
+                                  "ticket_id long, unit string, text string, text2 string")
+    gate, real = threading.Barrier(2, timeout=60), M.fit_text_classifier
+    monkeypatch.setattr(M, "fit_text_classifier", lambda *a: gate.wait() >= 0 and real(*a))
+    o = M.text_out_of_fold(texts, ["C1", "C2"], M.ModelSizes(text_trees=2, text_depth=3), 2).collect()
+    assert len(o) == 80 and len({(r["ticket_id"], r["class"]) for r in o}) == 80 and {r["fold"] for r in o} == {0, 1}
