@@ -104,3 +104,20 @@ def test_a_key_of_another_month(spark, tmp_path):
             land_readings(spark, root, rows, "id", by_month=by_month)
         assert rows_of(landed_readings(spark, root)) == rows_of(want)
         assert rows_of(landed_weather(spark, root)) == rows_of(daily_weather(want))
+
+
+def test_first_landing_exchanges_the_readings_once(spark, tmp_path, monkeypatch):
+    from faultcast.sources import incremental as inc
+    monkeypatch.setattr(inc, "PIECE_ROWS", 3)
+    # a large month and a small one; copies, null keys and a key in both months
+    rows = [(k, dt.datetime(2024, 1, 1 + i % 20), float(i % 2)) for i, k in enumerate([*range(12), *range(12), None, None])]
+    rows += [(3, dt.datetime(2024, 2, 1), 1.0), (None, dt.datetime(2024, 2, 2), 2.0), (4, None, 1.0)]
+    df = spark.createDataFrame(rows, "reading_id long, ts timestamp_ntz, v double")
+    cut = inc._in_pieces(df.filter("ts is not null").withColumn(inc.MONTH, inc._month("ts")), {"2024-01": 26, "2024-02": 2}, "reading_id")
+    assert cut.select(inc.MONTH, inc.PIECE).distinct().filter("ym = '2024-01'").count() > 3
+    once = inc.dedupe_first(cut, [inc.MONTH, inc.PIECE, "reading_id"], ["v"])
+    assert once._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(inc, "daily_parts", lambda landed, ts_col, keys: landed.selectExpr("to_date(ts) AS date", "v"))
+    assert inc.land_readings(spark, str(tmp_path), df, "reading_id") == ["2024-01", "2024-02"]
+    got = [(r["ts"].month, r["reading_id"]) for r in inc.landed_readings(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(1, k) for k in [*range(12), None]] + [(2, 3), (2, None)], key=str)
