@@ -297,3 +297,52 @@ def test_folds_of_the_text_classifier_are_fitted_side_by_side(spark, monkeypatch
     monkeypatch.setattr(M, "fit_text_classifier", lambda *a: gate.wait() >= 0 and real(*a))
     o = M.text_out_of_fold(texts, ["C1", "C2"], M.ModelSizes(text_trees=2, text_depth=3), 2).collect()
     assert len(o) == 80 and len({(r["ticket_id"], r["class"]) for r in o}) == 80 and {r["fold"] for r in o} == {0, 1}
+
+
+def test_base_features_are_built_once_for_all_variants(spark, monkeypatch):
+    built = []
+    monkeypatch.setattr(jobs, "base_features", lambda t, keys: built.append(keys) or t)
+    monkeypatch.setattr(jobs, "rich_temporal", lambda base, keys: base.withColumn("variant", F.lit("rich")))
+    monkeypatch.setattr(jobs, "lean_temporal", lambda base, keys: base.withColumn("variant", F.lit("lean")))
+    monkeypatch.setattr(jobs.M, "prepare", lambda feats, system, *a, **k: [tuple(r) for r in feats.filter(F.col("system") == system).collect()])
+    rows = spark.createDataFrame([("C1", 1), ("C2", 2), ("C3", 3), ("C9", 4)], "system string, x int")
+    got = {s.name: p for s, p in jobs.prepared_all(rows)}
+    assert built == [["system"]]
+    assert got == {"cooling": [("C1", 1, "rich")], "heating": [("C2", 2, "lean")], "other": [("C3", 3, "lean")]}
+
+
+def test_folds_fitted_along_give_the_same_stack(cooling, monkeypatch):
+    _, p = cooling
+    every = M.estimators(SIZES)
+    monkeypatch.setattr(M, "estimators", lambda sizes: {n: every[n] for n in ("RandomForest", "GradientBoosting")})
+    one = lambda stages, name: sorted((r["date"], r["y_hat"]) for r in M.scored(
+        {name: PipelineModel(stages=[M.assembler(p.features), *stages])}, p.test).collect())
+    models, preds = M.compare_models(p, SIZES)
+    board = M.leaderboard(preds)
+    along, preds2, folded = M.fit_with_folds(p, SIZES)
+    assert list(along) == list(models) and set(folded.fits) == {(n, f) for n in models for f in range(SIZES.stack_folds)}
+    rows = lambda x: sorted((r["model"], r["date"], r["y_hat"]) for r in x.collect())
+    assert rows(preds2) == rows(preds)
+    # every fold model is there, none is fitted again
+    want = one(M.stack_model(p, models, board, SIZES, -float("inf")), "x")
+    monkeypatch.setattr(M, "fold_fits", None)
+    assert one(M.stack_model(p, along, board, SIZES, -float("inf"), folded=folded), "x") == want
+
+
+def test_stages_of_a_pipeline_are_saved_and_loaded_side_by_side(spark, cooling, monkeypatch):
+    _, p = cooling
+    e = M.estimators(SIZES)
+    pm = PipelineModel(stages=[M.assembler(p.features), *[M._named(e[n].fit(p.train), n) for n in ("AdaBoost", "RandomForest")]])
+    calls, run_all = [], M.run_all
+    monkeypatch.setattr(M, "run_all", lambda c, *a: calls.append(len(c)) or run_all(c, *a))
+    path = scratch_path(spark, "model-test")
+    M.save_model(pm, path)
+    M.save_model(pm, path)   # overwrites
+    loaded = M.load_model(spark, path)
+    assert calls == [3, 3, 3]
+    seen = lambda m: sorted(tuple(r) for r in PipelineModel(stages=m.stages[1:]).transform(p.test).select(
+        "date", "b_AdaBoost", "b_RandomForest").collect())
+    # MLlib's own reader knows the layout, and the loader reads what MLlib's own writer wrote
+    pm.write().overwrite().save(path + "-mllib")
+    assert seen(pm) == seen(loaded) == seen(PipelineModel.load(path)) == seen(M.load_model(spark, path + "-mllib"))
+    assert loaded.uid == pm.uid and [type(s) for s in loaded.stages] == [type(s) for s in pm.stages]
