@@ -141,3 +141,24 @@ def test_a_later_landing_exchanges_its_rows_once(spark, tmp_path):
     got = [(r["ym"], r["id"]) for r in new.collect()]
     assert {i for _, i in got} == want | {None}
     assert [m for m, i in got if i is None] == ["2024-02"] and len(got) == len(want) + 1
+
+
+def test_partitions_of_a_landing_follow_its_readings(spark, tmp_path, monkeypatch):
+    from faultcast.sources import incremental as inc
+    most, dealt = int(spark.conf.get("spark.sql.shuffle.partitions")), []
+    monkeypatch.setattr(inc, "PIECE_ROWS", 5)
+    whole = inc._in_pieces
+    monkeypatch.setattr(inc, "_in_pieces", lambda rows, counts, key: dealt.append((counts, whole(rows, counts, key))) or dealt[-1][1])
+    root = str(tmp_path / "landed")
+    history = readings(spark, "2024-01-01", 20)
+    for rows in (history, history, history.limit(1)):
+        land_readings(spark, root, rows, "id")
+    n = history.count()
+    assert 2 * n // 5 > most
+    # a later landing counts the keys that are there, also where it fetches a single reading
+    assert [sum(counts.values()) for counts, _ in dealt] == [n, 2 * n, n + 1]
+    for counts, cut in dealt:
+        size = cut.groupBy(inc.MONTH, inc.PIECE).count()
+        assert cut.rdd.getNumPartitions() >= 2 * sum(counts.values()) / 5 > most
+        assert size.count() > 1 and cut.count() == sum(counts.values())
+    assert rows_of(landed_readings(spark, root)) == rows_of(history)
