@@ -98,3 +98,14 @@ def test_trees_hold_their_limits(cells, monkeypatch):
     best = max((((y[x[:, f] <= c].sum() ** 2) / (x[:, f] <= c).sum() + (y[x[:, f] > c].sum() ** 2) / (x[:, f] > c).sum(), f, c)
                 for f in range(5) for c in cuts[f] if 6 <= (x[:, f] <= c).sum() <= 294))
     assert (t["feature"][0], cuts[t["feature"][0]][t["bin"][0]]) == best[1:]
+
+
+def test_searches_have_the_trials_of_the_reference():
+    import __spark_entry__ as e
+    from faultcast.plans import jobs
+
+    n = {(s.name, mode): len(M.draw_trials(jobs.search_sizes(s, M.SEARCH, mode))) for s in jobs.SETUPS for mode in ("holdout", "time")}
+    assert n == {("cooling", "holdout"): 20, ("heating", "holdout"): 20, ("other", "holdout"): 20,
+                 ("cooling", "time"): 5, ("heating", "time"): 20, ("other", "time"): 5}
+    assert M.draw_trials(M.SEARCH) == M.draw_trials(jobs.search_sizes(jobs.SETUPS[1], M.SEARCH, "time"))[:5]
+    assert "'holdout' AS mode, 0::BIGINT AS fold, 20::BIGINT AS n_trials" in e.oracle_sql()["search_params"]
