@@ -109,3 +109,48 @@ def test_searches_have_the_trials_of_the_reference():
                  ("cooling", "time"): 5, ("heating", "time"): 20, ("other", "time"): 5}
     assert M.draw_trials(M.SEARCH) == M.draw_trials(jobs.search_sizes(jobs.SETUPS[1], M.SEARCH, "time"))[:5]
     assert "'holdout' AS mode, 0::BIGINT AS fold, 20::BIGINT AS n_trials" in e.oracle_sql()["search_params"]
+
+
+def test_the_deployed_models_are_trained_at_the_reference_s_sizes(spark, monkeypatch):
+    from faultcast.plans import queries_models as Q
+
+    seen = []
+    empty = lambda *a: None
+    for name, given in (("ticket_probs", empty), ("dated", empty), ("line_weather_update", lambda *a: (None, None))):
+        monkeypatch.setattr(Q.fx, name, given)
+    monkeypatch.setattr(Q.jobs, "retrain_job", lambda *a, **k: seen.append((a, k)))
+    monkeypatch.setattr(Q, "_ROOTS", {})
+    assert Q.retrained(spark, "nowhere") == Q.retrained(spark, "nowhere") and len(seen) == 1
+    (*_, sizes), given = seen[0]
+    assert sizes == M.ModelSizes() and (sizes.rf_trees, sizes.gbt_iter, sizes.ada_rounds, sizes.stack_folds, sizes.search_trials) == (500, 500, 100, 5, 5)
+    assert given.keys() == {"probabilities"}
+
+
+def test_adaboost_is_a_few_jobs_and_one_ensemble(spark, tmp_path, monkeypatch):
+    from faultcast.plans import adaboost
+
+    df = _rows(spark)
+    est = adaboost.AdaBoostR2(numRounds=30, learningRate=0.5, maxDepth=2, seed=3)
+    model, n_jobs = _jobs(spark, "ada", lambda: est.fit(df))
+    assert n_jobs < 30 and 1 < len(model.trees) == len(model.alphas) <= 30
+    key = lambda m: sorted((r["date"], r["prediction"]) for r in m.transform(df).collect())
+    apart = adaboost.AdaBoostR2Model(model.trees, model.alphas)   # the trees one by one
+    assert key(model) == key(apart)
+    for name, m in (("together", model), ("apart", adaboost.AdaBoostR2Model(model.trees[:3], model.alphas[:3]))):
+        m.write().overwrite().save(str(tmp_path / name))
+        assert key(adaboost.AdaBoostR2Model.load(str(tmp_path / name))) == key(m)
+    # larger tables: MLlib's tree every round
+    monkeypatch.setattr(trees, "FIT_CELLS", 1)
+    monkeypatch.setattr(adaboost, "grown", None)
+    assert len(adaboost.AdaBoostR2(numRounds=2, maxDepth=2).fit(df).trees) == 2
+
+
+def test_a_forest_is_mllibs_model(spark):
+    from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+
+    df, common = _rows(spark), {"numTrees": 40, "maxDepth": 6, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt", "seed": 4}
+    ours, theirs = trees.ForestOfTrees(**common).fit(df), RandomForestRegressor(**common).fit(df)
+    assert type(ours) is RandomForestRegressionModel and ours.getNumTrees == 40
+    one = lambda m: m.transform(df).select(F.avg((F.col("label") - F.col("prediction")) ** 2)).first()[0]
+    assert 0.5 < one(ours) / one(theirs) < 2.0
+    assert [trees.subset_size(s, 10) for s in ("all", "sqrt", "log2", "onethird", "auto", "0.25", "1.0", "7", "30")] == [10, 4, 4, 4, 4, 3, 10, 7, 10]
