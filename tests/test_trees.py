@@ -154,3 +154,67 @@ def test_a_forest_is_mllibs_model(spark):
     one = lambda m: m.transform(df).select(F.avg((F.col("label") - F.col("prediction")) ** 2)).first()[0]
     assert 0.5 < one(ours) / one(theirs) < 2.0
     assert [trees.subset_size(s, 10) for s in ("all", "sqrt", "log2", "onethird", "auto", "0.25", "1.0", "7", "30")] == [10, 4, 4, 4, 4, 3, 10, 7, 10]
+
+
+def _texts(spark, n=400):
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(8)
+    out = []
+    for i in range(n):
+        c = i % 3
+        cols = sorted({int(j) for j in rng.integers(0, 60, 8)} | ({c} if rng.random() < 0.8 else set()))
+        out.append((i, float(c), Vectors.sparse(60, cols, [0.1 + float(rng.random()) for _ in cols])))
+    return spark.createDataFrame(out, ["id", "label", "tfidf"]).repartition(3).cache()
+
+
+def test_text_forests_are_mllibs_models_in_a_few_jobs(spark, monkeypatch):
+    from pyspark.ml.classification import OneVsRest, RandomForestClassificationModel, RandomForestClassifier
+
+    df = _texts(spark)
+    rf = RandomForestClassifier(numTrees=30, maxDepth=30, seed=2, featuresCol="tfidf", labelCol="label", cacheNodeIds=True)
+    common = {"classifier": rf, "featuresCol": "tfidf", "labelCol": "label"}
+    ours, n_jobs = _jobs(spark, "texts", lambda: trees.TextForests(**common).fit(df))
+    theirs = OneVsRest(**common).fit(df)
+    assert n_jobs < 60   # MLlib's: two or more a level of each forest
+    assert [type(m) for m in ours.models] == [RandomForestClassificationModel] * 3 and [m.getNumTrees for m in ours.models] == [30] * 3
+    for a, b in zip(ours.models, theirs.models):
+        assert 0.8 < a.totalNumNodes / b.totalNumNodes < 1.25
+        assert abs(a.featureImportances.toArray() - b.featureImportances.toArray()).max() < 0.1
+    right = lambda m: m.transform(df).filter(F.col("prediction") == F.col("label")).count()
+    assert abs(right(ours) - right(theirs)) <= 12 and right(ours) > 300
+    # more texts than a task may hold, and vectors that are not sparse: MLlib's
+    monkeypatch.setattr(grow, "grow_texts", None)
+    monkeypatch.setattr(trees, "TEXT_CELLS", 10)
+    few = {**common, "classifier": rf.copy({rf.numTrees: 2, rf.maxDepth: 3})}
+    assert len(trees.TextForests(**few).fit(df).models) == 3
+    monkeypatch.setattr(trees, "TEXT_CELLS", 10**6)
+    dense = df.select("label", F.udf(lambda v: Vectors.dense(v.toArray()), df.schema["tfidf"].dataType)("tfidf").alias("tfidf"))
+    assert len(trees.TextForests(**few).fit(dense).models) == 3
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 200])
+def test_a_text_tree_is_the_dense_one(cells, monkeypatch):
+    monkeypatch.setattr(grow, "CELLS", cells)
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((200, 12)) < 0.3, rng.integers(1, 5, (200, 12)), 0).astype(float)
+    y = ((x[:, 0] > 1) ^ (rng.random(200) < 0.2)).astype(float)
+    cuts = grow.cuts_of(x, 32)
+    bins, count = grow.binned(x, cuts), rng.poisson(1.0, 200).astype(float)
+    at = x > 0
+    texts = grow.Texts(np.concatenate([[0], np.cumsum(at.sum(1))]), np.nonzero(at)[1].astype(np.uint16), bins[at].astype(np.uint8), 12)
+    width = max(map(len, cuts)) + 1
+    # all columns for every node: nothing is drawn
+    monkeypatch.setattr(grow, "pruned", lambda t: t)
+    sparse = grow.grow_texts(texts, width, y, count, 6, 12, rng)
+    dense = grow.grow(bins, cuts, y, count, np.ones(200), 6, 1, 12, None)
+    assert all((sparse[k] == dense[k]).all() for k in ("feature", "bin", "left", "w", "s"))
+
+
+def test_leaves_of_one_prediction_are_one():
+    arr = lambda *v: np.array(v)
+    t = {"feature": arr(0, 1, 2, -1, -1, -1, -1), "bin": arr(0, 0, 0, 0, 0, 0, 0), "left": arr(1, 3, 5, -1, -1, -1, -1),
+         "gain": arr(1.0, .5, .5, -1, -1, -1, -1), "w": arr(10., 5, 5, 2, 3, 4, 1), "s": arr(5., 1, 4, 0, 1, 4, 0)}
+    p = grow.pruned(t)
+    assert p["feature"].tolist() == [0, -1, 2, -1, -1] and p["left"].tolist() == [1, -1, 3, -1, -1] and p["w"].tolist() == [10, 5, 5, 4, 1]
+    assert all(len(set(map(int, grow.draws(np.random.default_rng(1), 50, n, k)[i]))) == k for n, k in ((100, 20), (30, 20), (5, 5)) for i in range(50))
